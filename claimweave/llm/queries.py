@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_store
-from .common import read_table, shared_dir
+from . import bpe, decontaminate, langid, quality, simhash, token_store
+from .common import id_bucket, read_table, shared_dir
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +27,51 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from the labelled rows that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", id_bucket("doc_id", 3) == 1)
+    machine = quality.train(docs.where(~F.col("held_out")), read_table(spark, sf_dir, "labels").where(id_bucket("doc_id", 3) != 1))
+    return quality.score(docs, machine).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item in every document that contains it."""
+    return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+item_shingles AS (
+  SELECT DISTINCT item_id, least(len(w), 5) AS k, array_to_string(w[i:i + 4], ' ') AS s FROM item_words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+doc_shingles AS (
+  SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM doc_words, (SELECT DISTINCT k FROM item_shingles) AS ks, unnest(range(1, greatest(len(w) - k + 2, 1))) AS t(i)),
+sizes AS (SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id)
+SELECT d.doc_id, i.item_id, CAST(any_value(z.n) AS INTEGER) AS n_shingles, CAST(count(*) AS INTEGER) AS n_found
+FROM doc_shingles d JOIN item_shingles i ON d.k = i.k AND d.s = i.s JOIN sizes z ON z.item_id = i.item_id
+GROUP BY d.doc_id, i.item_id HAVING count(*) >= 0.8 * any_value(z.n)
+"""
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learnt from those that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", id_bucket("doc_id", 3) == 1)
+    filters = langid.train(docs.where(~F.col("held_out")))
+    return langid.identify(docs, filters).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all documents."""
+    rows = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_bpe)}
+    return {f.__name__: f for f in (op1_token_store, op2_bpe, op3_quality, op4_decontaminate, op6_langid, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontaminate": OP4_SQL}
