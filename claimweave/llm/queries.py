@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality, simhash, token_store
-from .common import id_bucket, read_table, shared_dir
+from . import ann, bpe, decontaminate, langid, ngram_lm, quality, sharding, simhash, token_store, warc
+from .common import id_bucket, materialize, read_table, shared_dir
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,11 @@ GROUP BY d.doc_id, i.item_id HAVING count(*) >= 0.8 * any_value(z.n)
 """
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth id."""
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learnt from those that are not held out."""
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", id_bucket("doc_id", 3) == 1)
@@ -63,15 +68,70 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, filters).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def damaged(pages: DataFrame) -> DataFrame:
+    """A replica of pages in which a rule on the id has altered, lost and added some."""
+    mark = F.substring(F.md5(F.concat(F.lit("fixity "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))), 1, 2)
+    html = F.when(mark.isin("07", "17", "27", "37", "47", "57"), F.overlay("html", F.lit("#"), F.lit(1), F.lit(1))).otherwise(F.col("html"))
+    kept = pages.where(~mark.isin("a3", "b3", "c3")).select("page_id", "url", html.alias("html"))
+    return kept.unionByName(pages.where(mark == "5c").select("page_id", F.concat("url", F.lit("#copy")).alias("url"), "html"))
+
+
+def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixity audit of a replica of all pages that a fixed rule has damaged."""
+    pages = read_table(spark, sf_dir, "pages")
+    manifest = warc.layout(warc.leaves(warc.records(pages)))
+    return warc.audit(manifest, warc.leaves(warc.records(damaged(pages))))
+
+
+OP7_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, substr(md5('fixity ' || coalesce(CAST(page_id AS VARCHAR), '')), 1, 2) AS mark FROM pages),
+replica AS (
+  SELECT page_id, url, CASE WHEN mark IN ('07', '17', '27', '37', '47', '57') THEN '#' || substr(html, 2) ELSE html END AS html FROM p WHERE mark NOT IN ('a3', 'b3', 'c3')
+  UNION ALL SELECT page_id, url || '#copy', html FROM p WHERE mark = '5c'),
+both_sides AS (SELECT 0 AS side, page_id, url, html FROM p UNION ALL SELECT 1, page_id, url, html FROM replica),
+ids AS (SELECT *, md5(coalesce(CAST(page_id AS VARCHAR), '') || ' ' || url) AS h FROM both_sides),
+recs AS (
+  SELECT side, page_id, url, 'WARC/1.0' || e || 'WARC-Type: resource' || e || 'WARC-Date: 1970-01-01T00:00:00Z' || e || 'WARC-Record-ID: <urn:uuid:'
+    || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) || '>' || e
+    || 'WARC-Target-URI: ' || url || e || 'Content-Type: text/html' || e || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR) || e || e || html AS record
+  FROM ids, (SELECT chr(13) || chr(10) AS e)),
+leaf AS (SELECT side, page_id, url, row_number() OVER (PARTITION BY side, page_id, url ORDER BY sha256(record)) - 1 AS copy, strlen(record) + 4 AS length, sha256(record) AS hash FROM recs),
+placed AS (
+  SELECT *, CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '') || ' ' || url || ' ' || CAST(copy AS VARCHAR)), 1, 8) AS BIGINT) % ((SELECT sum(length) FROM leaf WHERE side = 0) // 8388608 + 1) AS archive
+  FROM leaf WHERE side = 0),
+manifest AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id NULLS FIRST, url, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM placed),
+found AS (SELECT page_id, url, copy, hash FROM leaf WHERE side = 1)
+SELECT m.page_id, m.url, CAST(m.copy AS BIGINT) AS copy, CAST(m.archive AS BIGINT) AS archive, CAST(m."offset" AS BIGINT) AS "offset", CAST(m.length AS BIGINT) AS length,
+  CASE WHEN f.hash IS NULL THEN 'lost' ELSE 'altered' END AS kind, m.hash AS expected, f.hash AS found
+FROM manifest m LEFT JOIN found f ON m.page_id IS NOT DISTINCT FROM f.page_id AND m.url = f.url AND m.copy = f.copy WHERE f.hash IS DISTINCT FROM m.hash
+UNION ALL
+SELECT f.page_id, f.url, CAST(f.copy AS BIGINT), NULL, NULL, NULL, 'extra', NULL, f.hash
+FROM found f WHERE NOT EXISTS (SELECT 1 FROM manifest m WHERE m.page_id IS NOT DISTINCT FROM f.page_id AND m.url = f.url AND m.copy = f.copy)
+"""
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of all documents, learnt from those that are not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    learn = docs.where(id_bucket("doc_id", 7) != 2)
+    model = ngram_lm.train(learn, materialize(ngram_lm.word_counts(learn), "word-counts"))
+    return ngram_lm.score(docs, model).withColumn("held_out", id_bucket("doc_id", 7) == 2)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of all documents."""
     rows = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt to 40 shards of near equal bytes."""
+    return sharding.shard_rows(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_bpe, op3_quality, op4_decontaminate, op6_langid, op9_simhash)}
+    return {f.__name__: f for f in (op1_token_store, op2_bpe, op3_quality, op4_decontaminate, op5_nearest, op6_langid, op7_warc_audit, op8_lm_score, op9_simhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op7_warc_audit": OP7_SQL}
