@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_clashes
@@ -134,15 +134,20 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_f
     return Filters(members, totals)
 
 
-def identify(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+def decide(docs: DataFrame, filters: Filters, text_col: str = "text") -> Column:
+    """A column of docs: struct of lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     @F.pandas_udf("lang_pred string, score double")
-    def decide(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for t in texts:
             yield pd.DataFrame([model.decide(x) for x in t], columns=["lang_pred", "score"])
 
+    return of(F.col(f"`{text_col}`"))
+
+
+def identify(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score."""
     kept = drop_clashes(docs, "lang_pred", "score", "__lang")
-    return kept.withColumn("__lang", decide(F.col(f"`{text_col}`"))).select(*[F.col(f"`{c}`") for c in kept.columns], "__lang.lang_pred", "__lang.score")
+    return kept.withColumn("__lang", decide(kept, filters, text_col)).select(*[F.col(f"`{c}`") for c in kept.columns], "__lang.lang_pred", "__lang.score")

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_clashes
@@ -148,8 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Machine().fit(rows, got["__label"].to_numpy(dtype=np.float64))
 
 
-def score(docs: DataFrame, machine: Machine, text_col: str = "text", meta_col: str | None = "n_chars") -> DataFrame:
-    """docs with score (0 to 1) and predicted."""
+def scorer(docs: DataFrame, machine: Machine, text_col: str = "text", meta_col: str | None = "n_chars") -> Column:
+    """A column of docs: the score of its text and metadata."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
@@ -159,5 +159,10 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", meta_col: s
             yield pd.Series([model.score(*features(t, m)) for t, m in zip(texts, metas, strict=True)], dtype=float)
 
     meta = F.col(f"`{meta_col}`").cast("double") if meta_col and meta_col in docs.columns else F.lit(None).cast("double")
-    kept = drop_clashes(docs, "score", "predicted") if {"score", "predicted"} & {c.lower() for c in docs.columns} else docs
-    return kept.withColumn("score", of(F.col(f"`{text_col}`"), meta)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return of(F.col(f"`{text_col}`"), meta)
+
+
+def score(docs: DataFrame, machine: Machine, text_col: str = "text", meta_col: str | None = "n_chars") -> DataFrame:
+    """docs with score (0 to 1) and predicted."""
+    kept = drop_clashes(docs, "score", "predicted")
+    return kept.withColumn("score", scorer(kept, machine, text_col, meta_col)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import lower_words, materialize
 
@@ -52,14 +53,18 @@ def _bit_counts(digests: list[bytes]) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(digests), dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) of every row."""
-
+def _print_udf(k: int):
     @F.pandas_udf("bigint")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle_words) for t in texts], dtype=np.uint64).view(np.int64))
+        return pd.Series(np.array([fingerprint(t, k) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("doc_id"), of(text_col).alias("fp"))
+    return of
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long) of every row."""
+
+    return docs.select(F.col(id_col).alias("doc_id"), _print_udf(shingle_words)(text_col).alias("fp"))
 
 
 def _signed(mask: int) -> int:
@@ -152,11 +157,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def rooted(distinct: DataFrame, d: int, bucket_rows: int) -> DataFrame:
+    """distinct (one row per fp) with root, the smallest fp of its component."""
+    roots = components(links(distinct.select("fp"), d, bucket_rows))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, d: int = 3, bucket_rows: int = 4096) -> DataFrame:
     """doc_id, fp, component_id of every row of docs."""
     prints = materialize(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(distinct.select("fp"), d, bucket_rows))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+    distinct = rooted(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), d, bucket_rows)
+    smallest = distinct.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.join(distinct.join(smallest, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, d: int = 3, bucket_rows: int = 4096) -> DataFrame:
+    """docs with one row of each component: the smallest id (nulls last), of its rows the one with the smallest hashes."""
+    text = F.col(f"`{text_col}`")
+    key = [F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), text, F.octet_length(text)).alias("__k1"), F.hash(text, F.col(f"`{id_col}`")).alias("__k2")]
+    marked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), *key)
+    prints = materialize(marked.select("doc_id", "__k1", "__k2", _print_udf(shingle_words)("text").alias("fp")), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__k1", "__k2")).alias("first")
+    distinct = rooted(prints.groupBy("fp").agg(first), d, bucket_rows)
+    stay = distinct.groupBy("root").agg(F.min("first").alias("first")).select("first.__k1", "first.__k2")
+    # The window only tells repeated rows of one id and text apart; it uses the join's partitions and order.
+    same = Window.partitionBy("__k1", "__k2").orderBy("__k1")
+    kept = docs.select("*", *key).join(stay, ["__k1", "__k2"], "left_semi").withColumn("__n", F.row_number().over(same))
+    return kept.where(F.col("__n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
