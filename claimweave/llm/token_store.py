@@ -104,7 +104,7 @@ def write_store(docs: DataFrame, path: str, spec: str, id_col: str = "doc_id", t
     shared = spark.sparkContext.broadcast(spec)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq = piece_encoder(shared.value), TaskContext.get().partitionId(), 0
+        enc, part, seq = piece_encoder(shared.value, " "), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         ids: list[bytes] = []
         keys: list[int] = []

@@ -9,60 +9,56 @@ great deal, so a memo of piece -> ids replaces most of the work of the library.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces longer than this are encoded but not kept.
 KEEP_CHARS = 48
-#: Pieces that one process keeps; beyond it the memo starts anew.
-KEEP_PIECES = 400_000
+#: Pieces that one process keeps; beyond it those not used of late are dropped.
+KEEP_PIECES = 800_000
 _LOADED: dict[str, PieceEncoder] = {}
 
 
 class PieceEncoder:
-    """ids (packed) and decoded token text of pieces, by one tokenizer."""
+    """ids (packed) of pieces that stand behind `before`, by one tokenizer."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, before: str = ""):
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.ids: dict[str, bytes] = {}
+        self.long: list[str] = []
+        self.before = before
 
-    def learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """A mapping that covers all given pieces."""
+    def pack(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """A mapping that covers all given pieces until the next call."""
+        for p in self.long:
+            del self.ids[p]
         if len(self.ids) > KEEP_PIECES:
-            self.ids.clear()
-        new = [p for p in set(pieces).difference(self.ids)]
-        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        fresh = {p: np.array(e.ids, dtype=self.dtype).tobytes() for p, e in zip(new, got, strict=True)}
-        long = {p: ids for p, ids in fresh.items() if len(p) > KEEP_CHARS}
-        self.ids.update((p, ids) for p, ids in fresh.items() if p not in long)
-        return self.ids if not long else _Both(self.ids, long)
+            # Dictionaries keep their order of entry: the older half goes, and comes back where it is needed.
+            self.ids = dict(list(self.ids.items())[KEEP_PIECES // 2 :])
+        new = list(pieces.difference(self.ids))
+        self.ids.update(zip(new, self.pack([self.before + p for p in new] if self.before else new), strict=True))
+        self.long = [p for p in new if len(p) > KEEP_CHARS]
+        return self.ids
 
     def whole(self, text: str) -> bytes:
         """ids of one text straight from the library."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
 
-class _Both(dict):
-    """Two mappings read as one."""
-
-    def __init__(self, kept: dict, extra: dict):
-        super().__init__(extra)
-        self.kept = kept
-
-    def __missing__(self, key):
-        return self.kept[key]
-
-
-def piece_encoder(spec: str) -> PieceEncoder:
+def piece_encoder(spec: str, before: str = "") -> PieceEncoder:
     """The process's encoder for a tokenizer given as its JSON text."""
-    key = f"{len(spec)}:{hash(spec)}"
+    key = f"{len(spec)}:{hash(spec)}:{before}"
     if key not in _LOADED:
-        _LOADED[key] = PieceEncoder(spec)
+        _LOADED[key] = PieceEncoder(spec, before)
     return _LOADED[key]
 
 
@@ -82,12 +78,13 @@ def encode_spaced(enc: PieceEncoder, texts: list[str], special: str | None = Non
         if _UNSAFE.search(text) or (special and special in text):
             plan.append(None)
             continue
-        first, *rest = text.split(" ")
-        parts = [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
+        parts = text.split(" ")
         plan.append(parts)
         pieces.update(parts)
     ids = enc.learn(pieces)
-    return [enc.whole(t) if parts is None else b"".join(map(ids.__getitem__, parts)) for t, parts in zip(texts, plan, strict=True)]
+    # The memo is of pieces after a blank; the first piece of a text has none.
+    first = iter(enc.pack([parts[0] for parts in plan if parts]))
+    return [enc.whole(t) if parts is None else next(first) + b"".join(map(ids.__getitem__, parts[1:])) for t, parts in zip(texts, plan, strict=True)]
 
 
 #: White space that str.split() knows and the tokenizer's pattern may not.
