@@ -1,0 +1,185 @@
+"""Statistics, audit, contradictions and gaps of the graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import vocab
+from .graph import endpoints, orphan_nodes
+
+POS, NEG = ["PREVENTS", "TREATS", "ALLEVIATES", "REDUCES_RISK_OF"], ["AGGRAVATES", "CAUSES"]
+NEG_RISK = [*NEG, "INCREASES_RISK_OF"]
+#: Predicates that contradict each other; the audit counts all but one of them.
+OPPOSING = [("REDUCES_RISK_OF", "INCREASES_RISK_OF"), ("ALLEVIATES", "AGGRAVATES"), ("PREVENTS", "CAUSES"), ("TREATS", "CAUSES"), ("TREATS", "AGGRAVATES"), ("INCREASES_BIOMARKER", "DECREASES_BIOMARKER")]
+AUDIT_OPPOSING = [p for p in OPPOSING if p != ("TREATS", "AGGRAVATES")]
+
+
+def kg_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))  # one row each
+
+
+def kg_stats_rollup(nodes: DataFrame) -> DataFrame:
+    return nodes.rollup("label").agg(F.count("*").alias("n")).select(F.coalesce("label", F.lit("(all)")).alias("label"), "n")
+
+
+def nodes_by_label(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label")
+
+
+def edges_by_type(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("rel").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rel")
+
+
+def label_share(nodes: DataFrame) -> DataFrame:
+    """Windows here run over one row per label."""
+    all_rows = Window.partitionBy()
+    return nodes_by_label(nodes).select("label", "n", F.round(100.0 * F.col("n") / F.sum("n").over(all_rows), 0).cast("int").alias("pct"), F.round(100.0 * F.col("n") / F.max("n").over(all_rows), 0).cast("int").alias("pct_of_max"))
+
+
+def unique_sources(edges: DataFrame) -> DataFrame:
+    return edges.agg(F.count_distinct(vocab.squeeze(F.col("source_id"))).alias("sources"))
+
+
+def nonstandard_labels(nodes: DataFrame, standard: list[str] = vocab.ENTITY_TYPES) -> DataFrame:
+    return nodes.where(~F.col("label").isin(standard)).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def duplicate_name_excess(nodes: DataFrame) -> DataFrame:
+    g = nodes.groupBy(F.lower("name").alias("k")).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    return g.agg(F.count("*").alias("groups"), (F.coalesce(F.sum("n"), F.lit(0)) - F.count("*")).alias("excess"))
+
+
+def strength_distribution(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("evidence_strength").agg(F.count("*").alias("n"))
+
+
+def audit_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row of metrics: a single pass over edges, a few one-row aggregates beside it."""
+    blank = lambda c: vocab.squeeze(F.col(c)).isNull()
+    pct = lambda x: F.round(100.0 * x / F.greatest(F.count("*"), F.lit(1)), 1)
+    weak = F.count_if(F.col("rel").isin(vocab.WEAK_PREDICATES))
+    row = edges.agg(
+        F.count("*").alias("edges"), F.count_distinct(vocab.squeeze(F.col("source_id"))).alias("sources"), weak.alias("weak"), pct(weak).alias("weak_pct"), F.count_if(blank("journal")).alias("no_journal"), pct(F.count_if(blank("journal"))).alias("no_journal_pct"),
+        F.count_if(blank("evidence_type")).alias("no_type"), pct(F.count_if(blank("evidence_type"))).alias("no_type_pct"), pct(F.count_if(~blank("source_id"))).alias("source_pct"),
+    )
+    parts = [nodes.agg(F.count("*").alias("nodes")), nonstandard_labels(nodes).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nonstandard")), duplicate_name_excess(nodes), orphan_nodes(nodes, edges).agg(F.count("*").alias("orphans")), opposing_pair_counts(edges, AUDIT_OPPOSING).agg(F.sum("n").alias("contradictions"))]
+    for p in parts:
+        row = row.crossJoin(p)  # one row each
+    return row
+
+
+def audit_delta(before: DataFrame, after: DataFrame, metrics: list[str]) -> DataFrame:
+    tall = lambda df, name: df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m")).select("m.metric", F.col("m.value").alias(name))
+    return tall(before, "before").join(tall(after, "after"), "metric").withColumn("delta", F.col("after") - F.col("before"))
+
+
+def degree_below(nodes: DataFrame, edges: DataFrame, labels: list[str], threshold: int = 3) -> DataFrame:
+    d = endpoints(edges).groupBy("label", "name").agg(F.count("*").alias("degree"))
+    return nodes.where(F.col("label").isin(labels)).join(d, ["label", "name"], "left").select("label", "name", F.coalesce("degree", F.lit(0)).alias("degree")).where(F.col("degree") < threshold)
+
+
+# ---- contradictions ----
+
+
+def _pairs(edges: DataFrame, opposing: list[tuple[str, str]]) -> DataFrame:
+    """edges marked with the side they take in each opposing pair: the pair becomes part of the join key."""
+    sides = F.array(*[F.struct(F.lit(f"{p}/{n}").alias("pair"), F.lit(r).alias("rel"), F.lit(s).alias("side")) for p, n in opposing for r, s in ((p, "pos"), (n, "neg"))])
+    return edges.withColumn("s", F.explode(F.filter(sides, lambda x: x["rel"] == F.col("rel")))).select("*", "s.pair", "s.side").drop("s")
+
+
+def opposing_pairs(edges: DataFrame, opposing: list[tuple[str, str]] = OPPOSING) -> DataFrame:
+    """Every two edges on the same ends that say opposite things, both evidences side by side."""
+    key = ["pair", "src_label", "src", "dst_label", "dst"]
+    e = _pairs(edges, opposing)
+    side = lambda s: e.where(F.col("side") == s).select(*key, F.col("source_id").alias(f"{s}_source"), F.col("evidence_strength").alias(f"{s}_strength"))
+    return side("pos").join(side("neg"), key)
+
+
+def opposing_pair_counts(edges: DataFrame, opposing: list[tuple[str, str]] = OPPOSING) -> DataFrame:
+    """Contradictions per predicate pair, zeros kept.  Sides are counted before they meet, so no pair of edges is built."""
+    key = ["pair", "src_label", "src", "dst_label", "dst"]
+    g = _pairs(edges, opposing).groupBy(*key).agg(F.count_if(F.col("side") == "pos").alias("p"), F.count_if(F.col("side") == "neg").alias("q"))
+    n = g.groupBy("pair").agg(F.sum(F.col("p") * F.col("q")).alias("n"))
+    names = edges.sparkSession.createDataFrame([(f"{p}/{q}",) for p, q in opposing], "pair string")
+    return names.join(n, "pair", "left").select("pair", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def contradiction_verdicts(edges: DataFrame) -> DataFrame:
+    """Per (entity, disease, positive type, negative type): counts, mean strengths and who is contested."""
+    to = edges.where((F.col("dst_label") == "Disease") & (F.trim("source_id") != ""))
+    agg = lambda rels, s: to.where(F.col("rel").isin(rels)).groupBy("src_label", "src", "dst", F.col("rel").alias(f"{s}_rel")).agg(F.count("*").alias(f"{s}_count"), F.avg("evidence_strength").alias(f"{s}_strength"))
+    both = agg(POS, "pos").where(F.col("src_label").isin("Food", "Nutrient", "LifestyleFactor")).join(agg(NEG_RISK, "neg"), ["src_label", "src", "dst"])
+    p, n, a, b = (F.col(c) for c in ("pos_count", "neg_count", "pos_strength", "neg_strength"))
+    verdict = F.when((p >= 2 * n) & (a >= b), "negative_contested").when((n >= 2 * p) & (b >= a), "positive_contested").otherwise("debated")
+    return both.withColumn("verdict", verdict).withColumnsRenamed({"src": "entity", "dst": "disease"})
+
+
+def contradiction_latest(verdicts: DataFrame) -> DataFrame:
+    """One row per entity and disease: the pair with most edges."""
+    w = Window.partitionBy("entity", "disease").orderBy(F.desc(F.col("pos_count") + F.col("neg_count")), "src_label", "pos_rel", "neg_rel")
+    return verdicts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn")
+
+
+def flag_contested(edges: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """edges with contested and debated, from scratch; a verdict marks the edges of its own predicates."""
+    v = verdicts.select("src_label", F.col("entity").alias("src"), F.col("disease").alias("dst"), F.explode(F.array(F.struct(F.col("pos_rel").alias("rel"), (F.col("verdict") == "positive_contested").alias("c")), F.struct(F.col("neg_rel").alias("rel"), (F.col("verdict") == "negative_contested").alias("c")))).alias("m"), (F.col("verdict") == "debated").alias("d"))
+    marks = v.groupBy("src_label", "src", "dst", "m.rel").agg(F.bool_or("m.c").alias("contested"), F.bool_or("d").alias("debated")).withColumn("dst_label", F.lit("Disease"))
+    out = edges.join(marks, ["src_label", "src", "dst_label", "dst", "rel"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("contested", "debated")})
+
+
+# ---- gaps ----
+
+#: gap -> (label, has the node on the edge's end, edge types, labels of the other end, only nodes with edges)
+GAP_RULES = {
+    "no_avoidance": ("Disease", "dst", NEG, ["Food", "Nutrient"], True),
+    "food_no_nutrient": ("Food", "src", ["CONTAINS"], ["Nutrient"], False),
+    "nutrient_no_food": ("Nutrient", "dst", ["CONTAINS"], ["Food"], False),
+    "symptom_no_signal": ("Symptom", "src", ["EARLY_SIGNAL_OF"], ["Disease"], False),
+    "biomarker_no_food": ("Biomarker", "dst", ["INCREASES_BIOMARKER", "DECREASES_BIOMARKER"], ["Food", "Nutrient"], False),
+    "disease_no_biomarker": ("Disease", "dst", ["BIOMARKER_FOR"], None, True),
+    "mechanism_no_food": ("Mechanism", "dst", ["TARGETS_MECHANISM"], ["Food", "Nutrient"], False),
+    "microbiome_no_food": ("Microbiome", "dst", ["MODULATES_MICROBIOME"], ["Food", "Nutrient"], False),
+    "metabolite_no_producer": ("Metabolite", "dst", ["PRODUCES"], ["Food", "Nutrient", "Microbiome"], False),
+}
+
+
+def gap(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """Entities that lack the kind of edge that the rule expects."""
+    label, side, rels, others, linked = GAP_RULES[name]
+    other = "src" if side == "dst" else "dst"
+    have = edges.where((F.col(f"{side}_label") == label) & F.col("rel").isin(rels))
+    have = have.where(F.col(f"{other}_label").isin(others)) if others else have
+    own = nodes.where(F.col("label") == label)
+    if name == "nutrient_no_food":
+        own = own.where((F.length("name") > 2) & ~F.col("name").startswith("t2d"))
+    if linked:
+        own = own.join(endpoints(edges), ["label", "name"], "left_semi")
+    return own.join(have.select(F.col(side).alias("name")), "name", "left_anti").select(F.lit(name).alias("gap_type"), F.col("name").alias("entity"))
+
+
+def gap_few_recommendations(nodes: DataFrame, edges: DataFrame, at_least: int = 3) -> DataFrame:
+    n = edges.where((F.col("dst_label") == "Disease") & F.col("rel").isin(POS) & F.col("src_label").isin("Food", "Nutrient") & (F.trim("source_id") != "")).groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("n"))
+    own = nodes.where(F.col("label") == "Disease").join(n, "name", "left").select(F.lit("few_recommendations").alias("gap_type"), F.col("name").alias("entity"), F.coalesce("n", F.lit(0)).alias("n"))
+    return own.where(F.col("n") < at_least)
+
+
+def all_gaps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    out = gap_few_recommendations(nodes, edges).select("gap_type", "entity")
+    for name in GAP_RULES:
+        out = out.unionByName(gap(nodes, edges, name))
+    return out
+
+
+def gap_counts(gaps: DataFrame) -> DataFrame:
+    return gaps.groupBy("gap_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gap_type")
+
+
+def gap_queries(gaps: DataFrame, demand: DataFrame, max_per_type: int = 5) -> DataFrame:
+    """Per gap type the first entities, those in demand (entity) before the others, as search queries."""
+    d = demand.select("entity").distinct().withColumn("wanted", F.lit(0))
+    w = Window.partitionBy("gap_type").orderBy(F.coalesce("wanted", F.lit(1)), "entity")
+    top = gaps.join(d, "entity", "left").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_per_type)
+    return top.select("gap_type", "entity", F.coalesce("wanted", F.lit(1)).alias("priority"), F.concat(F.lit('"'), "entity", F.lit('" AND '), F.translate("gap_type", "_", " ")).alias("query"))
