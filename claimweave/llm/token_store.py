@@ -77,14 +77,14 @@ def build_mph(keys: np.ndarray) -> np.ndarray:
     for g in by_size[: np.count_nonzero(sizes > 1)]:
         own, d = h[order[first[g] : first[g] + sizes[g]]], 0
         while True:
-            tries = np.arange(d, d + 32)
+            tries = np.arange(d, d + 8)
             at = np.sort(_slots(own[None, :], tries[:, None], n), axis=1)
             good = ~taken[at].any(axis=1) & (np.diff(at, axis=1) > 0).all(axis=1)
             if good.any():
                 k = int(np.argmax(good))
                 move[g], taken[at[k]] = d + k, True
                 break
-            d += 32
+            d += 8
     free = np.flatnonzero(~taken)
     move[by_size[np.count_nonzero(sizes > 1) : np.count_nonzero(sizes)]] = -1 - free
     return move

@@ -31,23 +31,30 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.ids: dict[str, bytes] = {}
-        self.long: list[str] = []
         self.before = before
 
     def pack(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """A mapping that covers all given pieces until the next call."""
-        for p in self.long:
-            del self.ids[p]
+    def of(self, texts: list[list[str]]) -> list[list[bytes]]:
+        """ids of the pieces of each text.  Only what the memo lacks is touched one by one."""
         if len(self.ids) > KEEP_PIECES:
             # Dictionaries keep their order of entry: the older half goes, and comes back where it is needed.
             self.ids = dict(list(self.ids.items())[KEEP_PIECES // 2 :])
-        new = list(pieces.difference(self.ids))
-        self.ids.update(zip(new, self.pack([self.before + p for p in new] if self.before else new), strict=True))
-        self.long = [p for p in new if len(p) > KEEP_CHARS]
-        return self.ids
+        out = [list(map(self.ids.get, parts)) for parts in texts]
+        gaps: dict[str, list[tuple[list, int]]] = {}
+        for parts, got in zip(texts, out, strict=True):
+            at = -1
+            for _ in range(got.count(None)):
+                at = got.index(None, at + 1)
+                gaps.setdefault(parts[at], []).append((got, at))
+        packed = self.pack([self.before + p for p in gaps] if self.before else list(gaps))
+        for (p, places), ids in zip(gaps.items(), packed, strict=True):
+            for got, at in places:
+                got[at] = ids
+            if len(p) <= KEEP_CHARS:
+                self.ids[p] = ids
+        return out
 
     def whole(self, text: str) -> bytes:
         """ids of one text straight from the library."""
@@ -73,18 +80,11 @@ def encode_spaced(enc: PieceEncoder, texts: list[str], special: str | None = Non
     precedes is none (a white-space run starts).  Texts with another kind of blank, or that hold
     the special token's string, go through the library whole.
     """
-    plan, pieces = [], set()
-    for text in texts:
-        if _UNSAFE.search(text) or (special and special in text):
-            plan.append(None)
-            continue
-        parts = text.split(" ")
-        plan.append(parts)
-        pieces.update(parts)
-    ids = enc.learn(pieces)
+    plan = [None if _UNSAFE.search(t) or (special and special in t) else t.split(" ") for t in texts]
     # The memo is of pieces after a blank; the first piece of a text has none.
     first = iter(enc.pack([parts[0] for parts in plan if parts]))
-    return [enc.whole(t) if parts is None else next(first) + b"".join(map(ids.__getitem__, parts[1:])) for t, parts in zip(texts, plan, strict=True)]
+    rest = iter(enc.of([parts[1:] for parts in plan if parts]))
+    return [enc.whole(t) if parts is None else next(first) + b"".join(next(rest)) for t, parts in zip(texts, plan, strict=True)]
 
 
 #: White space that str.split() knows and the tokenizer's pattern may not.
@@ -93,11 +93,6 @@ _ODD_BLANK = re.compile("[\x1c-\x1f\x85]")
 
 def encode_words(enc: PieceEncoder, texts: list[str]) -> list[bytes]:
     """ids of whole texts by a tokenizer that drops white space and never joins across it."""
-    plan, pieces = [], set()
-    for text in texts:
-        parts = None if _ODD_BLANK.search(text) else text.split()
-        plan.append(parts)
-        if parts:
-            pieces.update(parts)
-    ids = enc.learn(pieces)
-    return [enc.whole(t) if parts is None else b"".join(map(ids.__getitem__, parts)) for t, parts in zip(texts, plan, strict=True)]
+    plan = [None if _ODD_BLANK.search(t) else t.split() for t in texts]
+    got = iter(enc.of([parts for parts in plan if parts is not None]))
+    return [enc.whole(t) if parts is None else b"".join(next(got)) for t, parts in zip(texts, plan, strict=True)]
