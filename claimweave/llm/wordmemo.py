@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 #: Pieces longer than this are encoded but not kept.
 KEEP_CHARS = 48
 #: Pieces that one process keeps; beyond it those not used of late are dropped.
-KEEP_PIECES = 800_000
+KEEP_PIECES = 300_000
 _LOADED: dict[str, PieceEncoder] = {}
 
 
