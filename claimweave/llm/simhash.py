@@ -10,6 +10,13 @@ numpy and keeps only links that connect something new, never all pairs.
 Only distinct fingerprints are compared, so equal texts cost one row.  Components are found by
 minimum labels with pointer jumping; what travels is one row per fingerprint.
 
+``one_of_each`` is the stage on five-word shingles and a similarity of 0.8 or more.  A change of one
+word touches five such shingles but only two word pairs, so candidates are sought by blocks of a
+fingerprint of word pairs; each is then verified by the Hamming distance of a 256-bit fingerprint of
+the distinct five-word shingles.  Two sets of Jaccard value J (near equal in size) have the cosine
+2J / (1 + J), and fingerprints differ in a share acos(cosine) / pi of their bits; that share at
+``similarity`` is the largest that links.
+
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; texts
 with fewer words than a shingle are one shingle; repeated rows each give a row; component_id is the
 smallest non-null doc_id of the component (null if it has none).
@@ -17,6 +24,7 @@ smallest non-null doc_id of the component (null if it has none).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +38,10 @@ from pyspark.sql.window import Window
 from .common import lower_words, materialize
 
 ALL_BITS = (1 << 64) - 1
+#: 64-bit words of a wide fingerprint.
+WIDE = 4
+#: With wide fingerprints, buckets are dealt again by finer blocks up to this level.
+LEVELS = 2
 
 
 def fingerprint(text: str | None, k: int = 3) -> int:
@@ -53,6 +65,41 @@ def _bit_counts(digests: list[bytes]) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(digests), dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
 
 
+def wide_fingerprint(text: str | None, k: int = 5) -> bytes:
+    """The 64 * WIDE bit fingerprint of a text's distinct k-word shingles; one bit in two of them all decides.
+
+    Null and blank texts give zeros, texts with fewer words than k are one shingle.
+    """
+    words = lower_words(text)
+    if not words:
+        return bytes(8 * WIDE)
+    shingles = zip(*[words[i:] for i in range(k)], strict=False) if len(words) >= k else [words]
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    distinct = np.unique(np.fromiter((digest(join(s), 42) for s in shingles), dtype=np.uint64))
+    counts = np.zeros(64 * WIDE, dtype=np.int64)
+    for at in range(0, len(distinct), 4096):
+        part = distinct[at : at + 4096]
+        for w in range(WIDE):
+            x = (part + np.uint64((w + 1) * 0x9E3779B97F4A7C15 & ALL_BITS)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            counts[64 * w : 64 * w + 64] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(distinct)).tobytes()
+
+
+def wide_bits(similarity: float) -> int:
+    """Differing bits of wide fingerprints at a Jaccard value."""
+    return math.floor(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def _wide_udf(k: int):
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(t, k) for t in texts], dtype=object)
+
+    return of
+
+
 def _print_udf(k: int):
     @F.pandas_udf("bigint")
     def of(texts: pd.Series) -> pd.Series:
@@ -78,23 +125,32 @@ def blocks(mask: int, d: int) -> list[int]:
     return [mask | sum(1 << b for b in free[a:e]) for a, e in zip(cuts, cuts[1:], strict=False)]
 
 
-def _bucket_links(d: int):
-    """Links inside buckets, from (mask, bucket, fp) rows that come sorted by bucket."""
+def _bucket_links(d: int, wide_d: int | None):
+    """Links inside buckets, from (mask, cell, fp[, wide]) rows that come sorted by mask, bucket (mask & fp) and cell.
+
+    Nodes of the links are fp, or wide followed by fp where wide fingerprints verify them.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, dtype=np.int64)] * 3
+        rest = None
         for b in batches:
-            mask, bucket, fp = (np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, b.columns, strict=True))
-            last = (mask == mask[-1]) & (bucket == bucket[-1])
-            whole = int(np.argmax(last))
-            rest = [c[whole:] for c in (mask, bucket, fp)]
-            yield link(mask[:whole], bucket[:whole], fp[:whole])
-        yield link(*rest)
-
-    def link(mask: np.ndarray, bucket: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        n = len(fp)
+            cols = [c.to_numpy() for c in b.columns[:3]]
+            if wide_d is not None:
+                cols.append(np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint64).reshape(-1, WIDE))
+            if rest is not None:
+                cols = [np.concatenate(c) for c in zip(rest, cols, strict=True)]
+            mask, cell, fp = cols[:3]
+            bucket = mask & fp
+            whole = int(np.argmax((mask == mask[-1]) & (bucket == bucket[-1]) & (cell == cell[-1]))) if len(fp) else 0
+            rest = [c[whole:] for c in cols]
+            yield link(*(c[:whole] for c in cols))
+        if rest is not None:
+            yield link(*rest)
+
+    def link(mask: np.ndarray, cell: np.ndarray, fp: np.ndarray, wide: np.ndarray | None = None) -> pa.RecordBatch:
+        n, bucket = len(fp), mask & fp
         new = np.ones(n, dtype=bool)
-        new[1:] = (mask[1:] != mask[:-1]) | (bucket[1:] != bucket[:-1])
+        new[1:] = (mask[1:] != mask[:-1]) | (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])
         group = np.cumsum(new) - 1
         end = np.append(np.flatnonzero(new)[1:], n)[group] if n else np.zeros(0, dtype=np.int64)
         root, found = np.arange(n), []
@@ -102,17 +158,22 @@ def _bucket_links(d: int):
         while len(at := at[at + lag < end[at]]):
             near = at[np.bitwise_count(fp[at] ^ fp[at + lag]) <= d]
             near = near[root[near] != root[near + lag]]
+            if wide is not None and len(near):
+                near = near[np.bitwise_count(wide[near] ^ wide[near + lag]).sum(axis=1) <= wide_d]
             if len(near):
                 for i in near:
                     a, c = _find(root, i), _find(root, i + lag)
                     if a != c:
                         root[max(a, c)] = min(a, c)
-                        found.append((fp[i], fp[i + lag]))
+                        found.append((i, i + lag))
                 while (root != root[root]).any():
                     root = root[root]
             lag += 1
         pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        if wide is None:
+            return pa.RecordBatch.from_arrays([pa.array(fp[pairs[:, 0]]), pa.array(fp[pairs[:, 1]])], names=["a", "b"])
+        name = lambda rows: pa.array([wide[i].tobytes() + int(fp[i]).to_bytes(8, "big", signed=True) for i in rows], pa.binary())
+        return pa.RecordBatch.from_arrays([name(pairs[:, 0]), name(pairs[:, 1])], names=["a", "b"])
 
     return of
 
@@ -123,23 +184,38 @@ def _find(root: np.ndarray, i: int) -> int:
     return i
 
 
-def links(distinct: DataFrame, d: int = 3, bucket_rows: int = 4096) -> DataFrame:
-    """Links (a, b) that connect all distinct fp values within d bits of each other, as chains of such steps."""
-    schema = "mask bigint, bucket bigint, fp bigint"
-    keyed = distinct.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in blocks(0, d)])).alias("mask")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("bucket"), "fp")
-    found = None
+def links(distinct: DataFrame, d: int = 3, bucket_rows: int = 4096, wide_d: int | None = None) -> DataFrame:
+    """Links (a, b) that connect all distinct fp values within d bits of each other, as chains of such steps.
+
+    With wide_d, distinct also has wide fingerprints, and only pairs within wide_d bits there are linked.
+    """
+    own = ["fp"] if wide_d is None else ["fp", "wide"]
+    node = "bigint" if wide_d is None else "binary"
+    bucket = F.col("mask").bitwiseAND(F.col("fp"))
+    keyed = distinct.select(*own, F.explode(F.array(*[F.lit(_signed(m)) for m in blocks(0, d)])).alias("mask"))
+    found, level = None, 0
     while True:
-        sizes = keyed.groupBy("mask", "bucket").agg(F.count("*").alias("n"))
-        big = materialize(sizes.where(F.col("n") > bucket_rows).select("mask", "bucket"), "big-buckets")
+        level += 1
+        sizes = keyed.groupBy("mask", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+        big = materialize(sizes.where(F.col("n") > bucket_rows), "big-buckets")
         masks = [r["mask"] for r in big.select("mask").distinct().collect()]  # as many as there are block tables
-        small = keyed.join(big, ["mask", "bucket"], "left_anti") if masks else keyed
-        got = small.select("mask", "bucket", "fp").repartition("mask", "bucket").sortWithinPartitions("mask", "bucket", "fp").mapInArrow(_bucket_links(d), "a bigint, b bigint")
+        placed = keyed.withColumn("bucket", bucket)
+        small = (placed.join(big, ["mask", "bucket"], "left_anti") if masks else placed).withColumn("cell", F.lit(0).cast("bigint"))
+        if masks and wide_d is not None and level == LEVELS:
+            # Near copies agree in most blocks, so finer ones part them no more: chunks of the bucket meet in pairs.
+            chunk, other = F.pmod(F.xxhash64(*own), "n_chunks"), F.col("other")
+            full = placed.join(big, ["mask", "bucket"]).withColumn("n_chunks", F.ceil(F.col("n") / bucket_rows)).withColumn("chunk", chunk)
+            pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_chunks") - 1)))
+            small = small.unionByName(pairs.withColumn("cell", F.least("chunk", other) * F.col("n_chunks") + F.greatest("chunk", other)).select(*small.columns))
+            masks = []
+        sorted_small = small.select("mask", "cell", *own).repartition("mask", bucket, "cell").sortWithinPartitions("mask", bucket, "cell", "fp")
+        got = sorted_small.mapInArrow(_bucket_links(d, wide_d), f"a {node}, b {node}")
         found = got if found is None else found.unionByName(got)
         if not masks:
             return found
         finer = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*[F.lit(_signed(f)) for f in blocks(m & ALL_BITS, d)]))])
-        split = keyed.join(big, ["mask", "bucket"], "left_semi").select("fp", F.explode(finer[F.col("mask")]).alias("mask"))
-        keyed = materialize(split.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("bucket"), "fp").distinct(), "fine-buckets")
+        split = placed.join(big, ["mask", "bucket"], "left_semi").select(*own, F.explode(finer[F.col("mask")]).alias("mask"))
+        keyed = materialize(split.distinct(), "fine-buckets")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -157,10 +233,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def rooted(distinct: DataFrame, d: int, bucket_rows: int) -> DataFrame:
-    """distinct (one row per fp) with root, the smallest fp of its component."""
-    roots = components(links(distinct.select("fp"), d, bucket_rows))
-    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def rooted(distinct: DataFrame, d: int, bucket_rows: int, wide_d: int | None = None) -> DataFrame:
+    """distinct (one row per node) with root, the smallest node of its component."""
+    node = F.col("fp") if wide_d is None else F.concat("wide", F.unhex(F.lpad(F.hex("fp"), 16, "0")))
+    roots = components(links(distinct, d, bucket_rows, wide_d))
+    return distinct.withColumn("node", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, d: int = 3, bucket_rows: int = 4096) -> DataFrame:
@@ -171,14 +248,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(distinct.join(smallest, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, d: int = 3, bucket_rows: int = 4096) -> DataFrame:
-    """docs with one row of each component: the smallest id (nulls last), of its rows the one with the smallest hashes."""
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, block_words: int = 2, d: int = 8, bucket_rows: int = 4096) -> DataFrame:
+    """docs with one row of each component: the smallest id (nulls last), of its rows the one with the smallest hashes.
+
+    Links need d or fewer differing bits in the fingerprints of block_words-word shingles and a
+    similarity of shingle_words-word shingles as their wide fingerprints measure it.
+    """
     text = F.col(f"`{text_col}`")
     key = [F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), text, F.octet_length(text)).alias("__k1"), F.hash(text, F.col(f"`{id_col}`")).alias("__k2")]
     marked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), *key)
-    prints = materialize(marked.select("doc_id", "__k1", "__k2", _print_udf(shingle_words)("text").alias("fp")), "fingerprints")
+    prints = materialize(marked.select("doc_id", "__k1", "__k2", _print_udf(block_words)("text").alias("fp"), _wide_udf(shingle_words)("text").alias("wide")), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__k1", "__k2")).alias("first")
-    distinct = rooted(prints.groupBy("fp").agg(first), d, bucket_rows)
+    distinct = rooted(prints.groupBy("fp", "wide").agg(first), d, bucket_rows, wide_bits(similarity))
     stay = distinct.groupBy("root").agg(F.min("first").alias("first")).select("first.__k1", "first.__k2")
     # The window only tells repeated rows of one id and text apart; it uses the join's partitions and order.
     same = Window.partitionBy("__k1", "__k2").orderBy("__k1")

@@ -99,6 +99,28 @@ def test_simhash(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_of_each_keeps_what_is_not_similar(spark):
+    rng = random.Random(8)
+    prose = lambda n: [f"w{rng.randint(0, 3000)}" for _ in range(n)]
+    base, other, half = prose(400), prose(400), prose(200)
+    near = [*base[:100], "changed", *base[101:]]  # five of 396 shingles
+    shared = [*base[:200], *half]  # a third of the shingles in common
+    rows = [(1, base), (2, near), (3, other), (4, shared), (5, base), (6, ["one", "two"]), (7, ["one", "three"])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows] + [(8, None), (9, ""), (None, " ".join(base))], "doc_id long, text string")
+    for limit in (4096, 2):
+        assert sorted(r.doc_id for r in simhash.one_of_each(df, bucket_rows=limit).collect()) == [1, 3, 4, 6, 7, 8]
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_one_print_with_many_wide_prints(spark):
+    """Buckets that no bit can split are compared chunk against chunk."""
+    rng = np.random.default_rng(3)
+    wide = [bytes(32), bytes([1]) + bytes(31), *[rng.bytes(32) for _ in range(20)]]
+    df = spark.createDataFrame([(7, w) for w in wide], "fp long, wide binary")
+    got = {tuple(sorted((bytes(r.a)[:32], bytes(r.b)[:32]))) for r in simhash.links(df, 2, 8, 38).collect()}
+    assert got == {(wide[0], wide[1])}
+
+
 def test_decontaminate(spark):
     item = "one two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, "say: " + item.upper() + "!"), (2, item.replace("six", "6")), (3, item.replace("eleven", "x")), (4, None), (5, ""), (6, "tiny thing"), (6, "tiny thing")], "doc_id long, text string")
