@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-SEGMENT = 2 << 20
+#: Bytes of text that one step hashes; a step holds some 50 bytes of arrays for each.
+SEGMENT = 1 << 19
 HIT = "array<struct<item_id:bigint,n_shingles:int,n_found:int>>"
 _WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _BASE = 0x9E3779B97F4A7C15 | 1

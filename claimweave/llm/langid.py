@@ -110,14 +110,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_f
             distinct, back = np.unique(grams, return_inverse=True)
             return distinct, np.bincount(back, weights=np.concatenate([n for _, n in held[lang]])).astype(np.int64)
 
-        loose: dict[str, int] = defaultdict(int)
+        loose: dict[str, int] = defaultdict(int)  # trigrams since the language was last settled
         for b in batches:
             for text, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 grams = trigrams(text)
                 if len(grams):
                     held[lang].append((grams, np.ones(len(grams))))
                     loose[lang] += len(grams)
-                    if loose[lang] > 2_000_000:
+                    if loose[lang] > 400_000:
                         held[lang], loose[lang] = [settle(lang)], 0
         for lang in held:
             grams, n = settle(lang)
