@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vocab
-from .operators import audit, claims, graph, recommend, users
+from .operators import audit, claims, graph, planning, recommend, risk, users
 from .plans import fixtures
 from .sources import papers
 
@@ -51,6 +51,31 @@ class Projection:
     def users(self) -> DataFrame:
         return fixtures.users(self.spark, self.sf_dir)
 
+    @cached_property
+    def profiles(self) -> DataFrame:
+        """Risk profiles of the diseases: a colour and an age as factors, the disease itself as trigger, one route."""
+        d = self.nodes.where("label = 'Disease'")
+        kinds = [("factor", F.split("name", " ")[0]), ("factor", F.concat(F.lit("age "), (30 + 10 * (F.length("name") % 5)).cast("string"), F.lit("+"))), ("trigger", F.col("name")), ("route", F.lit("walking"))]
+        return d.select(F.col("name").alias("disease"), F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), f.alias("factor")) for k, f in kinds])))
+
+    @cached_property
+    def board(self) -> DataFrame:
+        return risk.risk_board(self.profiles, self.users)
+
+    @cached_property
+    def insights(self) -> DataFrame:
+        return risk.insights(self.edges, self.users)
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        """A check per early signal of a disease."""
+        e = self.edges.where("rel = 'EARLY_SIGNAL_OF' AND src_label = 'Symptom' AND dst_label = 'Disease'").select(F.col("dst").alias("disease"), F.col("src").alias("check_id")).distinct()
+        return e.withColumn("pos", F.length("check_id"))
+
+    @cached_property
+    def manifests(self) -> DataFrame:
+        return self.table("events").select(F.col("event_type").alias("agent"), F.col("event_id").alias("run_id"), "ts", F.col("props").alias("payload"))
+
     @cached_property
     def papers(self) -> DataFrame:
         return self.table("documents").select(F.concat(F.lit("PMC"), F.col("doc_id").cast("string")).alias("pmcid"), F.col("source").alias("journal"), F.col("text").alias("abstract"))
@@ -108,6 +133,39 @@ def _gap_sql(name: str) -> str:
 FEW = f"SELECT 'few_recommendations' AS gap_type, d.name AS entity, count(e.dst) AS n FROM (SELECT name FROM nodes WHERE label = 'Disease') d LEFT JOIN (SELECT dst FROM edges WHERE dst_label = 'Disease' AND rel IN ({POS}) AND src_label IN ('Food', 'Nutrient')) e ON e.dst = d.name GROUP BY d.name HAVING count(e.dst) < 3"
 ALL_GAPS = f"SELECT gap_type, entity FROM ({FEW}) UNION ALL " + " UNION ALL ".join(_gap_sql(g) for g in audit.GAP_RULES)
 
+PROF = """prof AS (SELECT name AS disease, 'factor' AS kind, split_part(name, ' ', 1) AS factor FROM nodes WHERE label = 'Disease' UNION ALL SELECT name, 'factor', 'age ' || CAST(30 + 10 * (length(name) % 5) AS VARCHAR) || '+' FROM nodes WHERE label = 'Disease'
+  UNION ALL SELECT name, 'trigger', name FROM nodes WHERE label = 'Disease' UNION ALL SELECT name, 'route', 'walking' FROM nodes WHERE label = 'Disease')"""
+MATCHES = """hits AS (SELECT DISTINCT u.user_id, p.disease, p.factor FROM (SELECT DISTINCT user_id, term, age FROM users) u JOIN prof p ON p.kind = 'factor' AND (contains(u.term, p.factor) OR (p.factor LIKE 'age %' AND u.age >= CAST(regexp_replace(p.factor, '[^0-9]', '', 'g') AS INTEGER))))"""
+BOARD = """fired AS (SELECT DISTINCT u.user_id, p.disease FROM users u JOIN prof p ON p.kind = 'trigger' AND p.factor = u.term),
+board AS (SELECT user_id, disease, CASE WHEN f.user_id IS NOT NULL OR n >= 3 THEN 'high' WHEN n = 2 THEN 'medium' ELSE 'low' END AS level, coalesce(n, 0) AS present, t.total - coalesce(n, 0) AS missing
+  FROM (SELECT user_id, disease, count(*) AS n FROM hits GROUP BY ALL) h FULL JOIN fired f USING (user_id, disease) JOIN (SELECT disease, count(*) AS total FROM prof WHERE kind = 'factor' GROUP BY 1) t USING (disease))"""
+
+
+def _insight_sql(kind: str, where: str, target: str, item: str, order: str, k: int) -> str:
+    view = f"SELECT {target} AS target, {item} AS item, count(*) AS n, max(evidence_strength) AS strength FROM edges WHERE {where} GROUP BY ALL"
+    return f"SELECT user_id, '{kind}' AS kind, target, item, n, CAST(rank AS INTEGER) AS rank FROM (SELECT t.user_id, v.*, row_number() OVER (PARTITION BY t.user_id ORDER BY {order}) AS rank FROM targets t JOIN ({view}) v ON v.target = t.target) WHERE rank <= {k}"
+
+
+_ITEM = "src_label IN ('Food', 'Nutrient') AND dst_label = 'Disease'"
+INSIGHTS = "ins AS (" + " UNION ALL ".join([
+    _insight_sql("protective", f"{_ITEM} AND rel IN ({POS})", "dst", "src", "v.strength DESC, v.n DESC, v.item, v.target", 5), _insight_sql("avoidance", f"{_ITEM} AND rel IN ({NEG})", "dst", "src", "v.n DESC, v.item, v.target", 3),
+    _insight_sql("signal", "src_label = 'Symptom' AND dst_label = 'Disease' AND rel = 'EARLY_SIGNAL_OF'", "src", "dst", "v.n DESC, v.item, v.target", 5),
+]) + ")"
+_quoted = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+RULES = "(VALUES " + ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in risk.LIKELY) + ") AS r(pos, min_age, needs, name)"
+INFERRED = f"""inferred AS (SELECT user_id, name, CAST(rn AS INTEGER) AS rank FROM (SELECT user_id, name, row_number() OVER (PARTITION BY user_id ORDER BY g, pos, name) AS rn FROM (
+  SELECT user_id, name, g, pos, row_number() OVER (PARTITION BY user_id, name ORDER BY g, pos) AS first FROM (SELECT user_id, item AS name, 0 AS g, rank AS pos FROM ins WHERE kind = 'signal'
+    UNION ALL SELECT u.user_id, r.name, 1, r.pos FROM users u JOIN {RULES} ON u.age >= r.min_age OR u.term = r.needs))
+  WHERE first = 1 AND (user_id, name) NOT IN (SELECT (user_id, term) FROM users WHERE term IS NOT NULL)) WHERE rn <= 4)"""
+ENRICHED = f"""seen AS (SELECT dst AS disease, kind, factor, count(*) AS n FROM (SELECT dst, CASE WHEN src_label = 'Disease' AND rel IN ('INCREASES_RISK_OF', 'CAUSES') THEN 'factor' WHEN src_label = 'Symptom' AND rel = 'EARLY_SIGNAL_OF' THEN 'warning'
+    WHEN src_label IN ('Food', 'Nutrient', 'LifestyleFactor') AND rel IN ({POS}) THEN 'route' END AS kind, CASE WHEN src_label IN ('Food', 'Nutrient', 'LifestyleFactor') THEN src || ' ' || lower(replace(rel, '_', ' ')) ELSE src END AS factor FROM edges WHERE dst_label = 'Disease') WHERE kind IS NOT NULL GROUP BY ALL),
+tops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY disease, kind ORDER BY n DESC, factor) AS rank FROM seen) WHERE rank <= 10),
+several AS (SELECT disease, kind FROM tops WHERE kind = 'route' AND rank = 2)
+SELECT disease, kind, factor FROM prof WHERE (disease, kind) NOT IN (SELECT (disease, kind) FROM several)
+UNION ALL SELECT disease, kind, factor FROM tops WHERE (disease, kind) IN (SELECT (disease, kind) FROM several) OR (disease, kind, lower(factor)) NOT IN (SELECT (disease, kind, lower(factor)) FROM prof)"""
+REGIONS = "CASE " + " ".join(f"WHEN regexp_matches(t, '{w}') THEN '{n}'" for n, w in risk.TERRITORIES) + " ELSE '' END"
+SCORE = "CAST(greatest(0, least(100, round(100 - (y - 50) / 405 * 100))) AS INTEGER)"
+
 P = Projection
 #: name -> (operator on a projection, SQL after the projection's WITH list, sparse claims)
 GRAPH: dict[str, tuple[Callable[[P], DataFrame], str, bool]] = {
@@ -193,6 +251,23 @@ GRAPH: dict[str, tuple[Callable[[P], DataFrame], str, bool]] = {
     "match_entity": (lambda p: users.match_entity(p.table("part").select(F.split("p_name", " ")[0].alias("term")), p.nodes), "SELECT term, name FROM (SELECT t.term, n.name, row_number() OVER (PARTITION BY t.term ORDER BY n.name <> t.term, length(n.name), n.name) AS rn FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS term FROM part) t JOIN nodes n ON contains(n.name, t.term) WHERE length(t.term) >= 3) WHERE rn = 1", False),
     "replace_if_better": (lambda p: users.replace_if_better(p.valid.where("evidence_type = 'RCT'"), p.valid).groupBy("source_id").agg(F.count("*").alias("n")), "SELECT source_id, count(*) AS n FROM valid GROUP BY source_id", False),
     "reextract_candidates": (lambda p: users.reextract_candidates(p.papers.select("pmcid"), p.valid), "SELECT d.pmcid, n, strength FROM (SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS pmcid, count(v.source_id) AS n, coalesce(avg(v.evidence_strength), 0.0) AS strength FROM documents LEFT JOIN valid v ON v.source_id = 'PMC' || CAST(doc_id AS VARCHAR) GROUP BY doc_id) d WHERE n <= 2 ORDER BY n, strength DESC, pmcid LIMIT 50", False),
+    "risk_factor_match": (lambda p: risk.risk_factor_match(p.profiles, p.users), f"$users, {PROF}, {MATCHES} SELECT * FROM hits", True),
+    "risk_board": (lambda p: p.board, f"$users, {PROF}, {MATCHES}, {BOARD} SELECT * FROM board", True),
+    "enrich_profiles": (lambda p: risk.enrich_profiles(p.profiles, p.edges), f", {PROF}, {ENRICHED}", False),
+    "insights": (lambda p: p.insights, f"$users, {TARGETS}, {INSIGHTS} SELECT * FROM ins", False),
+    "inferred_conditions": (lambda p: risk.inferred_conditions(p.insights, p.users, risk.likely_rules(p.spark)), f"$users, {TARGETS}, {INSIGHTS}, {INFERRED} SELECT * FROM inferred", False),
+    "open_checks": (lambda p: risk.open_checks(p.board, p.checks, p.users.select("user_id", F.col("term").alias("check_id"))), f"""$users, {PROF}, {MATCHES}, {BOARD}, checks AS (SELECT DISTINCT dst AS disease, src AS check_id, length(src) AS pos FROM edges WHERE rel = 'EARLY_SIGNAL_OF' AND src_label = 'Symptom' AND dst_label = 'Disease'),
+      open AS (SELECT b.user_id, disease, level, check_id, pos FROM board b JOIN checks USING (disease) WHERE level IN ('high', 'medium') AND NOT EXISTS (SELECT 1 FROM users u WHERE u.user_id = b.user_id AND u.term = check_id)),
+      firsts AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY level <> 'high', disease) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, disease ORDER BY pos, check_id) AS rn FROM open) WHERE rn = 1)
+      SELECT user_id, disease, check_id, (SELECT count(*) FROM open o WHERE o.user_id = f.user_id) AS remaining, CAST(rank AS INTEGER) AS rank FROM firsts f WHERE rank <= 2""", False),
+    "next_questions": (lambda p: risk.next_questions(p.users, risk.inferred_conditions(p.insights, p.users, risk.likely_rules(p.spark)), p.users.where("plan = 'paid'").select("user_id", F.lit("gender").alias("question"))), f"""$users, {TARGETS}, {INSIGHTS}, {INFERRED},
+      asked AS (SELECT user_id, 'conditions' AS question, 2 AS p FROM users GROUP BY user_id HAVING count(term) = 0 UNION ALL SELECT DISTINCT user_id, 'gender', 3 FROM users WHERE gender = '' AND plan <> 'paid' UNION ALL SELECT user_id, 'confirm:' || name, rank + 3 FROM inferred)
+      SELECT user_id, question, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p, question) AS rank FROM asked) WHERE rank <= 3""", False),
+    "cluster_for_top_gap": (lambda p: planning.cluster_for_top_gap(audit.gap_counts(audit.all_gaps(p.nodes, p.edges)), audit.all_gaps(p.nodes, p.edges).select("gap_type").distinct().withColumn("clusters", F.concat(F.lit("topics of "), "gap_type"))), f"SELECT gap_type, n, 'topics of ' || gap_type AS clusters FROM (SELECT gap_type, count(*) AS n FROM ({ALL_GAPS}) GROUP BY gap_type) ORDER BY n DESC, gap_type LIMIT 1", True),
+    "active_clusters": (lambda p: planning.active_clusters(p.edges.groupBy(F.col("src_label").alias("cluster")).agg(F.collect_set("dst").alias("entities")), audit.gap_few_recommendations(p.nodes, p.edges)), f"SELECT DISTINCT src_label AS cluster FROM edges WHERE dst IN (SELECT entity FROM ({FEW}))", True),
+    "risk_severity": (lambda p: p.edges.groupBy(F.col("dst_label").alias("kind"), "dst").agg(F.count("*").alias("n")).groupBy(risk.risk_severity(F.col("kind"), F.col("n")).alias("severity")).agg(F.count("*").alias("n")), "SELECT CASE WHEN dst_label = 'Disease' AND c >= 2 THEN 'high' ELSE 'med' END AS severity, count(*) AS n FROM (SELECT dst_label, dst, count(*) AS c FROM edges GROUP BY ALL) GROUP BY 1", False),
+    "seed_edges": (lambda p: planning.seed_edges(p.edges.where("rel = 'CONTAINS'").groupBy(F.col("src").alias("disease")).agg(F.collect_list("dst").alias("organs"))), "SELECT DISTINCT 'Disease' AS src_label, src, 'OCCURS_AT' AS rel, 'BodySystem' AS dst_label, dst, 'seed_organs' AS source_id FROM edges WHERE rel = 'CONTAINS'", False),
+    "audit_sample": (lambda p: planning.audit_sample(p.raw, p.raw.where("pub_date < '1997-01-01'").select("source_id", F.lit("factual").alias("verdict"))), "SELECT CASE WHEN source_id IN (SELECT source_id FROM raw WHERE pub_date < '1997-01-01') THEN 'factual' ELSE 'unclassified' END AS verdict, count(*) AS n FROM (SELECT * FROM raw ORDER BY trim(context) = '', source_id, subject, predicate, object, context LIMIT 100) GROUP BY 1", False),
 }
 #: name -> (operator on a projection, whole SQL)
 PLAIN: dict[str, tuple[Callable[[P], DataFrame], str | None]] = {
@@ -215,6 +290,14 @@ PLAIN: dict[str, tuple[Callable[[P], DataFrame], str | None]] = {
     "papers_backlog": (lambda p: papers.corpus_backlog(p.papers.select("pmcid"), p.raw.select(F.col("source_id").alias("pmcid"))), "SELECT (SELECT count(*) FROM documents) AS raw, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 53 <> 0) AS extracted, greatest(0, (SELECT count(*) FROM documents) - (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 53 <> 0)) AS backlog"),
     "merge_id_lists": (lambda p: papers.merge_id_lists(p.table("lineitem").select(F.col("l_suppkey").alias("rank"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("label"), F.col("l_partkey").cast("string").alias("id"))), "SELECT CAST(l_partkey AS VARCHAR) AS id, min(l_suppkey) AS first_rank, string_agg(DISTINCT 's' || CAST(l_suppkey AS VARCHAR), ',' ORDER BY 's' || CAST(l_suppkey AS VARCHAR)) AS labels FROM lineitem GROUP BY 1"),
     "new_ids_only": (lambda p: papers.new_ids_only(p.table("lineitem").select(F.col("l_partkey").cast("string").alias("id"), F.col("l_linenumber").alias("phase")), p.table("part").where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("id"))), "SELECT CAST(l_partkey AS VARCHAR) AS id, min(l_linenumber) AS phase FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0) GROUP BY 1"),
+    "journal_query_strings": (lambda p: planning.journal_query_strings(p.papers, "2020-01-01", "2024-12-31", ["diet", "food"], 3), """SELECT initial, CAST(batch AS INTEGER) AS batch, '(' || string_agg('"' || journal || '"[Journal]', ' OR ' ORDER BY journal) || ') AND "2020-01-01":"2024-12-31"[Date] AND (diet OR food)' AS query
+      FROM (SELECT journal, lower(journal[1]) AS initial, (row_number() OVER (PARTITION BY lower(journal[1]) ORDER BY journal) - 1) // 3 AS batch FROM (SELECT DISTINCT trim(source) AS journal FROM documents WHERE trim(source) <> '')) GROUP BY ALL"""),
+    "latest_manifest": (lambda p: planning.latest_manifest(p.manifests), "SELECT event_type AS agent, event_id AS run_id, ts, props AS payload FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC, props DESC) AS rn FROM events) WHERE rn = 1"),
+    "run_history": (lambda p: planning.run_history(p.manifests).select("agent", "run_id"), "SELECT event_type AS agent, event_id AS run_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 20"),
+    "persona_code": (lambda p: risk.persona_code(p.snapshots, p.table("events").groupBy("user_id").agg(F.count_distinct("event_type").alias("n"))), f"""WITH snaps AS (SELECT user_id, least(455.0, 50 + value) AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events), two AS (SELECT user_id, max({SCORE}) FILTER (rn = 1) AS a, max({SCORE}) FILTER (rn = 2) AS b FROM snaps WHERE rn <= 2 GROUP BY 1)
+      SELECT user_id, CASE WHEN a >= 60 THEN 'V' ELSE 'G' END || CASE WHEN n <= 1 THEN 'S' ELSE 'C' END || CASE WHEN coalesce(a - b, 0) > 2 THEN 'A' WHEN coalesce(a - b, 0) < -2 THEN 'D' ELSE 'S' END AS persona FROM two JOIN (SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY 1) USING (user_id)"""),
+    "territory": (lambda p: p.table("documents").groupBy(risk.territory(F.array("text", "source")).alias("territory")).agg(F.count("*").alias("n")), f"SELECT {REGIONS} AS territory, count(*) AS n FROM (SELECT lower(concat_ws(' ', text, source)) AS t FROM documents) GROUP BY 1"),
+    "extraction_prompts": (lambda p: planning.extraction_prompts(p.papers.select("pmcid", F.col("abstract").alias("text"))).select("pmcid", F.sha2(F.regexp_extract("prompt", r"(?s)\nPaper (.*)$", 1), 256).alias("body")), "SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS pmcid, sha256('PMC' || CAST(doc_id AS VARCHAR) || ':' || chr(10) || text) AS body FROM documents"),
 }
 
 

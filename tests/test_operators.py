@@ -76,3 +76,62 @@ def test_files_and_streams(spark, tmp_path):
 def test_responses(spark):
     df = spark.createDataFrame([("PMC1", 'Sure: ```[{"subject": "a", "object": "b"}]```'), ("PMC2", "no json")], "pmcid string, answer string")
     assert papers.claims_from_responses(df).select("subject", "object", "source_id").collect() == [("a", "b", "PMC1")]
+
+
+def test_risk_board_levels(spark):
+    from claimweave.operators import risk
+
+    profiles = spark.createDataFrame([("d", "factor", "Type 2"), ("d", "factor", "Age 65+"), ("d", "factor", "smoking"), ("d", "trigger", "d itself"), ("e", "factor", "obesity")], "disease string, kind string, factor string")
+    users = spark.createDataFrame([(1, 70, "", "free", "Type 2 Diabetes"), (2, 30, "", "free", "D itself"), (3, 30, "", "free", None), (4, None, "", "free", "")], "user_id long, age int, gender string, plan string, term string")
+    got = {(r.user_id, r.disease): (r.level, r.present, r.missing) for r in risk.risk_board(profiles, users).collect()}
+    assert got == {(1, "d"): ("medium", 2, 1), (2, "d"): ("high", 0, 3)}
+
+
+def test_rules_infer_by_age_or_condition(spark):
+    from claimweave.operators import risk
+
+    users = spark.createDataFrame([(1, 66, "", "free", "Stroke"), (2, 20, "", "free", "Hypertension"), (3, 66, "", "free", "osteoporosis")], "user_id long, age int, gender string, plan string, term string")
+    none = spark.createDataFrame([], "user_id long, kind string, target string, item string, n long, rank int")
+    got = {(r.user_id, r["rank"]): r.name for r in risk.inferred_conditions(none, users, risk.likely_rules(spark)).collect()}
+    assert got == {(1, 1): "osteoporosis", (1, 2): "sarcopenia", (1, 3): "alzheimer's disease", (2, 1): "stroke", (3, 1): "sarcopenia", (3, 2): "alzheimer's disease"}
+
+
+def test_follow_ups_ask_what_is_open(spark):
+    from pyspark.sql import functions as F
+
+    from claimweave.operators import risk
+
+    df = spark.createDataFrame([(44, True, None, [], ["hypertension"]), (None, False, "male", None, None)], "age int, fuzzy boolean, gender string, c array<string>, i array<string>")
+    rows = [[(x.field, x.kind, x.value) for x in r[0]] for r in df.select(risk.follow_ups(*map(F.col, df.columns))).collect()]
+    assert rows == [[("age", "confirm", "44"), ("conditions", "confirm", "hypertension"), ("gender", "select", None)], [("age", "number", None), ("conditions", "text", None)]]
+
+
+def test_clusters_and_manifests(spark, tmp_path):
+    from claimweave.operators import planning
+
+    clusters = spark.createDataFrame([("always", []), ("hit", ["iron", "zinc"]), ("miss", ["gold"])], "cluster string, entities array<string>")
+    gaps = spark.createDataFrame([("zinc",)], "entity string")
+    names = lambda df: sorted(r.cluster for r in df.collect())
+    assert names(planning.active_clusters(clusters, gaps)) == ["always", "hit"]
+    assert names(planning.active_clusters(clusters, gaps, ["miss"])) == ["miss"]
+    assert names(planning.active_clusters(clusters)) == ["always", "hit", "miss"]
+    for n in (1, 2):
+        planning.write_manifest(spark.createDataFrame([("fetch", f"r{n}", n, "x"), ("extract", f"r{n}", n, "y")], "agent string, run_id string, ts int, payload string"), str(tmp_path / "m"))
+    runs = spark.read.parquet(str(tmp_path / "m"))
+    assert {(r.agent, r.run_id) for r in planning.latest_manifest(runs).collect()} == {("fetch", "r2"), ("extract", "r2")}
+    assert [r.agent for r in planning.previous_manifest(runs, ["fetch", "extract", "build"], "build").collect()] == ["extract"]
+
+
+def test_nutrient_amounts_and_extractor(spark):
+    from claimweave.operators import planning
+
+    rows = [("oats", [(i, f"oats {i}", [(f"n{j}", "mg", float(j)) for j in range(12)]) for i in range(4)])]
+    answers = spark.createDataFrame(rows, "query string, foods array<struct<id:int,description:string,nutrients:array<struct<name:string,unit:string,amount:double>>>>")
+    assert planning.nutrient_amounts(answers).count() == 30
+
+    def extractor(frames):
+        for f in frames:
+            yield f.rename(columns={"pmcid": "source_id", "text": "subject"})
+
+    papers = spark.createDataFrame([("PMC1", "oats"), ("PMC2", "rye")], "pmcid string, text string")
+    assert {tuple(r) for r in planning.extract_with(papers, extractor, "source_id string, subject string").collect()} == {("PMC1", "oats"), ("PMC2", "rye")}
