@@ -10,12 +10,13 @@ numpy and keeps only links that connect something new, never all pairs.
 Only distinct fingerprints are compared, so equal texts cost one row.  Components are found by
 minimum labels with pointer jumping; what travels is one row per fingerprint.
 
-``one_of_each`` is the stage on five-word shingles and a similarity of 0.8 or more.  A change of one
-word touches five such shingles but only two word pairs, so candidates are sought by blocks of a
-fingerprint of word pairs; each is then verified by the Hamming distance of a 256-bit fingerprint of
-the distinct five-word shingles.  Two sets of Jaccard value J (near equal in size) have the cosine
-2J / (1 + J), and fingerprints differ in a share acos(cosine) / pi of their bits; that share at
-``similarity`` is the largest that links.
+``one_of_each`` is the stage on five-word shingles and a similarity of 0.8 or more.  Each set of distinct
+shingles gets ``BANDS`` keys of ``BAND_ROWS`` minimum hashes each.  A pair of Jaccard value J shares a key
+but for (1 - J ** BAND_ROWS) ** BANDS of all pairs, whatever the edit: 2.2e-4 at 0.8, less above.
+Pairs that share a key are verified by the exact Jaccard value of their shingle sets (64-bit hashes),
+computed again from the texts.  First neighbours in a bucket's order meet, so that groups of copies
+become one component with as many pairs as members; only buckets that still hold several components
+are then compared whole, in numpy and in place, a large one chunk against chunk.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; texts
 with fewer words than a shingle are one shingle; repeated rows each give a row; component_id is the
@@ -40,6 +41,13 @@ from .common import lower_words, materialize
 ALL_BITS = (1 << 64) - 1
 #: 64-bit words of a wide fingerprint.
 WIDE = 4
+#: Keys of a shingle set, and minimum hashes in a key.
+BANDS, BAND_ROWS = 16, 4
+_RNG = np.random.default_rng(42)
+_FACTORS = _RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+_SHIFTS = _RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64)
+#: Pairs that agree in fewer minimum hashes are not compared exactly; at 0.8 that befalls less than one in 1e6.
+LEAST_AGREED = BANDS * BAND_ROWS // 2
 #: With wide fingerprints, buckets are dealt again by finer blocks up to this level.
 LEVELS = 2
 
@@ -248,20 +256,150 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(distinct.join(smallest, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, block_words: int = 2, d: int = 8, bucket_rows: int = 4096) -> DataFrame:
+# ---- exact similarity of shingle sets ----
+
+
+def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's k-word shingles; none for null and blank texts."""
+    words = lower_words(text)
+    shingles = zip(*[words[i:] for i in range(k)], strict=False) if len(words) >= k else [words] if words else []
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    return np.unique(np.fromiter((digest(join(s), 42) for s in shingles), dtype=np.uint64))
+
+
+def minimum_hashes(hashes: np.ndarray) -> np.ndarray:
+    out = np.full(BANDS * BAND_ROWS, ALL_BITS, dtype=np.uint64)
+    for at in range(0, len(hashes), 1024):
+        out = np.minimum(out, (hashes[at : at + 1024, None] * _FACTORS + _SHIFTS).min(axis=0))
+    return out
+
+
+def sketch(text: str | None, k: int = 5) -> bytes:
+    """16 bytes that name the shingle set, then the 8 bytes of each key."""
+    hashes = shingle_set(text, k)
+    least = minimum_hashes(hashes)
+    keys = [xxhash.xxh64_digest(least[BAND_ROWS * b : BAND_ROWS * (b + 1)].tobytes(), b) for b in range(BANDS)]
+    return (xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else bytes(16)) + b"".join(keys)
+
+
+def packed_set(text: str | None, k: int = 5) -> bytes:
+    """A byte of each minimum hash, then the shingle set."""
+    hashes = shingle_set(text, k)
+    return minimum_hashes(hashes).astype(np.uint8).tobytes() + hashes.tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, dtype=np.uint64, offset=BANDS * BAND_ROWS)
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two shingle sets have that Jaccard value or more."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    if len(b) < similarity * len(a) - 1e-9 or not len(b):
+        return not len(a)
+    common = np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b)
+    return bool(common >= similarity * (len(a) + len(b) - common) - 1e-9)
+
+
+def _text_udf(of_text, k: int):
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([of_text(t, k) for t in texts], dtype=object)
+
+    return of
+
+
+def _similar_udf(similarity: float):
+    @F.pandas_udf("boolean")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similar(_unpacked(x), _unpacked(y), similarity) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return of
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes that follow each other in a bucket, from (key, node) rows sorted by both."""
+    key = node = None
+    for b in batches:
+        keys, nodes = b.column(0).to_pylist(), b.column(1).to_pylist()
+        pairs = [(y, n) for x, y, k, n in zip([key, *keys], [node, *nodes], keys, nodes, strict=False) if x == k and y != n]
+        key, node = (keys[-1], nodes[-1]) if keys else (key, node)
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+
+def _linked_buckets(similarity: float):
+    """Links between the components of a bucket, from (key, cell, node, root, packed) rows sorted by key and cell."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:2] != at:
+                    yield link(held)
+                    at, held = row[:2], []
+                held.append(row[2:])
+        yield link(held)
+
+    def link(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        numbers: dict[bytes, int] = {}
+        label = np.array([numbers.setdefault(r[1], len(numbers)) for r in rows], dtype=np.int64)
+        sets = [_unpacked(r[2]) for r in rows]
+        size = np.array([len(s) for s in sets])
+        least = np.array([np.frombuffer(r[2], dtype=np.uint8, count=BANDS * BAND_ROWS) for r in rows])
+        found, left = [], len(numbers)
+        for lag in range(1, len(rows)):
+            if left < 2:
+                break
+            at = np.flatnonzero(label[:-lag] != label[lag:])
+            at = at[np.minimum(size[at], size[at + lag]) >= similarity * np.maximum(size[at], size[at + lag]) - 1e-9]
+            at = at[(least[at] == least[at + lag]).sum(axis=1) >= LEAST_AGREED]
+            for i in at:
+                if label[i] != label[i + lag] and similar(sets[i], sets[i + lag], similarity):
+                    found.append((i, i + lag))
+                    label[label == label[i + lag]] = label[i]
+                    left -= 1
+        return pa.RecordBatch.from_arrays([pa.array([rows[f[i]][0] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    return of
+
+
+def similar_links(keyed: DataFrame, sets: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
+    """Links (a, b) that connect all nodes of that similarity which share a key, from (key, node) and (node, packed) rows."""
+    ordered = keyed.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    pairs = ordered.mapInArrow(_neighbours, "a binary, b binary").distinct()
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a").join(sets.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
+    near = materialize(both.where(_similar_udf(similarity)("pa", "pb")).select("a", "b"), "near-pairs")
+    placed = materialize(keyed.join(components(near), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    several = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where(F.col("least") != F.col("most"))
+    # Of a component in a bucket every member counts: any of them may be the one that is similar to another's.
+    full = placed.join(several.select("key", F.ceil(F.col("n") / bucket_rows).alias("n_chunks")), "key")
+    full = full.withColumn("chunk", F.pmod(F.xxhash64("node"), "n_chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_chunks") - 1)))
+    cells = full.select("key", (F.least("chunk", "other") * F.col("n_chunks") + F.greatest("chunk", "other")).alias("cell"), "node", "root")
+    rows = cells.join(sets, "node").select("key", "cell", "node", "root", "packed").repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
+    return near.unionByName(rows.mapInArrow(_linked_buckets(similarity), "a binary, b binary"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, bucket_rows: int = 4096) -> DataFrame:
     """docs with one row of each component: the smallest id (nulls last), of its rows the one with the smallest hashes.
 
-    Links need d or fewer differing bits in the fingerprints of block_words-word shingles and a
-    similarity of shingle_words-word shingles as their wide fingerprints measure it.
+    Links need that Jaccard value, or more, of the distinct shingle_words-word shingles.
     """
     text = F.col(f"`{text_col}`")
     key = [F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), text, F.octet_length(text)).alias("__k1"), F.hash(text, F.col(f"`{id_col}`")).alias("__k2")]
     marked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), *key)
-    prints = materialize(marked.select("doc_id", "__k1", "__k2", _print_udf(block_words)("text").alias("fp"), _wide_udf(shingle_words)("text").alias("wide")), "fingerprints")
+    prints = materialize(marked.select("doc_id", "__k1", "__k2", _text_udf(sketch, shingle_words)("text").alias("sketch")), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__k1", "__k2")).alias("first")
-    distinct = rooted(prints.groupBy("fp", "wide").agg(first), d, bucket_rows, wide_bits(similarity))
-    stay = distinct.groupBy("root").agg(F.min("first").alias("first")).select("first.__k1", "first.__k2")
+    distinct = materialize(prints.groupBy("sketch").agg(first).select(F.substring("sketch", 1, 16).alias("node"), "sketch", "first"), "shingle-sets")
+    keys = F.array(*[F.substring("sketch", 17 + 8 * b, 8) for b in range(BANDS)])
+    keyed = distinct.select("node", F.explode(keys).alias("key"))
+    shared = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key"), "key").select("key", "node"), "shared-keys")
     # The window only tells repeated rows of one id and text apart; it uses the join's partitions and order.
     same = Window.partitionBy("__k1", "__k2").orderBy("__k1")
+    needed = distinct.join(shared.select("node").distinct(), "node").select("node", "first.__k1", "first.__k2")
+    texts = marked.join(needed, ["__k1", "__k2"]).withColumn("__n", F.row_number().over(same)).where(F.col("__n") == 1)
+    sets = materialize(texts.select("node", _text_udf(packed_set, shingle_words)("text").alias("packed")), "packed-sets")
+    roots = components(similar_links(shared, sets, similarity, bucket_rows))
+    rooted_sets = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stay = rooted_sets.groupBy("root").agg(F.min("first").alias("first")).select("first.__k1", "first.__k2")
     kept = docs.select("*", *key).join(stay, ["__k1", "__k2"], "left_semi").withColumn("__n", F.row_number().over(same))
     return kept.where(F.col("__n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -112,6 +112,35 @@ def test_one_of_each_keeps_what_is_not_similar(spark):
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
+def _edited(rng: random.Random, kind: str, j: float, n: int = 300) -> tuple[str, str]:
+    """Two texts whose five-word shingles have a Jaccard value of j or a little more, by one kind of edit."""
+    words = lambda k: [f"w{rng.randint(0, 100_000)}" for _ in range(k)]
+    base, shingles = words(n), n - 4
+    if kind == "cut":
+        other = base[: n - int(shingles * (1 - j))]
+    elif kind == "append":
+        other = base + words(int(shingles * (1 / j - 1)))
+    else:
+        lost = int(shingles * (1 - 2 * j / (1 + j)))
+        other = list(base)
+        places = range(100, 100 + lost - 4) if kind == "block" else range(10, 10 + 6 * (lost // 5), 6)
+        for i in places:
+            other[i] = words(1)[0]
+    return " ".join(base), " ".join(other)
+
+
+def test_one_of_each_finds_similar_texts_of_any_edit(spark):
+    rng = random.Random(5)
+    pairs = [_edited(rng, kind, j) for kind in ("cut", "append", "block", "scattered") for j in (0.80, 0.82, 0.84, 0.86, 0.88, 0.90) for _ in range(3)]
+    apart = [_edited(rng, kind, 0.76) for kind in ("cut", "append", "block") for _ in range(4)]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    value = lambda p: jaccard(*({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in p))
+    assert all(0.8 <= value(p) < 0.93 for p in pairs) and all(0.7 < value(p) < 0.8 for p in apart)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(t for p in pairs + apart for t in p)], "doc_id long, text string")
+    want = [2 * i for i in range(len(pairs))] + list(range(2 * len(pairs), 2 * len(pairs + apart)))
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == want
+
+
 def test_one_print_with_many_wide_prints(spark):
     """Buckets that no bit can split are compared chunk against chunk."""
     rng = np.random.default_rng(3)
