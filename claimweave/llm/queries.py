@@ -112,10 +112,8 @@ FROM found f WHERE NOT EXISTS (SELECT 1 FROM manifest m WHERE m.page_id IS NOT D
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of all documents, learnt from those that are not held out."""
-    docs = read_table(spark, sf_dir, "documents")
-    learn = docs.where(id_bucket("doc_id", 7) != 2)
-    model = ngram_lm.train(learn, materialize(ngram_lm.word_counts(learn), "word-counts"))
-    return ngram_lm.score(docs, model).withColumn("held_out", id_bucket("doc_id", 7) == 2)
+    docs = read_table(spark, sf_dir, "documents").withColumn("learn", id_bucket("doc_id", 7) != 2)
+    return ngram_lm.score_all(docs, "learn").withColumn("held_out", id_bucket("doc_id", 7) == 2)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from claimweave.llm import ann, bpe, decontaminate, langid, ngram_lm, quality, sharding, simhash, token_store, warc
+from claimweave.llm import ann, bpe, decontaminate, langid, ngram_lm, quality, queries, sharding, simhash, token_store, warc
 from claimweave.llm.wordmemo import PieceEncoder, encode_spaced, encode_words
 
 BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -230,6 +231,31 @@ def test_lm(spark):
             assert r.score < 0
 
 
+def test_lm_of_all_counts(spark):
+    """The tables score as a trie does that holds every n-gram."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(60, None), (61, "new a b words"), (None, "a b c"), (61, "new a b words"), (1, "other text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("learn", F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False)) & (F.col("doc_id") < 60))
+    learn = df.where("learn")
+    key = lambda r: (r.doc_id is None, r.doc_id, r.score)
+    want = sorted(ngram_lm.score(df, ngram_lm.train(learn, ngram_lm.word_counts(learn))).collect(), key=key)
+    got = sorted(ngram_lm.score_all(df, "learn").collect(), key=key)
+    assert len(got) == len(rows)
+    for g, w in zip(got, want, strict=True):
+        assert g[:4] == w[:4] and abs(g.base_score - w.base_score) < 1e-6 and abs(g.score - w.score) < 1e-3 * g.n_tokens
+    assert ngram_lm.score_all(df.limit(0), "learn").count() == 0
+
+
+def test_lm_query_keeps_ngrams_seen_once(spark, tmp_path):
+    """A large corpus does not raise the count that an n-gram needs."""
+    learnt = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = next(i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(learnt[0], "often " * 2_500_000), (learnt[1], "one two three four"), (held, "one two three four"), (held, "three one four two")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, mixed = sorted((r.score for r in queries.op8_lm_score(spark, str(tmp_path)).collect() if r.doc_id == held), reverse=True)
+    assert seen > mixed + 5
+
+
 def test_lm_sums_to_one(spark):
     df = spark.createDataFrame([("a b c a b d",), ("b c a",), ("a",)], "text string")
     trie = ngram_lm.train(df, ngram_lm.word_counts(df)).trie
