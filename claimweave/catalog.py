@@ -264,7 +264,7 @@ GRAPH: dict[str, tuple[Callable[[P], DataFrame], str, bool]] = {
       asked AS (SELECT user_id, 'conditions' AS question, 2 AS p FROM users GROUP BY user_id HAVING count(term) = 0 UNION ALL SELECT DISTINCT user_id, 'gender', 3 FROM users WHERE gender = '' AND plan <> 'paid' UNION ALL SELECT user_id, 'confirm:' || name, rank + 3 FROM inferred)
       SELECT user_id, question, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p, question) AS rank FROM asked) WHERE rank <= 3""", False),
     "cluster_for_top_gap": (lambda p: planning.cluster_for_top_gap(audit.gap_counts(audit.all_gaps(p.nodes, p.edges)), audit.all_gaps(p.nodes, p.edges).select("gap_type").distinct().withColumn("clusters", F.concat(F.lit("topics of "), "gap_type"))), f"SELECT gap_type, n, 'topics of ' || gap_type AS clusters FROM (SELECT gap_type, count(*) AS n FROM ({ALL_GAPS}) GROUP BY gap_type) ORDER BY n DESC, gap_type LIMIT 1", True),
-    "active_clusters": (lambda p: planning.active_clusters(p.edges.groupBy(F.col("src_label").alias("cluster")).agg(F.collect_set("dst").alias("entities")), audit.gap_few_recommendations(p.nodes, p.edges)), f"SELECT DISTINCT src_label AS cluster FROM edges WHERE dst IN (SELECT entity FROM ({FEW}))", True),
+    "active_clusters": (lambda p: planning.active_clusters(p.edges.select(F.col("src_label").alias("cluster"), F.col("dst").alias("entity")), audit.gap_few_recommendations(p.nodes, p.edges)), f"SELECT DISTINCT src_label AS cluster FROM edges WHERE dst IN (SELECT entity FROM ({FEW}))", True),
     "risk_severity": (lambda p: p.edges.groupBy(F.col("dst_label").alias("kind"), "dst").agg(F.count("*").alias("n")).groupBy(risk.risk_severity(F.col("kind"), F.col("n")).alias("severity")).agg(F.count("*").alias("n")), "SELECT CASE WHEN dst_label = 'Disease' AND c >= 2 THEN 'high' ELSE 'med' END AS severity, count(*) AS n FROM (SELECT dst_label, dst, count(*) AS c FROM edges GROUP BY ALL) GROUP BY 1", False),
     "seed_edges": (lambda p: planning.seed_edges(p.edges.where("rel = 'CONTAINS'").groupBy(F.col("src").alias("disease")).agg(F.collect_list("dst").alias("organs"))), "SELECT DISTINCT 'Disease' AS src_label, src, 'OCCURS_AT' AS rel, 'BodySystem' AS dst_label, dst, 'seed_organs' AS source_id FROM edges WHERE rel = 'CONTAINS'", False),
     "audit_sample": (lambda p: planning.audit_sample(p.raw, p.raw.where("pub_date < '1997-01-01'").select("source_id", F.lit("factual").alias("verdict"))), "SELECT CASE WHEN source_id IN (SELECT source_id FROM raw WHERE pub_date < '1997-01-01') THEN 'factual' ELSE 'unclassified' END AS verdict, count(*) AS n FROM (SELECT * FROM raw ORDER BY trim(context) = '', source_id, subject, predicate, object, context LIMIT 100) GROUP BY 1", False),

@@ -23,7 +23,15 @@ def journal_query_strings(journals: DataFrame, since: str, until: str, keywords:
 
 
 def active_clusters(clusters: DataFrame, gaps: DataFrame | None = None, requested: list[str] | None = None) -> DataFrame:
-    """cluster: those requested; else, of clusters (cluster, entities), all without gaps (entity), or those with no entities or one that is a gap."""
+    """cluster: those requested; else, of clusters (cluster, entities), all without gaps (entity), or those with no entities or one that is a gap.
+
+    Clusters may also come as (cluster, entity) pairs, a row each (a null entity for a cluster with none), so that none becomes one large array.
+    """
+    if "entity" in clusters.columns:
+        if requested or gaps is None:
+            return active_clusters(clusters.select("cluster").distinct(), None, requested)
+        bare = clusters.groupBy("cluster").agg(F.count("entity").alias("n")).where(F.col("n") == 0).select("cluster")
+        return bare.unionByName(clusters.join(gaps.select("entity"), "entity", "left_semi").select("cluster").distinct())
     if requested:
         return clusters.where(F.col("cluster").isin(requested)).select("cluster")
     if gaps is None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -154,11 +156,54 @@ def kg_trend(stats: DataFrame, n_rows: int = 30) -> DataFrame:
 
 
 def throttle(snapshots: DataFrame, key: str, seconds: int = 300) -> DataFrame:
-    """Snapshots accepted per key: those at least `seconds` after the last accepted one.  Days are folded in order."""
-    ordered = snapshots.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_timestamp("ts").alias("t"), "id"))).alias("s"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("ids"))
-    step = lambda a, x: F.when(a["last"].isNull() | (x["t"] >= a["last"] + seconds), F.struct(x["t"].alias("last"), F.concat(a["ids"], F.array(x["id"].cast("bigint"))).alias("ids"))).otherwise(a)
-    return ordered.select(key, F.explode(F.aggregate("s", start, step)["ids"]).alias("id"))
+    """Snapshots accepted per key: those at least `seconds` after the last accepted one; those without a time all are.
+
+    Of a second only the smallest id can be accepted.  Each day of a key tells for every second at which
+    the day before may leave it free when it becomes free itself; days are folded in order over these
+    answers, and then each day knows where it starts.  No task holds more than a day's seconds of a key.
+    """
+    rows = snapshots.select(key, F.unix_timestamp("ts").alias("t"), "id")
+    if seconds <= 0:
+        return rows.select(key, F.col("id").cast("bigint").alias("id"))
+    span = max(86_400, seconds)
+    kind = rows.select(F.col(key).alias("k")).schema[0].dataType.simpleString()
+    timed = rows.where(F.col("t").isNotNull()).groupBy(F.col(key).alias("k"), F.floor(F.col("t") / span).alias("day"), "t").agg(F.min(F.struct("id"))["id"].cast("bigint").alias("id"))
+
+    def table(of: pa.Table, day: np.ndarray, **more) -> pa.Table:
+        same = of.column("k").take(pa.array(np.zeros(len(day), dtype=np.int64)))
+        return pa.table({"k": same, "day": pa.array(day)} | {c: pa.array(v) for c, v in more.items()})
+
+    def leave(of: pa.Table) -> pa.Table:
+        t, day = np.sort(of.column("t").to_numpy()), of.column("day")[0].as_py()
+        after, free = np.searchsorted(t, t + seconds), t + seconds
+        for i in range(len(t) - 1, -1, -1):
+            if after[i] < len(t):
+                free[i] = free[after[i]]
+        entry = day * span + np.arange(seconds + 1)
+        out = np.append(free, 0)[at := np.searchsorted(t, entry)]
+        return table(of, np.array([day]), leaves=[np.where(at < len(t), out, entry).tolist()])
+
+    def fold(of: pa.Table) -> pa.Table:
+        of, free, start = of.sort_by("day"), None, []
+        days = of.column("day").to_numpy()
+        for day, leaves in zip(days, of.column("leaves"), strict=True):
+            start.append(max(free if free is not None else day * span, day * span))
+            free = leaves[int(start[-1] - day * span)].as_py()
+        return table(of, days, start=np.array(start, dtype=np.int64))
+
+    def accept(of: pa.Table) -> pa.Table:
+        of, free, kept = of.sort_by("t"), of.column("start")[0].as_py(), []
+        t = of.column("t").to_numpy()
+        while (i := int(np.searchsorted(t, free))) < len(t):
+            kept.append(i)
+            free = t[i] + seconds
+        return of.take(pa.array(kept, pa.int64())).select(["k", "id"])
+
+    leaves = timed.groupBy("k", "day").applyInArrow(leave, f"k {kind}, day bigint, leaves array<bigint>")
+    starts = leaves.groupBy("k").applyInArrow(fold, f"k {kind}, day bigint, start bigint").withColumnsRenamed({"k": "k2", "day": "day2"})
+    placed = timed.join(starts, F.col("k").eqNullSafe(F.col("k2")) & (F.col("day") == F.col("day2"))).select("k", "day", "t", "id", "start")
+    accepted = placed.groupBy("k", "day").applyInArrow(accept, f"k {kind}, id bigint")
+    return accepted.select(F.col("k").alias(key), "id").unionByName(rows.where(F.col("t").isNull()).select(key, F.col("id").cast("bigint").alias("id")))
 
 
 # ---- term search ----

@@ -2,11 +2,12 @@
 
 import datetime
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from claimweave.functions import vocab
-from claimweave.operators import claims, graph, users
+from claimweave.operators import claims, graph, planning, users
 from claimweave.sources import papers
 from claimweave.streaming import jobs
 
@@ -50,6 +51,33 @@ def test_text(spark):
     assert users.terms_from_text(texts, phrases).collect() == [(1, "condition", "Hypertension")]
 
 
+def test_throttle_holds_no_whole_key(spark):
+    """The plan gathers no array of a key's rows, and accepts what one pass in order accepts."""
+    rng = random.Random(6)
+    times = {k: [rng.choice((0, 86_000, 5 * 86_400)) + rng.randint(-4000, 4000 + 90_000 * (k == "c")) for _ in range(400)] for k in ("a", "b", "c", None)}
+    rows = [(k, None if i == 7 else t, 1000 * n + i) for n, (k, ts) in enumerate(times.items()) for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "k string, t long, id long").select("k", F.timestamp_seconds("t").alias("ts"), "id")
+    for seconds in (1, 300, 100_000):
+        want = []
+        for k in times:
+            last = None
+            for t, i in sorted((t, i) for key, t, i in rows if key == k and t is not None):
+                if last is None or t >= last + seconds:
+                    want.append((str(k), i))
+                    last = t
+            want += [(str(k), i) for key, t, i in rows if key == k and t is None]
+        got = users.throttle(df, "k", seconds)
+        assert sorted((str(r.k), r.id) for r in got.collect()) == sorted(want)
+        assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
+def test_active_clusters_of_pairs(spark):
+    pairs = spark.createDataFrame([("hit", "x"), ("hit", "y"), ("miss", "z"), ("bare", None)], "cluster string, entity string")
+    gaps = spark.createDataFrame([("x",)], "entity string")
+    assert sorted(r.cluster for r in planning.active_clusters(pairs, gaps).collect()) == ["bare", "hit"]
+    assert sorted(r.cluster for r in planning.active_clusters(pairs).collect()) == ["bare", "hit", "miss"]
+
+
 def test_throttle(spark):
     t = datetime.datetime(2024, 1, 1)
     df = spark.createDataFrame([("a", t + datetime.timedelta(seconds=s), i) for i, s in enumerate((0, 100, 299, 300, 500, 601))], "k string, ts timestamp, id long")
