@@ -301,14 +301,18 @@ PLAIN: dict[str, tuple[Callable[[P], DataFrame], str | None]] = {
 }
 
 
+#: Queries whose SQL names the sparse claims also run, under a further name, on the claims of all rows.
+WHOLE = {f"{n}_all_claims": (f, sql, False) for n, (f, sql, sparse) in GRAPH.items() if sparse}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     run = lambda f, sparse: lambda spark, sf_dir: f(Projection(spark, sf_dir, sparse))
-    return {n: run(f, sparse) for n, (f, _, sparse) in GRAPH.items()} | {n: run(f, False) for n, (f, _) in PLAIN.items()}
+    return {n: run(f, sparse) for n, (f, _, sparse) in (GRAPH | WHOLE).items()} | {n: run(f, False) for n, (f, _) in PLAIN.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {n: sql for n, (_, sql) in PLAIN.items() if sql}
-    for n, (_, sql, sparse) in GRAPH.items():
+    for n, (_, sql, sparse) in (GRAPH | WHOLE).items():
         base = fixtures.base_sql(sparse)
         if sql.startswith("$users"):
             users_list = fixtures.DUCK_USERS.replace("WITH ent AS", "WITH ent AS")
