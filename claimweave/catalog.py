@@ -15,25 +15,32 @@ from pyspark.sql import functions as F
 from .functions import vocab
 from .operators import audit, claims, graph, planning, recommend, risk, users
 from .plans import fixtures
+from .plans.shared import written_once
 from .sources import papers
 
 
 class Projection:
-    """The tables of one folder as claims, graph and users; each is a lazy plan."""
+    """The tables of one folder as claims, graph and users.
 
-    def __init__(self, spark: SparkSession, sf_dir: str, sparse: bool = False):
-        self.spark, self.sf_dir, self.sparse = spark, sf_dir, sparse
+    Validated claims, nodes and edges are written once per folder and application; all else is a lazy plan.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return written_once(self.spark, f"{name} {self.sf_dir}", build)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def raw(self) -> DataFrame:
-        return fixtures.raw_claims(self.spark, self.sf_dir, self.sparse)
+        return fixtures.raw_claims(self.spark, self.sf_dir)
 
     @cached_property
     def validated(self) -> DataFrame:
-        return claims.validate(claims.normalize_claims(self.raw))
+        return self.once("validated", lambda: claims.validate(claims.normalize_claims(self.raw)))
 
     @cached_property
     def valid(self) -> DataFrame:
@@ -41,11 +48,11 @@ class Projection:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return graph.build_edges(self.valid)
+        return self.once("edges", lambda: graph.build_edges(self.valid))
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return graph.build_nodes(self.valid)
+        return self.once("nodes", lambda: graph.build_nodes(self.valid))
 
     @cached_property
     def users(self) -> DataFrame:
@@ -166,108 +173,114 @@ UNION ALL SELECT disease, kind, factor FROM tops WHERE (disease, kind) IN (SELEC
 REGIONS = "CASE " + " ".join(f"WHEN regexp_matches(t, '{w}') THEN '{n}'" for n, w in risk.TERRITORIES) + " ELSE '' END"
 SCORE = "CAST(greatest(0, least(100, round(100 - (y - 50) / 405 * 100))) AS INTEGER)"
 
+NEAR = """, links AS (SELECT DISTINCT least(src, dst) AS x, rel, greatest(src, dst) AS y FROM edges), ends2 AS (SELECT x AS a, x, rel, y FROM links UNION ALL SELECT y, x, rel, y FROM links WHERE x <> y),
+hop1 AS (SELECT s.name AS start, e.x, e.rel, e.y FROM (SELECT DISTINCT name FROM nodes s) s JOIN ends2 e ON e.a = s.name),
+reach AS (SELECT DISTINCT start, a FROM (SELECT start, x AS a FROM hop1 UNION ALL SELECT start, y FROM hop1) WHERE a <> start),
+near AS (SELECT start, x, rel, y, hop FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hop, x, rel, y) AS rn FROM (SELECT start, x, rel, y, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT *, 1 AS hop FROM hop1 UNION ALL SELECT r.start, e.x, e.rel, e.y, 2 FROM reach r JOIN ends2 e ON e.a = r.a) WHERE hop <= 2 GROUP BY start, x, rel, y)) WHERE rn <= 80)"""
+
 P = Projection
-#: name -> (operator on a projection, SQL after the projection's WITH list, sparse claims)
-GRAPH: dict[str, tuple[Callable[[P], DataFrame], str, bool]] = {
-    "normalize_claims": (lambda p: claims.normalize_claims(p.raw), "SELECT * FROM norm", False),
-    "reject_reason": (lambda p: p.validated.groupBy("reject_rule", "reject_value").agg(F.count("*").alias("n")), "SELECT reject_rule, CASE WHEN reject_rule LIKE '%subject' THEN subject WHEN reject_rule LIKE '%object' THEN object WHEN reject_rule LIKE '%predicate' THEN predicate WHEN reject_rule LIKE '%subject_type' THEN subject_type WHEN reject_rule LIKE '%object_type' THEN object_type END AS reject_value, count(*) AS n FROM claims GROUP BY ALL", False),
-    "valid_claims": (lambda p: p.valid, "SELECT * EXCLUDE (reject_rule) FROM valid", False),
-    "rejected_claims": (lambda p: claims.rejected_claims(p.validated).select("subject", "predicate", "object", "source_id", "reject_rule"), "SELECT subject, predicate, object, source_id, reject_rule FROM claims WHERE reject_rule IS NOT NULL", False),
-    "validation_stats": (lambda p: claims.validation_stats(p.validated), "SELECT (SELECT count(*) FROM claims) AS total, count(*) AS valid, (SELECT count(*) FROM claims) - count(*) AS rejected, round(100.0 * count(*) / (SELECT count(*) FROM claims), 1) AS pass_rate_pct, round(avg(evidence_strength), 2) AS avg_evidence_strength, count(*) FILTER (evidence_strength >= 5) AS strength_ge_5, count(*) FILTER (evidence_strength >= 4) AS strength_ge_4 FROM valid", False),
-    "rejects_by_reason": (lambda p: claims.rejects_by_reason(p.validated), "SELECT reject_rule, count(*) AS n FROM claims WHERE reject_rule IS NOT NULL GROUP BY reject_rule", False),
-    "normalization_changes": (lambda p: claims.normalization_changes(p.raw), f"SELECT old, new, count(*) AS n FROM (SELECT subject_type AS old, coalesce({fixtures._type_sql('subject_type')}, 'Thing') AS new FROM raw UNION ALL SELECT object_type, coalesce({fixtures._type_sql('object_type')}, 'Thing') FROM raw) WHERE old IS DISTINCT FROM new GROUP BY ALL ORDER BY n DESC, old, new LIMIT 20", False),
-    "infer_evidence_type": (lambda p: p.raw.groupBy(vocab.infer_evidence_type(F.col("context")).alias("kind")).agg(F.count("*").alias("n")), f"SELECT {fixtures.infer_sql('context')} AS kind, count(*) AS n FROM raw GROUP BY ALL", False),
-    "backfill_evidence_type": (lambda p: claims.backfill_evidence_type(claims.normalize_claims(p.raw)).groupBy("evidence_type", "evidence_type_source").agg(F.count("*").alias("n")), f"SELECT CASE WHEN evidence_type = '' THEN coalesce({fixtures.infer_sql('context')}, '') ELSE evidence_type END AS evidence_type, CASE WHEN evidence_type = '' AND {fixtures.infer_sql('context')} IS NOT NULL THEN 'inferred' END AS evidence_type_source, count(*) AS n FROM norm GROUP BY ALL", False),
-    "backfill_journal": (lambda p: claims.backfill_journal(claims.normalize_claims(p.raw), p.papers).groupBy("journal").agg(F.count("*").alias("n")), "SELECT CASE WHEN trim(c.journal) = '' THEN coalesce(d.source, '') ELSE trim(c.journal) END AS journal, count(*) AS n FROM norm c LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = regexp_replace(c.source_id, '^PMC', '') GROUP BY ALL", False),
-    "consolidate_claims": (lambda p: claims.validation_stats(claims.consolidate_claims(p.raw, p.papers)).select("total", "valid", "rejected"), "SELECT count(*) AS total, count(*) FILTER (reject_rule IS NULL) AS valid, count(*) FILTER (reject_rule IS NOT NULL) AS rejected FROM claims", False),
-    "claim_stats": (lambda p: claims.claim_stats(p.raw), "SELECT count(*) AS claims, count(nullif(trim(source_id), '')) AS with_source, count(DISTINCT nullif(trim(source_id), '')) AS sources FROM raw", False),
-    "claim_check": (lambda p: claims.claim_check(p.raw), "SELECT count(*) AS total, count(nullif(trim(source_id), '')) AS with_source, count(*) - count(nullif(trim(source_id), '')) AS without_source FROM raw", False),
-    "build_nodes": (lambda p: p.nodes, "SELECT * FROM nodes", False),
-    "build_edges": (lambda p: p.edges, "SELECT * FROM edges", False),
-    "upsert_edges": (lambda p: graph.upsert_edges(p.edges.where(F.col("source_id") < "PMC5"), p.edges.where(F.col("source_id") >= "PMC3")).select(*graph.EDGE_KEY, "pub_date"), "SELECT src_label, src, rel, dst_label, dst, source_id, pub_date FROM edges", False),
-    "skipped_without_source": (lambda p: graph.skipped_without_source(p.raw), "SELECT count(*) AS skipped FROM raw WHERE trim(source_id) = ''", False),
-    "duplicate_groups": (lambda p: graph.duplicate_groups(p.valid.select(F.col("subject_type").alias("label"), F.col("subject").alias("name"))).select("label", "key", "n", "canonical"), "SELECT label, key, count(*) AS n, coalesce(min(name) FILTER (name <> lower(name)), min(name)) AS canonical FROM (SELECT DISTINCT subject_type AS label, subject AS name, lower(subject) AS key FROM valid) GROUP BY label, key HAVING count(*) > 1", False),
-    "resolve_entities": (lambda p: graph.resolve_entities(p.edges, p.nodes.where(F.col("name").endswith("1")).select("label", "name", F.regexp_replace("name", "1$", "2").alias("canonical"))).select(*graph.EDGE_KEY), "SELECT DISTINCT src_label, regexp_replace(src, '1$', '2') AS src, rel, dst_label, regexp_replace(dst, '1$', '2') AS dst, source_id FROM edges WHERE NOT (src_label = dst_label AND regexp_replace(src, '1$', '2') = regexp_replace(dst, '1$', '2') AND src <> dst)", False),
-    "relabel_nonstandard": (lambda p: graph.relabel_nonstandard(p.raw.select(F.col("subject_type").alias("label"), F.lower(F.trim("subject")).alias("name")).distinct(), p.raw.select(F.col("subject_type").alias("label")).distinct().where("label <> 'process'").withColumn("target", vocab.canonical_type(F.col("label"))), vocab.ENTITY_TYPES), f"SELECT label, count(*) AS nodes, CASE WHEN label = 'process' THEN 'unmapped' WHEN label = 'Task' THEN 'delete' ELSE 'relabel' END AS action, CASE WHEN label NOT IN ('process', 'Task') THEN {fixtures._type_sql('label')} END AS target FROM (SELECT DISTINCT subject_type AS label, lower(trim(subject)) AS name FROM raw) WHERE label NOT IN ({TYPES}) GROUP BY label", False),
-    "orphan_nodes": (lambda p: graph.orphan_nodes(p.nodes, p.edges.where("rel = 'CONTAINS'")).select("label", "name"), "SELECT label, name FROM nodes WHERE (label, name) NOT IN (SELECT (src_label, src) FROM edges WHERE rel = 'CONTAINS' UNION ALL SELECT (dst_label, dst) FROM edges WHERE rel = 'CONTAINS')", False),
-    "drop_orphans": (lambda p: graph.drop_orphans(p.nodes, p.edges.where("rel = 'CONTAINS'")).select("label", "name"), "SELECT label, name FROM nodes WHERE (label, name) IN (SELECT (src_label, src) FROM edges WHERE rel = 'CONTAINS' UNION ALL SELECT (dst_label, dst) FROM edges WHERE rel = 'CONTAINS')", False),
-    "drop_noise_nodes": (lambda p: graph.drop_noise_nodes(p.nodes.withColumn("name", F.regexp_replace("name", "^red ", "(red) ")), p.edges)[0].select("label", "name"), "SELECT label, name FROM nodes WHERE name NOT LIKE 'red %' OR label NOT IN ('Disease', 'Symptom', 'Food', 'Nutrient', 'Drug', 'LifestyleFactor', 'Biomarker', 'Mechanism', 'BodySystem')", False),
-    "neighborhood": (lambda p: graph.neighborhood(p.edges.where("rel = 'CONTAINS'"), p.nodes.where("label = 'Nutrient'"), 1), "SELECT \"start\", x, rel, y, hop FROM (SELECT s.name AS \"start\", least(e.src, e.dst) AS x, e.rel, greatest(e.src, e.dst) AS y, 1 AS hop, row_number() OVER (PARTITION BY s.name ORDER BY least(e.src, e.dst), e.rel, greatest(e.src, e.dst)) AS rn FROM (SELECT DISTINCT name FROM nodes WHERE label = 'Nutrient') s JOIN (SELECT DISTINCT src, rel, dst FROM edges WHERE rel = 'CONTAINS') e ON s.name IN (e.src, e.dst)) WHERE rn <= 80", True),
-    "visible_subgraph": (lambda p: graph.visible_subgraph(p.nodes, p.edges, ["Food", "Nutrient"], ["CONTAINS", "TREATS"]).select(*graph.EDGE_KEY), "SELECT src_label, src, rel, dst_label, dst, source_id FROM edges WHERE src_label IN ('Food', 'Nutrient') AND dst_label IN ('Food', 'Nutrient') AND rel IN ('CONTAINS', 'TREATS')", False),
-    "kg_totals": (lambda p: audit.kg_totals(p.nodes, p.edges), "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges", False),
-    "kg_stats_rollup": (lambda p: audit.kg_stats_rollup(p.nodes), "SELECT coalesce(label, '(all)') AS label, count(*) AS n FROM nodes GROUP BY ROLLUP (label)", False),
-    "nodes_by_label": (lambda p: audit.nodes_by_label(p.nodes), "SELECT label, count(*) AS n FROM nodes GROUP BY label", False),
-    "edges_by_type": (lambda p: audit.edges_by_type(p.edges), "SELECT rel, count(*) AS n FROM edges GROUP BY rel", False),
-    "label_share": (lambda p: audit.label_share(p.nodes), "SELECT label, n, CAST(round(100.0 * n / sum(n) OVER (), 0) AS INTEGER) AS pct, CAST(round(100.0 * n / max(n) OVER (), 0) AS INTEGER) AS pct_of_max FROM (SELECT label, count(*) AS n FROM nodes GROUP BY label)", False),
-    "unique_sources": (lambda p: audit.unique_sources(p.edges), "SELECT count(DISTINCT nullif(trim(source_id), '')) AS sources FROM edges", False),
-    "nonstandard_labels": (lambda p: audit.nonstandard_labels(p.nodes, ["Food", "Drug"]), "SELECT label, count(*) AS n FROM nodes WHERE label NOT IN ('Food', 'Drug') GROUP BY label", False),
-    "duplicate_name_excess": (lambda p: audit.duplicate_name_excess(p.nodes), "SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) - count(*) AS BIGINT) AS excess FROM (SELECT lower(name), count(*) AS n FROM nodes GROUP BY 1 HAVING count(*) > 1)", False),
-    "weak_predicate_pct": (lambda p: claims.normalize_claims(p.raw).agg(F.count_if(F.col("predicate").isin(vocab.WEAK_PREDICATES)).alias("weak"), F.round(100.0 * F.count_if(F.col("predicate").isin(vocab.WEAK_PREDICATES)) / F.greatest(F.count("*"), F.lit(1)), 1).alias("pct")), f"SELECT count(*) FILTER (predicate IN ({WEAK})) AS weak, round(100.0 * count(*) FILTER (predicate IN ({WEAK})) / greatest(count(*), 1), 1) AS pct FROM norm", False),
-    "strength_distribution": (lambda p: audit.strength_distribution(p.edges), "SELECT evidence_strength, count(*) AS n FROM edges GROUP BY 1", False),
-    "orphan_count": (lambda p: graph.orphan_nodes(p.nodes, p.edges).agg(F.count("*").alias("orphans")), f"SELECT count(*) AS orphans FROM nodes WHERE (label, name) NOT IN (SELECT (label, name) FROM {ENDS})", False),
+#: name -> (operator on a projection, SQL after the projection's WITH list)
+GRAPH: dict[str, tuple[Callable[[P], DataFrame], str]] = {
+    "normalize_claims": (lambda p: claims.normalize_claims(p.raw), "SELECT * FROM norm"),
+    "reject_reason": (lambda p: p.validated.groupBy("reject_rule", "reject_value").agg(F.count("*").alias("n")), "SELECT reject_rule, CASE WHEN reject_rule LIKE '%subject' THEN subject WHEN reject_rule LIKE '%object' THEN object WHEN reject_rule LIKE '%predicate' THEN predicate WHEN reject_rule LIKE '%subject_type' THEN subject_type WHEN reject_rule LIKE '%object_type' THEN object_type END AS reject_value, count(*) AS n FROM claims GROUP BY ALL"),
+    "valid_claims": (lambda p: p.valid, "SELECT * EXCLUDE (reject_rule) FROM valid"),
+    "rejected_claims": (lambda p: claims.rejected_claims(p.validated).select("subject", "predicate", "object", "source_id", "reject_rule"), "SELECT subject, predicate, object, source_id, reject_rule FROM claims WHERE reject_rule IS NOT NULL"),
+    "validation_stats": (lambda p: claims.validation_stats(p.validated), "SELECT (SELECT count(*) FROM claims) AS total, count(*) AS valid, (SELECT count(*) FROM claims) - count(*) AS rejected, round(100.0 * count(*) / (SELECT count(*) FROM claims), 1) AS pass_rate_pct, round(avg(evidence_strength), 2) AS avg_evidence_strength, count(*) FILTER (evidence_strength >= 5) AS strength_ge_5, count(*) FILTER (evidence_strength >= 4) AS strength_ge_4 FROM valid"),
+    "rejects_by_reason": (lambda p: claims.rejects_by_reason(p.validated), "SELECT reject_rule, count(*) AS n FROM claims WHERE reject_rule IS NOT NULL GROUP BY reject_rule"),
+    "normalization_changes": (lambda p: claims.normalization_changes(p.raw), f"SELECT old, new, count(*) AS n FROM (SELECT subject_type AS old, coalesce({fixtures._type_sql('subject_type')}, 'Thing') AS new FROM raw UNION ALL SELECT object_type, coalesce({fixtures._type_sql('object_type')}, 'Thing') FROM raw) WHERE old IS DISTINCT FROM new GROUP BY ALL ORDER BY n DESC, old, new LIMIT 20"),
+    "infer_evidence_type": (lambda p: p.raw.groupBy(vocab.infer_evidence_type(F.col("context")).alias("kind")).agg(F.count("*").alias("n")), f"SELECT {fixtures.infer_sql('context')} AS kind, count(*) AS n FROM raw GROUP BY ALL"),
+    "backfill_evidence_type": (lambda p: claims.backfill_evidence_type(claims.normalize_claims(p.raw)).groupBy("evidence_type", "evidence_type_source").agg(F.count("*").alias("n")), f"SELECT CASE WHEN evidence_type = '' THEN coalesce({fixtures.infer_sql('context')}, '') ELSE evidence_type END AS evidence_type, CASE WHEN evidence_type = '' AND {fixtures.infer_sql('context')} IS NOT NULL THEN 'inferred' END AS evidence_type_source, count(*) AS n FROM norm GROUP BY ALL"),
+    "backfill_journal": (lambda p: claims.backfill_journal(claims.normalize_claims(p.raw), p.papers).groupBy("journal").agg(F.count("*").alias("n")), "SELECT CASE WHEN trim(c.journal) = '' THEN coalesce(d.source, '') ELSE trim(c.journal) END AS journal, count(*) AS n FROM norm c LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = regexp_replace(c.source_id, '^PMC', '') GROUP BY ALL"),
+    "consolidate_claims": (lambda p: claims.validation_stats(claims.consolidate_claims(p.raw, p.papers)).select("total", "valid", "rejected"), "SELECT count(*) AS total, count(*) FILTER (reject_rule IS NULL) AS valid, count(*) FILTER (reject_rule IS NOT NULL) AS rejected FROM claims"),
+    "claim_stats": (lambda p: claims.claim_stats(p.raw), "SELECT count(*) AS claims, count(nullif(trim(source_id), '')) AS with_source, count(DISTINCT nullif(trim(source_id), '')) AS sources FROM raw"),
+    "claim_check": (lambda p: claims.claim_check(p.raw), "SELECT count(*) AS total, count(nullif(trim(source_id), '')) AS with_source, count(*) - count(nullif(trim(source_id), '')) AS without_source FROM raw"),
+    "build_nodes": (lambda p: p.nodes, "SELECT * FROM nodes"),
+    "build_edges": (lambda p: p.edges, "SELECT * FROM edges"),
+    "upsert_edges": (lambda p: graph.upsert_edges(p.edges.where(F.col("source_id") < "PMC5"), p.edges.where(F.col("source_id") >= "PMC3")).select(*graph.EDGE_KEY, "pub_date"), "SELECT src_label, src, rel, dst_label, dst, source_id, pub_date FROM edges"),
+    "skipped_without_source": (lambda p: graph.skipped_without_source(p.raw), "SELECT count(*) AS skipped FROM raw WHERE trim(source_id) = ''"),
+    "duplicate_groups": (lambda p: graph.duplicate_groups(p.valid.select(F.col("subject_type").alias("label"), F.col("subject").alias("name"))).select("label", "key", "n", "canonical"), "SELECT label, key, count(*) AS n, coalesce(min(name) FILTER (name <> lower(name)), min(name)) AS canonical FROM (SELECT DISTINCT subject_type AS label, subject AS name, lower(subject) AS key FROM valid) GROUP BY label, key HAVING count(*) > 1"),
+    "resolve_entities": (lambda p: graph.resolve_entities(p.edges, p.nodes.where(F.col("name").endswith("1")).select("label", "name", F.regexp_replace("name", "1$", "2").alias("canonical"))).select(*graph.EDGE_KEY), "SELECT DISTINCT src_label, regexp_replace(src, '1$', '2') AS src, rel, dst_label, regexp_replace(dst, '1$', '2') AS dst, source_id FROM edges WHERE NOT (src_label = dst_label AND regexp_replace(src, '1$', '2') = regexp_replace(dst, '1$', '2') AND src <> dst)"),
+    "relabel_nonstandard": (lambda p: graph.relabel_nonstandard(p.raw.select(F.col("subject_type").alias("label"), F.lower(F.trim("subject")).alias("name")).distinct(), p.raw.select(F.col("subject_type").alias("label")).distinct().where("label <> 'process'").withColumn("target", vocab.canonical_type(F.col("label"))), vocab.ENTITY_TYPES), f"SELECT label, count(*) AS nodes, CASE WHEN label = 'process' THEN 'unmapped' WHEN label = 'Task' THEN 'delete' ELSE 'relabel' END AS action, CASE WHEN label NOT IN ('process', 'Task') THEN {fixtures._type_sql('label')} END AS target FROM (SELECT DISTINCT subject_type AS label, lower(trim(subject)) AS name FROM raw) WHERE label NOT IN ({TYPES}) GROUP BY label"),
+    "orphan_nodes": (lambda p: graph.orphan_nodes(p.nodes, p.edges.where("rel = 'CONTAINS'")).select("label", "name"), "SELECT label, name FROM nodes WHERE (label, name) NOT IN (SELECT (src_label, src) FROM edges WHERE rel = 'CONTAINS' UNION ALL SELECT (dst_label, dst) FROM edges WHERE rel = 'CONTAINS')"),
+    "drop_orphans": (lambda p: graph.drop_orphans(p.nodes, p.edges.where("rel = 'CONTAINS'")).select("label", "name"), "SELECT label, name FROM nodes WHERE (label, name) IN (SELECT (src_label, src) FROM edges WHERE rel = 'CONTAINS' UNION ALL SELECT (dst_label, dst) FROM edges WHERE rel = 'CONTAINS')"),
+    "drop_noise_nodes": (lambda p: graph.drop_noise_nodes(p.nodes.withColumn("name", F.regexp_replace("name", "^red ", "(red) ")), p.edges)[0].select("label", "name"), "SELECT label, name FROM nodes WHERE name NOT LIKE 'red %' OR label NOT IN ('Disease', 'Symptom', 'Food', 'Nutrient', 'Drug', 'LifestyleFactor', 'Biomarker', 'Mechanism', 'BodySystem')"),
+    "neighborhood": (lambda p: graph.neighborhood(p.edges, p.nodes, 2), f"{NEAR} SELECT \"start\", x, rel, y, hop FROM near"),
+    "neighborhood_nodes": (lambda p: graph.neighborhood_nodes(graph.neighborhood(p.edges, p.nodes.where("label = 'Nutrient'"), 1), p.nodes), f"{NEAR.replace('FROM nodes s', 'FROM nodes s WHERE label = ' + chr(39) + 'Nutrient' + chr(39)).replace('hop <= 2', 'hop <= 1')} SELECT DISTINCT near.start AS \"start\", n.label, n.name, n.display_name FROM near JOIN nodes n ON n.name IN (near.x, near.y)"),
+    "visible_subgraph": (lambda p: graph.visible_subgraph(p.nodes, p.edges, ["Food", "Nutrient"], ["CONTAINS", "TREATS"]).select(*graph.EDGE_KEY), "SELECT src_label, src, rel, dst_label, dst, source_id FROM edges WHERE src_label IN ('Food', 'Nutrient') AND dst_label IN ('Food', 'Nutrient') AND rel IN ('CONTAINS', 'TREATS')"),
+    "kg_totals": (lambda p: audit.kg_totals(p.nodes, p.edges), "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges"),
+    "kg_stats_rollup": (lambda p: audit.kg_stats_rollup(p.nodes), "SELECT coalesce(label, '(all)') AS label, count(*) AS n FROM nodes GROUP BY ROLLUP (label)"),
+    "nodes_by_label": (lambda p: audit.nodes_by_label(p.nodes), "SELECT label, count(*) AS n FROM nodes GROUP BY label"),
+    "edges_by_type": (lambda p: audit.edges_by_type(p.edges), "SELECT rel, count(*) AS n FROM edges GROUP BY rel"),
+    "label_share": (lambda p: audit.label_share(p.nodes), "SELECT label, n, CAST(round(100.0 * n / sum(n) OVER (), 0) AS INTEGER) AS pct, CAST(round(100.0 * n / max(n) OVER (), 0) AS INTEGER) AS pct_of_max FROM (SELECT label, count(*) AS n FROM nodes GROUP BY label)"),
+    "unique_sources": (lambda p: audit.unique_sources(p.edges), "SELECT count(DISTINCT nullif(trim(source_id), '')) AS sources FROM edges"),
+    "nonstandard_labels": (lambda p: audit.nonstandard_labels(p.nodes, ["Food", "Drug"]), "SELECT label, count(*) AS n FROM nodes WHERE label NOT IN ('Food', 'Drug') GROUP BY label"),
+    "duplicate_name_excess": (lambda p: audit.duplicate_name_excess(p.nodes), "SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) - count(*) AS BIGINT) AS excess FROM (SELECT lower(name), count(*) AS n FROM nodes GROUP BY 1 HAVING count(*) > 1)"),
+    "weak_predicate_pct": (lambda p: claims.normalize_claims(p.raw).agg(F.count_if(F.col("predicate").isin(vocab.WEAK_PREDICATES)).alias("weak"), F.round(100.0 * F.count_if(F.col("predicate").isin(vocab.WEAK_PREDICATES)) / F.greatest(F.count("*"), F.lit(1)), 1).alias("pct")), f"SELECT count(*) FILTER (predicate IN ({WEAK})) AS weak, round(100.0 * count(*) FILTER (predicate IN ({WEAK})) / greatest(count(*), 1), 1) AS pct FROM norm"),
+    "strength_distribution": (lambda p: audit.strength_distribution(p.edges), "SELECT evidence_strength, count(*) AS n FROM edges GROUP BY 1"),
+    "orphan_count": (lambda p: graph.orphan_nodes(p.nodes, p.edges).agg(F.count("*").alias("orphans")), f"SELECT count(*) AS orphans FROM nodes WHERE (label, name) NOT IN (SELECT (label, name) FROM {ENDS})"),
     "audit_report": (lambda p: audit.audit_report(p.nodes, p.edges), f"""SELECT count(*) AS edges, count(DISTINCT nullif(trim(source_id), '')) AS sources, count(*) FILTER (rel IN ({WEAK})) AS weak, round(100.0 * count(*) FILTER (rel IN ({WEAK})) / greatest(count(*), 1), 1) AS weak_pct,
       count(*) FILTER (trim(journal) = '') AS no_journal, round(100.0 * count(*) FILTER (trim(journal) = '') / greatest(count(*), 1), 1) AS no_journal_pct, count(*) FILTER (trim(evidence_type) = '') AS no_type, round(100.0 * count(*) FILTER (trim(evidence_type) = '') / greatest(count(*), 1), 1) AS no_type_pct,
       round(100.0 * count(*) FILTER (trim(source_id) <> '') / greatest(count(*), 1), 1) AS source_pct, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM nodes WHERE label NOT IN ({TYPES})) AS nonstandard,
       (SELECT count(*) FROM (SELECT 1 FROM nodes GROUP BY lower(name) HAVING count(*) > 1)) AS groups, (SELECT CAST(coalesce(sum(n) - count(*), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM nodes GROUP BY lower(name) HAVING count(*) > 1)) AS excess,
-      (SELECT count(*) FROM nodes WHERE (label, name) NOT IN (SELECT (label, name) FROM {ENDS})) AS orphans, (SELECT count(*) FROM {AUDIT_PAIRS} JOIN edges a ON a.rel = p JOIN edges b ON b.rel = n AND {SAME_ENDS}) AS contradictions FROM edges""", False),
-    "degree_below": (lambda p: audit.degree_below(p.nodes, p.edges, ["Food", "Nutrient", "Disease", "Symptom"], 6), f"SELECT n.label, n.name, count(e.name) AS degree FROM nodes n LEFT JOIN {ENDS} e ON e.label = n.label AND e.name = n.name WHERE n.label IN ('Food', 'Nutrient', 'Disease', 'Symptom') GROUP BY n.label, n.name HAVING count(e.name) < 6", True),
-    "opposing_pairs": (lambda p: audit.opposing_pairs(p.edges), f"SELECT pair, a.src_label, a.src, a.dst_label, a.dst, a.source_id AS pos_source, a.evidence_strength AS pos_strength, b.source_id AS neg_source, b.evidence_strength AS neg_strength FROM {PAIRS} JOIN edges a ON a.rel = p JOIN edges b ON b.rel = n AND {SAME_ENDS}", False),
-    "opposing_pair_counts": (lambda p: audit.opposing_pair_counts(p.edges), f"SELECT pair, count(b.rel) AS n FROM {PAIRS} LEFT JOIN edges a ON a.rel = p LEFT JOIN edges b ON b.rel = pairs.n AND {SAME_ENDS} GROUP BY pair", False),
-    "audit_contradictions": (lambda p: audit.opposing_pairs(p.edges, audit.AUDIT_OPPOSING).orderBy("pair", "src", "dst", "pos_source", "neg_source").limit(50).select("pair", "src", "dst", "pos_source", "neg_source"), f"SELECT pair, a.src, a.dst, a.source_id AS pos_source, b.source_id AS neg_source FROM {AUDIT_PAIRS} JOIN edges a ON a.rel = p JOIN edges b ON b.rel = n AND {SAME_ENDS} ORDER BY pair, a.src, a.dst, pos_source, neg_source LIMIT 50", False),
-    "contradiction_verdicts": (lambda p: audit.contradiction_verdicts(p.edges), f", {VERDICTS} SELECT * FROM verdicts", False),
-    "contradiction_latest": (lambda p: audit.contradiction_latest(audit.contradiction_verdicts(p.edges)), f", {VERDICTS} SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY entity, disease ORDER BY pos_count + neg_count DESC, src_label, pos_rel, neg_rel) AS rn FROM verdicts) WHERE rn = 1", False),
+      (SELECT count(*) FROM nodes WHERE (label, name) NOT IN (SELECT (label, name) FROM {ENDS})) AS orphans, (SELECT count(*) FROM {AUDIT_PAIRS} JOIN edges a ON a.rel = p JOIN edges b ON b.rel = n AND {SAME_ENDS}) AS contradictions FROM edges"""),
+    "degree_below": (lambda p: audit.degree_below(p.nodes, p.edges, ["Food", "Nutrient", "Disease", "Symptom"], 6), f"SELECT n.label, n.name, count(e.name) AS degree FROM nodes n LEFT JOIN {ENDS} e ON e.label = n.label AND e.name = n.name WHERE n.label IN ('Food', 'Nutrient', 'Disease', 'Symptom') GROUP BY n.label, n.name HAVING count(e.name) < 6"),
+    "opposing_pairs": (lambda p: audit.opposing_pairs(p.edges), f"SELECT pair, a.src_label, a.src, a.dst_label, a.dst, a.source_id AS pos_source, a.evidence_strength AS pos_strength, b.source_id AS neg_source, b.evidence_strength AS neg_strength FROM {PAIRS} JOIN edges a ON a.rel = p JOIN edges b ON b.rel = n AND {SAME_ENDS}"),
+    "opposing_pair_counts": (lambda p: audit.opposing_pair_counts(p.edges), f"SELECT pair, count(b.rel) AS n FROM {PAIRS} LEFT JOIN edges a ON a.rel = p LEFT JOIN edges b ON b.rel = pairs.n AND {SAME_ENDS} GROUP BY pair"),
+    "audit_contradictions": (lambda p: audit.opposing_pairs(p.edges, audit.AUDIT_OPPOSING).orderBy("pair", "src", "dst", "pos_source", "neg_source").limit(50).select("pair", "src", "dst", "pos_source", "neg_source"), f"SELECT pair, a.src, a.dst, a.source_id AS pos_source, b.source_id AS neg_source FROM {AUDIT_PAIRS} JOIN edges a ON a.rel = p JOIN edges b ON b.rel = n AND {SAME_ENDS} ORDER BY pair, a.src, a.dst, pos_source, neg_source LIMIT 50"),
+    "contradiction_verdicts": (lambda p: audit.contradiction_verdicts(p.edges), f", {VERDICTS} SELECT * FROM verdicts"),
+    "contradiction_latest": (lambda p: audit.contradiction_latest(audit.contradiction_verdicts(p.edges)), f", {VERDICTS} SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY entity, disease ORDER BY pos_count + neg_count DESC, src_label, pos_rel, neg_rel) AS rn FROM verdicts) WHERE rn = 1"),
     "flag_contested": (lambda p: audit.flag_contested(p.edges, audit.contradiction_verdicts(p.edges)).groupBy("rel", "contested", "debated").agg(F.count("*").alias("n")), f""", {VERDICTS}, marks AS (SELECT src_label, entity AS src, disease AS dst, pos_rel AS rel, verdict = 'positive_contested' AS c, verdict = 'debated' AS d FROM verdicts UNION ALL SELECT src_label, entity, disease, neg_rel, verdict = 'negative_contested', verdict = 'debated' FROM verdicts),
       m AS (SELECT src_label, src, dst, rel, bool_or(c) AS c, bool_or(d) AS d FROM marks GROUP BY ALL)
-      SELECT e.rel, coalesce(m.c, false) AS contested, coalesce(m.d, false) AS debated, count(*) AS n FROM edges e LEFT JOIN m ON m.src_label = e.src_label AND m.src = e.src AND m.dst = e.dst AND m.rel = e.rel AND e.dst_label = 'Disease' GROUP BY ALL""", False),
-    "gap_few_recommendations": (lambda p: audit.gap_few_recommendations(p.nodes, p.edges), FEW, True),
-    **{f"gap_{g}": (lambda p, g=g: audit.gap(p.nodes, p.edges, g), _gap_sql(g), True) for g in audit.GAP_RULES},
-    "gap_counts": (lambda p: audit.gap_counts(audit.all_gaps(p.nodes, p.edges)), f"SELECT gap_type, count(*) AS n FROM ({ALL_GAPS}) GROUP BY gap_type", True),
-    "gap_queries": (lambda p: audit.gap_queries(audit.all_gaps(p.nodes, p.edges), p.nodes.where(F.col("name").startswith("red")).select(F.col("name").alias("entity"))), f"""SELECT gap_type, entity, priority, '"' || entity || '" AND ' || replace(gap_type, '_', ' ') AS query FROM (SELECT *, row_number() OVER (PARTITION BY gap_type ORDER BY priority, entity) AS rn FROM (SELECT gap_type, entity, CASE WHEN entity LIKE 'red%' THEN 0 ELSE 1 END AS priority FROM ({ALL_GAPS}))) WHERE rn <= 5""", True),
-    "age_gender_profile": (lambda p: recommend.age_gender_profile(p.users), f"$users SELECT DISTINCT user_id, coalesce(pr.conditions, '{recommend.PROFILES['default', 'any']}') AS conditions FROM users u LEFT JOIN {PROFILES} ON pr.d = {DECADE} AND pr.g = {GENDER}", False),
-    "user_targets": (lambda p: recommend.user_targets(p.users), f"$users, {TARGETS} SELECT * FROM targets", False),
-    "recs_direct": (lambda p: recommend.recs_direct(p.edges).select("item", "rel", "target", "source_id", "strength"), f", {LAYERS} SELECT item, rel, target, source_id, strength FROM direct", False),
-    "recs_via_nutrient": (lambda p: recommend.recs_via_nutrient(p.edges), f", {LAYERS} SELECT * FROM via_nutrient", False),
-    "recs_via_shared_symptom": (lambda p: recommend.recs_via_shared_symptom(p.edges).select("item", "rel", "target", "source_id", "strength"), f", {LAYERS} SELECT item, rel, target, source_id, strength FROM via_symptom", False),
-    "restricted_items": (lambda p: recommend.restricted_items(p.edges), f"SELECT src AS item, rel, dst AS target, source_id, evidence_strength AS strength FROM edges WHERE rel IN ({NEG}) AND src_label IN ('Food', 'Nutrient') AND dst_label IN ('Disease', 'Symptom')", False),
+      SELECT e.rel, coalesce(m.c, false) AS contested, coalesce(m.d, false) AS debated, count(*) AS n FROM edges e LEFT JOIN m ON m.src_label = e.src_label AND m.src = e.src AND m.dst = e.dst AND m.rel = e.rel AND e.dst_label = 'Disease' GROUP BY ALL"""),
+    "gap_few_recommendations": (lambda p: audit.gap_few_recommendations(p.nodes, p.edges), FEW),
+    **{f"gap_{g}": (lambda p, g=g: audit.gap(p.nodes, p.edges, g), _gap_sql(g)) for g in audit.GAP_RULES},
+    "gap_counts": (lambda p: audit.gap_counts(audit.all_gaps(p.nodes, p.edges)), f"SELECT gap_type, count(*) AS n FROM ({ALL_GAPS}) GROUP BY gap_type"),
+    "gap_queries": (lambda p: audit.gap_queries(audit.all_gaps(p.nodes, p.edges), p.nodes.where(F.col("name").startswith("red")).select(F.col("name").alias("entity"))), f"""SELECT gap_type, entity, priority, '"' || entity || '" AND ' || replace(gap_type, '_', ' ') AS query FROM (SELECT *, row_number() OVER (PARTITION BY gap_type ORDER BY priority, entity) AS rn FROM (SELECT gap_type, entity, CASE WHEN entity LIKE 'red%' THEN 0 ELSE 1 END AS priority FROM ({ALL_GAPS}))) WHERE rn <= 5"""),
+    "age_gender_profile": (lambda p: recommend.age_gender_profile(p.users), f"$users SELECT DISTINCT user_id, coalesce(pr.conditions, '{recommend.PROFILES['default', 'any']}') AS conditions FROM users u LEFT JOIN {PROFILES} ON pr.d = {DECADE} AND pr.g = {GENDER}"),
+    "user_targets": (lambda p: recommend.user_targets(p.users), f"$users, {TARGETS} SELECT * FROM targets"),
+    "recs_direct": (lambda p: recommend.recs_direct(p.edges).select("item", "rel", "target", "source_id", "strength"), f", {LAYERS} SELECT item, rel, target, source_id, strength FROM direct"),
+    "recs_via_nutrient": (lambda p: recommend.recs_via_nutrient(p.edges), f", {LAYERS} SELECT * FROM via_nutrient"),
+    "recs_via_shared_symptom": (lambda p: recommend.recs_via_shared_symptom(p.edges).select("item", "rel", "target", "source_id", "strength"), f", {LAYERS} SELECT item, rel, target, source_id, strength FROM via_symptom"),
+    "restricted_items": (lambda p: recommend.restricted_items(p.edges), f"SELECT src AS item, rel, dst AS target, source_id, evidence_strength AS strength FROM edges WHERE rel IN ({NEG}) AND src_label IN ('Food', 'Nutrient') AND dst_label IN ('Disease', 'Symptom')"),
     "recommendations": (lambda p: recommend.recommendations(p.edges, p.users), f"""$users, {TARGETS}, {LAYERS}, layers AS (SELECT * FROM direct UNION ALL SELECT * FROM via_nutrient UNION ALL SELECT * FROM via_symptom),
       reasons AS (SELECT target, item, {REASON} AS reason, count(DISTINCT source_id) AS n_evidence, max(strength) AS strength FROM layers GROUP BY ALL)
-      SELECT user_id, item, reason, n_evidence, strength, CAST(rank AS INTEGER) AS rank FROM (SELECT t.user_id, t.plan, r.item, r.reason, r.n_evidence, r.strength, row_number() OVER (PARTITION BY t.user_id ORDER BY r.strength DESC, r.n_evidence DESC, r.item, r.reason) AS rank FROM targets t JOIN reasons r ON r.target = t.target) WHERE rank <= CASE WHEN plan = 'free' THEN 5 ELSE 20 END""", False),
+      SELECT user_id, item, reason, n_evidence, strength, CAST(rank AS INTEGER) AS rank FROM (SELECT t.user_id, t.plan, r.item, r.reason, r.n_evidence, r.strength, row_number() OVER (PARTITION BY t.user_id ORDER BY r.strength DESC, r.n_evidence DESC, r.item, r.reason) AS rank FROM targets t JOIN reasons r ON r.target = t.target) WHERE rank <= CASE WHEN plan = 'free' THEN 5 ELSE 20 END"""),
     "safest_path": (lambda p: recommend.safest_path(p.edges, p.users), f"""$users, {TARGETS}, cand AS (SELECT t.user_id, 'increase' AS step, e.src AS item, max(e.evidence_strength) AS s FROM targets t JOIN edges e ON e.dst = t.target WHERE e.rel IN ({POS}) AND e.src_label IN ('Food', 'Nutrient') AND e.dst_label IN ('Disease', 'Symptom') GROUP BY ALL
       UNION ALL SELECT t.user_id, 'reduce', e.src, max(e.evidence_strength) FROM targets t JOIN edges e ON e.dst = t.target WHERE e.rel IN ({NEG}) AND e.src_label IN ('Food', 'Nutrient') AND e.dst_label IN ('Disease', 'Symptom') GROUP BY ALL)
-      SELECT user_id, step, string_agg(item, ', ' ORDER BY rn) AS items FROM (SELECT *, row_number() OVER (PARTITION BY user_id, step ORDER BY s DESC, item) AS rn FROM cand) WHERE rn <= 3 GROUP BY user_id, step""", False),
-    "early_signals": (lambda p: recommend.early_signals(p.edges), "SELECT src AS symptom, dst AS disease, count(*) AS n_evidence, max(evidence_strength) AS strength FROM edges WHERE rel = 'EARLY_SIGNAL_OF' AND src_label = 'Symptom' AND dst_label = 'Disease' GROUP BY ALL", False),
-    "symptom_relievers": (lambda p: recommend.symptom_items(p.edges, "ALLEVIATES"), "SELECT dst AS symptom, src AS item, count(*) AS n_evidence, max(evidence_strength) AS strength FROM edges WHERE rel = 'ALLEVIATES' AND src_label IN ('Food', 'Nutrient') AND dst_label = 'Symptom' GROUP BY ALL", False),
-    "symptom_aggravators": (lambda p: recommend.symptom_items(p.edges, "AGGRAVATES"), "SELECT dst AS symptom, src AS item, count(*) AS n_evidence, max(evidence_strength) AS strength FROM edges WHERE rel = 'AGGRAVATES' AND src_label IN ('Food', 'Nutrient') AND dst_label = 'Symptom' GROUP BY ALL", False),
-    "nearby_risks": (lambda p: recommend.per_user(recommend.early_signals(p.edges).select(F.col("symptom").alias("target"), "disease"), p.users, 5, "target", "disease").select("user_id", "target", "disease"), f"$users, {TARGETS} SELECT user_id, target, disease FROM (SELECT t.user_id, t.target, s.disease, row_number() OVER (PARTITION BY t.user_id ORDER BY t.target, s.disease) AS rn FROM targets t JOIN (SELECT DISTINCT src, dst AS disease FROM edges WHERE rel = 'EARLY_SIGNAL_OF' AND src_label = 'Symptom' AND dst_label = 'Disease') s ON s.src = t.target) WHERE rn <= 5", False),
-    "food_chain": (lambda p: recommend.food_chain(p.edges), "SELECT food, h.nutrient, rel, target, contains_sources, effect_sources FROM (SELECT src AS food, dst AS nutrient, count(DISTINCT source_id) AS contains_sources FROM edges WHERE rel = 'CONTAINS' AND src_label = 'Food' AND dst_label = 'Nutrient' GROUP BY ALL) h JOIN (SELECT src AS nutrient, rel, dst AS target, count(DISTINCT source_id) AS effect_sources FROM edges WHERE src_label = 'Nutrient' AND dst_label IN ('Disease', 'Symptom') GROUP BY ALL) a ON a.nutrient = h.nutrient", False),
-    **{n: (lambda p, r=r: recommend.drug_links(p.edges, r), f"SELECT drug, item, strength, n_evidence, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY strength DESC, n_evidence DESC, item) AS rank FROM (SELECT dst AS drug, src AS item, max(evidence_strength) AS strength, count(*) AS n_evidence FROM edges WHERE rel = '{r}' AND dst_label = 'Drug' GROUP BY ALL)) WHERE rank <= 15", False) for n, r in (("drug_substitutes", "SUBSTITUTES_FOR"), ("drug_complements", "COMPLEMENTS_DRUG"))},
-    "drug_interactions": (lambda p: recommend.drug_interactions(p.edges), "SELECT dst AS drug, coalesce(string_agg(DISTINCT CASE WHEN rel = 'CONTRAINDICATED_WITH' THEN src END, ', ' ORDER BY CASE WHEN rel = 'CONTRAINDICATED_WITH' THEN src END), '') AS avoid, coalesce(string_agg(DISTINCT CASE WHEN rel = 'COMPLEMENTS_DRUG' THEN src END, ', ' ORDER BY CASE WHEN rel = 'COMPLEMENTS_DRUG' THEN src END), '') AS complement FROM edges WHERE dst_label = 'Drug' AND src_label IN ('Food', 'Nutrient') AND rel IN ('CONTRAINDICATED_WITH', 'COMPLEMENTS_DRUG') GROUP BY dst", False),
-    "biomarkers": (lambda p: recommend.biomarkers(p.edges), "SELECT b.biomarker, b.disease, m.food, m.direction FROM (SELECT DISTINCT src AS biomarker, dst AS disease FROM edges WHERE rel = 'BIOMARKER_FOR' AND src_label = 'Biomarker' AND dst_label = 'Disease') b LEFT JOIN (SELECT DISTINCT dst AS biomarker, src AS food, CASE WHEN rel = 'INCREASES_BIOMARKER' THEN 'raises' ELSE 'lowers' END AS direction FROM edges WHERE rel IN ('INCREASES_BIOMARKER', 'DECREASES_BIOMARKER') AND src_label IN ('Food', 'Nutrient')) m ON m.biomarker = b.biomarker", False),
-    "mechanism_chains": (lambda p: recommend.mechanism_chains(p.edges), "SELECT h.mechanism, item, target_sources, rel, disease, effect_sources FROM (SELECT src AS item, dst AS mechanism, count(DISTINCT source_id) AS target_sources FROM edges WHERE rel = 'TARGETS_MECHANISM' AND src_label IN ('Food', 'Nutrient') GROUP BY ALL) h JOIN (SELECT src AS mechanism, rel, dst AS disease, count(DISTINCT source_id) AS effect_sources FROM edges WHERE src_label = 'Mechanism' AND rel IN ('CAUSES', 'INCREASES_RISK_OF') AND dst_label = 'Disease' GROUP BY ALL) l ON l.mechanism = h.mechanism", False),
-    "risk_cascade": (lambda p: recommend.risk_cascade(p.edges, p.users), f"$users, {TARGETS} SELECT user_id, target, disease, n, CAST(rank AS INTEGER) AS rank, CASE WHEN n >= 2 THEN 'high' ELSE 'moderate' END AS severity FROM (SELECT t.user_id, t.target, c.disease, c.n, row_number() OVER (PARTITION BY t.user_id ORDER BY c.n DESC, t.target, c.disease) AS rank FROM targets t JOIN (SELECT src, dst AS disease, count(*) AS n FROM edges WHERE src_label = 'Disease' AND dst_label = 'Disease' AND rel IN ('INCREASES_RISK_OF', 'CAUSES') GROUP BY ALL) c ON c.src = t.target) WHERE rank <= 6", False),
-    "risk_evidence": (lambda p: recommend.risk_evidence(p.edges), f"SELECT disease, item, rel, source_id, CAST(rank AS INTEGER) AS rank FROM (SELECT dst AS disease, src AS item, rel, source_id, row_number() OVER (PARTITION BY dst ORDER BY source_id DESC, src, rel) AS rank FROM edges WHERE dst_label = 'Disease' AND rel IN ({POS}) AND src_label IN ('Food', 'Nutrient', 'LifestyleFactor')) WHERE rank <= 8", False),
-    "trust_level": (lambda p: recommend.trust_level(p.edges), "SELECT CASE WHEN evidence_strength >= 4 THEN 'wisdom' WHEN evidence_strength >= 2 THEN 'knowledge' ELSE 'information' END AS trust, count(*) AS n FROM edges GROUP BY 1", False),
-    "suggest_vocab": (lambda p: users.suggest_vocab(p.table("part").select(F.split("p_name", " ")[1].alias("term")), p.nodes.select(F.col("name").alias("key"), F.col("display_name").alias("canonical"))), "SELECT term, canonical, CAST(rank AS INTEGER) AS rank FROM (SELECT term, canonical, row_number() OVER (PARTITION BY term ORDER BY grade, length(canonical), canonical) AS rank FROM (SELECT t.term, n.display_name AS canonical, min(CASE WHEN n.name = t.term THEN 0 ELSE 1 END) AS grade FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 2)) AS term FROM part) t JOIN nodes n ON contains(n.name, t.term) WHERE length(t.term) >= 3 GROUP BY ALL)) WHERE rank <= 10", False),
-    "match_entity": (lambda p: users.match_entity(p.table("part").select(F.split("p_name", " ")[0].alias("term")), p.nodes), "SELECT term, name FROM (SELECT t.term, n.name, row_number() OVER (PARTITION BY t.term ORDER BY n.name <> t.term, length(n.name), n.name) AS rn FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS term FROM part) t JOIN nodes n ON contains(n.name, t.term) WHERE length(t.term) >= 3) WHERE rn = 1", False),
-    "replace_if_better": (lambda p: users.replace_if_better(p.valid.where("evidence_type = 'RCT'"), p.valid).groupBy("source_id").agg(F.count("*").alias("n")), "SELECT source_id, count(*) AS n FROM valid GROUP BY source_id", False),
-    "reextract_candidates": (lambda p: users.reextract_candidates(p.papers.select("pmcid"), p.valid), "SELECT d.pmcid, n, strength FROM (SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS pmcid, count(v.source_id) AS n, coalesce(avg(v.evidence_strength), 0.0) AS strength FROM documents LEFT JOIN valid v ON v.source_id = 'PMC' || CAST(doc_id AS VARCHAR) GROUP BY doc_id) d WHERE n <= 2 ORDER BY n, strength DESC, pmcid LIMIT 50", False),
-    "risk_factor_match": (lambda p: risk.risk_factor_match(p.profiles, p.users), f"$users, {PROF}, {MATCHES} SELECT * FROM hits", True),
-    "risk_board": (lambda p: p.board, f"$users, {PROF}, {MATCHES}, {BOARD} SELECT * FROM board", True),
-    "enrich_profiles": (lambda p: risk.enrich_profiles(p.profiles, p.edges), f", {PROF}, {ENRICHED}", False),
-    "insights": (lambda p: p.insights, f"$users, {TARGETS}, {INSIGHTS} SELECT * FROM ins", False),
-    "inferred_conditions": (lambda p: risk.inferred_conditions(p.insights, p.users, risk.likely_rules(p.spark)), f"$users, {TARGETS}, {INSIGHTS}, {INFERRED} SELECT * FROM inferred", False),
+      SELECT user_id, step, string_agg(item, ', ' ORDER BY rn) AS items FROM (SELECT *, row_number() OVER (PARTITION BY user_id, step ORDER BY s DESC, item) AS rn FROM cand) WHERE rn <= 3 GROUP BY user_id, step"""),
+    "early_signals": (lambda p: recommend.early_signals(p.edges), "SELECT src AS symptom, dst AS disease, count(*) AS n_evidence, max(evidence_strength) AS strength FROM edges WHERE rel = 'EARLY_SIGNAL_OF' AND src_label = 'Symptom' AND dst_label = 'Disease' GROUP BY ALL"),
+    "symptom_relievers": (lambda p: recommend.symptom_items(p.edges, "ALLEVIATES"), "SELECT dst AS symptom, src AS item, count(*) AS n_evidence, max(evidence_strength) AS strength FROM edges WHERE rel = 'ALLEVIATES' AND src_label IN ('Food', 'Nutrient') AND dst_label = 'Symptom' GROUP BY ALL"),
+    "symptom_aggravators": (lambda p: recommend.symptom_items(p.edges, "AGGRAVATES"), "SELECT dst AS symptom, src AS item, count(*) AS n_evidence, max(evidence_strength) AS strength FROM edges WHERE rel = 'AGGRAVATES' AND src_label IN ('Food', 'Nutrient') AND dst_label = 'Symptom' GROUP BY ALL"),
+    "nearby_risks": (lambda p: recommend.per_user(recommend.early_signals(p.edges).select(F.col("symptom").alias("target"), "disease"), p.users, 5, "target", "disease").select("user_id", "target", "disease"), f"$users, {TARGETS} SELECT user_id, target, disease FROM (SELECT t.user_id, t.target, s.disease, row_number() OVER (PARTITION BY t.user_id ORDER BY t.target, s.disease) AS rn FROM targets t JOIN (SELECT DISTINCT src, dst AS disease FROM edges WHERE rel = 'EARLY_SIGNAL_OF' AND src_label = 'Symptom' AND dst_label = 'Disease') s ON s.src = t.target) WHERE rn <= 5"),
+    "food_chain": (lambda p: recommend.food_chain(p.edges), "SELECT food, h.nutrient, rel, target, contains_sources, effect_sources FROM (SELECT src AS food, dst AS nutrient, count(DISTINCT source_id) AS contains_sources FROM edges WHERE rel = 'CONTAINS' AND src_label = 'Food' AND dst_label = 'Nutrient' GROUP BY ALL) h JOIN (SELECT src AS nutrient, rel, dst AS target, count(DISTINCT source_id) AS effect_sources FROM edges WHERE src_label = 'Nutrient' AND dst_label IN ('Disease', 'Symptom') GROUP BY ALL) a ON a.nutrient = h.nutrient"),
+    **{n: (lambda p, r=r: recommend.drug_links(p.edges, r), f"SELECT drug, item, strength, n_evidence, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY strength DESC, n_evidence DESC, item) AS rank FROM (SELECT dst AS drug, src AS item, max(evidence_strength) AS strength, count(*) AS n_evidence FROM edges WHERE rel = '{r}' AND dst_label = 'Drug' GROUP BY ALL)) WHERE rank <= 15") for n, r in (("drug_substitutes", "SUBSTITUTES_FOR"), ("drug_complements", "COMPLEMENTS_DRUG"))},
+    "drug_interactions": (lambda p: recommend.drug_interactions(p.edges), "SELECT dst AS drug, coalesce(string_agg(DISTINCT CASE WHEN rel = 'CONTRAINDICATED_WITH' THEN src END, ', ' ORDER BY CASE WHEN rel = 'CONTRAINDICATED_WITH' THEN src END), '') AS avoid, coalesce(string_agg(DISTINCT CASE WHEN rel = 'COMPLEMENTS_DRUG' THEN src END, ', ' ORDER BY CASE WHEN rel = 'COMPLEMENTS_DRUG' THEN src END), '') AS complement FROM edges WHERE dst_label = 'Drug' AND src_label IN ('Food', 'Nutrient') AND rel IN ('CONTRAINDICATED_WITH', 'COMPLEMENTS_DRUG') GROUP BY dst"),
+    "biomarkers": (lambda p: recommend.biomarkers(p.edges), "SELECT b.biomarker, b.disease, m.food, m.direction FROM (SELECT DISTINCT src AS biomarker, dst AS disease FROM edges WHERE rel = 'BIOMARKER_FOR' AND src_label = 'Biomarker' AND dst_label = 'Disease') b LEFT JOIN (SELECT DISTINCT dst AS biomarker, src AS food, CASE WHEN rel = 'INCREASES_BIOMARKER' THEN 'raises' ELSE 'lowers' END AS direction FROM edges WHERE rel IN ('INCREASES_BIOMARKER', 'DECREASES_BIOMARKER') AND src_label IN ('Food', 'Nutrient')) m ON m.biomarker = b.biomarker"),
+    "mechanism_chains": (lambda p: recommend.mechanism_chains(p.edges), "SELECT h.mechanism, item, target_sources, rel, disease, effect_sources FROM (SELECT src AS item, dst AS mechanism, count(DISTINCT source_id) AS target_sources FROM edges WHERE rel = 'TARGETS_MECHANISM' AND src_label IN ('Food', 'Nutrient') GROUP BY ALL) h JOIN (SELECT src AS mechanism, rel, dst AS disease, count(DISTINCT source_id) AS effect_sources FROM edges WHERE src_label = 'Mechanism' AND rel IN ('CAUSES', 'INCREASES_RISK_OF') AND dst_label = 'Disease' GROUP BY ALL) l ON l.mechanism = h.mechanism"),
+    "risk_cascade": (lambda p: recommend.risk_cascade(p.edges, p.users), f"$users, {TARGETS} SELECT user_id, target, disease, n, CAST(rank AS INTEGER) AS rank, CASE WHEN n >= 2 THEN 'high' ELSE 'moderate' END AS severity FROM (SELECT t.user_id, t.target, c.disease, c.n, row_number() OVER (PARTITION BY t.user_id ORDER BY c.n DESC, t.target, c.disease) AS rank FROM targets t JOIN (SELECT src, dst AS disease, count(*) AS n FROM edges WHERE src_label = 'Disease' AND dst_label = 'Disease' AND rel IN ('INCREASES_RISK_OF', 'CAUSES') GROUP BY ALL) c ON c.src = t.target) WHERE rank <= 6"),
+    "risk_evidence": (lambda p: recommend.risk_evidence(p.edges), f"SELECT disease, item, rel, source_id, CAST(rank AS INTEGER) AS rank FROM (SELECT dst AS disease, src AS item, rel, source_id, row_number() OVER (PARTITION BY dst ORDER BY source_id DESC, src, rel) AS rank FROM edges WHERE dst_label = 'Disease' AND rel IN ({POS}) AND src_label IN ('Food', 'Nutrient', 'LifestyleFactor')) WHERE rank <= 8"),
+    "trust_level": (lambda p: recommend.trust_level(p.edges), "SELECT CASE WHEN evidence_strength >= 4 THEN 'wisdom' WHEN evidence_strength >= 2 THEN 'knowledge' ELSE 'information' END AS trust, count(*) AS n FROM edges GROUP BY 1"),
+    "suggest_vocab": (lambda p: users.suggest_vocab(p.table("part").select(F.split("p_name", " ")[1].alias("term")), p.nodes.select(F.col("name").alias("key"), F.col("display_name").alias("canonical"))), "SELECT term, canonical, CAST(rank AS INTEGER) AS rank FROM (SELECT term, canonical, row_number() OVER (PARTITION BY term ORDER BY grade, length(canonical), canonical) AS rank FROM (SELECT t.term, n.display_name AS canonical, min(CASE WHEN n.name = t.term THEN 0 ELSE 1 END) AS grade FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 2)) AS term FROM part) t JOIN nodes n ON contains(n.name, t.term) WHERE length(t.term) >= 3 GROUP BY ALL)) WHERE rank <= 10"),
+    "match_entity": (lambda p: users.match_entity(p.table("part").select(F.split("p_name", " ")[0].alias("term")), p.nodes), "SELECT term, name FROM (SELECT t.term, n.name, row_number() OVER (PARTITION BY t.term ORDER BY n.name <> t.term, length(n.name), n.name) AS rn FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS term FROM part) t JOIN nodes n ON contains(n.name, t.term) WHERE length(t.term) >= 3) WHERE rn = 1"),
+    "replace_if_better": (lambda p: users.replace_if_better(p.valid.where("evidence_type = 'RCT'"), p.valid).groupBy("source_id").agg(F.count("*").alias("n")), "SELECT source_id, count(*) AS n FROM valid GROUP BY source_id"),
+    "reextract_candidates": (lambda p: users.reextract_candidates(p.papers.select("pmcid"), p.valid), "SELECT d.pmcid, n, strength FROM (SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS pmcid, count(v.source_id) AS n, coalesce(avg(v.evidence_strength), 0.0) AS strength FROM documents LEFT JOIN valid v ON v.source_id = 'PMC' || CAST(doc_id AS VARCHAR) GROUP BY doc_id) d WHERE n <= 2 ORDER BY n, strength DESC, pmcid LIMIT 50"),
+    "risk_factor_match": (lambda p: risk.risk_factor_match(p.profiles, p.users), f"$users, {PROF}, {MATCHES} SELECT * FROM hits"),
+    "risk_board": (lambda p: p.board, f"$users, {PROF}, {MATCHES}, {BOARD} SELECT * FROM board"),
+    "enrich_profiles": (lambda p: risk.enrich_profiles(p.profiles, p.edges), f", {PROF}, {ENRICHED}"),
+    "insights": (lambda p: p.insights, f"$users, {TARGETS}, {INSIGHTS} SELECT * FROM ins"),
+    "inferred_conditions": (lambda p: risk.inferred_conditions(p.insights, p.users, risk.likely_rules(p.spark)), f"$users, {TARGETS}, {INSIGHTS}, {INFERRED} SELECT * FROM inferred"),
     "open_checks": (lambda p: risk.open_checks(p.board, p.checks, p.users.select("user_id", F.col("term").alias("check_id"))), f"""$users, {PROF}, {MATCHES}, {BOARD}, checks AS (SELECT DISTINCT dst AS disease, src AS check_id, length(src) AS pos FROM edges WHERE rel = 'EARLY_SIGNAL_OF' AND src_label = 'Symptom' AND dst_label = 'Disease'),
       open AS (SELECT b.user_id, disease, level, check_id, pos FROM board b JOIN checks USING (disease) WHERE level IN ('high', 'medium') AND NOT EXISTS (SELECT 1 FROM users u WHERE u.user_id = b.user_id AND u.term = check_id)),
       firsts AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY level <> 'high', disease) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, disease ORDER BY pos, check_id) AS rn FROM open) WHERE rn = 1)
-      SELECT user_id, disease, check_id, (SELECT count(*) FROM open o WHERE o.user_id = f.user_id) AS remaining, CAST(rank AS INTEGER) AS rank FROM firsts f WHERE rank <= 2""", False),
+      SELECT user_id, disease, check_id, (SELECT count(*) FROM open o WHERE o.user_id = f.user_id) AS remaining, CAST(rank AS INTEGER) AS rank FROM firsts f WHERE rank <= 2"""),
     "next_questions": (lambda p: risk.next_questions(p.users, risk.inferred_conditions(p.insights, p.users, risk.likely_rules(p.spark)), p.users.where("plan = 'paid'").select("user_id", F.lit("gender").alias("question"))), f"""$users, {TARGETS}, {INSIGHTS}, {INFERRED},
       asked AS (SELECT user_id, 'conditions' AS question, 2 AS p FROM users GROUP BY user_id HAVING count(term) = 0 UNION ALL SELECT DISTINCT user_id, 'gender', 3 FROM users WHERE gender = '' AND plan <> 'paid' UNION ALL SELECT user_id, 'confirm:' || name, rank + 3 FROM inferred)
-      SELECT user_id, question, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p, question) AS rank FROM asked) WHERE rank <= 3""", False),
-    "cluster_for_top_gap": (lambda p: planning.cluster_for_top_gap(audit.gap_counts(audit.all_gaps(p.nodes, p.edges)), audit.all_gaps(p.nodes, p.edges).select("gap_type").distinct().withColumn("clusters", F.concat(F.lit("topics of "), "gap_type"))), f"SELECT gap_type, n, 'topics of ' || gap_type AS clusters FROM (SELECT gap_type, count(*) AS n FROM ({ALL_GAPS}) GROUP BY gap_type) ORDER BY n DESC, gap_type LIMIT 1", True),
-    "active_clusters": (lambda p: planning.active_clusters(p.edges.select(F.col("src_label").alias("cluster"), F.col("dst").alias("entity")), audit.gap_few_recommendations(p.nodes, p.edges)), f"SELECT DISTINCT src_label AS cluster FROM edges WHERE dst IN (SELECT entity FROM ({FEW}))", True),
-    "risk_severity": (lambda p: p.edges.groupBy(F.col("dst_label").alias("kind"), "dst").agg(F.count("*").alias("n")).groupBy(risk.risk_severity(F.col("kind"), F.col("n")).alias("severity")).agg(F.count("*").alias("n")), "SELECT CASE WHEN dst_label = 'Disease' AND c >= 2 THEN 'high' ELSE 'med' END AS severity, count(*) AS n FROM (SELECT dst_label, dst, count(*) AS c FROM edges GROUP BY ALL) GROUP BY 1", False),
-    "seed_edges": (lambda p: planning.seed_edges(p.edges.where("rel = 'CONTAINS'").groupBy(F.col("src").alias("disease")).agg(F.collect_list("dst").alias("organs"))), "SELECT DISTINCT 'Disease' AS src_label, src, 'OCCURS_AT' AS rel, 'BodySystem' AS dst_label, dst, 'seed_organs' AS source_id FROM edges WHERE rel = 'CONTAINS'", False),
-    "audit_sample": (lambda p: planning.audit_sample(p.raw, p.raw.where("pub_date < '1997-01-01'").select("source_id", F.lit("factual").alias("verdict"))), "SELECT CASE WHEN source_id IN (SELECT source_id FROM raw WHERE pub_date < '1997-01-01') THEN 'factual' ELSE 'unclassified' END AS verdict, count(*) AS n FROM (SELECT * FROM raw ORDER BY trim(context) = '', source_id, subject, predicate, object, context LIMIT 100) GROUP BY 1", False),
+      SELECT user_id, question, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p, question) AS rank FROM asked) WHERE rank <= 3"""),
+    "cluster_for_top_gap": (lambda p: planning.cluster_for_top_gap(audit.gap_counts(audit.all_gaps(p.nodes, p.edges)), audit.all_gaps(p.nodes, p.edges).select("gap_type").distinct().withColumn("clusters", F.concat(F.lit("topics of "), "gap_type"))), f"SELECT gap_type, n, 'topics of ' || gap_type AS clusters FROM (SELECT gap_type, count(*) AS n FROM ({ALL_GAPS}) GROUP BY gap_type) ORDER BY n DESC, gap_type LIMIT 1"),
+    "active_clusters": (lambda p: planning.active_clusters(p.edges.select(F.col("src_label").alias("cluster"), F.col("dst").alias("entity")), audit.gap_few_recommendations(p.nodes, p.edges)), f"SELECT DISTINCT src_label AS cluster FROM edges WHERE dst IN (SELECT entity FROM ({FEW}))"),
+    "risk_severity": (lambda p: p.edges.groupBy(F.col("dst_label").alias("kind"), "dst").agg(F.count("*").alias("n")).groupBy(risk.risk_severity(F.col("kind"), F.col("n")).alias("severity")).agg(F.count("*").alias("n")), "SELECT CASE WHEN dst_label = 'Disease' AND c >= 2 THEN 'high' ELSE 'med' END AS severity, count(*) AS n FROM (SELECT dst_label, dst, count(*) AS c FROM edges GROUP BY ALL) GROUP BY 1"),
+    "seed_edges": (lambda p: planning.seed_edges(p.edges.where("rel = 'CONTAINS'").groupBy(F.col("src").alias("disease")).agg(F.collect_list("dst").alias("organs"))), "SELECT DISTINCT 'Disease' AS src_label, src, 'OCCURS_AT' AS rel, 'BodySystem' AS dst_label, dst, 'seed_organs' AS source_id FROM edges WHERE rel = 'CONTAINS'"),
+    "audit_sample": (lambda p: planning.audit_sample(p.raw, p.raw.where("pub_date < '1997-01-01'").select("source_id", F.lit("factual").alias("verdict"))), "SELECT CASE WHEN source_id IN (SELECT source_id FROM raw WHERE pub_date < '1997-01-01') THEN 'factual' ELSE 'unclassified' END AS verdict, count(*) AS n FROM (SELECT * FROM raw ORDER BY trim(context) = '', source_id, subject, predicate, object, context LIMIT 100) GROUP BY 1"),
 }
 #: name -> (operator on a projection, whole SQL)
 PLAIN: dict[str, tuple[Callable[[P], DataFrame], str | None]] = {
@@ -301,21 +314,13 @@ PLAIN: dict[str, tuple[Callable[[P], DataFrame], str | None]] = {
 }
 
 
-#: Queries whose SQL names the sparse claims also run, under a further name, on the claims of all rows.
-WHOLE = {f"{n}_all_claims": (f, sql, False) for n, (f, sql, sparse) in GRAPH.items() if sparse}
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    run = lambda f, sparse: lambda spark, sf_dir: f(Projection(spark, sf_dir, sparse))
-    return {n: run(f, sparse) for n, (f, _, sparse) in (GRAPH | WHOLE).items()} | {n: run(f, False) for n, (f, _) in PLAIN.items()}
+    run = lambda f: lambda spark, sf_dir: f(Projection(spark, sf_dir))
+    return {n: run(f) for n, (f, _) in (GRAPH | PLAIN).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {n: sql for n, (_, sql) in PLAIN.items() if sql}
-    for n, (_, sql, sparse) in (GRAPH | WHOLE).items():
-        base = fixtures.base_sql(sparse)
-        if sql.startswith("$users"):
-            users_list = fixtures.DUCK_USERS.replace("WITH ent AS", "WITH ent AS")
-            base, sql = f"{base}, {users_list}", sql.removeprefix("$users")
-        out[n] = f"{base} {sql}"
+    out, base = {n: sql for n, (_, sql) in PLAIN.items() if sql}, fixtures.base_sql()
+    for n, (_, sql) in GRAPH.items():
+        out[n] = f"{base}, {fixtures.DUCK_USERS}{sql.removeprefix('$users')}" if sql.startswith("$users") else f"{base} {sql}"
     return out

@@ -2,57 +2,88 @@
 
 from __future__ import annotations
 
-import re
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# ---- fixed values: labels, aliases and word lists that results depend on ----
+# ---- fixed values: labels, aliases and word lists that results depend on, each as key and value ----
 
 ENTITY_TYPES = [
     "Disease", "Symptom", "Food", "Nutrient", "Drug", "LifestyleFactor", "BodySystem", "AgeRelatedChange", "LifeStage", "Study", "Biomarker", "ClinicalTrial", "Mechanism",
     "BiochemicalPathway", "PopulationGroup", "Microbiome", "Metabolite",
 ]
 REJECT_TYPES = ["algorithm", "healthcare_facility", "healthcarefacility", "material", "organism", "pathogen", "task", "technology", "thing"]
-#: Words for a type, by type; spaces count as underscores.
-TYPE_WORDS = {
-    "Disease": "condition, medical condition, health condition, health outcome, healthoutcome, outcome, nutrient deficiency, nutrientdeficiency",
-    "Symptom": "cognitive function, cognitivefunction, adverse event, adverseevent",
-    "Food": "dietary pattern, dietarypattern, diet pattern, diet, meal, beverage",
-    "Nutrient": "protein, amino acid, mineral, vitamin, supplement, dietary supplement, nutraceutical, phytochemical, chemical",
-    "Drug": "drug/treatment, treatment, therapy, medication, pharmaceutical, intervention, device, dosage, procedure",
-    "LifestyleFactor": "exercise, physical activity, behavior, behaviour",
-    "BodySystem": "organ, organ system, cell, celltype, cell type, cellpopulation, cell population",
-    "AgeRelatedChange": "lifestagerelatedchange, lifestage related change",
-    "Biomarker": "health metric, healthmetric, clinical marker, lab test, lab value, biological marker, gene, genetic factor, geneticfactor, variant, property",
-    "ClinicalTrial": "trial",
-    "Mechanism": "biological process, biologicalprocess, process, molecular mechanism",
-    "BiochemicalPathway": "pathway, signaling pathway, metabolic pathway, biological pathway",
-    "PopulationGroup": "population, patient group, patientgroup, study group, demographic",
-    "Microbiome": "microorganism, gut bacteria, bacteria, probiotic species, microbial species, gut microbe",
-    "Metabolite": "microbial metabolite, gut metabolite, short chain fatty acid, scfa, postbiotic, dietary metabolite",
-}
+#: Lower-case spellings of each type; a blank or hyphen counts as an underscore.
+TYPE_ALIASES = {
+    "disease": "Disease", "condition": "Disease", "medical_condition": "Disease", "health_condition": "Disease", "health_outcome": "Disease", "healthoutcome": "Disease",
+    "outcome": "Disease", "nutrient_deficiency": "Disease", "nutrientdeficiency": "Disease",
+    "symptom": "Symptom", "cognitive_function": "Symptom", "cognitivefunction": "Symptom", "adverse_event": "Symptom", "adverseevent": "Symptom",
+    "food": "Food", "dietary_pattern": "Food", "dietarypattern": "Food", "diet_pattern": "Food", "diet": "Food", "meal": "Food", "beverage": "Food",
+    "nutrient": "Nutrient", "protein": "Nutrient", "amino_acid": "Nutrient", "mineral": "Nutrient", "vitamin": "Nutrient", "supplement": "Nutrient",
+    "dietary_supplement": "Nutrient", "nutraceutical": "Nutrient", "phytochemical": "Nutrient", "chemical": "Nutrient",
+    "drug": "Drug", "drug/treatment": "Drug", "treatment": "Drug", "therapy": "Drug", "medication": "Drug", "pharmaceutical": "Drug", "intervention": "Drug",
+    "device": "Drug", "dosage": "Drug", "procedure": "Drug",
+    "lifestylefactor": "LifestyleFactor", "lifestyle_factor": "LifestyleFactor", "exercise": "LifestyleFactor", "physical_activity": "LifestyleFactor",
+    "behavior": "LifestyleFactor", "behaviour": "LifestyleFactor",
+    "bodysystem": "BodySystem", "body_system": "BodySystem", "organ": "BodySystem", "organ_system": "BodySystem", "cell": "BodySystem", "celltype": "BodySystem",
+    "cell_type": "BodySystem", "cellpopulation": "BodySystem", "cell_population": "BodySystem",
+    "agerelatedchange": "AgeRelatedChange", "age_related_change": "AgeRelatedChange", "lifestagerelatedchange": "AgeRelatedChange",
+    "lifestage_related_change": "AgeRelatedChange",
+    "lifestage": "LifeStage", "life_stage": "LifeStage",
+    "study": "Study",
+    "biomarker": "Biomarker", "health_metric": "Biomarker", "healthmetric": "Biomarker", "clinical_marker": "Biomarker", "lab_test": "Biomarker",
+    "lab_value": "Biomarker", "biological_marker": "Biomarker", "gene": "Biomarker", "genetic_factor": "Biomarker", "geneticfactor": "Biomarker", "variant": "Biomarker",
+    "property": "Biomarker",
+    "clinicaltrial": "ClinicalTrial", "clinical_trial": "ClinicalTrial", "trial": "ClinicalTrial",
+    "mechanism": "Mechanism", "biological_process": "Mechanism", "biologicalprocess": "Mechanism", "process": "Mechanism", "molecular_mechanism": "Mechanism",
+    "biochemicalpathway": "BiochemicalPathway", "biochemical_pathway": "BiochemicalPathway", "pathway": "BiochemicalPathway", "signaling_pathway": "BiochemicalPathway",
+    "metabolic_pathway": "BiochemicalPathway", "biological_pathway": "BiochemicalPathway",
+    "populationgroup": "PopulationGroup", "population_group": "PopulationGroup", "population": "PopulationGroup", "patient_group": "PopulationGroup",
+    "patientgroup": "PopulationGroup", "study_group": "PopulationGroup", "demographic": "PopulationGroup",
+    "microbiome": "Microbiome", "microorganism": "Microbiome", "gut_bacteria": "Microbiome", "bacteria": "Microbiome", "probiotic_species": "Microbiome",
+    "microbial_species": "Microbiome", "gut_microbe": "Microbiome",
+    "metabolite": "Metabolite", "microbial_metabolite": "Metabolite", "gut_metabolite": "Metabolite", "short_chain_fatty_acid": "Metabolite", "scfa": "Metabolite",
+    "postbiotic": "Metabolite", "dietary_metabolite": "Metabolite",
+}
 PREDICATES = [
     "PREVENTS", "CAUSES", "TREATS", "CONTAINS", "AGGRAVATES", "REDUCES_RISK_OF", "ALLEVIATES", "EARLY_SIGNAL_OF", "SUBSTITUTES_FOR", "COMPLEMENTS_DRUG", "AFFECTS", "PART_OF", "OCCURS_AT",
     "INCREASES_RISK_OF", "MODIFIABLE_BY", "EXPLAINS_WHY", "BIOMARKER_FOR", "INCREASES_BIOMARKER", "DECREASES_BIOMARKER", "CONTRAINDICATED_WITH", "TARGETS_MECHANISM", "STUDIED_IN", "PRODUCES", "MODULATES_MICROBIOME",
 ]
-PREDICATE_WORDS = {
-    "AGGRAVATES": "WORSENS, EXACERBATES", "ALLEVIATES": "IMPROVES, MITIGATES", "TARGETS_MECHANISM": "INHIBITS, ACTIVATES, MODULATES, REGULATES", "INCREASES_RISK_OF": "PROMOTES", "REDUCES_RISK_OF": "SUPPRESSES",
-    "PREVENTS": "PROTECTS_AGAINST", "CONTAINS": "IS_COMPONENT_OF", "BIOMARKER_FOR": "MARKER_FOR, INDICATES", "MODULATES_MICROBIOME": "ENRICHES, DEPLETES, INCREASES_ABUNDANCE, DECREASES_ABUNDANCE", "PRODUCES": "GENERATES, FERMENTS_TO",
+#: Upper-case spellings of each predicate.
+PREDICATE_ALIASES = {
+    "WORSENS": "AGGRAVATES", "EXACERBATES": "AGGRAVATES",
+    "IMPROVES": "ALLEVIATES", "MITIGATES": "ALLEVIATES",
+    "INHIBITS": "TARGETS_MECHANISM", "ACTIVATES": "TARGETS_MECHANISM", "MODULATES": "TARGETS_MECHANISM", "REGULATES": "TARGETS_MECHANISM",
+    "PROMOTES": "INCREASES_RISK_OF",
+    "SUPPRESSES": "REDUCES_RISK_OF",
+    "PROTECTS_AGAINST": "PREVENTS",
+    "IS_COMPONENT_OF": "CONTAINS",
+    "MARKER_FOR": "BIOMARKER_FOR", "INDICATES": "BIOMARKER_FOR",
+    "ENRICHES": "MODULATES_MICROBIOME", "DEPLETES": "MODULATES_MICROBIOME", "INCREASES_ABUNDANCE": "MODULATES_MICROBIOME", "DECREASES_ABUNDANCE": "MODULATES_MICROBIOME",
+    "GENERATES": "PRODUCES", "FERMENTS_TO": "PRODUCES",
 }
 WEAK_PREDICATES = ["ASSOCIATED_WITH", "LINKED_TO", "CORRELATED_WITH", "RELATES_TO", "AFFECTS"]
-ABBREVIATIONS = "ra ms uc oa mi uv sle t1d gad hba1c crp ldl hdl bmi tg crc amd copd ptsd ckd mdd ibs cvd egfr nafld gerd nsclc fbg sbp dbp a1c".split()
-VAGUE_NAMES = (
-    "patients, patient, humans, human, adults, adult, children, child, people, person, individuals, individual, subjects, subject, participants, participant, population, group, groups, women, men, woman, man, "
-    "elderly, seniors, control group, treatment group, study group, healthy subjects, healthy adults, healthy individuals, older adults, young adults, volunteers, intervention group, placebo group, control, "
-    "intervention, experimental group, samples, cases, cohort, body, guidelines, publications, standards, proof, data, biological samples, metabolite profiles, gram-negative bacteria, gram-positive bacteria, "
-    "bacteria, microorganisms, microbes, organisms, lipids, metabolites, proteins, compounds, physiological states, microbiome data, wide geographic distribution, geographically distinct clades, microbial signals, "
-    "microbial signal-related genes, growth of beneficial taxa, proliferation of beneficial bacteria, unique metabolomic effects, downstream catabolites"
-).split(", ")
-STRENGTH_WORDS = {
-    5: "rct, randomized_controlled_trial, randomized controlled trial", 4: "meta_analysis, meta-analysis, systematic_review, systematic review",
-    3: "cohort, prospective cohort, retrospective cohort, observational, case_control, case-control", 2: "cross_sectional, cross-sectional, review, narrative review",
+ABBREVIATIONS = [
+    "ra", "ms", "uc", "oa", "mi", "uv", "sle", "t1d", "gad", "hba1c", "crp", "ldl", "hdl", "bmi", "tg", "crc", "amd", "copd", "ptsd", "ckd", "mdd", "ibs", "cvd", "egfr",
+    "nafld", "gerd", "nsclc", "fbg", "sbp", "dbp", "a1c",
+]
+VAGUE_NAMES = [
+    "patients", "patient", "humans", "human", "adults", "adult", "children", "child", "people", "person", "individuals", "individual", "subjects", "subject",
+    "participants", "participant", "population", "group", "groups", "women", "men", "woman", "man", "elderly", "seniors", "control group", "treatment group",
+    "study group", "healthy subjects", "healthy adults", "healthy individuals", "older adults", "young adults", "volunteers", "intervention group", "placebo group",
+    "control", "intervention", "experimental group", "samples", "cases", "cohort", "body", "guidelines", "publications", "standards", "proof", "data",
+    "biological samples", "metabolite profiles", "gram-negative bacteria", "gram-positive bacteria", "bacteria", "microorganisms", "microbes", "organisms", "lipids",
+    "metabolites", "proteins", "compounds", "physiological states", "microbiome data", "wide geographic distribution", "geographically distinct clades",
+    "microbial signals", "microbial signal-related genes", "growth of beneficial taxa", "proliferation of beneficial bacteria", "unique metabolomic effects",
+    "downstream catabolites",
+]
+#: Strength of evidence by its kind.
+STRENGTHS = {
+    "rct": 5, "randomized_controlled_trial": 5, "randomized controlled trial": 5,
+    "meta_analysis": 4, "meta-analysis": 4, "systematic_review": 4, "systematic review": 4,
+    "cohort": 3, "prospective cohort": 3, "retrospective cohort": 3, "observational": 3, "case_control": 3, "case-control": 3,
+    "cross_sectional": 2, "cross-sectional": 2, "review": 2, "narrative review": 2,
 }
 EVIDENCE_PATTERNS = [
     (r"\bmeta[\-\s]?analysis\b", "meta-analysis"), (r"\bsystematic[\s_]review\b", "systematic review"), (r"\brandomized[\s_]controlled[\s_]trial\b", "RCT"), (r"\brandomised[\s_]controlled[\s_]trial\b", "RCT"),
@@ -60,18 +91,6 @@ EVIDENCE_PATTERNS = [
     (r"\bcohort[\s_]study\b", "cohort"), (r"\bcross[\-\s]sectional\b", "cross-sectional"), (r"\bcase[\-\s]control\b", "case-control"), (r"\bobservational[\s_]study\b", "observational"), (r"\breview\b", "review"),
 ]
 
-# ---- tables that follow from them ----
-
-
-def _spread(words: dict, form=lambda w: w) -> dict:
-    return {form(w): k for k, v in words.items() for w in v.split(", ")}
-
-
-#: Every type also goes by its own name in lower case, with and without underscores.
-TYPE_ALIASES = {f: t for t in ENTITY_TYPES for f in (t.lower(), re.sub(r"(?<!^)(?=[A-Z])", "_", t).lower())} | _spread(TYPE_WORDS, lambda w: w.replace(" ", "_"))
-PREDICATE_ALIASES = _spread(PREDICATE_WORDS)
-STRENGTHS = _spread(STRENGTH_WORDS)
-
 
 def lookup(table: dict, key: Column) -> Column:
     """The table's value for a column, null where it has none."""

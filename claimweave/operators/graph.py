@@ -88,17 +88,33 @@ def drop_noise_nodes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Dat
 
 
 def neighborhood(edges: DataFrame, starts: DataFrame, hops: int = 1, limit: int = 80) -> DataFrame:
-    """Undirected edges around each start (label, name) up to hops away, one per (pair, rel), at most limit per start."""
-    links = edges.select("src", "rel", "dst").distinct()
-    both = links.select(F.col("src").alias("a"), "rel", F.col("dst").alias("b"), "src", "dst").unionByName(links.select(F.col("dst").alias("a"), "rel", F.col("src").alias("b"), "src", "dst"))
+    """Undirected edges around each start (label, name) up to hops away, one per (pair, rel), the first `limit` per start by hop, x, rel, y.
+
+    A node hands on only its first hops * limit edges, and only starts that still lack edges go a hop
+    further: the first `limit` of a start are among those, whatever the degree of a hub.
+    """
+    links = edges.select(F.least("src", "dst").alias("x"), "rel", F.greatest("src", "dst").alias("y")).distinct()
+    both = links.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "x", "rel", "y")
+    first = Window.partitionBy("a").orderBy("x", "rel", "y")
+    own = both.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= hops * limit).drop("rn")
+    around = Window.partitionBy("start").orderBy("hop", "x", "rel", "y")
+    best = lambda df: df.groupBy("start", "x", "rel", "y").agg(F.min("hop").alias("hop")).withColumn("rn", F.row_number().over(around)).where(F.col("rn") <= limit)
     reach = starts.select(F.col("name").alias("start"), F.col("name").alias("a")).distinct()
     found = None
     for hop in range(1, hops + 1):
-        step = reach.join(both, "a").select("start", F.lit(hop).alias("hop"), "b", F.least("src", "dst").alias("x"), "rel", F.greatest("src", "dst").alias("y"))
-        found = step if found is None else found.unionByName(step)
-        reach = step.select("start", F.col("b").alias("a")).distinct()
-    once = found.groupBy("start", "x", "rel", "y").agg(F.min("hop").alias("hop"))
-    return once.withColumn("rn", F.row_number().over(Window.partitionBy("start").orderBy("hop", "x", "rel", "y"))).where(F.col("rn") <= limit).drop("rn")
+        step = reach.join(own, "a").select("start", F.lit(hop).alias("hop"), "x", "rel", "y")
+        found = best(step if found is None else found.unionByName(step)).drop("rn")
+        if hop < hops:
+            open_ = found.groupBy("start").agg(F.count("*").alias("n")).where(F.col("n") < limit).select("start")
+            ends = found.where(F.col("hop") == hop).select("start", F.explode(F.array("x", "y")).alias("a"))
+            reach = ends.join(open_, "start", "left_semi").distinct()
+    return found
+
+
+def neighborhood_nodes(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """start, label, name, display_name: the nodes at the ends of neighborhood()'s edges, each once per start."""
+    ends = found.select("start", F.explode(F.array("x", "y")).alias("name")).distinct()
+    return ends.join(nodes.select("label", "name", "display_name"), "name").select("start", "label", "name", "display_name")
 
 
 def visible_subgraph(nodes: DataFrame, edges: DataFrame, labels: list[str], rels: list[str]) -> DataFrame:

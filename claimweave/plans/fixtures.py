@@ -26,8 +26,7 @@ SELECT CASE l_linenumber % 3 WHEN 0 THEN upper(s.name) WHEN 1 THEN s.name ELSE c
   CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE concat('Journal ', CAST(l_suppkey % 20 AS STRING)) END AS journal,
   substr(CAST(l_shipdate AS STRING), 1, 10) AS pub_date,
   CASE l_linestatus WHEN 'O' THEN '' ELSE CASE l_linenumber % 4 WHEN 0 THEN 'RCT' WHEN 1 THEN 'meta_analysis' WHEN 2 THEN 'cohort' ELSE 'review' END END AS evidence_type
-FROM lineitem CROSS JOIN np JOIN ent s ON s.p_partkey = l_partkey JOIN ent o ON o.p_partkey = (l_orderkey * 7 + l_suppkey * 13 + l_linenumber) % np.n
-WHERE {where}
+FROM lineitem JOIN ent s ON s.p_partkey = l_partkey JOIN ent o ON o.p_partkey = (l_orderkey * 7 + l_suppkey * 13 + l_linenumber) % (SELECT n FROM np)
 """
 ENT = """
 SELECT p_partkey, concat(p_name, ' ', replace(p_brand, 'Brand#', 'b')) AS name,
@@ -37,15 +36,14 @@ SELECT p_partkey, concat(p_name, ' ', replace(p_brand, 'Brand#', 'b')) AS name,
     WHEN 'gear' THEN 'Drug' WHEN 'gizmo' THEN 'Biomarker' ELSE 'Mechanism' END AS cls
 FROM part
 """
-SPARSE = "l_linenumber = 1"
-#: A one-row aggregate joined to every line is a count, not a product of tables.
+#: The number of parts is a scalar subquery, so that both joins stay joins by equality.
 _WITH = "WITH ent AS ({ent}), np AS (SELECT count(*) AS n FROM part)"
 
 
-def raw_claims(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
+def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part")}
     text = _WITH.format(ent=ENT.format(pos="instr(p_name, ' ')").replace("FROM part", "FROM {part}")).replace("(SELECT count(*) AS n FROM part)", "(SELECT count(*) AS n FROM {part})")
-    return spark.sql(text + RAW.format(where=SPARSE if sparse else "true").replace("FROM lineitem", "FROM {lineitem}"), **tables)
+    return spark.sql(text + RAW.replace("FROM lineitem", "FROM {lineitem}"), **tables)
 
 
 def _case(key: str, table: dict, default: str) -> str:
@@ -82,20 +80,19 @@ def infer_sql(c: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(lower({c}), '{p}') THEN '{k}'" for p, k in vocab.EVIDENCE_PATTERNS) + " END"
 
 
-def base_sql(sparse: bool = False) -> str:
-    """WITH list (without the word) up to nodes and edges, for DuckDB."""
-    raw = RAW.format(where=SPARSE if sparse else "true")
-    return f"""WITH ent AS ({ENT.format(pos="strpos(p_name, ' ')")}), np AS (SELECT count(*) AS n FROM part), raw AS ({raw}),
-norm AS (SELECT trim(subject) AS subject, coalesce({_type_sql("subject_type")}, 'Thing') AS subject_type, {_predicate_sql("predicate")} AS predicate, trim(object) AS object,
+def base_sql() -> str:
+    """WITH list (without the word) up to nodes and edges, for DuckDB; materialised, or each use would inline it anew."""
+    return f"""WITH ent AS MATERIALIZED ({ENT.format(pos="strpos(p_name, ' ')")}), np AS MATERIALIZED (SELECT count(*) AS n FROM part), raw AS MATERIALIZED ({RAW}),
+norm AS MATERIALIZED (SELECT trim(subject) AS subject, coalesce({_type_sql("subject_type")}, 'Thing') AS subject_type, {_predicate_sql("predicate")} AS predicate, trim(object) AS object,
   coalesce({_type_sql("object_type")}, 'Thing') AS object_type, context, source_id, 'PMC' AS source_type, journal, pub_date, trim(evidence_type) AS evidence_type FROM raw),
-claims AS (SELECT *, CASE WHEN trim(source_id) = '' THEN 'missing source_id' WHEN trim(context) = '' THEN 'missing context' WHEN {_vague_sql("subject")} THEN 'vague subject' WHEN {_vague_sql("object")} THEN 'vague object'
+claims AS MATERIALIZED (SELECT *, CASE WHEN trim(source_id) = '' THEN 'missing source_id' WHEN trim(context) = '' THEN 'missing context' WHEN {_vague_sql("subject")} THEN 'vague subject' WHEN {_vague_sql("object")} THEN 'vague object'
   WHEN predicate IN {_in(vocab.WEAK_PREDICATES)} THEN 'low-value predicate' WHEN lower(subject_type) IN {_in(vocab.REJECT_TYPES)} THEN 'rejected subject_type' WHEN subject_type NOT IN {_in(vocab.ENTITY_TYPES)} THEN 'unknown subject_type'
   WHEN lower(object_type) IN {_in(vocab.REJECT_TYPES)} THEN 'rejected object_type' WHEN object_type NOT IN {_in(vocab.ENTITY_TYPES)} THEN 'unknown object_type' END AS reject_rule FROM norm),
-valid AS (SELECT *, CAST({_strength_sql("evidence_type")} AS INTEGER) AS evidence_strength FROM claims WHERE reject_rule IS NULL),
-edges AS (SELECT * EXCLUDE (rn) FROM (SELECT subject_type AS src_label, lower(subject) AS src, predicate AS rel, object_type AS dst_label, lower(object) AS dst, source_id, context, source_type, journal, pub_date, evidence_type, evidence_strength,
+valid AS MATERIALIZED (SELECT *, CAST({_strength_sql("evidence_type")} AS INTEGER) AS evidence_strength FROM claims WHERE reject_rule IS NULL),
+edges AS MATERIALIZED (SELECT * EXCLUDE (rn) FROM (SELECT subject_type AS src_label, lower(subject) AS src, predicate AS rel, object_type AS dst_label, lower(object) AS dst, source_id, context, source_type, journal, pub_date, evidence_type, evidence_strength,
   row_number() OVER (PARTITION BY subject_type, lower(subject), predicate, object_type, lower(object), source_id ORDER BY pub_date DESC, context DESC, journal DESC, evidence_type DESC, evidence_strength DESC, source_type DESC) AS rn FROM valid) WHERE rn = 1),
-ends AS (SELECT subject_type AS label, lower(subject) AS name, subject AS display_name FROM valid UNION ALL SELECT object_type, lower(object), object FROM valid),
-nodes AS (SELECT label, name, max(display_name) AS display_name FROM ends GROUP BY label, name)"""
+ends AS MATERIALIZED (SELECT subject_type AS label, lower(subject) AS name, subject AS display_name FROM valid UNION ALL SELECT object_type, lower(object), object FROM valid),
+nodes AS MATERIALIZED (SELECT label, name, max(display_name) AS display_name FROM ends GROUP BY label, name)"""
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +103,8 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 USERS = """
 WITH ent AS ({ent}), np AS (SELECT count(*) AS n FROM {part}),
-picked AS (SELECT c_custkey, e.name, e.cls FROM {customer} CROSS JOIN np JOIN ent e ON e.p_partkey = (c_custkey * 3) % np.n OR e.p_partkey = (c_custkey * 11) % np.n
-  WHERE c_custkey % 10 <> 0 AND e.cls IN ('Disease', 'Symptom')),
+keys AS (SELECT c_custkey, (c_custkey * 3) % (SELECT n FROM np) AS k FROM {customer} WHERE c_custkey % 10 <> 0 UNION ALL SELECT c_custkey, (c_custkey * 11) % (SELECT n FROM np) FROM {customer} WHERE c_custkey % 10 <> 0),
+picked AS (SELECT c_custkey, e.name, e.cls FROM keys JOIN ent e ON e.p_partkey = k WHERE e.cls IN ('Disease', 'Symptom')),
 t AS (SELECT DISTINCT c_custkey, lower(name) AS name FROM picked)
 SELECT CAST(c.c_custkey AS BIGINT) AS user_id, CAST(20 + c.c_custkey % 60 AS INT) AS age, CASE c.c_custkey % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'M' ELSE '' END AS gender,
   CASE WHEN c.c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'paid' ELSE 'free' END AS plan, t.name AS term

@@ -39,9 +39,3 @@ def test_query(spark, duck, name):
     assert sorted(rel.columns) == cols
     assert got == sorted(tuple(plain(dict(zip(rel.columns, r, strict=True))[c]) for c in cols) for r in rel.fetchall())
 
-
-def test_every_sparse_query_has_one_on_all_claims():
-    sql = catalog.oracle_sql()
-    sparse = [n for n, (_, _, few) in catalog.GRAPH.items() if few]
-    assert len(sparse) == 18 and all(f"{n}_all_claims" in catalog.queries() for n in sparse)
-    assert all("WHERE l_linenumber = 1" not in sql[f"{n}_all_claims"] for n in sparse)
