@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordmemo import PieceEncoder, encode_words, piece_encoder
+from .wordmemo import PieceEncoder, encode_with_spans, encode_words, piece_encoder
 
 #: Tokens that must agree on either side of a join.
 RUN = 3
@@ -125,46 +125,63 @@ def encode_long(enc: PieceEncoder, text: str, leaf: int) -> np.ndarray:
 
 def _finish(enc: PieceEncoder, doc_ids: list, packed: list[bytes]) -> pa.RecordBatch:
     ids = [np.frombuffer(p, dtype=enc.dtype) for p in packed]
-    decoded = enc.tokenizer.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc_ids, pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()), pa.array(decoded, pa.string())],
+        [pa.array(doc_ids, pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()), enc.decode(ids)],
         names=["doc_id", "n_tokens", "ids", "decoded"],
     )
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit numbers by byte plane: small ones leave runs of zeros that a shuffle's compression takes away."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = 16384) -> DataFrame:
     """Ids (little-endian unsigned 32-bit, packed) and decoded text of every row of docs."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(spec)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    leaf_cols = "doc_id bigint, digest string, copies bigint, at bigint, part string, ids binary, gap binary, width binary"
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = piece_encoder(shared.value)
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                yield _finish(enc, part.column(0).to_pylist(), encode_words(enc, part.column(1).to_pylist()))
+            for k in range(0, b.num_rows, 2500):
+                part = b.slice(k, 2500)
+                yield _finish(enc, part.column(0).to_pylist(), encode_words(enc, part.column(1)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "digest", "at", "part"]
+        for b in batches:
+            for k in range(b.num_rows):
+                d, digest, text = (c[k].as_py() for c in b.columns)
+                at = borders(len(text), leaf_chars)
+                for m in range(0, len(at), 256):
+                    own, ends = at[m : m + 256], [*at[m + 1 : m + 257], len(text)]
+                    yield pa.RecordBatch.from_arrays([pa.array([d] * len(own), pa.int64()), pa.array([digest] * len(own)), pa.array(own, pa.int64()), pa.array([text[x:y] for x, y in zip(own, ends, strict=False)])], names=names)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = piece_encoder(shared.value)
+        enc = piece_encoder(shared.value, spans=True)
         for b in batches:
-            for k in range(0, b.num_rows, 16):
-                part = b.slice(k, 16).to_pydict()
-                got = enc.tokenizer.encode_batch(part["part"], add_special_tokens=False)
-                spans = [np.array(e.offsets, dtype="<u4").reshape(-1, 2) for e in got]
-                part["ids"] = [np.array(e.ids, dtype=enc.dtype).tobytes() for e in got]
-                part["gap"] = [np.diff(s[:, 0], prepend=0).astype("<u2" if leaf_chars < 65536 else "<u4").tobytes() for s in spans]
-                part["width"] = [(s[:, 1] - s[:, 0]).astype("<u2" if leaf_chars < 65536 else "<u4").tobytes() for s in spans]
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64).to_pydict()
+                got = [encode_with_spans(enc, t) for t in part["part"]]
+                part["ids"] = [i.tobytes() for i, _, _ in got]
+                part["gap"] = [_planes(np.diff(s, prepend=0)) for _, s, _ in got]
+                part["width"] = [_planes(e - s) for _, s, e in got]
                 yield pa.RecordBatch.from_pydict(part, schema=leaf_schema)
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         enc = piece_encoder(shared.value)
-        pdf = pdf.drop_duplicates("at").sort_values("at")
-        text, small = "".join(pdf["part"]), np.dtype("<u2" if leaf_chars < 65536 else "<u4")
-        tokens = []
+        pdf = pdf.sort_values("at")
+        text, tokens = "".join(pdf["part"]), []
         for at, ids, gap, width in zip(pdf["at"], pdf["ids"], pdf["gap"], pdf["width"], strict=True):
-            start = np.cumsum(np.frombuffer(gap, small).astype(np.int64)) + at
-            tokens.append(Tokens(np.frombuffer(ids, enc.dtype).astype(np.int64), start, start + np.frombuffer(width, small)))
+            start = np.cumsum(_from_planes(gap)) + at
+            tokens.append(Tokens(np.frombuffer(ids, enc.dtype).astype(np.int64), start, start + _from_planes(width)))
         whole = join_tree(enc, text, tokens, leaf_chars)
         done = _finish(enc, [None], [whole.ids.astype(enc.dtype).tobytes()]).to_pandas()
         done["doc_id"] = pd.array([None if pd.isna(key[0]) else int(key[0])], dtype="Int64")
@@ -173,32 +190,8 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
     leaf_schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("copies", pa.int64()), ("at", pa.int64()), ("part", pa.string()), ("ids", pa.binary()), ("gap", pa.binary()), ("width", pa.binary())])
     n_chars = F.length("text")
     direct = rows.where(n_chars <= leaf_chars).mapInArrow(short, OUT)
-    # Equal rows are joined once: the text itself is the same, so any of them serves.
-    long = rows.where(n_chars > leaf_chars).withColumn("digest", F.sha2("text", 256))
-    parts = (
-        long.groupBy("doc_id", "digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-        .withColumn("cuts", cut_points(n_chars, leaf_chars))
-        .select("doc_id", "digest", "copies", "text", "cuts", F.posexplode("cuts").alias("k", "at"))
-        .select("doc_id", "digest", "copies", F.col("at").cast("bigint").alias("at"), F.substring("text", F.col("at") + 1, F.coalesce(F.try_element_at("cuts", F.col("k") + 2), n_chars) - F.col("at")).alias("part"))
-    )
-    encoded = parts.repartition("doc_id", "digest", "at").mapInArrow(leaves, "doc_id bigint, digest string, copies bigint, at bigint, part string, ids binary, gap binary, width binary")
-    joined = encoded.groupBy("doc_id", "digest").applyInPandas(join, OUT)
+    # Equal rows are joined once: the text itself is the same, so any of their leaves serves.
+    parts = rows.where(n_chars > leaf_chars).select("doc_id", F.sha2("text", 256).alias("digest"), "text").mapInArrow(cut, "doc_id bigint, digest string, at bigint, part string")
+    once = parts.groupBy("doc_id", "digest", "at").agg(F.count("*").alias("copies"), F.first("part").alias("part")).select("doc_id", "digest", "copies", "at", "part")
+    joined = once.mapInArrow(leaves, leaf_cols).groupBy("doc_id", "digest").applyInPandas(join, OUT)
     return direct.unionByName(joined)
-
-
-def cut_points(n, leaf: int):
-    """borders() as a column: the starts of the leaves of a text of n characters.
-
-    The tree is unrolled level by level; a part that fits stays as it is.
-    """
-    level = F.array(F.struct(F.lit(0).alias("lo"), n.cast("int").alias("n")))
-    halves = lambda p: F.when(
-        p["n"] > leaf,
-        F.array(
-            F.struct(p["lo"].alias("lo"), F.floor(p["n"] / 2).cast("int").alias("n")),
-            F.struct((p["lo"] + F.floor(p["n"] / 2)).cast("int").alias("lo"), (p["n"] - F.floor(p["n"] / 2)).cast("int").alias("n")),
-        ),
-    ).otherwise(F.array(p))
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(n / leaf)).cast("int") + 1))
-    tree = F.aggregate(steps, level, lambda parts, _: F.flatten(F.transform(parts, halves)))
-    return F.transform(tree, lambda p: p["lo"])

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,7 +33,11 @@ from .wordmemo import encode_spaced, piece_encoder
 SHARD_BYTES = 1 << 20
 SHARD_DOCS = 32768
 BUCKET_KEYS = 8192
+#: Bytes of a Parquet row group: a lookup of few keys reads the groups that hold their buckets and shards.
+ROW_GROUP = 8 << 20
 NULL_KEY = -(2**63)
+#: Keys that get() takes at once.
+MANY = 1000
 SHARD_COLS = "part int, seq int, n_docs int, n_tokens bigint, doc_ids binary, lens binary, width int, payload binary"
 _SHARD = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("lens", pa.binary()), ("width", pa.int32()), ("payload", pa.binary())])
 
@@ -62,7 +66,7 @@ def _slots(h: np.ndarray, move: np.ndarray, n: int) -> np.ndarray:
 def build_mph(keys: np.ndarray) -> np.ndarray:
     """Displacements of a minimal perfect hash of distinct 64-bit keys onto 0..len(keys)-1.
 
-    Keys fall into about n/4 groups; groups are placed from the largest on, each under the first
+    Keys fall into about n/4 groups; groups are placed from the largest size on, each under a
     displacement that sends its keys to free, distinct slots.  Groups of one take what is left.
     """
     n = len(keys)
@@ -74,17 +78,23 @@ def build_mph(keys: np.ndarray) -> np.ndarray:
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     move, taken = np.zeros(n_groups, dtype=np.int64), np.zeros(n, dtype=bool)
     by_size = np.argsort(-sizes, kind="stable")
-    for g in by_size[: np.count_nonzero(sizes > 1)]:
-        own, d = h[order[first[g] : first[g] + sizes[g]]], 0
-        while True:
-            tries = np.arange(d, d + 8)
-            at = np.sort(_slots(own[None, :], tries[:, None], n), axis=1)
-            good = ~taken[at].any(axis=1) & (np.diff(at, axis=1) > 0).all(axis=1)
-            if good.any():
-                k = int(np.argmax(good))
-                move[g], taken[at[k]] = d + k, True
-                break
-            d += 8
+    for size in range(int(sizes.max(initial=0)), 1, -1):
+        open_, d, tries = np.flatnonzero(sizes == size), 0, 1
+        while len(open_):
+            # All groups of a size try the same displacements at once; of those that claim a slot the first one gets it.
+            own = np.repeat(h[order[first[open_][:, None] + np.arange(size)]], tries, axis=0)
+            at = _slots(own, np.tile(np.arange(d, d + tries), len(open_))[:, None], n)
+            good = ~taken[at].any(axis=1)
+            good[good] = (np.diff(np.sort(at[good], axis=1), axis=1) > 0).all(axis=1)
+            lines = np.flatnonzero(good)
+            lines = lines[np.unique(lines // tries, return_index=True)[1]]  # a group's first fit
+            slots, claim = np.unique(at[lines], return_index=True)
+            owner = dict(zip(slots.tolist(), (claim // size).tolist(), strict=True))
+            won = [k for k, row in enumerate(at[lines].tolist()) if all(owner[x] == k for x in row)]
+            move[open_[lines[won] // tries]] = d + lines[won] % tries
+            taken[at[lines[won]]] = True
+            open_, d = np.delete(open_, lines[won] // tries), d + tries
+            tries = min(64, max(1, 4096 // max(1, len(open_))))
     free = np.flatnonzero(~taken)
     move[by_size[np.count_nonzero(sizes > 1) : np.count_nonzero(sizes)]] = -1 - free
     return move
@@ -116,9 +126,9 @@ def write_store(docs: DataFrame, path: str, spec: str, id_col: str = "doc_id", t
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(one, _SHARD, strict=True)], schema=_SHARD)
 
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                doc_ids, texts = (c.to_pylist() for c in b.slice(k, 500).columns)
-                for d, packed in zip(doc_ids, encode_spaced(enc, texts, special), strict=True):
+            for k in range(0, b.num_rows, 2500):
+                part_rows = b.slice(k, 2500)
+                for d, packed in zip(part_rows.column(0).to_pylist(), encode_spaced(enc, part_rows.column(1), special), strict=True):
                     ids.append(packed + end)
                     keys.append(NULL_KEY if d is None else d)
                     held += len(packed) + len(end)
@@ -131,7 +141,7 @@ def write_store(docs: DataFrame, path: str, spec: str, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # The text's hash in the range key lets many rows of one doc_id spread over parts.
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered.mapInArrow(shards, SHARD_COLS).write.option("compression", "zstd").parquet(f"{path}/shards")
+    ordered.mapInArrow(shards, SHARD_COLS).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/shards")
     _write_starts(spark, path)
     _write_index(spark, path)
 
@@ -175,22 +185,41 @@ def _write_index(spark: SparkSession, path: str) -> None:
         return pd.DataFrame({"bucket": [key[0]], "n_keys": [len(keys)], "move": [move.astype("<i8").tobytes()], "prints": [prints.tobytes()], "first": [np.concatenate([[0], np.cumsum(counts)]).astype("<i4").tobytes()], "places": [pdf[["part", "seq", "ordinal", "n_rows"]].to_numpy(dtype="<i4").tobytes()]})
 
     entries = shards.select("part", "seq", "doc_ids").mapInArrow(places, "key bigint, part int, seq int, ordinal int, n_rows int")
-    index = entries.groupBy(_bucket("key", n_buckets).alias("bucket")).applyInPandas(build, "bucket int, n_keys int, move binary, prints binary, first binary, places binary")
-    index.withColumn("n_buckets", F.lit(n_buckets)).write.parquet(f"{path}/index")
+    # Buckets are dealt by range, a number of them fixed here, so that small ones are not merged into few tasks and files hold neighbouring buckets.
+    dealt = entries.withColumn("bucket", _bucket("key", n_buckets)).repartitionByRange(min(n_buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket")
+    index = dealt.groupBy("bucket").applyInPandas(build, "bucket int, n_keys int, move binary, prints binary, first binary, places binary")
+    index.withColumn("n_buckets", F.lit(n_buckets)).write.option("parquet.block.size", ROW_GROUP // 8).parquet(f"{path}/index")
 
 
 # ---- reading -----------------------------------------------------------------------------------
 
 
-def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
+def _any_of(tests: list) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+def get(spark: SparkSession, path: str, keys: list[int | None]) -> DataFrame:
+    """lookup() of a few keys, at most MANY: filters on bucket and shard reach the scans, so one key reads one row group of the index and of the shards."""
+    if len(set(keys)) > MANY:
+        raise ValueError(f"more than {MANY} keys: use lookup()")
+    wanted = spark.createDataFrame([(k,) for k in set(keys)], "doc_id bigint")
+    return lookup(spark, path, wanted, few=True)
+
+
+def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_id", few: bool = False) -> DataFrame:
     """Rows of the store for the distinct keys: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit, packed).
 
-    Keys that the store lacks give no row.
+    Keys that the store lacks give no row.  few: the keys are at most MANY; their buckets and places are named to the scans.
     """
     index = spark.read.parquet(f"{path}/index")
-    first = index.select("n_buckets").first()
-    n_buckets = first["n_buckets"] if first else 1
+    one = index.select("n_buckets").first()
+    n_buckets = one["n_buckets"] if one else 1
     wanted = keys.select(F.coalesce(F.col(key_col).cast("bigint"), F.lit(NULL_KEY)).alias("key")).distinct()
+    if few:
+        index = index.where(F.col("bucket").isin([r[0] for r in wanted.select(_bucket("key", n_buckets)).distinct().collect()]))
     asked = wanted.groupBy(_bucket("key", n_buckets).alias("bucket")).agg(F.collect_list("key").alias("keys"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +252,12 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "start", "n_tokens", "ids"])
 
     hits = asked.join(index, "bucket").select("keys", "n_keys", "move", "prints", "first", "places").mapInArrow(probe, "key bigint, part int, seq int, ordinal int, n_rows int")
+    if few:
+        hits = hits.persist()
     by_shard = hits.groupBy("part", "seq").agg(F.collect_list(F.struct("key", "ordinal", "n_rows")).alias("hits"))
     shards = spark.read.parquet(f"{path}/shards").select("part", "seq", "doc_ids", "lens", "width", "payload")
+    if few:
+        spots = hits.select("part", "seq").distinct().collect()
+        shards = shards.where(_any_of([(F.col("part") == p) & (F.col("seq") == q) for p, q in spots]))
     found = by_shard.join(shards, ["part", "seq"]).join(spark.read.parquet(f"{path}/starts"), ["part", "seq"])
     return found.select("start", "hits", "doc_ids", "lens", "width", "payload").mapInArrow(slices, "doc_id bigint, start bigint, n_tokens bigint, ids binary")

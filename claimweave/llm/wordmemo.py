@@ -3,96 +3,212 @@
 Both tokenizers here cut a text into pre-tokens before they merge, and no merge crosses a pre-token.
 A text may therefore be cut at any place that is a pre-token border in every context, its pieces
 encoded one by one, and the ids joined: the ids are those of the whole text.  The pieces repeat a
-great deal, so a memo of piece -> ids replaces most of the work of the library.
+great deal, so a batch of texts is cut by Arrow, only its distinct pieces are looked up in the memo,
+only those that it lacks go through the library, many in one call, and numpy lays the ids out.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
+from operator import itemgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Pieces longer than this are encoded but not kept.
 KEEP_CHARS = 48
-#: Pieces that one process keeps; beyond it those not used of late are dropped.
-KEEP_PIECES = 300_000
+#: Pieces that one process keeps: those used among the last half of as many.
+KEEP_PIECES = 600_000
+#: Pieces that go through the library as one text.
+JOINED = 1000
+#: Bytes of texts that are laid out at once.
+BATCH_BYTES = 4_000_000
 _LOADED: dict[str, PieceEncoder] = {}
 
 
 class PieceEncoder:
-    """ids (packed) of pieces that stand behind `before`, by one tokenizer."""
+    """ids (packed) of pieces that stand behind `before`, by one tokenizer; with their spans if asked for."""
 
-    def __init__(self, spec: str, before: str = ""):
+    def __init__(self, spec: str, before: str = "", spans: bool = False):
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.ids: dict[str, bytes] = {}
-        self.before = before
-
-    def pack(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of(self, texts: list[list[str]]) -> list[list[bytes]]:
-        """ids of the pieces of each text.  Only what the memo lacks is touched one by one."""
-        if len(self.ids) > KEEP_PIECES:
-            # Dictionaries keep their order of entry: the older half goes, and comes back where it is needed.
-            self.ids = dict(list(self.ids.items())[KEEP_PIECES // 2 :])
-        out = [list(map(self.ids.get, parts)) for parts in texts]
-        gaps: dict[str, list[tuple[list, int]]] = {}
-        for parts, got in zip(texts, out, strict=True):
-            at = -1
-            for _ in range(got.count(None)):
-                at = got.index(None, at + 1)
-                gaps.setdefault(parts[at], []).append((got, at))
-        packed = self.pack([self.before + p for p in gaps] if self.before else list(gaps))
-        for (p, places), ids in zip(gaps.items(), packed, strict=True):
-            for got, at in places:
-                got[at] = ids
-            if len(p) <= KEEP_CHARS:
-                self.ids[p] = ids
-        return out
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
+        self.before, self.spans = before, spans
+        self.keep = KEEP_PIECES // 4 if spans else KEEP_PIECES
+        self.ids: dict[str, bytes | tuple[bytes, bytes]] = {}
+        self.older: dict[str, bytes | tuple[bytes, bytes]] = {}
+        self.names = pa.array([self.tokenizer.id_to_token(i) or "" for i in range(size)]) if self.tokenizer.decoder is None else None
 
     def whole(self, text: str) -> bytes:
         """ids of one text straight from the library."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
+    def _library(self, texts: list[list[str]]) -> list:
+        """ids (and spans) of the pieces of each text, where a text is its pieces one after another, each behind `before` or a blank."""
+        gap, wide, out = self.before or " ", self.dtype.itemsize, []
+        for pieces, e in zip(texts, self.tokenizer.encode_batch([self.before + gap.join(p) for p in texts], add_special_tokens=False), strict=True):
+            length = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) + len(gap)
+            first = np.cumsum(length) - length  # where the piece, or what stands before it, begins
+            ids, spans = e.ids, e.offsets
+            at = np.fromiter(map(itemgetter(0), spans), dtype=np.int64, count=len(ids))
+            ends = np.searchsorted(at, np.append(first[1:], np.iinfo(np.int64).max))
+            packed, cuts = np.array(ids, dtype=self.dtype).tobytes(), [0, *ends.tolist()]
+            own = [packed[a * wide : b * wide] for a, b in zip(cuts, cuts[1:], strict=False)]
+            if self.spans:
+                stop = np.fromiter(map(itemgetter(1), spans), dtype=np.int64, count=len(ids))
+                rel = (np.stack([at, stop], axis=1) - np.repeat(first, np.diff(cuts))[:, None]).astype("<u4").tobytes()
+                own = [(i, rel[a * 8 : b * 8]) for i, a, b in zip(own, cuts, cuts[1:], strict=False)]
+            out += own
+        return out
 
-def piece_encoder(spec: str, before: str = "") -> PieceEncoder:
+    def of(self, pieces: list[str]) -> list:
+        """What the memo has of each (distinct) piece; what it lacks goes through the library."""
+        if len(self.ids) > self.keep // 2:
+            self.older, self.ids = self.ids, {}
+        got = list(map(self.ids.get, pieces))
+        gaps = []
+        for k in [k for k, g in enumerate(got) if g is None]:
+            p = pieces[k]
+            if p in self.older:
+                got[k] = self.ids[p] = self.older[p]
+            else:
+                gaps.append(k)
+        # White space at a piece's border, or a very long piece, must not meet its neighbours.
+        odd = {k for k in gaps if (p := pieces[k]).strip() != p or not p or len(p) > KEEP_CHARS}
+        plain = [k for k in gaps if k not in odd] if odd else gaps
+        groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)] + [[k] for k in odd]
+        for at in range(0, len(groups), 16):
+            some = groups[at : at + 16]
+            for k, entry in zip([k for g in some for k in g], self._library([[pieces[k] for k in g] for g in some]), strict=True):
+                got[k] = entry
+        for k in plain:
+            self.ids[pieces[k]] = got[k]
+        return got
+
+    def decode(self, ids: list[np.ndarray]) -> pa.Array:
+        """The texts of several sequences of ids, special tokens included."""
+        if self.names is None:
+            return pa.array(self.tokenizer.decode_batch([i.tolist() for i in ids], skip_special_tokens=False), pa.string())
+        # A tokenizer without a decoder joins its tokens by blanks.
+        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=self.dtype)
+        offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), self.names.take(pa.array(flat))), " ")
+
+
+def piece_encoder(spec: str, before: str = "", spans: bool = False) -> PieceEncoder:
     """The process's encoder for a tokenizer given as its JSON text."""
-    key = f"{len(spec)}:{hash(spec)}:{before}"
+    key = f"{len(spec)}:{hash(spec)}:{before}:{spans}"
     if key not in _LOADED:
-        _LOADED[key] = PieceEncoder(spec, before)
+        _LOADED[key] = PieceEncoder(spec, before, spans)
     return _LOADED[key]
 
 
+def _gather(values: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """values[first[k] : first[k] + length[k]] for all k, one after another."""
+    end = np.cumsum(length)
+    return values[np.repeat(first - (end - length), length) + np.arange(end[-1] if len(end) else 0)]
+
+
+def _lay_out(enc: PieceEncoder, entries: list[bytes], which: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """ids of texts whose pieces are entries[which[cuts[k] : cuts[k + 1]]]."""
+    length = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries)) // enc.dtype.itemsize
+    flat, n = np.frombuffer(b"".join(entries), dtype=enc.dtype), length[which]
+    ids = _gather(flat, (np.cumsum(length) - length)[which], n).tobytes()
+    ends = (np.concatenate([[0], np.cumsum(n)])[cuts] * enc.dtype.itemsize).tolist()
+    return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _batches(texts: list[str] | pa.Array):
+    """Slices of texts of about BATCH_BYTES, as Arrow arrays."""
+    rows = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    size = np.cumsum(pc.binary_length(rows).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(rows):
+        stop = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + BATCH_BYTES, side="right")))
+        yield rows.slice(first, stop - first)
+        first = stop
+
+
 #: A blank that may not start a pre-token of its own: white space on its left, none but white space or the end right.
-_UNSAFE = re.compile(r"\s \s|\s \Z")
+_UNSAFE = r"[\s\v\x{1c}-\x{1f}\x{85}\pZ] (?:[\s\v\x{1c}-\x{1f}\x{85}\pZ]|\z)"
 
 
-def encode_spaced(enc: PieceEncoder, texts: list[str], special: str | None = None) -> list[bytes]:
-    """ids of whole texts by a byte-level tokenizer whose pre-tokens take one leading blank.
+def encode_spaced(enc: PieceEncoder, texts: list[str] | pa.Array, special: str | None = None) -> list[bytes]:
+    """ids of whole texts by a byte-level tokenizer whose pre-tokens take one leading blank (enc.before).
 
     A blank starts a pre-token if what follows is no white space (the blank joins it) or if what
     precedes is none (a white-space run starts).  Texts with another kind of blank, or that hold
     the special token's string, go through the library whole.
     """
-    plan = [None if _UNSAFE.search(t) or (special and special in t) else t.split(" ") for t in texts]
-    # The memo is of pieces after a blank; the first piece of a text has none.
-    first = iter(enc.pack([parts[0] for parts in plan if parts]))
-    rest = iter(enc.of([parts[1:] for parts in plan if parts]))
-    return [enc.whole(t) if parts is None else next(first) + b"".join(next(rest)) for t, parts in zip(texts, plan, strict=True)]
-
-
-#: White space that str.split() knows and the tokenizer's pattern may not.
-_ODD_BLANK = re.compile("[\x1c-\x1f\x85]")
-
-
-def encode_words(enc: PieceEncoder, texts: list[str]) -> list[bytes]:
+    out: list[bytes] = []
+    for rows in _batches(texts):
+        odd = pc.match_substring_regex(rows, _UNSAFE).to_numpy(zero_copy_only=False)
+        if special:
+            odd = odd | pc.match_substring(rows, special).to_numpy(zero_copy_only=False)
+        pieces = pc.split_pattern(rows.filter(pa.array(~odd)), " ")
+        coded = pieces.flatten().dictionary_encode()
+        cuts, which = pieces.offsets.to_numpy().astype(np.int64), coded.indices.to_numpy().astype(np.int64)
+        cuts -= cuts[0] if len(cuts) else 0
+        # The memo is of pieces after a blank; the first piece of a text has none.
+        words = coded.dictionary.to_pylist()
+        firsts = sorted({words[k] for k in which[cuts[:-1]]})
+        place = {w: len(words) + k for k, w in enumerate(firsts)}
+        heads = [place[words[k]] for k in which[cuts[:-1]]]
+        inside = np.ones(len(which), dtype=bool)
+        inside[cuts[:-1]] = False
+        used = np.flatnonzero(np.bincount(which[inside], minlength=len(words)))
+        entries: list[bytes] = [b""] * len(words)
+        for k, e in zip(used.tolist(), enc.of([words[k] for k in used]), strict=True):
+            entries[k] = e
+        packed = [np.array(e.ids, dtype=enc.dtype).tobytes() for e in enc.tokenizer.encode_batch_fast(firsts, add_special_tokens=False)]
+        which[cuts[:-1]] = heads
+        done = iter(_lay_out(enc, entries + packed, which, cuts))
+        out += [enc.whole(rows[k].as_py()) if o else next(done) for k, o in enumerate(odd.tolist())]
+    return out
+
+
+#: White space that Arrow and str.split() know and the tokenizer's pattern does not.
+_ODD_BLANK = re.compile("[\x1c-\x1f]")
+
+
+def encode_words(enc: PieceEncoder, texts: list[str] | pa.Array) -> list[bytes]:
     """ids of whole texts by a tokenizer that drops white space and never joins across it."""
-    plan = [None if _ODD_BLANK.search(t) else t.split() for t in texts]
-    got = iter(enc.of([parts for parts in plan if parts is not None]))
-    return [enc.whole(t) if parts is None else b"".join(next(got)) for t, parts in zip(texts, plan, strict=True)]
+    out: list[bytes] = []
+    for rows in _batches(texts):
+        odd = pc.match_substring_regex(rows, r"[\x{1c}-\x{1f}]").to_numpy(zero_copy_only=False)
+        pieces = pc.utf8_split_whitespace(rows.filter(pa.array(~odd)))
+        coded = pieces.flatten().dictionary_encode()
+        cuts, which = pieces.offsets.to_numpy().astype(np.int64), coded.indices.to_numpy().astype(np.int64)
+        cuts -= cuts[0] if len(cuts) else 0
+        words = coded.dictionary.to_pylist()
+        full = [k for k, w in enumerate(words) if w]  # splitting leaves empty pieces at the ends
+        entries: list[bytes] = [b""] * len(words)
+        for k, e in zip(full, enc.of([words[k] for k in full]), strict=True):
+            entries[k] = e
+        done = iter(_lay_out(enc, entries, which, cuts))
+        out += [enc.whole(rows[k].as_py()) if o else next(done) for k, o in enumerate(odd.tolist())]
+    return out
+
+
+_WORD = re.compile(r"\S+")
+
+
+def encode_with_spans(enc: PieceEncoder, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, first and last character (exclusive) of each token of one text, for a tokenizer as in encode_words (enc.spans set)."""
+    if _ODD_BLANK.search(text):
+        e = enc.tokenizer.encode(text, add_special_tokens=False)
+        at = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
+        return np.array(e.ids, dtype=enc.dtype), at[:, 0], at[:, 1]
+    found = [(m.group(), m.start()) for m in _WORD.finditer(text)]
+    index: dict[str, int] = {}
+    which = np.fromiter((index.setdefault(w, len(index)) for w, _ in found), dtype=np.int64, count=len(found))
+    entries = enc.of(list(index))
+    ids, spans = (np.frombuffer(b"".join(e[k] for e in entries), dtype=t) for k, t in ((0, enc.dtype), (1, "<u4")))
+    length = np.fromiter((len(e[0]) for e in entries), dtype=np.int64, count=len(entries)) // enc.dtype.itemsize
+    first, n = (np.cumsum(length) - length)[which], length[which]
+    rel, at = _gather(spans.reshape(-1, 2), first, n), np.repeat(np.fromiter((s for _, s in found), dtype=np.int64, count=len(found)), n)
+    return _gather(ids, first, n), rel[:, 0] + at, rel[:, 1] + at
