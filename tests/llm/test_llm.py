@@ -213,39 +213,68 @@ def test_pair_identity():
     assert abs(m.score(hashed, stats) - 1 / (1 + np.exp(-pairs))) < 1e-5
 
 
-def test_lm(spark):
-    rows = [(i, "the cat sat on the mat" if i % 2 else "A dog sat") for i in range(40)] + [(50, None), (51, ""), (None, "new words here"), (1, "the cat sat on the mat")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    learn = df.where("doc_id % 3 <> 0")
-    for freq in (5e-7, 0.1):
-        model = ngram_lm.train(learn, ngram_lm.word_counts(learn), min_freq=freq)
-        c = Counter(w for i, t in rows if i is not None and i % 3 for w in [*(t or "").lower().split(), "</s>"])
-        n, v = sum(c.values()), len(c)
-        got = ngram_lm.score(df, model).collect()
-        assert len(got) == len(rows)
-        text = dict(rows)
-        for r in got:
-            words = [*(text[r.doc_id] or "").lower().split(), "</s>"]
-            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(w in c for w in words), n)
-            assert abs(r.base_score - sum(np.log10((c[w] + 1) / (n + v + 1)) for w in words)) < 1e-6
-            assert r.score < 0
-
-
-def test_lm_of_all_counts(spark):
-    """The tables score as a trie does that holds every n-gram."""
+def lm_by_hand(rows, size, part):
+    """score and counts of each (text, learn) row by dictionaries of counts."""
+    words = lambda t: (t or "").lower().split()
+    counts = Counter(w for t, y in rows if y for w in words(t))
+    n_docs, top = sum(y for _, y in rows), [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:size]]
+    number = {w: k + 3 for k, w in enumerate(top)}
+    rare = sum(n for w, n in counts.items() if w not in number)
+    v = ngram_lm.Vocabulary([w.encode() for w in top], [counts[w] for w in top], n_docs, rare, len(counts) - len(top))
+    total = sum(counts.values()) + n_docs
+    one = {k: (c + (k == ngram_lm.RARE)) / (total + 1) for k, c in enumerate(v.counts.tolist())}
+    grams = lambda t: (lambda s: [(1 if k == 1 else s[k - 2], s[k - 1], s[k]) for k in range(1, len(s))])([0, *(number.get(w, 2) for w in words(t)), 1])
+    ctx = lambda u, x: int(v.contexts(np.array([x]), np.array([u]))[0])
+    c2, c3 = Counter(), Counter()
+    for t, y in rows:
+        for u, x, w in grams(t) if y else []:
+            c2[ctx(u, x), w] += 1
+            c3[(ctx(u, x), u), w] += 1
+
+    def under(table):
+        sums, kinds = Counter(), Counter()
+        for (c, _), n in table.items():
+            sums[c] += n
+            kinds[c] += 1
+        return lambda c, w, low: low if not sums[c] else (max(0, table[c, w] - 0.75) + 0.75 * kinds[c] * low) / sums[c]
+
+    second, third = under(c2), under(c3)
+    prob = lambda u, x, w: third((ctx(u, x), u), w, second(ctx(u, x), w, one[w]))
+    k_rare = len(counts) - len(top)
+    own = lambda w: (counts[w] - 0.75) / (rare + 0.75) if counts[w] else 0.75 * (k_rare + 1) / ((rare + 0.75) * max(1, k_rare))
+    score = lambda t: sum(np.log10(prob(*g)) for g in grams(t)) + sum(np.log10(own(w)) for w in words(t) if w not in number)
+    return score, prob, counts, n_docs, list(one)
+
+
+@pytest.mark.parametrize(("size", "part"), [(1000, 1 << 20), (5, 1 << 20), (5, 40)])
+def test_lm(spark, monkeypatch, size, part):
+    """Rare words, split contexts, null ids, repeated rows and copies, a clashing column, an empty table."""
+    monkeypatch.setattr(ngram_lm, "PART_TOKENS", part)
     rng = random.Random(4)
-    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(60, None), (61, "new a b words"), (None, "a b c"), (61, "new a b words"), (1, "other text")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("learn", F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False)) & (F.col("doc_id") < 60))
-    learn = df.where("learn")
-    key = lambda r: (r.doc_id is None, r.doc_id, r.score)
-    want = sorted(ngram_lm.score(df, ngram_lm.train(learn, ngram_lm.word_counts(learn))).collect(), key=key)
-    got = sorted(ngram_lm.score_all(df, "learn").collect(), key=key)
-    assert len(got) == len(rows)
-    for g, w in zip(got, want, strict=True):
-        assert g[:4] == w[:4] and abs(g.base_score - w.base_score) < 1e-6 and abs(g.score - w.score) < 1e-3 * g.n_tokens
+    rows = [(i, " ".join(rng.choice("aaabbcdefgh") for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(60, None), (61, "New a b words"), (None, "a b c"), (61, "New a b words"), (1, "other text"), (62, ""), (63, "a b " * 500)]
+    rows += [(70 + i, "a b c d copy") for i in range(9)]
+    df = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, score double").withColumn("learn", F.col("doc_id") % 3 != 0)
+    by_hand, _, c, n_docs, _ = lm_by_hand([(t, i is not None and i % 3 != 0) for i, t in rows], size, part)
+    got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 1)) for r in ngram_lm.score_all(df, "learn", size=size).collect())
+    n, v = sum(c.values()) + n_docs, len(c) + 1
+    exact = Counter()
+    for i, t in rows:
+        words = (t or "").lower().split()
+        base = sum(np.log10((c[w] + 1) / (n + v + 1)) for w in words) + np.log10((n_docs + 1) / (n + v + 1))
+        exact[i, len(words) + 1, sum(w in c for w in words) + 1, n, round(base, 5)] += 1
+    assert Counter({k[:5]: sum(m for x, m in got.items() if x[:5] == k[:5]) for k in got}) == exact
+    want = sorted((i is None, i or 0, t or "", by_hand(t)) for i, t in rows)
+    mine = sorted(((r.doc_id is None, r.doc_id or 0, r.score) for r in ngram_lm.score_all(df, "learn", size=size).collect()))
+    for a, b in zip(sorted((x[0], x[1], x[3]) for x in want), mine, strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-3 * max(10, -a[2])
     assert ngram_lm.score_all(df.limit(0), "learn").count() == 0
 
 
+def test_lm_without_training_text(spark):
+    df = spark.createDataFrame([(1, "a b", False), (2, None, None)], "doc_id long, text string, learn boolean")
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in ngram_lm.score_all(df, "learn").collect()) == [(1, 3, 0, 0), (2, 1, 0, 0)]
+
+
 def test_lm_query_keeps_ngrams_seen_once(spark, tmp_path):
     """A large corpus does not raise the count that an n-gram needs."""
     learnt = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
@@ -256,20 +285,16 @@ def test_lm_query_keeps_ngrams_seen_once(spark, tmp_path):
     assert seen > mixed + 5
 
 
-def test_lm_sums_to_one(spark):
-    df = spark.createDataFrame([("a b c a b d",), ("b c a",), ("a",)], "text string")
-    trie = ngram_lm.train(df, ngram_lm.word_counts(df)).trie
-    trie = ngram_lm.Trie.mapped(*trie.dump())
-    words = list(range(1, len(trie.words)))
-    for context in ([0], [0, 2], [2, 3], [3, 2]):
-        total = sum(10 ** trie.score(np.array([*([] if context[0] == 0 else [0]), *context, w]), np.zeros(len(context) + 1 + (context[0] != 0), dtype=int))[-1] for w in words)
-        unseen = trie.n_words * trie.unseen()
-        assert total <= 1.001 and total > 1 - unseen - 0.01
+def test_lm_sums_to_one():
+    rows = [("a b c a b d", True), ("b c a", True), ("a", True), ("e f", True)]
+    _, prob, _, _, names = lm_by_hand(rows, 4, 1 << 20)
+    for u, v in ((1, 0), (0, 3), (3, 4), (4, 3), (2, 2)):
+        assert abs(sum(prob(u, v, w) for w in names if w) - 1) < 1e-9
 
 
 def test_sequence():
     rng = np.random.default_rng(4)
-    for n, top in ((0, 1), (1, 5), (200, 300), (500, 10**9)):
+    for n, top in ((0, 1), (1, 5), (200, 300), (500, 10**9), (3000, 4000), (2000, 10**6)):
         v = np.unique(rng.integers(0, top, n))
         s = ngram_lm.Sequence.of(v)
         assert (s.get(np.arange(len(v))) == v).all()
