@@ -3,8 +3,11 @@
 ``records`` turns pages into WARC/1.0 resource records, ``layout`` gives each record its archive and
 byte offset there (the manifest), ``write_archives`` and ``read_archives`` move them to and from
 files.  ``tree`` hashes each record (leaf), then ordered ranges of offsets, ``FANOUT`` times wider
-from level to level up to whole archives, then ranges of archives up to one root.  ``audit`` compares
-the roots of two replicas and descends only into branches whose hashes differ, down to the records.
+from level to level up to whole archives, then ranges of archives up to one root; each level is a
+stored table.  Each replica builds its tree from its own records alone: the manifest publishes the
+first key of each range, and a record belongs to the last range that begins at or before its key, so
+a lost or added record does not move those behind it.  ``audit`` compares the two roots and reads,
+level by level, only the children of nodes that differ; records meet only within ranges that differ.
 
 Defined results: null url and html count as empty; repeated rows are records of their own (copy 0,
 1, ...); null page ids are kept; a record that the replica lacks is ``lost``, one whose hash differs
@@ -47,13 +50,18 @@ def leaves(recs: DataFrame) -> DataFrame:
     return counted.withColumn("before", before).select("page_id", "url", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("copy"), "length", "hash")
 
 
+def _archive(n: int | Column) -> Column:
+    """The archive of a record among n, by a hash of its key."""
+    key = F.md5(F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "url", "copy"))
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") % n
+
+
 def layout(own: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """leaves with archive and offset: the manifest.  Archives are dealt by a hash, and so are about equal."""
     total = own.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
-    key = F.md5(F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "url", "copy"))
-    archive = F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") % (total // archive_bytes + 1)
     order = Window.partitionBy("archive").orderBy(F.col("page_id").asc_nulls_first(), "url", "copy").rowsBetween(Window.unboundedPreceding, -1)
-    return own.withColumn("archive", archive).withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
+    placed = own.withColumn("n_archives", F.lit(total // archive_bytes + 1)).withColumn("archive", _archive(F.col("n_archives")))
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
 
 
 def write_archives(recs: DataFrame, manifest: DataFrame, path: str) -> None:
@@ -83,31 +91,43 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"archive=(\d+)", 1).cast("bigint").alias("archive"), "content").mapInArrow(parse, "archive bigint, offset bigint, length bigint, url string, record string")
 
 
-def _levels(manifest: DataFrame, archive_bytes: int) -> list[tuple[Column, Column]]:
-    """(archive key, range key) of the nodes of each level above the records, up to one root."""
-    widths = [RANGE_BYTES]
-    while widths[-1] < archive_bytes:
-        widths.append(widths[-1] * FANOUT)
-    keys = [(F.col("archive"), F.floor(F.col("offset") / w)) for w in widths]
-    n = (manifest.agg(F.max("archive").alias("n")).first()["n"] or 0) + 1
-    step = 1
-    keys.append((F.col("archive"), F.lit(0).cast("bigint")))
-    while step < n:
+def _levels(n_archives: int, archive_bytes: int) -> list[tuple[Column, Column]]:
+    """(archive, range) of the parents of each level of nodes, from ranges of RANGE_BYTES up to one root."""
+    archive, number, width, step, keys = F.col("archive"), F.col("range"), RANGE_BYTES, 1, []
+    while width < archive_bytes:
+        width *= FANOUT
+        keys.append((archive, F.floor(number / FANOUT)))
+    keys.append((archive, F.lit(0).cast("bigint")))
+    while step < n_archives:
         step *= FANOUT
-        keys.append((F.floor(F.col("archive") / step), F.lit(0).cast("bigint")))
+        keys.append((F.floor(archive / FANOUT), F.lit(0).cast("bigint")))
     return keys
 
 
+def range_starts(manifest: DataFrame) -> DataFrame:
+    """archive, starts: the first key of each of an archive's ranges, in order; all that a replica needs to know of the manifest."""
+    first = manifest.groupBy("archive", F.floor(F.col("offset") / RANGE_BYTES).alias("range")).agg(F.min(F.struct(*KEY)).alias("key"))
+    return first.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("range", "key"))).alias("starts"))
+
+
+def place(own: DataFrame, starts: DataFrame, n_archives: int) -> DataFrame:
+    """leaves with the archive and range that their keys fall into."""
+    at = own.withColumn("archive", _archive(n_archives)).join(starts, "archive", "left").withColumn("key", F.struct(*KEY))
+    before = F.size(F.filter("starts", lambda s: s["key"] <= F.col("key")))
+    number = F.when(F.col("starts").isNull(), F.lit(0)).otherwise(F.element_at("starts", F.greatest(before, F.lit(1)))["range"])
+    return at.select(*KEY, "length", "hash", "archive", number.cast("bigint").alias("range"))
+
+
 def tree(placed: DataFrame, levels: list[tuple[Column, Column]]) -> list[DataFrame]:
-    """Nodes (archive, offset, hash) of each level; offset is the range's number, the last level the root.
+    """Stored nodes (archive, range, hash) of each level; the last is the root alone.
 
     A node hashes its children's hashes in order; ranges hold a bounded number of bytes, hence of children.
     """
-    nodes = [placed.select("archive", "offset", "hash")]
-    for archive, offset in levels:
-        child = nodes[-1] if len(nodes) == 1 else nodes[-1].select(F.col("first_archive").alias("archive"), F.col("first_offset").alias("offset"), "hash")
-        own = child.groupBy(archive.alias("a"), offset.alias("o")).agg(F.array_sort(F.collect_list(F.struct("archive", "offset", "hash"))).alias("c"))
-        nodes.append(own.select(F.col("a").alias("archive"), F.col("o").alias("offset"), F.sha2(F.array_join(F.transform("c", lambda x: x["hash"]), ""), 256).alias("hash"), F.col("c")[0]["archive"].alias("first_archive"), F.col("c")[0]["offset"].alias("first_offset")))
+    hashes = lambda order: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "hash"))), lambda x: x["hash"]), ""), 256)
+    nodes = [materialize(placed.groupBy("archive", "range").agg(hashes(KEY).alias("hash")), "tree")]
+    for archive, number in levels:
+        up = nodes[-1].groupBy(archive.alias("a"), number.alias("r")).agg(hashes(["archive", "range"]).alias("hash"))
+        nodes.append(materialize(up.select(F.col("a").alias("archive"), F.col("r").alias("range"), "hash"), "tree"))
     return nodes
 
 
@@ -117,24 +137,32 @@ def audit(manifest: DataFrame, replica: DataFrame, archive_bytes: int = ARCHIVE_
     manifest: from layout(); replica: leaves() of the other replica.
     """
     manifest = materialize(manifest, "manifest")
-    found = replica.select(*KEY, F.col("hash").alias("found"))
-    same_key = manifest["page_id"].eqNullSafe(found["page_id"]) & (manifest["url"] == found["url"]) & (manifest["copy"] == found["copy"])
-    both = materialize(manifest.join(found, same_key, "left").select(*[manifest[c] for c in manifest.columns], "found"), "replica")
-    levels = _levels(manifest, archive_bytes)
-    expected = tree(both, levels)
-    seen = tree(both.select("archive", "offset", F.coalesce("found", F.lit("")).alias("hash")), levels)
-    bad = None  # from the root down: nodes that differ, among the children of nodes that differ
-    for k in range(len(levels), 0, -1):
-        differ = expected[k].join(seen[k].select("archive", "offset", F.col("hash").alias("other")), ["archive", "offset"]).where(F.col("hash") != F.col("other"))
+    n_archives = (manifest.agg(F.max("n_archives").alias("n")).first()["n"]) or 1
+    levels = _levels(n_archives, archive_bytes)
+    own = manifest.select(*KEY, "length", "hash", "archive", F.floor(F.col("offset") / RANGE_BYTES).alias("range"))
+    other = materialize(place(replica, range_starts(manifest), n_archives), "replica")
+    expected, seen = tree(own, levels), tree(other, levels)
+    bad = None  # from the root down: nodes that differ, read among the children of nodes that differ
+    for k in range(len(levels), -1, -1):
+        ours, theirs = expected[k], seen[k]
         if bad is not None:
-            a, o = levels[k]
-            at = differ.select("archive", "offset", "first_archive", "first_offset")
-            at = at.select(F.col("first_archive").alias("archive"), F.col("first_offset").alias("offset"), F.col("archive").alias("own_a"), F.col("offset").alias("own_o")).withColumn("up_a", a).withColumn("up_o", o)
-            differ = at.join(bad, ["up_a", "up_o"], "left_semi").select(F.col("own_a").alias("archive"), F.col("own_o").alias("offset"))
-        bad = differ.select(F.col("archive").alias("up_a"), F.col("offset").alias("up_o"))
-    a, o = levels[0]
-    suspects = both.withColumn("up_a", a).withColumn("up_o", o).join(bad, ["up_a", "up_o"], "left_semi")
-    wrong = suspects.where(~F.col("hash").eqNullSafe(F.col("found"))).select(*KEY, "archive", "offset", "length", F.when(F.col("found").isNull(), "lost").otherwise("altered").alias("kind"), F.col("hash").alias("expected"), "found")
-    extra = found.join(manifest.select(*KEY), same_key, "left_anti")
-    none = F.lit(None).cast("bigint")
-    return wrong.unionByName(extra.select(*KEY, none.alias("archive"), none.alias("offset"), none.alias("length"), F.lit("extra").alias("kind"), F.lit(None).cast("string").alias("expected"), "found"))
+            archive, number = levels[k]
+            under = lambda nodes, bad=bad, a=archive, r=number: nodes.withColumns({"up_a": a, "up_r": r}).join(bad, ["up_a", "up_r"], "left_semi").select("archive", "range", "hash")
+            ours, theirs = under(ours), under(theirs)
+        differ = ours.join(theirs.withColumnRenamed("hash", "other"), ["archive", "range"], "full_outer").where(~F.col("hash").eqNullSafe(F.col("other"))).select("archive", "range")
+        if k and differ.isEmpty():
+            return _differing(manifest.limit(0), other.limit(0))
+        bad = differ.select(F.col("archive").alias("up_a"), F.col("range").alias("up_r"))
+    ranges = materialize(bad.withColumnsRenamed({"up_a": "archive", "up_r": "range"}), "ranges")
+    ours = manifest.withColumn("range", F.floor(F.col("offset") / RANGE_BYTES)).join(ranges, ["archive", "range"], "left_semi")
+    return _differing(ours, other.join(ranges, ["archive", "range"], "left_semi"))
+
+
+def _differing(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Records that are lost, altered or extra among those of the ranges that differ."""
+    found = theirs.select(*[F.col(c).alias(f"f_{c}") for c in KEY], F.col("hash").alias("found"))
+    same_key = F.col("page_id").eqNullSafe(F.col("f_page_id")) & (F.col("url") == F.col("f_url")) & (F.col("copy") == F.col("f_copy"))
+    both = ours.select(*KEY, "archive", "offset", "length", F.col("hash").alias("expected")).join(found, same_key, "full_outer").where(~F.col("expected").eqNullSafe(F.col("found")))
+    known = F.col("expected").isNotNull()
+    kind = F.when(~known, "extra").when(F.col("found").isNull(), "lost").otherwise("altered")
+    return both.select(*[F.when(known, F.col(c)).otherwise(F.col(f"f_{c}")).alias(c) for c in KEY], "archive", "offset", "length", kind.alias("kind"), "expected", "found")
