@@ -217,7 +217,9 @@ def lm_by_hand(rows, size, part):
     """score and counts of each (text, learn) row by dictionaries of counts."""
     words = lambda t: (t or "").lower().split()
     counts = Counter(w for t, y in rows if y for w in words(t))
-    n_docs, top = sum(y for _, y in rows), [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:size]]
+    n_docs, top = sum(y for _, y in rows), [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))]
+    grade = {w: int(np.floor(np.log2(n) * 8)) for w, n in counts.items()}
+    top = [w for w in top if sum(g >= grade[w] for g in grade.values()) <= size]
     number = {w: k + 3 for k, w in enumerate(top)}
     rare = sum(n for w, n in counts.items() if w not in number)
     v = ngram_lm.Vocabulary([w.encode() for w in top], [counts[w] for w in top], n_docs, rare, len(counts) - len(top))
