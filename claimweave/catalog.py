@@ -38,9 +38,14 @@ class Projection:
     def raw(self) -> DataFrame:
         return fixtures.raw_claims(self.spark, self.sf_dir)
 
+    @cached_property
+    def normalized(self) -> DataFrame:
+        """Written by itself: validation reads each of its columns several times."""
+        return self.once("normalized", lambda: claims.normalize_claims(self.raw))
+
     @cached_property
     def validated(self) -> DataFrame:
-        return self.once("validated", lambda: claims.validate(claims.normalize_claims(self.raw)))
+        return self.once("validated", lambda: claims.validate(self.normalized))
 
     @cached_property
     def valid(self) -> DataFrame:

@@ -36,9 +36,13 @@ def reject_rule(strict_pub_date: bool = False) -> Column:
 
 def validate(claims: DataFrame, strict_pub_date: bool = False) -> DataFrame:
     """claims with reject_rule, reject_value (what broke it) and evidence_strength."""
-    rule = reject_rule(strict_pub_date)
-    value = F.when(rule.endswith("subject"), F.col("subject")).when(rule.endswith("object"), F.col("object")).when(rule.endswith("predicate"), F.col("predicate")).when(rule.endswith("subject_type"), F.col("subject_type")).when(rule.endswith("object_type"), F.col("object_type"))
-    return claims.withColumns({"reject_rule": rule, "reject_value": value, "evidence_strength": vocab.evidence_strength(F.col("evidence_type"))})
+    # The rule is a column before its value is looked up: written into each test it would outgrow code generation.
+    ruled = claims.withColumns({"reject_rule": reject_rule(strict_pub_date), "evidence_strength": vocab.evidence_strength(F.col("evidence_type"))})
+    value = None
+    for c in ("subject", "object", "predicate", "subject_type", "object_type"):
+        test = F.col("reject_rule").endswith(c)
+        value = F.when(test, F.col(c)) if value is None else value.when(test, F.col(c))
+    return ruled.withColumn("reject_value", value)
 
 
 def valid_claims(validated: DataFrame) -> DataFrame:
