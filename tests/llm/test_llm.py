@@ -68,6 +68,10 @@ def test_token_store(spark, docs, tmp_path):
     for r in order:
         assert r.start == at
         at += r.n_tokens
+    some = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.start, r.n_tokens, bytes(r.ids)) for r in rows)
+    assert some(token_store.get(spark, f"{tmp_path}/s", [5, None, 80, 999]).collect()) == some(r for r in got if r.doc_id in (5, None, 80))
+    with pytest.raises(ValueError):
+        token_store.get(spark, f"{tmp_path}/s", list(range(token_store.MANY + 1)))
     assert token_store.lookup(spark, f"{tmp_path}/s", spark.createDataFrame([(999,)], "doc_id long")).count() == 0
     token_store.write_store(docs.limit(0), f"{tmp_path}/e", bpe.load_spec(BYTES))
     assert token_store.lookup(spark, f"{tmp_path}/e", docs).count() == 0
