@@ -96,6 +96,33 @@ class Projection:
     def demand(self) -> DataFrame:
         return self.table("events").select(F.concat(F.lit("e"), (F.col("user_id") % 25).cast("string")).alias("entity"), F.col("event_type").alias("kind"), "ts")
 
+    @cached_property
+    def daily(self) -> DataFrame:
+        """A report per day."""
+        return self.table("orders").groupBy(F.col("o_orderdate").cast("date").alias("ts")).agg(F.count("*").alias("orders"))
+
+    @cached_property
+    def log_lines(self) -> DataFrame:
+        """An order as a line of an expansion log; pending ones are lines of another kind."""
+        line = F.concat(F.lit("1999-01-01 00:00:00 [CYCLE "), F.col("o_orderkey"), F.lit("]  papers +"), F.col("o_custkey"), F.lit(" nodes +"), F.length("o_orderpriority"), F.lit("  rels +"), F.length("o_orderstatus"), F.lit(" total="), F.col("o_custkey"), F.lit(" nodes / "), F.col("o_orderkey"), F.lit(" rels"))
+        return self.table("orders").select(F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderstatus") == "P", "1999-01-01 [START]").otherwise(line).alias("text"))
+
+    @cached_property
+    def asked(self) -> DataFrame:
+        """Colours, kinds and a goal as terms, each for every field."""
+        words = self.table("part").select(F.explode(F.array_append(F.split("p_name", " "), F.lit("weight m"))).alias("term")).distinct()
+        return words.select("term", F.explode(F.array(*[F.lit(f) for f in users.FIELD_LABELS])).alias("field"))
+
+    @cached_property
+    def shown(self) -> DataFrame:
+        return self.nodes.select("label", F.col("display_name").alias("name"))
+
+    @cached_property
+    def aging(self) -> DataFrame:
+        """Edges of symptoms, which stand for age-related changes."""
+        kind = F.when(F.col("rel") == "EARLY_SIGNAL_OF", "OCCURS_AT").when(F.col("rel").isin(audit.NEG), "EXPLAINS_WHY").when(F.col("rel").isin(audit.POS), "MODIFIABLE_BY")
+        return self.edges.where("src_label = 'Symptom'").withColumns({"src_label": F.lit("AgeRelatedChange"), "rel": kind})
+
     @cached_property
     def snapshots(self) -> DataFrame:
         return self.table("events").select("user_id", "ts", F.col("event_id").alias("id"), F.least(F.lit(455.0), 50 + F.col("value")).alias("y"))
@@ -183,6 +210,13 @@ hop1 AS (SELECT s.name AS start, e.x, e.rel, e.y FROM (SELECT DISTINCT name FROM
 reach AS (SELECT DISTINCT start, a FROM (SELECT start, x AS a FROM hop1 UNION ALL SELECT start, y FROM hop1) WHERE a <> start),
 near AS (SELECT start, x, rel, y, hop FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hop, x, rel, y) AS rn FROM (SELECT start, x, rel, y, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT *, 1 AS hop FROM hop1 UNION ALL SELECT r.start, e.x, e.rel, e.y, 2 FROM reach r JOIN ends2 e ON e.a = r.a) WHERE hop <= 2 GROUP BY start, x, rel, y)) WHERE rn <= 80)"""
 
+ASKED = ", asked AS (SELECT DISTINCT lower(trim(term)) AS term, field FROM (SELECT unnest(list_append(string_split(p_name, ' '), 'weight m')) AS term FROM part), (VALUES " + ", ".join(f"('{f}')" for f in users.FIELD_LABELS) + ") AS f(field))"
+SHOWN = f"""named AS (SELECT DISTINCT f.field, n.name, lower(CASE WHEN f.field = 'goals' THEN replace(n.name, '_', ' ') ELSE n.name END) AS key
+  FROM (SELECT label, display_name AS name FROM nodes UNION ALL SELECT 'Goal', unnest([{", ".join(f"'{g}'" for g in users.GOALS)}])) n JOIN (VALUES {", ".join(f"('{f}', '{k}')" for f, k in users.FIELD_LABELS.items())}) AS f(field, label) USING (label)),
+own_nodes AS (SELECT t.term, t.field, n.name, CAST(row_number() OVER (PARTITION BY t.term, t.field ORDER BY length(n.name), n.name) AS INTEGER) AS rank FROM asked t JOIN named n ON n.field = t.field AND contains(n.key, t.term))"""
+AGING = f", aging AS (SELECT * FROM (SELECT src, CASE WHEN rel = 'EARLY_SIGNAL_OF' THEN 'OCCURS_AT' WHEN rel IN ({NEG}) THEN 'EXPLAINS_WHY' WHEN rel IN ({POS}) THEN 'MODIFIABLE_BY' END AS rel, dst, context, source_id FROM edges WHERE src_label = 'Symptom') WHERE rel IS NOT NULL)"
+LOGGED = "o_orderkey AS pos, o_orderkey AS cycle, o_custkey AS papers, CAST(length(o_orderpriority) AS BIGINT) AS nodes_delta, CAST(length(o_orderstatus) AS BIGINT) AS rels_delta, o_custkey AS total_nodes, o_orderkey AS total_rels, '1999-01-01 00:00:00' AS time"
+
 P = Projection
 #: name -> (operator on a projection, SQL after the projection's WITH list)
 GRAPH: dict[str, tuple[Callable[[P], DataFrame], str]] = {
@@ -265,8 +299,18 @@ GRAPH: dict[str, tuple[Callable[[P], DataFrame], str]] = {
     "risk_cascade": (lambda p: recommend.risk_cascade(p.edges, p.users), f"$users, {TARGETS} SELECT user_id, target, disease, n, CAST(rank AS INTEGER) AS rank, CASE WHEN n >= 2 THEN 'high' ELSE 'moderate' END AS severity FROM (SELECT t.user_id, t.target, c.disease, c.n, row_number() OVER (PARTITION BY t.user_id ORDER BY c.n DESC, t.target, c.disease) AS rank FROM targets t JOIN (SELECT src, dst AS disease, count(*) AS n FROM edges WHERE src_label = 'Disease' AND dst_label = 'Disease' AND rel IN ('INCREASES_RISK_OF', 'CAUSES') GROUP BY ALL) c ON c.src = t.target) WHERE rank <= 6"),
     "risk_evidence": (lambda p: recommend.risk_evidence(p.edges), f"SELECT disease, item, rel, source_id, CAST(rank AS INTEGER) AS rank FROM (SELECT dst AS disease, src AS item, rel, source_id, row_number() OVER (PARTITION BY dst ORDER BY source_id DESC, src, rel) AS rank FROM edges WHERE dst_label = 'Disease' AND rel IN ({POS}) AND src_label IN ('Food', 'Nutrient', 'LifestyleFactor')) WHERE rank <= 8"),
     "trust_level": (lambda p: recommend.trust_level(p.edges), "SELECT CASE WHEN evidence_strength >= 4 THEN 'wisdom' WHEN evidence_strength >= 2 THEN 'knowledge' ELSE 'information' END AS trust, count(*) AS n FROM edges GROUP BY 1"),
-    "suggest_vocab": (lambda p: users.suggest_vocab(p.table("part").select(F.split("p_name", " ")[1].alias("term")), p.nodes.select(F.col("name").alias("key"), F.col("display_name").alias("canonical"))), "SELECT term, canonical, CAST(rank AS INTEGER) AS rank FROM (SELECT term, canonical, row_number() OVER (PARTITION BY term ORDER BY grade, length(canonical), canonical) AS rank FROM (SELECT t.term, n.display_name AS canonical, min(CASE WHEN n.name = t.term THEN 0 ELSE 1 END) AS grade FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 2)) AS term FROM part) t JOIN nodes n ON contains(n.name, t.term) WHERE length(t.term) >= 3 GROUP BY ALL)) WHERE rank <= 10"),
-    "match_entity": (lambda p: users.match_entity(p.table("part").select(F.split("p_name", " ")[0].alias("term")), p.nodes), "SELECT term, name FROM (SELECT t.term, n.name, row_number() OVER (PARTITION BY t.term ORDER BY n.name <> t.term, length(n.name), n.name) AS rn FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS term FROM part) t JOIN nodes n ON contains(n.name, t.term) WHERE length(t.term) >= 3) WHERE rn = 1"),
+    "suggest_vocab": (lambda p: users.suggest_vocab(p.table("part").select(F.split("p_name", " ")[1].alias("term")), p.nodes.select(F.col("name").alias("key"), F.col("display_name").alias("canonical"))), "SELECT term, canonical, CAST(rank AS INTEGER) AS rank FROM (SELECT term, canonical, row_number() OVER (PARTITION BY term ORDER BY grade, length(canonical), canonical) AS rank FROM (SELECT t.term, n.display_name AS canonical, min(CASE WHEN n.name = t.term THEN 0 ELSE 1 END) AS grade FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 2)) AS term FROM part) t JOIN nodes n ON contains(n.name, t.term) OR contains(t.term, n.name) GROUP BY ALL)) WHERE rank <= 10"),
+    "suggest_nodes": (lambda p: users.suggest_nodes(p.asked, p.shown), f"{ASKED}, {SHOWN} SELECT term, field, name, rank FROM own_nodes WHERE rank <= 10"),
+    "suggest": (lambda p: users.suggest(p.asked, p.nodes.where(F.col("name").endswith("1")).select(F.col("name").alias("key"), F.col("display_name").alias("canonical")), p.shown), f"""{ASKED}, {SHOWN},
+      words AS (SELECT *, row_number() OVER (PARTITION BY term, field ORDER BY length(name), name) AS rank FROM (SELECT DISTINCT t.term, t.field, n.display_name AS name FROM asked t JOIN nodes n ON contains(n.name, t.term) OR contains(t.term, n.name) WHERE n.name LIKE '%1')),
+      both_kinds AS (SELECT term, field, name, min((source, rank)) AS best FROM (SELECT term, field, name, 0 AS source, rank FROM words WHERE rank <= 10 UNION ALL SELECT term, field, name, 1, rank FROM own_nodes WHERE rank <= 10) GROUP BY ALL)
+      SELECT term, field, name, CAST(rank AS INTEGER) AS rank FROM (SELECT term, field, name, row_number() OVER (PARTITION BY term, field ORDER BY best, name) AS rank FROM both_kinds) WHERE rank <= 10"""),
+    "age_guidance": (lambda p: recommend.age_guidance(p.aging).withColumn("evidence", F.array_join("evidence", ",")), f"""{AGING},
+      own AS (SELECT src AS change, coalesce(max(dst) FILTER (rel = 'OCCURS_AT'), '') AS life_stage FROM aging GROUP BY 1),
+      parts AS (SELECT change, string_agg(v, '; ' ORDER BY v) AS why FROM (SELECT *, row_number() OVER (PARTITION BY change ORDER BY v) AS rn FROM (SELECT DISTINCT src AS change, CASE WHEN rel = 'MODIFIABLE_BY' THEN 'Modifiable by ' || dst ELSE context END AS v FROM aging WHERE rel <> 'OCCURS_AT')) WHERE rn <= 50 GROUP BY 1),
+      seen AS (SELECT change, string_agg(v, ',' ORDER BY v) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY change ORDER BY v) AS rn FROM (SELECT DISTINCT src AS change, source_id AS v FROM aging)) WHERE rn <= 3 GROUP BY 1)
+      SELECT change, life_stage, coalesce(why, 'Diet and exercise matter for this change.') AS why, evidence FROM own LEFT JOIN parts USING (change) JOIN seen USING (change)"""),
+    "match_entity": (lambda p: users.match_entity(p.table("part").select(F.split("p_name", " ")[0].alias("term")), p.nodes), "SELECT term, name FROM (SELECT t.term, n.name, row_number() OVER (PARTITION BY t.term ORDER BY n.name <> t.term, length(n.name), n.name) AS rn FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS term FROM part) t JOIN nodes n ON contains(n.name, t.term)) WHERE rn = 1"),
     "replace_if_better": (lambda p: users.replace_if_better(p.valid.where("evidence_type = 'RCT'"), p.valid).groupBy("source_id").agg(F.count("*").alias("n")), "SELECT source_id, count(*) AS n FROM valid GROUP BY source_id"),
     "reextract_candidates": (lambda p: users.reextract_candidates(p.papers.select("pmcid"), p.valid), "SELECT d.pmcid, n, strength FROM (SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS pmcid, count(v.source_id) AS n, coalesce(avg(v.evidence_strength), 0.0) AS strength FROM documents LEFT JOIN valid v ON v.source_id = 'PMC' || CAST(doc_id AS VARCHAR) GROUP BY doc_id) d WHERE n <= 2 ORDER BY n, strength DESC, pmcid LIMIT 50"),
     "risk_factor_match": (lambda p: risk.risk_factor_match(p.profiles, p.users), f"$users, {PROF}, {MATCHES} SELECT * FROM hits"),
@@ -291,6 +335,10 @@ GRAPH: dict[str, tuple[Callable[[P], DataFrame], str]] = {
 PLAIN: dict[str, tuple[Callable[[P], DataFrame], str | None]] = {
     "demand_daily": (lambda p: users.demand_daily(p.demand), "SELECT 'e' || CAST(user_id % 25 AS VARCHAR) AS entity, event_type AS kind, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL"),
     "top_demand": (lambda p: users.top_demand(users.demand_daily(p.demand)), "SELECT 'e' || CAST(user_id % 25 AS VARCHAR) AS entity, event_type AS kind, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, entity, kind LIMIT 20"),
+    "demand_boost": (lambda p: users.demand_boost(users.demand_daily(p.demand)), "SELECT 'e' || CAST(user_id % 25 AS VARCHAR) AS entity, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, entity LIMIT 20"),
+    "audit_history": (lambda p: audit.audit_history(p.daily.where("ts < '1997-01-01'"), p.daily.where("ts >= '1997-01-01'")), "SELECT CAST(o_orderdate AS DATE) AS ts, count(*) AS orders FROM orders GROUP BY 1 ORDER BY ts DESC LIMIT 100"),
+    "cycle_log": (lambda p: planning.cycle_log(p.log_lines), f"SELECT {LOGGED} FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_orderkey DESC LIMIT 20"),
+    "cycle_totals": (lambda p: planning.cycle_totals(p.log_lines), f"SELECT count(*) AS cycles, CAST(sum(papers) AS BIGINT) AS papers, CAST(sum(nodes_delta) AS BIGINT) AS nodes_delta, CAST(sum(rels_delta) AS BIGINT) AS rels_delta FROM (SELECT {LOGGED} FROM orders WHERE o_orderstatus <> 'P')"),
     "yield_stats": (lambda p: users.yield_stats(p.runs), "WITH l AS (SELECT l_orderkey AS k, count(*) AS returned, count(*) FILTER (l_linenumber = 1) AS fresh, count(*) FILTER (l_returnflag = 'R') AS claims FROM lineitem GROUP BY 1) SELECT o_orderpriority AS label, count(*) AS runs, CAST(sum(returned) AS BIGINT) AS returned, CAST(sum(fresh) AS BIGINT) AS fresh, CAST(sum(claims) AS BIGINT) AS claims, round(sum(claims) / sum(returned), 2) AS per_paper FROM orders JOIN l ON k = o_orderkey GROUP BY 1"),
     "low_yield_queries": (lambda p: users.low_yield_queries(p.runs), "WITH l AS (SELECT l_orderkey AS k, count(*) AS returned, count(*) FILTER (l_returnflag = 'R') AS claims FROM lineitem GROUP BY 1) SELECT o_orderpriority AS label, count(*) AS runs, CAST(sum(returned) AS BIGINT) AS returned, CAST(sum(claims) AS BIGINT) AS claims FROM orders JOIN l ON k = o_orderkey GROUP BY 1 HAVING count(*) >= 3 AND sum(claims) / sum(returned) < 0.5"),
     "query_yield": (lambda p: users.query_yield(p.table("lineitem").select(F.col("l_suppkey").alias("rank"), F.col("l_suppkey").cast("string").alias("label"), F.col("l_partkey").alias("id")).distinct()), "WITH h AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), f AS (SELECT l_partkey, min(l_suppkey) AS o FROM h GROUP BY 1) SELECT CAST(h.l_suppkey AS VARCHAR) AS label, count(*) AS returned, count(*) FILTER (f.o = h.l_suppkey) AS fresh FROM h JOIN f USING (l_partkey) GROUP BY 1"),

@@ -70,6 +70,12 @@ def audit_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return row
 
 
+def audit_history(history: DataFrame, report: DataFrame, keep: int = 100) -> DataFrame:
+    """The latest `keep` reports (ts and any metrics) once report is appended; of one time the later columns decide."""
+    both = history.unionByName(report, allowMissingColumns=True)
+    return both.orderBy(F.desc("ts"), *[F.desc(c) for c in both.columns if c != "ts"]).limit(keep)
+
+
 def audit_delta(before: DataFrame, after: DataFrame, metrics: list[str]) -> DataFrame:
     tall = lambda df, name: df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m")).select("m.metric", F.col("m.value").alias(name))
     return tall(before, "before").join(tall(after, "after"), "metric").withColumn("delta", F.col("after") - F.col("before"))
@@ -132,6 +138,8 @@ def flag_contested(edges: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 # ---- gaps ----
 
+#: Conditions that no gap of a disease names.
+SKIP_CONDITIONS = ["ntrk+ disease", "ntrk+ solid tumors", "advanced solid tumors", "vitt", "ebv dna quantifications", "persistent ebv infection", "epstein–barr virus (ebv)", "autoimmunity"]
 #: gap -> (label, has the node on the edge's end, edge types, labels of the other end, only nodes with edges)
 GAP_RULES = {
     "no_avoidance": ("Disease", "dst", NEG, ["Food", "Nutrient"], True),
@@ -153,6 +161,8 @@ def gap(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     have = edges.where((F.col(f"{side}_label") == label) & F.col("rel").isin(rels))
     have = have.where(F.col(f"{other}_label").isin(others)) if others else have
     own = nodes.where(F.col("label") == label)
+    if label == "Disease":
+        own = own.where(~F.lower("name").isin(SKIP_CONDITIONS))
     if name == "nutrient_no_food":
         own = own.where((F.length("name") > 2) & ~F.col("name").startswith("t2d"))
     if linked:
@@ -162,7 +172,7 @@ def gap(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
 
 def gap_few_recommendations(nodes: DataFrame, edges: DataFrame, at_least: int = 3) -> DataFrame:
     n = edges.where((F.col("dst_label") == "Disease") & F.col("rel").isin(POS) & F.col("src_label").isin("Food", "Nutrient") & (F.trim("source_id") != "")).groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("n"))
-    own = nodes.where(F.col("label") == "Disease").join(n, "name", "left").select(F.lit("few_recommendations").alias("gap_type"), F.col("name").alias("entity"), F.coalesce("n", F.lit(0)).alias("n"))
+    own = nodes.where((F.col("label") == "Disease") & ~F.lower("name").isin(SKIP_CONDITIONS)).join(n, "name", "left").select(F.lit("few_recommendations").alias("gap_type"), F.col("name").alias("entity"), F.coalesce("n", F.lit(0)).alias("n"))
     return own.where(F.col("n") < at_least)
 
 

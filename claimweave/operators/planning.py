@@ -98,3 +98,25 @@ def audit_sample(claims: DataFrame, labels: DataFrame, k: int = 100) -> DataFram
     order = [F.when(F.trim(F.coalesce("context", F.lit(""))) != "", 0).otherwise(1), "source_id", "subject", "predicate", "object", "context"]
     first = claims.orderBy(*order).limit(k)
     return first.join(labels.dropDuplicates(["source_id"]), "source_id", "left").groupBy(F.coalesce("verdict", F.lit("unclassified")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+#: Fixed value: a line of an expansion log that sums a cycle up.
+CYCLE_LINE = r"\[CYCLE\s+(\d+)\]\s+papers \+(\d+)\s+nodes \+(\d+)\s+rels \+(\d+)\s+total=(\d+) nodes / (\d+) rels"
+CYCLE_FIELDS = ["cycle", "papers", "nodes_delta", "rels_delta", "total_nodes", "total_rels"]
+
+
+def cycles(lines: DataFrame) -> DataFrame:
+    """Log lines (pos, text) that sum a cycle up, as numbers, with the time at the line's start ('' if none)."""
+    number = lambda i: F.regexp_extract("text", CYCLE_LINE, i).cast("long")
+    time = F.regexp_extract("text", r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})", 1)
+    return lines.where(F.col("text").rlike(CYCLE_LINE)).select("pos", *[number(i + 1).alias(f) for i, f in enumerate(CYCLE_FIELDS)], time.alias("time"))
+
+
+def cycle_log(lines: DataFrame, k: int = 20) -> DataFrame:
+    """The last k cycles of a log."""
+    return cycles(lines).orderBy(F.desc("pos")).limit(k)
+
+
+def cycle_totals(lines: DataFrame) -> DataFrame:
+    """What all cycles of a log added; zeros if there is none."""
+    return cycles(lines).agg(F.count("*").alias("cycles"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("papers", "nodes_delta", "rels_delta")])

@@ -182,3 +182,24 @@ def trust_level(edges: DataFrame) -> DataFrame:
     """Edges per trust level: studies are wisdom, reviews and cohorts knowledge, the rest information."""
     level = F.when(F.col("evidence_strength") >= 4, "wisdom").when(F.col("evidence_strength") >= 2, "knowledge").otherwise("information")
     return edges.groupBy(level.alias("trust")).agg(F.count("*").alias("n"))
+
+
+def age_guidance(edges: DataFrame, reasons: int = 50, evidence: int = 3) -> DataFrame:
+    """change, life_stage, why, evidence: what is known of each age-related change.
+
+    Of several life stages the last by name is told; the first `reasons` distinct reasons are joined in
+    order, a change without any gets a general one; evidence is the first sources in order.
+    """
+    stage = (F.col("rel") == "OCCURS_AT")
+    e = edges.where((F.col("src_label") == "AgeRelatedChange") & F.col("rel").isin("OCCURS_AT", "MODIFIABLE_BY", "EXPLAINS_WHY") & (F.trim("source_id") != "") & (F.trim("src") != ""))
+    e = e.select(F.trim("src").alias("change"), "rel", F.trim("dst").alias("dst"), "context", "source_id")
+    own = e.groupBy("change").agg(F.coalesce(F.max(F.when(stage, F.col("dst"))), F.lit("")).alias("life_stage"))
+
+    def first(of: DataFrame, name: str, k: int) -> DataFrame:
+        rn = F.row_number().over(Window.partitionBy("change").orderBy("v"))
+        return of.distinct().withColumn("rn", rn).where(F.col("rn") <= k).groupBy("change").agg(F.array_sort(F.collect_list("v")).alias(name))
+
+    why = F.when(F.col("rel") == "MODIFIABLE_BY", F.concat(F.lit("Modifiable by "), "dst")).otherwise(F.coalesce(F.nullif("context", F.lit("")), "dst"))
+    parts = first(e.where(~stage).select("change", why.alias("v")), "parts", reasons)
+    out = own.join(parts, "change", "left").join(first(e.select("change", F.col("source_id").alias("v")), "evidence", evidence), "change")
+    return out.select("change", "life_stage", F.coalesce(F.array_join("parts", "; "), F.lit("Diet and exercise matter for this change.")).alias("why"), "evidence")

@@ -38,12 +38,14 @@ def gender_from_text(text: Column) -> Column:
     return out
 
 
-def terms_from_text(texts: DataFrame, phrases: DataFrame, max_words: int = 4) -> DataFrame:
+def terms_from_text(texts: DataFrame, phrases: DataFrame, max_words: int | None = None) -> DataFrame:
     """(id, kind, term) for each phrase (phrase, kind, term) that a text (id, text) holds as whole words.
 
-    Texts are cut into runs of one to max_words words and joined to the phrases by equality, so long
+    Texts are cut into runs of one to max_words words (by default the longest phrase's) and joined to the phrases by equality, so long
     texts cost their length and no text meets every phrase.
     """
+    if max_words is None:
+        max_words = phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
     w = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}'-]+"), lambda x: x != "")
     words = texts.select("id", w.alias("w"))
     runs = None
@@ -132,6 +134,11 @@ def top_demand(daily: DataFrame, k: int = 20) -> DataFrame:
     return daily.groupBy("entity", "kind").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "entity", "kind").limit(k)
 
 
+def demand_boost(daily: DataFrame, k: int = 20) -> DataFrame:
+    """The k entities with most demand over all kinds and days; as the demand of gap_queries they come first."""
+    return daily.groupBy("entity").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "entity").limit(k)
+
+
 def yield_stats(runs: DataFrame) -> DataFrame:
     """runs (label, returned, fresh, claims): totals per label."""
     g = runs.groupBy("label").agg(F.count("*").alias("runs"), F.sum("returned").alias("returned"), F.sum("fresh").alias("fresh"), F.sum("claims").alias("claims"))
@@ -209,28 +216,76 @@ def throttle(snapshots: DataFrame, key: str, seconds: int = 300) -> DataFrame:
 # ---- term search ----
 
 
-def suggest_vocab(terms: DataFrame, vocabulary: DataFrame, k: int = 10) -> DataFrame:
-    """term, canonical, rank: exact keys first, then keys that hold the term.
+#: Goals that are offered though the graph has no label for them; labels of the other fields.
+GOALS = ["longevity", "weight_management", "weight management", "hypertension_management", "blood_sugar_management", "heart_health"]
+FIELD_LABELS = {"conditions": "Disease", "symptoms": "Symptom", "medications": "Drug", "goals": "Goal"}
+
+
+def _asked(terms: DataFrame, *more: str) -> DataFrame:
+    return terms.select(F.lower(F.trim("term")).alias("term"), *more).where(F.length("term") > 0).distinct()
+
+
+def holding(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer) for each text of outer that contains one of inner; each frame has the one column.
 
-    Each key is cut into its tails once and a term is joined to the tails that start with it by their
-    first three letters, so no term meets the whole vocabulary.
+    An outer text is cut into its tails once, and an inner text is joined to the tails that start with it
+    by its first three letters (all of a shorter one), so nothing meets everything.
     """
-    tails = vocabulary.select("key", "canonical", F.explode(F.sequence(F.lit(1), F.length("key"))).alias("at")).select("key", "canonical", F.expr("substring(key, at)").alias("tail"))
-    t = terms.select(F.lower(F.trim("term")).alias("term")).where(F.length("term") >= 3).distinct()
-    hit = t.withColumn("g", F.substring("term", 1, 3)).join(tails.withColumn("g", F.substring("tail", 1, 3)), "g").where(F.col("tail").startswith(F.col("term")))
-    best = hit.groupBy("term", "canonical").agg(F.min(F.when(F.col("key") == F.col("term"), 0).otherwise(1)).alias("grade"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy("grade", F.length("canonical"), "canonical"))).where(F.col("rank") <= k).drop("grade")
+    at = outer.where(F.length("outer") > 0).distinct().select("outer", F.explode(F.sequence(F.lit(1), F.length("outer"))).alias("at"))
+    tails = at.select("outer", F.expr("substring(outer, at)").alias("tail"))
+    heads = tails.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length("tail"))), lambda n: F.col("tail").substr(F.lit(1), n))).alias("g"))
+    own = inner.where(F.length("inner") > 0).distinct().withColumn("g", F.substring("inner", 1, 3))
+    return own.join(heads, "g").where(F.col("tail").startswith(F.col("inner"))).select("inner", "outer").distinct()
 
 
-def match_entity(terms: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The best node of each term: exact before containing, then the shortest name."""
-    v = nodes.select(F.col("name").alias("key"), F.col("name").alias("canonical")).distinct()
-    return suggest_vocab(terms, v, 1).select("term", F.col("canonical").alias("name"))
+def _ranked(best: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def priority_papers(papers: DataFrame, keywords: list[str]) -> DataFrame:
-    """Papers (pmcid, text) that hold any watch word."""
-    return papers.where(F.lower("text").rlike("|".join(keywords)))
+def suggest_vocab(terms: DataFrame, vocabulary: DataFrame, k: int = 10) -> DataFrame:
+    """term, canonical, rank: exact keys first, then keys that hold the term or that the term holds, short names first."""
+    t, keys = _asked(terms), vocabulary.select("key", "canonical").where(F.length("key") > 0)
+    longer = holding(t.select(F.col("term").alias("inner")), keys.select(F.col("key").alias("outer"))).select(F.col("inner").alias("term"), F.col("outer").alias("key"))
+    shorter = holding(keys.select(F.col("key").alias("inner")), t.select(F.col("term").alias("outer"))).select(F.col("outer").alias("term"), F.col("inner").alias("key"))
+    best = longer.unionByName(shorter).join(keys, "key").groupBy("term", "canonical").agg(F.min(F.when(F.col("key") == F.col("term"), 0).otherwise(1)).alias("grade"))
+    return _ranked(best, ["term"], ["grade", F.length("canonical"), "canonical"], k).drop("grade")
+
+
+def suggest_nodes(terms: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
+    """term, field, name, rank: nodes (label, name) of the field's label, or goals, whose name holds the term; short names first."""
+    t, spark = _asked(terms, "field"), terms.sparkSession
+    goals = spark.createDataFrame([("Goal", g) for g in GOALS], "label string, name string")
+    labels = spark.createDataFrame(list(FIELD_LABELS.items()), "field string, label string")
+    own = nodes.select("label", "name").unionByName(goals).join(labels, "label").select("field", "name", F.lower(F.when(F.col("field") == "goals", F.translate("name", "_", " ")).otherwise(F.col("name"))).alias("outer")).distinct()
+    pairs = holding(t.select(F.col("term").alias("inner")), own.select("outer")).withColumnRenamed("inner", "term")
+    hit = pairs.join(own, "outer").join(t, ["term", "field"]).select("term", "field", "name")
+    return _ranked(hit, ["term", "field"], [F.length("name"), "name"], k)
+
+
+def suggest(terms: DataFrame, vocabulary: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
+    """term, field, name, rank: names of the vocabulary, then nodes or goals of the field, each name once."""
+    t = _asked(terms, "field")
+    words = suggest_vocab(t, vocabulary, k).join(t, "term").select("term", "field", F.col("canonical").alias("name"), F.lit(0).alias("source"), "rank")
+    both = words.unionByName(suggest_nodes(t, nodes, k).withColumn("source", F.lit(1)))
+    best = both.groupBy("term", "field", "name").agg(F.min(F.struct("source", "rank")).alias("at"))
+    return _ranked(best, ["term", "field"], ["at", "name"], k).drop("at")
+
+
+def match_entity(terms: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The best node of each term: exact before containing, then the shortest name."""
+    t = _asked(terms).select(F.col("term").alias("inner"))
+    hit = holding(t, nodes.select(F.col("name").alias("outer"))).select(F.col("inner").alias("term"), F.col("outer").alias("name"))
+    return _ranked(hit, ["term"], [F.col("name") != F.col("term"), F.length("name"), "name"], 1).drop("rank")
+
+
+def priority_papers(papers: DataFrame, keywords: list[str], demand: DataFrame | None = None) -> DataFrame:
+    """Papers (pmcid, abstract, perhaps title) that hold any watch word or name an entity in demand (entity)."""
+    text = F.concat_ws(" ", *[c for c in ("title", "abstract") if c in papers.columns])
+    ids = papers.where(F.lower(text).rlike("|".join(keywords))).select("pmcid")
+    if demand is not None:
+        phrases = demand.select(F.lower(F.trim("entity")).alias("phrase"), F.lit("entity").alias("kind"), F.col("entity").alias("term")).distinct()
+        ids = ids.unionByName(terms_from_text(papers.select(F.col("pmcid").alias("id"), text.alias("text")), phrases).select(F.col("id").alias("pmcid")))
+    return papers.join(ids.distinct(), "pmcid", "left_semi")
 
 
 def reextract_candidates(papers: DataFrame, claims: DataFrame, max_existing: int = 2, k: int = 50) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import claims, graph
+from ..operators import claims, graph, users
 from ..sources.papers import CLAIM
 
 
@@ -46,3 +50,50 @@ def visit_stream(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 def context_expiry(contexts: DataFrame, now, days: int = 30) -> DataFrame:
     """Saved contexts (ts) that are not yet out of date."""
     return contexts.where(F.col("ts") + F.expr(f"INTERVAL {days} DAYS") > F.lit(now).cast("timestamp"))
+
+
+def throttle_stream(snapshots: DataFrame, seconds: int = 300) -> DataFrame:
+    """Snapshots (key, ts, id) accepted per key: `seconds` or more after the last accepted one; those without a time all are.
+
+    The state of a key is the second last accepted.  Rows are taken as they arrive, each batch of Arrow
+    rows by time and id, so a row older than an accepted one is refused.
+    """
+
+    def accept(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        free = state.get[0] if state.exists else None
+        for f in frames:
+            f, kept = f.sort_values(["t", "id"], kind="stable", na_position="first"), []
+            for t in f["t"]:
+                ok = pd.isna(t) or free is None or t >= free
+                kept.append(ok)
+                free = int(t) + seconds if ok and not pd.isna(t) else free
+            yield f.loc[kept, ["key", "ts", "id"]]
+        if free is not None:
+            state.update((free,))
+
+    rows = snapshots.select("key", "ts", "id", F.unix_timestamp("ts").cast("double").alias("t"))
+    return rows.groupBy("key").applyInPandasWithState(accept, "key string, ts timestamp, id long", "free long", "append", GroupStateTimeout.NoTimeout)
+
+
+def trajectory_stream(snapshots: DataFrame) -> DataFrame:
+    """Snapshots (user_id, ts, id, y) with their number, score and change against the user's one before.
+
+    The state of a user is the number, score and zone of the snapshot before.  Rows are taken as they
+    arrive, each batch of Arrow rows by time and id; a user's first has no delta and is steady.
+    """
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        step, score, zone = state.get if state.exists else (0, None, None)
+        for f in frames:
+            out = []
+            for r in f.sort_values(["t", "id"], kind="stable").itertuples():
+                delta, step = None if score is None else r.score - score, step + 1
+                trend = "improving" if delta is not None and delta > 2 else "worsening" if delta is not None and delta < -2 else "steady"
+                out.append((r.user_id, r.id, step, r.score, delta, trend, zone is not None and zone != r.zone))
+                score, zone = int(r.score), r.zone
+            yield pd.DataFrame(out, columns=["user_id", "id", "step", "score", "delta", "trend", "zone_changed"]).astype({"delta": "Int32"})
+        state.update((step, score, zone))
+
+    rows = snapshots.where(F.col("y").isNotNull()).select("user_id", "id", F.unix_timestamp("ts").alias("t"), users.health_score(F.col("y")).alias("score"), users.zone(F.col("y")).alias("zone"))
+    out = "user_id long, id long, step int, score int, delta int, trend string, zone_changed boolean"
+    return rows.groupBy("user_id").applyInPandasWithState(follow, out, "step int, score int, zone string", "append", GroupStateTimeout.NoTimeout)

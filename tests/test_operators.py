@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from claimweave.functions import vocab
-from claimweave.operators import claims, graph, planning, users
+from claimweave.operators import claims, graph, planning, recommend, users
 from claimweave.sources import papers
 from claimweave.streaming import jobs
 
@@ -163,3 +163,73 @@ def test_nutrient_amounts_and_extractor(spark):
 
     papers = spark.createDataFrame([("PMC1", "oats"), ("PMC2", "rye")], "pmcid string, text string")
     assert {tuple(r) for r in planning.extract_with(papers, extractor, "source_id string, subject string").collect()} == {("PMC1", "oats"), ("PMC2", "rye")}
+
+
+def test_suggestions_of_short_terms_and_held_keys(spark):
+    vocabulary = spark.createDataFrame([("vitamin d", "Vitamin D"), ("d", "D"), ("", "nothing"), ("iron", "Iron")], "key string, canonical string")
+    terms = spark.createDataFrame([(" D ",), ("vitamin d3",), ("ir",), ("",), (None,)], "term string")
+    got = {(r.term, r.canonical): r["rank"] for r in users.suggest_vocab(terms, vocabulary).collect()}
+    assert got == {("d", "D"): 1, ("d", "Vitamin D"): 2, ("vitamin d3", "D"): 1, ("vitamin d3", "Vitamin D"): 2, ("ir", "Iron"): 1}
+    asked = spark.createDataFrame([("weight m", "goals"), ("flu", "conditions"), ("flu", "symptoms")], "term string, field string")
+    nodes = spark.createDataFrame([("Disease", "Influenza"), ("Disease", "Flu"), ("Drug", "Flu drug")], "label string, name string")
+    got = sorted((r.term, r.field, r.name, r["rank"]) for r in users.suggest(asked, vocabulary, nodes).collect())
+    assert got == [("flu", "conditions", "Flu", 1), ("flu", "conditions", "Influenza", 2), ("weight m", "goals", "weight management", 1), ("weight m", "goals", "weight_management", 2)]
+
+
+def test_suggestions_of_empty_tables(spark):
+    none = spark.createDataFrame([], "key string, canonical string")
+    asked = spark.createDataFrame([("flu", "conditions")], "term string, field string")
+    assert users.suggest(asked, none, spark.createDataFrame([], "label string, name string")).count() == 0
+    assert users.suggest(asked.limit(0), none, none.select(F.col("key").alias("label"), F.col("key").alias("name"))).count() == 0
+
+
+def test_papers_in_demand(spark):
+    p = spark.createDataFrame([("1", "On vitamin b twelve in old age now", None), ("2", None, "a thion"), ("3", None, None)], "pmcid string, title string, abstract string")
+    demand = spark.createDataFrame([("Vitamin B twelve in old age",)], "entity string")
+    assert {r.pmcid for r in users.priority_papers(p, [r"\bthion\b"], demand).collect()} == {"1", "2"}
+    assert [r.pmcid for r in users.priority_papers(p, [r"\bthion\b"]).collect()] == ["2"]
+
+
+def test_age_guidance(spark):
+    row = lambda src, rel, dst, ctx, sid: ("AgeRelatedChange", src, rel, dst, ctx, sid)
+    edges = [row("sarcopenia", "OCCURS_AT", "65+", "c", "s1"), row("sarcopenia", "MODIFIABLE_BY", "protein", "c", "s2"), row("sarcopenia", "EXPLAINS_WHY", "loss", "", "s3"), row("sarcopenia", "EXPLAINS_WHY", "x", None, "s4"), row("grey hair", "OCCURS_AT", "40s", "c", "s5"), row("lost", "OCCURS_AT", "40s", "c", "")]
+    got = {r.change: tuple(r) for r in recommend.age_guidance(spark.createDataFrame(edges, "src_label string, src string, rel string, dst string, context string, source_id string")).collect()}
+    assert got == {"sarcopenia": ("sarcopenia", "65+", "Modifiable by protein; loss; x", ["s1", "s2", "s3"]), "grey hair": ("grey hair", "40s", "Diet and exercise matter for this change.", ["s5"])}
+
+
+def test_cycles(spark):
+    lines = spark.createDataFrame([(1, "2024-05-01 10:00:00 [START]"), (2, "2024-05-01 11:00:00 [CYCLE  3]  papers +10  nodes +5  rels +7  total=100 nodes / 200 rels"), (3, "[CYCLE 4] papers +1 nodes +2 rels +3 total=102 nodes / 203 rels"), (4, None)], "pos int, text string")
+    assert [tuple(r) for r in planning.cycle_log(lines).collect()] == [(3, 4, 1, 2, 3, 102, 203, ""), (2, 3, 10, 5, 7, 100, 200, "2024-05-01 11:00:00")]
+    assert tuple(planning.cycle_totals(lines).first()) == (2, 11, 7, 10)
+    assert tuple(planning.cycle_totals(lines.limit(0)).first()) == (0, 0, 0, 0)
+
+
+def streamed(spark, tmp_path, job, batches, schema):
+    """The rows a job appends for batches that arrive one by one."""
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, schema).coalesce(1)
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        job(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_throttle_stream_gives_the_batch_result(spark, tmp_path):
+    rng = random.Random(4)
+    rows = sorted((t, k, i) for i, (k, t) in enumerate((rng.choice("ab"), rng.randint(0, 9000)) for _ in range(120)))
+    batches = [[(k, t, i) for t, k, i in rows[at : at + 40]] for at in (0, 40, 80)]
+    job = lambda s: jobs.throttle_stream(s.select("key", F.timestamp_seconds("t").alias("ts"), "id"))
+    got = streamed(spark, tmp_path, job, batches, "key string, t long, id long")
+    want = users.throttle(spark.createDataFrame([r for b in batches for r in b], "key string, t long, id long").select("key", F.timestamp_seconds("t").alias("ts"), "id"), "key")
+    assert sorted(tuple(r) for r in got.select("key", "id").collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_trajectory_stream_gives_the_batch_result(spark, tmp_path):
+    rng = random.Random(5)
+    batches = [[(u, 100 * b + i, 1000 * b + 10 * i + u, float(rng.randint(50, 455))) for i in range(8) for u in (1, 2)] for b in range(2)]
+    job = lambda s: jobs.trajectory_stream(s.select("user_id", F.timestamp_seconds("t").alias("ts"), "id", "y"))
+    got = streamed(spark, tmp_path, job, batches, "user_id long, t long, id long, y double")
+    want = users.drift(spark.createDataFrame([r for b in batches for r in b], "user_id long, t long, id long, y double").withColumn("ts", F.timestamp_seconds("t")))
+    cols = ["user_id", "id", "score", "delta", "trend", "zone_changed"]
+    assert sorted(tuple(r) for r in got.where("step > 1").select(cols).collect()) == sorted(tuple(r) for r in want.select(cols).collect())
+    assert [r.step for r in got.where("user_id = 1").orderBy("id").collect()] == list(range(1, 17))
