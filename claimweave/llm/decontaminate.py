@@ -7,8 +7,9 @@ size bound u:  k = u - ceil(t u) + 1.  A document with a share t of an item lack
 shingles, so it holds one of any k of them: the sketches miss nothing.  Documents are shingled whole
 and looked up in the sketches; what is hit is verified on the words themselves.
 
-Items are searched in slices of at most ``slice_bytes`` of text each, so that what is broadcast has
-a fixed bound however large the benchmark is.
+The items are the query set, searched in slices of about ``slice_bytes`` of text: one slice is broadcast
+and alive at a time, so memory has a fixed bound however large the benchmark is, and a benchmark of
+several slices costs a pass over the documents for each.
 
 Words are runs of ASCII letters, digits and bytes above 127, A-Z lower-cased.  Defined results: items
 with fewer words than a shingle have one shingle, all their words; items without a word are never
@@ -20,15 +21,19 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SHINGLE = 5
 CONTAINMENT = 0.8
+#: Bytes of benchmark text whose sketches are broadcast at once, some 40 times as many in a worker.
+SLICE_BYTES = 8 << 20
 #: Bytes of text that one step hashes; a step holds some 50 bytes of arrays for each.
 SEGMENT = 1 << 19
 HIT = "array<struct<item_id:bigint,n_shingles:int,n_found:int>>"
@@ -179,7 +184,7 @@ def _finder(shared):
     return of
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", containment: float = CONTAINMENT, slice_bytes: int = 8 << 20) -> Column:
+def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", containment: float = CONTAINMENT, slice_bytes: int = SLICE_BYTES) -> Column:
     """A column of docs: the items that its text contains, from any number of slices."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("bigint").alias("id"), F.col(item_text).alias("text")).distinct()
@@ -193,7 +198,37 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     return F.concat(*found) if len(found) > 1 else found[0]
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, containment: float, slice_bytes: int) -> Iterator[tuple[Callable[[Column], Column], Callable[[DataFrame], DataFrame]]]:
+    """Per slice of the benchmark the finder and what to do with its rows.
+
+    One slice's sketches are alive at a time: the rows of a slice are written before the next is built.
+    Rows of the last slice stay a plan.
+    """
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(f"`{item_col}`").cast("bigint").alias("id"), F.col(f"`{item_text}`").alias("text")).distinct()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    n = size // slice_bytes + 1
+    for k in range(n):
+        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id", "text").collect()
+        shared = spark.sparkContext.broadcast(Sketches([(r["id"], r["text"]) for r in part], containment))
+        yield _finder(shared), (lambda df: df) if k == n - 1 else lambda df: materialize(df, "decontaminate")
+        if k < n - 1:
+            shared.destroy()
+
+
+def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", containment: float = CONTAINMENT, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, item_id, n_shingles, n_found for each item that a document contains."""
-    found = docs.select(F.col(id_col).alias("doc_id"), F.explode(hits(docs, benchmark, text_col, containment=containment)).alias("hit"))
-    return found.select("doc_id", "hit.item_id", "hit.n_shingles", "hit.n_found")
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    out = None
+    for find, settle in _blocks(benchmark, item_col, item_text, containment, slice_bytes):
+        found = own.select("doc_id", F.explode(find(F.col("text"))).alias("hit"))
+        part = settle(found.select("doc_id", "hit.item_id", "hit.n_shingles", "hit.n_found"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", containment: float = CONTAINMENT, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The rows of docs, all columns as they are, that contain no item."""
+    for find, settle in _blocks(benchmark, item_col, item_text, containment, slice_bytes):
+        docs = settle(docs.where(F.size(find(F.col(f"`{text_col}`"))) == 0))
+    return docs
