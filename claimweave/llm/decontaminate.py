@@ -184,20 +184,6 @@ def _finder(shared):
     return of
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", containment: float = CONTAINMENT, slice_bytes: int = SLICE_BYTES) -> Column:
-    """A column of docs: the items that its text contains, from any number of slices."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("id"), F.col(item_text).alias("text")).distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    n_slices = size // slice_bytes + 1
-    found = []
-    for k in range(n_slices):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_slices)) == k).orderBy("id", "text").collect()
-        shared = spark.sparkContext.broadcast(Sketches([(r["id"], r["text"]) for r in part], containment))
-        found.append(_finder(shared)(F.col(f"`{text_col}`")))
-    return F.concat(*found) if len(found) > 1 else found[0]
-
-
 def _blocks(benchmark: DataFrame, item_col: str, item_text: str, containment: float, slice_bytes: int) -> Iterator[tuple[Callable[[Column], Column], Callable[[DataFrame], DataFrame]]]:
     """Per slice of the benchmark the finder and what to do with its rows.
 
