@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, langid, ngram_lm, quality, sharding, simhash, token_store, warc
+from . import ann, bpe, decontaminate, langid, minhash, ngram_lm, orchard, quality, sharding, simhash, spelling, token_store, warc
 from .common import id_bucket, materialize, read_table, shared_dir
 
 
@@ -127,9 +127,92 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(read_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+#: crc32 bit by bit over a list of bytes, each followed by eight marks; near words by the words they give with one code point less.
+OP11_SQL = r"""
+WITH runs AS (
+  SELECT doc_id, r AS run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS r FROM documents) GROUP BY ALL),
+hexed AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs),
+hashed AS (
+  SELECT run, c, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR i IN range(1, length(x) // 2 + 1)])),
+    lambda s, e: CASE WHEN e >= 0 THEN xor(s, e) ELSE xor(s >> 1, 3988292384 * (s & 1)) END)) AS h FROM hexed),
+spelt AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM words, unnest(range(1, length(word) + 1)) AS t(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.s = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.s = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(struct_pack(other, n), struct_pack(m := -n, o := other)) AS top FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top.n >= 10 * w.n THEN top.other END AS form, CASE WHEN top.n >= 10 * w.n THEN top.n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+chain AS (
+  WITH RECURSIVE c AS (SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+  SELECT c.word, c.root FROM c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word
+"""
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and class of near copies of all documents."""
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM words, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS t(i) WHERE len(w) > 0),
+named AS (SELECT doc_id, list(s ORDER BY s) AS l, count(*) AS n FROM shingles GROUP BY doc_id),
+sets AS (SELECT min(doc_id) AS node, n, l FROM named GROUP BY n, l),
+parts AS (SELECT node, n, unnest(l) AS s FROM sets),
+links AS (
+  SELECT a.node AS a, b.node AS b FROM parts a JOIN parts b ON a.s = b.s AND a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT node, node AS root FROM sets UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.root),
+classes AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(m.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN named m ON m.doc_id = d.doc_id LEFT JOIN sets s ON s.n = m.n AND s.l = m.l LEFT JOIN classes c ON c.node = s.node
+"""
+
+
+def op13_orchard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings."""
+    return orchard.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    """Two rounds of nearest entry and floored mean, then the codes, by brute force; a table of nearest entries per round."""
+    steps = []
+    for r in range(3):
+        steps.append(f"""near{r} AS (
+  SELECT k, vec_id, label, p, v, arg_min(e, d * 64 + e) AS e, min(d) AS d
+  FROM (SELECT x.*, b.e, list_sum([(x.v[i] - b.v[i]) * (x.v[i] - b.v[i]) FOR i IN range(1, len(x.v) + 1)]) AS d FROM parts x JOIN book{r} b ON b.p = x.p) GROUP BY k, vec_id, label, p, v)""")
+        if r < 2:
+            steps.append(f"""means{r} AS (SELECT p, e, list(m ORDER BY i) AS v FROM (SELECT p, e, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS m FROM near{r}, unnest(range(1, len(v) + 1)) AS t(i) GROUP BY p, e, i) GROUP BY p, e),
+book{r + 1} AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{r} b LEFT JOIN means{r} m ON m.p = b.p AND m.e = b.e)""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS (SELECT k, vec_id, label, p, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] AS v FROM kept, range(16) AS t(p)),
+book0 AS (SELECT p, k AS e, v FROM parts WHERE k < 64),
+{", ".join(steps)},
+coded AS (SELECT k, vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near2 GROUP BY k, vec_id, label),
+named AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS h FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM coded, named
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_bpe, op3_quality, op4_decontaminate, op5_nearest, op6_langid, op7_warc_audit, op8_lm_score, op9_simhash, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_store, op2_bpe, op3_quality, op4_decontaminate, op5_nearest, op6_langid, op7_warc_audit, op8_lm_score, op9_simhash, op10_sharding, op11_spelling_variants, op12_minhash, op13_orchard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL, "op7_warc_audit": OP7_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op7_warc_audit": OP7_SQL, "op11_spelling_variants": OP11_SQL, "op12_minhash": OP12_SQL, "op13_orchard": _op13_sql()}
