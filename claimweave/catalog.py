@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .catalog_people import PEOPLE
 from .functions import vocab
 from .operators import audit, claims, graph, planning, recommend, risk, users
 from .plans import fixtures
@@ -38,10 +39,14 @@ class Projection:
     def raw(self) -> DataFrame:
         return fixtures.raw_claims(self.spark, self.sf_dir)
 
+    @cached_property
+    def names(self) -> DataFrame:
+        return fixtures.names(self.spark, self.sf_dir)
+
     @cached_property
     def normalized(self) -> DataFrame:
         """Written by itself: validation reads each of its columns several times."""
-        return self.once("normalized", lambda: claims.normalize_claims(self.raw))
+        return self.once("normalized", lambda: claims.normalize_claims(self.raw, self.names))
 
     @cached_property
     def validated(self) -> DataFrame:
@@ -55,6 +60,23 @@ class Projection:
     def edges(self) -> DataFrame:
         return self.once("edges", lambda: graph.build_edges(self.valid))
 
+    @cached_property
+    def loose_edges(self) -> DataFrame:
+        """Edges of all claims, those of weak predicates too."""
+        return graph.build_edges(self.validated)
+
+    @cached_property
+    def listed(self) -> DataFrame:
+        """The nodes, and places that no edge reaches, some of them under labels of their own."""
+        places = lambda t, c, label: self.table(t).select(F.lit(label).alias("label"), F.lower(c).alias("name"), F.col(c).alias("display_name"))
+        return self.nodes.unionByName(places("nation", "n_name", "PopulationGroup")).unionByName(places("region", "r_name", "Region")).unionByName(places("supplier", "s_name", "Food"))
+
+    @cached_property
+    def wishes(self) -> DataFrame:
+        """Demand for the entity that an event's number picks."""
+        parts = fixtures.entities(self.spark, self.sf_dir).select("p_partkey", F.lower("name").alias("entity"))
+        return self.table("events").join(parts, F.col("event_id") == F.col("p_partkey")).select("entity", F.col("event_type").alias("kind"), "ts")
+
     @cached_property
     def nodes(self) -> DataFrame:
         return self.once("nodes", lambda: graph.build_nodes(self.valid))
@@ -117,15 +139,9 @@ class Projection:
     def shown(self) -> DataFrame:
         return self.nodes.select("label", F.col("display_name").alias("name"))
 
-    @cached_property
-    def aging(self) -> DataFrame:
-        """Edges of symptoms, which stand for age-related changes."""
-        kind = F.when(F.col("rel") == "EARLY_SIGNAL_OF", "OCCURS_AT").when(F.col("rel").isin(audit.NEG), "EXPLAINS_WHY").when(F.col("rel").isin(audit.POS), "MODIFIABLE_BY")
-        return self.edges.where("src_label = 'Symptom'").withColumns({"src_label": F.lit("AgeRelatedChange"), "rel": kind})
-
     @cached_property
     def snapshots(self) -> DataFrame:
-        return self.table("events").select("user_id", "ts", F.col("event_id").alias("id"), F.least(F.lit(455.0), 50 + F.col("value")).alias("y"))
+        return self.table("events").select("user_id", "ts", F.col("event_id").alias("id"), F.when(F.col("event_id") % 31 > 0, 80.0 + (F.col("user_id") * 7 + F.col("event_id")) % 760).alias("x"), F.when(F.col("event_id") % 29 > 0, F.least(F.lit(455.0), 50 + 3 * F.col("value"))).alias("y"))
 
     @cached_property
     def runs(self) -> DataFrame:
@@ -152,8 +168,8 @@ via_nutrient AS (SELECT h.item, e.rel, e.dst AS target, h.via, e.source_id, e.ev
 signals AS (SELECT DISTINCT src AS symptom, dst AS target FROM edges WHERE rel = 'EARLY_SIGNAL_OF' AND src_label = 'Symptom'),
 via_symptom AS (SELECT e.src AS item, e.rel, s.target, CAST(NULL AS VARCHAR) AS via, e.source_id, e.evidence_strength AS strength FROM edges e JOIN signals s ON s.symptom = e.dst WHERE e.src_label IN ('Food', 'Nutrient') AND e.dst_label = 'Symptom' AND e.rel IN ('ALLEVIATES', 'PREVENTS'))"""
 REASON = "CASE WHEN via IS NOT NULL THEN 'Contains ' || via || ' which ' || lower(replace(rel, '_', ' ')) || ' ' || target ELSE 'Associated with ' || lower(replace(rel, '_', ' ')) || ' of ' || target END"
-ZONE = "CASE WHEN y < 150 THEN 'longevity' WHEN y < 250 THEN 'steady' WHEN y < 350 THEN 'caution' ELSE 'danger' END"
-SNAPSHOTS = "WITH snaps AS (SELECT user_id, ts, event_id AS id, least(455.0, 50 + value) AS y FROM events)"
+ZONE = "CASE " + " ".join(f"WHEN y < {b} THEN '{z}'" for b, z in users.ZONES) + f" ELSE '{users.LAST_ZONE}' END"
+SNAPSHOTS = "WITH every AS (SELECT user_id, ts, event_id AS id, CASE WHEN event_id % 31 > 0 THEN 80.0 + (user_id * 7 + event_id) % 760 END AS x, CASE WHEN event_id % 29 > 0 THEN least(455.0, 50 + 3 * value) END AS y FROM events), snaps AS (SELECT * FROM every WHERE y IS NOT NULL)"
 VERDICTS = f"""pos AS (SELECT src_label, src, dst, rel AS pos_rel, count(*) AS pos_count, avg(evidence_strength) AS pos_strength FROM edges WHERE dst_label = 'Disease' AND rel IN ({POS}) AND src_label IN ('Food', 'Nutrient', 'LifestyleFactor') GROUP BY ALL),
 neg AS (SELECT src_label, src, dst, rel AS neg_rel, count(*) AS neg_count, avg(evidence_strength) AS neg_strength FROM edges WHERE dst_label = 'Disease' AND rel IN ({NEG_RISK}) GROUP BY ALL),
 verdicts AS (SELECT src_label, src AS entity, dst AS disease, pos_rel, pos_count, pos_strength, neg_rel, neg_count, neg_strength,
@@ -170,7 +186,30 @@ def _gap_sql(name: str) -> str:
 
 
 FEW = f"SELECT 'few_recommendations' AS gap_type, d.name AS entity, count(e.dst) AS n FROM (SELECT name FROM nodes WHERE label = 'Disease') d LEFT JOIN (SELECT dst FROM edges WHERE dst_label = 'Disease' AND rel IN ({POS}) AND src_label IN ('Food', 'Nutrient')) e ON e.dst = d.name GROUP BY d.name HAVING count(e.dst) < 3"
-ALL_GAPS = f"SELECT gap_type, entity FROM ({FEW}) UNION ALL " + " UNION ALL ".join(_gap_sql(g) for g in audit.GAP_RULES)
+LISTED = "listed AS (SELECT * FROM nodes UNION ALL SELECT 'PopulationGroup', lower(n_name), n_name FROM nation UNION ALL SELECT 'Region', lower(r_name), r_name FROM region UNION ALL SELECT 'Food', lower(s_name), s_name FROM supplier)"
+ALL_GAPS = f"SELECT gap_type, entity, n FROM ({FEW}) UNION ALL " + " UNION ALL ".join(f"SELECT *, NULL FROM ({_gap_sql(g)})" for g in audit.GAP_RULES)
+
+def _gap_queries_sql() -> str:
+    """The templates as one CASE per column."""
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    listed = {"nutrition": ["Nutrients", "Appetite"], "food": ["Food Chemistry"]}
+    rank, query, hint = [], [], []
+    for kind, (priority, rises, mesh, terms, group, humans, said) in audit.GAP_TEMPLATES.items():
+        base = f"CASE WHEN first THEN 1 ELSE {priority} END" if kind == "no_avoidance" else str(priority)
+        rank.append(f"WHEN '{kind}' THEN " + (f"CASE WHEN wanted THEN 0 ELSE {base} END" if rises else base))
+        mesh_sql = """ || ' OR "' || entity || '"[MeSH Terms]'""" if mesh else ""
+        rest = [*terms, *([audit.journal_clause(listed[group])] if group in listed else []), '("2022/01/01"[Date - Publication] : "2023/12/31"[Date - Publication])', "open access[filter]", *(['"humans"[MeSH Terms]'] if humans else [])]
+        query.append(f"""WHEN '{kind}' THEN '("' || entity || '"[Title/Abstract]'{mesh_sql} || {quoted(") AND " + " AND ".join(rest))}""")
+        parts = said.split("{}")
+        text = quoted(parts[0]) + "".join(f" || {c} || {quoted(x)}" for x, c in zip(parts[1:], ("entity", "n"), strict=False))
+        hint.append(f"WHEN '{kind}' THEN {text}" + (" || CASE WHEN wanted THEN ' [HIGH DEMAND]' ELSE '' END" if rises else ""))
+    first = " OR ".join(f"(gap_type = '{k}' AND lower(entity) IN ({', '.join(map(quoted, v))}))" for k, v in audit.FIRST_ENTITIES.items())
+    case = lambda rows: "CASE gap_type " + " ".join(rows) + " END"
+    return f""", wishes AS (SELECT lower(e.name) AS entity, count(*) AS n FROM events JOIN ent e ON e.p_partkey = event_id GROUP BY 1 ORDER BY n DESC, entity LIMIT 200)
+SELECT gap_type, entity, {case(rank)} AS priority, {case(query)} AS query, {case(hint)} AS hint FROM (SELECT *, row_number() OVER (PARTITION BY gap_type ORDER BY wanted DESC, first DESC, coalesce(n, 0), entity) AS rn FROM (SELECT gap_type, entity, n, entity IN (SELECT entity FROM wishes) AS wanted, {first} AS first FROM ({ALL_GAPS}))) WHERE rn <= 5"""
+
+
+GAP_QUERIES = _gap_queries_sql()
 
 PROF = """prof AS (SELECT name AS disease, 'factor' AS kind, split_part(name, ' ', 1) AS factor FROM nodes WHERE label = 'Disease' UNION ALL SELECT name, 'factor', 'age ' || CAST(30 + 10 * (length(name) % 5) AS VARCHAR) || '+' FROM nodes WHERE label = 'Disease'
   UNION ALL SELECT name, 'trigger', name FROM nodes WHERE label = 'Disease' UNION ALL SELECT name, 'route', 'walking' FROM nodes WHERE label = 'Disease')"""
@@ -214,13 +253,13 @@ ASKED = ", asked AS (SELECT DISTINCT lower(trim(term)) AS term, field FROM (SELE
 SHOWN = f"""named AS (SELECT DISTINCT f.field, n.name, lower(CASE WHEN f.field = 'goals' THEN replace(n.name, '_', ' ') ELSE n.name END) AS key
   FROM (SELECT label, display_name AS name FROM nodes UNION ALL SELECT 'Goal', unnest([{", ".join(f"'{g}'" for g in users.GOALS)}])) n JOIN (VALUES {", ".join(f"('{f}', '{k}')" for f, k in users.FIELD_LABELS.items())}) AS f(field, label) USING (label)),
 own_nodes AS (SELECT t.term, t.field, n.name, CAST(row_number() OVER (PARTITION BY t.term, t.field ORDER BY length(n.name), n.name) AS INTEGER) AS rank FROM asked t JOIN named n ON n.field = t.field AND contains(n.key, t.term))"""
-AGING = f", aging AS (SELECT * FROM (SELECT src, CASE WHEN rel = 'EARLY_SIGNAL_OF' THEN 'OCCURS_AT' WHEN rel IN ({NEG}) THEN 'EXPLAINS_WHY' WHEN rel IN ({POS}) THEN 'MODIFIABLE_BY' END AS rel, dst, context, source_id FROM edges WHERE src_label = 'Symptom') WHERE rel IS NOT NULL)"
+AGING = ", aging AS (SELECT src, rel, dst, context, source_id FROM edges WHERE src_label = 'AgeRelatedChange' AND rel IN ('OCCURS_AT', 'EXPLAINS_WHY', 'MODIFIABLE_BY'))"
 LOGGED = "o_orderkey AS pos, o_orderkey AS cycle, o_custkey AS papers, CAST(length(o_orderpriority) AS BIGINT) AS nodes_delta, CAST(length(o_orderstatus) AS BIGINT) AS rels_delta, o_custkey AS total_nodes, o_orderkey AS total_rels, '1999-01-01 00:00:00' AS time"
 
 P = Projection
 #: name -> (operator on a projection, SQL after the projection's WITH list)
 GRAPH: dict[str, tuple[Callable[[P], DataFrame], str]] = {
-    "normalize_claims": (lambda p: claims.normalize_claims(p.raw), "SELECT * FROM norm"),
+    "normalize_claims": (lambda p: p.normalized, "SELECT * FROM norm"),
     "reject_reason": (lambda p: p.validated.groupBy("reject_rule", "reject_value").agg(F.count("*").alias("n")), "SELECT reject_rule, CASE WHEN reject_rule LIKE '%subject' THEN subject WHEN reject_rule LIKE '%object' THEN object WHEN reject_rule LIKE '%predicate' THEN predicate WHEN reject_rule LIKE '%subject_type' THEN subject_type WHEN reject_rule LIKE '%object_type' THEN object_type END AS reject_value, count(*) AS n FROM claims GROUP BY ALL"),
     "valid_claims": (lambda p: p.valid, "SELECT * EXCLUDE (reject_rule) FROM valid"),
     "rejected_claims": (lambda p: claims.rejected_claims(p.validated).select("subject", "predicate", "object", "source_id", "reject_rule"), "SELECT subject, predicate, object, source_id, reject_rule FROM claims WHERE reject_rule IS NOT NULL"),
@@ -228,8 +267,8 @@ GRAPH: dict[str, tuple[Callable[[P], DataFrame], str]] = {
     "rejects_by_reason": (lambda p: claims.rejects_by_reason(p.validated), "SELECT reject_rule, count(*) AS n FROM claims WHERE reject_rule IS NOT NULL GROUP BY reject_rule"),
     "normalization_changes": (lambda p: claims.normalization_changes(p.raw), f"SELECT old, new, count(*) AS n FROM (SELECT subject_type AS old, coalesce({fixtures._type_sql('subject_type')}, 'Thing') AS new FROM raw UNION ALL SELECT object_type, coalesce({fixtures._type_sql('object_type')}, 'Thing') FROM raw) WHERE old IS DISTINCT FROM new GROUP BY ALL ORDER BY n DESC, old, new LIMIT 20"),
     "infer_evidence_type": (lambda p: p.raw.groupBy(vocab.infer_evidence_type(F.col("context")).alias("kind")).agg(F.count("*").alias("n")), f"SELECT {fixtures.infer_sql('context')} AS kind, count(*) AS n FROM raw GROUP BY ALL"),
-    "backfill_evidence_type": (lambda p: claims.backfill_evidence_type(claims.normalize_claims(p.raw)).groupBy("evidence_type", "evidence_type_source").agg(F.count("*").alias("n")), f"SELECT CASE WHEN evidence_type = '' THEN coalesce({fixtures.infer_sql('context')}, '') ELSE evidence_type END AS evidence_type, CASE WHEN evidence_type = '' AND {fixtures.infer_sql('context')} IS NOT NULL THEN 'inferred' END AS evidence_type_source, count(*) AS n FROM norm GROUP BY ALL"),
-    "backfill_journal": (lambda p: claims.backfill_journal(claims.normalize_claims(p.raw), p.papers).groupBy("journal").agg(F.count("*").alias("n")), "SELECT CASE WHEN trim(c.journal) = '' THEN coalesce(d.source, '') ELSE trim(c.journal) END AS journal, count(*) AS n FROM norm c LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = regexp_replace(c.source_id, '^PMC', '') GROUP BY ALL"),
+    "backfill_evidence_type": (lambda p: claims.backfill_evidence_type(p.normalized).groupBy("evidence_type", "evidence_type_source").agg(F.count("*").alias("n")), f"SELECT CASE WHEN evidence_type = '' THEN coalesce({fixtures.infer_sql('context')}, '') ELSE evidence_type END AS evidence_type, CASE WHEN evidence_type = '' AND {fixtures.infer_sql('context')} IS NOT NULL THEN 'inferred' END AS evidence_type_source, count(*) AS n FROM norm GROUP BY ALL"),
+    "backfill_journal": (lambda p: claims.backfill_journal(p.normalized, p.papers).groupBy("journal").agg(F.count("*").alias("n")), "SELECT CASE WHEN trim(c.journal) = '' THEN coalesce(d.source, '') ELSE trim(c.journal) END AS journal, count(*) AS n FROM norm c LEFT JOIN documents d ON CAST(d.doc_id AS VARCHAR) = regexp_replace(c.source_id, '^PMC', '') GROUP BY ALL"),
     "consolidate_claims": (lambda p: claims.validation_stats(claims.consolidate_claims(p.raw, p.papers)).select("total", "valid", "rejected"), "SELECT count(*) AS total, count(*) FILTER (reject_rule IS NULL) AS valid, count(*) FILTER (reject_rule IS NOT NULL) AS rejected FROM claims"),
     "claim_stats": (lambda p: claims.claim_stats(p.raw), "SELECT count(*) AS claims, count(nullif(trim(source_id), '')) AS with_source, count(DISTINCT nullif(trim(source_id), '')) AS sources FROM raw"),
     "claim_check": (lambda p: claims.claim_check(p.raw), "SELECT count(*) AS total, count(nullif(trim(source_id), '')) AS with_source, count(*) - count(nullif(trim(source_id), '')) AS without_source FROM raw"),
@@ -240,9 +279,9 @@ GRAPH: dict[str, tuple[Callable[[P], DataFrame], str]] = {
     "duplicate_groups": (lambda p: graph.duplicate_groups(p.valid.select(F.col("subject_type").alias("label"), F.col("subject").alias("name"))).select("label", "key", "n", "canonical"), "SELECT label, key, count(*) AS n, coalesce(min(name) FILTER (name <> lower(name)), min(name)) AS canonical FROM (SELECT DISTINCT subject_type AS label, subject AS name, lower(subject) AS key FROM valid) GROUP BY label, key HAVING count(*) > 1"),
     "resolve_entities": (lambda p: graph.resolve_entities(p.edges, p.nodes.where(F.col("name").endswith("1")).select("label", "name", F.regexp_replace("name", "1$", "2").alias("canonical"))).select(*graph.EDGE_KEY), "SELECT DISTINCT src_label, regexp_replace(src, '1$', '2') AS src, rel, dst_label, regexp_replace(dst, '1$', '2') AS dst, source_id FROM edges WHERE NOT (src_label = dst_label AND regexp_replace(src, '1$', '2') = regexp_replace(dst, '1$', '2') AND src <> dst)"),
     "relabel_nonstandard": (lambda p: graph.relabel_nonstandard(p.raw.select(F.col("subject_type").alias("label"), F.lower(F.trim("subject")).alias("name")).distinct(), p.raw.select(F.col("subject_type").alias("label")).distinct().where("label <> 'process'").withColumn("target", vocab.canonical_type(F.col("label"))), vocab.ENTITY_TYPES), f"SELECT label, count(*) AS nodes, CASE WHEN label = 'process' THEN 'unmapped' WHEN label = 'Task' THEN 'delete' ELSE 'relabel' END AS action, CASE WHEN label NOT IN ('process', 'Task') THEN {fixtures._type_sql('label')} END AS target FROM (SELECT DISTINCT subject_type AS label, lower(trim(subject)) AS name FROM raw) WHERE label NOT IN ({TYPES}) GROUP BY label"),
-    "orphan_nodes": (lambda p: graph.orphan_nodes(p.nodes, p.edges.where("rel = 'CONTAINS'")).select("label", "name"), "SELECT label, name FROM nodes WHERE (label, name) NOT IN (SELECT (src_label, src) FROM edges WHERE rel = 'CONTAINS' UNION ALL SELECT (dst_label, dst) FROM edges WHERE rel = 'CONTAINS')"),
-    "drop_orphans": (lambda p: graph.drop_orphans(p.nodes, p.edges.where("rel = 'CONTAINS'")).select("label", "name"), "SELECT label, name FROM nodes WHERE (label, name) IN (SELECT (src_label, src) FROM edges WHERE rel = 'CONTAINS' UNION ALL SELECT (dst_label, dst) FROM edges WHERE rel = 'CONTAINS')"),
-    "drop_noise_nodes": (lambda p: graph.drop_noise_nodes(p.nodes.withColumn("name", F.regexp_replace("name", "^red ", "(red) ")), p.edges)[0].select("label", "name"), "SELECT label, name FROM nodes WHERE name NOT LIKE 'red %' OR label NOT IN ('Disease', 'Symptom', 'Food', 'Nutrient', 'Drug', 'LifestyleFactor', 'Biomarker', 'Mechanism', 'BodySystem')"),
+    "orphan_nodes": (lambda p: graph.orphan_nodes(p.listed, p.edges).select("label", "name"), f", {LISTED} SELECT label, name FROM listed WHERE (label, name) NOT IN (SELECT (label, name) FROM {ENDS})"),
+    "drop_orphans": (lambda p: graph.drop_orphans(p.listed, p.edges).select("label", "name"), f", {LISTED} SELECT label, name FROM listed WHERE (label, name) IN (SELECT (label, name) FROM {ENDS})"),
+    "drop_noise_nodes": (lambda p: graph.drop_noise_nodes(p.nodes.withColumn("name", F.regexp_replace("name", "^red ", "(red) ")), p.edges)[0].select("label", "name"), "SELECT label, regexp_replace(name, '^red ', '(red) ') AS name FROM nodes WHERE name NOT LIKE 'red %' OR label NOT IN ('Disease', 'Symptom', 'Food', 'Nutrient', 'Drug', 'LifestyleFactor', 'Biomarker', 'Mechanism', 'BodySystem')"),
     "neighborhood": (lambda p: graph.neighborhood(p.edges, p.nodes, 2), f"{NEAR} SELECT \"start\", x, rel, y, hop FROM near"),
     "neighborhood_nodes": (lambda p: graph.neighborhood_nodes(graph.neighborhood(p.edges, p.nodes.where("label = 'Nutrient'"), 1), p.nodes), f"{NEAR.replace('FROM nodes s', 'FROM nodes s WHERE label = ' + chr(39) + 'Nutrient' + chr(39)).replace('hop <= 2', 'hop <= 1')} SELECT DISTINCT near.start AS \"start\", n.label, n.name, n.display_name FROM near JOIN nodes n ON n.name IN (near.x, near.y)"),
     "visible_subgraph": (lambda p: graph.visible_subgraph(p.nodes, p.edges, ["Food", "Nutrient"], ["CONTAINS", "TREATS"]).select(*graph.EDGE_KEY), "SELECT src_label, src, rel, dst_label, dst, source_id FROM edges WHERE src_label IN ('Food', 'Nutrient') AND dst_label IN ('Food', 'Nutrient') AND rel IN ('CONTAINS', 'TREATS')"),
@@ -252,29 +291,32 @@ GRAPH: dict[str, tuple[Callable[[P], DataFrame], str]] = {
     "edges_by_type": (lambda p: audit.edges_by_type(p.edges), "SELECT rel, count(*) AS n FROM edges GROUP BY rel"),
     "label_share": (lambda p: audit.label_share(p.nodes), "SELECT label, n, CAST(round(100.0 * n / sum(n) OVER (), 0) AS INTEGER) AS pct, CAST(round(100.0 * n / max(n) OVER (), 0) AS INTEGER) AS pct_of_max FROM (SELECT label, count(*) AS n FROM nodes GROUP BY label)"),
     "unique_sources": (lambda p: audit.unique_sources(p.edges), "SELECT count(DISTINCT nullif(trim(source_id), '')) AS sources FROM edges"),
-    "nonstandard_labels": (lambda p: audit.nonstandard_labels(p.nodes, ["Food", "Drug"]), "SELECT label, count(*) AS n FROM nodes WHERE label NOT IN ('Food', 'Drug') GROUP BY label"),
+    "nonstandard_labels": (lambda p: audit.nonstandard_labels(p.listed), f", {LISTED} SELECT label, count(*) AS n FROM listed WHERE label NOT IN ({TYPES}) GROUP BY label"),
     "duplicate_name_excess": (lambda p: audit.duplicate_name_excess(p.nodes), "SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) - count(*) AS BIGINT) AS excess FROM (SELECT lower(name), count(*) AS n FROM nodes GROUP BY 1 HAVING count(*) > 1)"),
-    "weak_predicate_pct": (lambda p: claims.normalize_claims(p.raw).agg(F.count_if(F.col("predicate").isin(vocab.WEAK_PREDICATES)).alias("weak"), F.round(100.0 * F.count_if(F.col("predicate").isin(vocab.WEAK_PREDICATES)) / F.greatest(F.count("*"), F.lit(1)), 1).alias("pct")), f"SELECT count(*) FILTER (predicate IN ({WEAK})) AS weak, round(100.0 * count(*) FILTER (predicate IN ({WEAK})) / greatest(count(*), 1), 1) AS pct FROM norm"),
+    "weak_predicate_pct": (lambda p: audit.weak_predicate_pct(p.loose_edges), f"SELECT count(*) FILTER (predicate IN ({WEAK})) AS weak, round(100.0 * count(*) FILTER (predicate IN ({WEAK})) / greatest(count(*), 1), 1) AS pct FROM (SELECT DISTINCT subject_type, lower(subject), predicate, object_type, lower(object), source_id FROM norm WHERE trim(source_id) <> '')"),
     "strength_distribution": (lambda p: audit.strength_distribution(p.edges), "SELECT evidence_strength, count(*) AS n FROM edges GROUP BY 1"),
-    "orphan_count": (lambda p: graph.orphan_nodes(p.nodes, p.edges).agg(F.count("*").alias("orphans")), f"SELECT count(*) AS orphans FROM nodes WHERE (label, name) NOT IN (SELECT (label, name) FROM {ENDS})"),
-    "audit_report": (lambda p: audit.audit_report(p.nodes, p.edges), f"""SELECT count(*) AS edges, count(DISTINCT nullif(trim(source_id), '')) AS sources, count(*) FILTER (rel IN ({WEAK})) AS weak, round(100.0 * count(*) FILTER (rel IN ({WEAK})) / greatest(count(*), 1), 1) AS weak_pct,
+    "orphan_count": (lambda p: graph.orphan_nodes(p.listed, p.edges).agg(F.count("*").alias("orphans")), f", {LISTED} SELECT count(*) AS orphans FROM listed WHERE (label, name) NOT IN (SELECT (label, name) FROM {ENDS})"),
+    "audit_report": (lambda p: audit.audit_report(p.listed, p.edges), f""", {LISTED} SELECT count(*) AS edges, count(DISTINCT nullif(trim(source_id), '')) AS sources, count(*) FILTER (rel IN ({WEAK})) AS weak, round(100.0 * count(*) FILTER (rel IN ({WEAK})) / greatest(count(*), 1), 1) AS weak_pct,
       count(*) FILTER (trim(journal) = '') AS no_journal, round(100.0 * count(*) FILTER (trim(journal) = '') / greatest(count(*), 1), 1) AS no_journal_pct, count(*) FILTER (trim(evidence_type) = '') AS no_type, round(100.0 * count(*) FILTER (trim(evidence_type) = '') / greatest(count(*), 1), 1) AS no_type_pct,
-      round(100.0 * count(*) FILTER (trim(source_id) <> '') / greatest(count(*), 1), 1) AS source_pct, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM nodes WHERE label NOT IN ({TYPES})) AS nonstandard,
-      (SELECT count(*) FROM (SELECT 1 FROM nodes GROUP BY lower(name) HAVING count(*) > 1)) AS groups, (SELECT CAST(coalesce(sum(n) - count(*), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM nodes GROUP BY lower(name) HAVING count(*) > 1)) AS excess,
-      (SELECT count(*) FROM nodes WHERE (label, name) NOT IN (SELECT (label, name) FROM {ENDS})) AS orphans, (SELECT count(*) FROM {AUDIT_PAIRS} JOIN edges a ON a.rel = p JOIN edges b ON b.rel = n AND {SAME_ENDS}) AS contradictions FROM edges"""),
-    "degree_below": (lambda p: audit.degree_below(p.nodes, p.edges, ["Food", "Nutrient", "Disease", "Symptom"], 6), f"SELECT n.label, n.name, count(e.name) AS degree FROM nodes n LEFT JOIN {ENDS} e ON e.label = n.label AND e.name = n.name WHERE n.label IN ('Food', 'Nutrient', 'Disease', 'Symptom') GROUP BY n.label, n.name HAVING count(e.name) < 6"),
+      round(100.0 * count(*) FILTER (trim(source_id) <> '') / greatest(count(*), 1), 1) AS source_pct, (SELECT count(*) FROM listed) AS nodes, (SELECT count(*) FROM listed WHERE label NOT IN ({TYPES})) AS nonstandard,
+      (SELECT count(*) FROM (SELECT 1 FROM listed GROUP BY lower(name) HAVING count(*) > 1)) AS groups, (SELECT CAST(coalesce(sum(n) - count(*), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM listed GROUP BY lower(name) HAVING count(*) > 1)) AS excess,
+      (SELECT count(*) FROM listed WHERE (label, name) NOT IN (SELECT (label, name) FROM {ENDS})) AS orphans, (SELECT count(*) FROM {AUDIT_PAIRS} JOIN edges a ON a.rel = p JOIN edges b ON b.rel = n AND {SAME_ENDS}) AS contradictions FROM edges"""),
+    "degree_below": (lambda p: audit.degree_below(p.nodes, p.edges, ["Food", "Nutrient", "Disease", "Symptom", "Study"], 6), f"SELECT n.label, n.name, count(e.name) AS degree FROM nodes n LEFT JOIN {ENDS} e ON e.label = n.label AND e.name = n.name WHERE n.label IN ('Food', 'Nutrient', 'Disease', 'Symptom', 'Study') GROUP BY n.label, n.name HAVING count(e.name) < 6"),
     "opposing_pairs": (lambda p: audit.opposing_pairs(p.edges), f"SELECT pair, a.src_label, a.src, a.dst_label, a.dst, a.source_id AS pos_source, a.evidence_strength AS pos_strength, b.source_id AS neg_source, b.evidence_strength AS neg_strength FROM {PAIRS} JOIN edges a ON a.rel = p JOIN edges b ON b.rel = n AND {SAME_ENDS}"),
     "opposing_pair_counts": (lambda p: audit.opposing_pair_counts(p.edges), f"SELECT pair, count(b.rel) AS n FROM {PAIRS} LEFT JOIN edges a ON a.rel = p LEFT JOIN edges b ON b.rel = pairs.n AND {SAME_ENDS} GROUP BY pair"),
     "audit_contradictions": (lambda p: audit.opposing_pairs(p.edges, audit.AUDIT_OPPOSING).orderBy("pair", "src", "dst", "pos_source", "neg_source").limit(50).select("pair", "src", "dst", "pos_source", "neg_source"), f"SELECT pair, a.src, a.dst, a.source_id AS pos_source, b.source_id AS neg_source FROM {AUDIT_PAIRS} JOIN edges a ON a.rel = p JOIN edges b ON b.rel = n AND {SAME_ENDS} ORDER BY pair, a.src, a.dst, pos_source, neg_source LIMIT 50"),
     "contradiction_verdicts": (lambda p: audit.contradiction_verdicts(p.edges), f", {VERDICTS} SELECT * FROM verdicts"),
-    "contradiction_latest": (lambda p: audit.contradiction_latest(audit.contradiction_verdicts(p.edges)), f", {VERDICTS} SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY entity, disease ORDER BY pos_count + neg_count DESC, src_label, pos_rel, neg_rel) AS rn FROM verdicts) WHERE rn = 1"),
+    "contradiction_latest": (lambda p: audit.contradiction_latest(audit.contradiction_verdicts(p.edges)), f", {VERDICTS} SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY entity, disease ORDER BY src_label DESC, pos_rel DESC, neg_rel DESC) AS rn FROM verdicts) WHERE rn = 1"),
     "flag_contested": (lambda p: audit.flag_contested(p.edges, audit.contradiction_verdicts(p.edges)).groupBy("rel", "contested", "debated").agg(F.count("*").alias("n")), f""", {VERDICTS}, marks AS (SELECT src_label, entity AS src, disease AS dst, pos_rel AS rel, verdict = 'positive_contested' AS c, verdict = 'debated' AS d FROM verdicts UNION ALL SELECT src_label, entity, disease, neg_rel, verdict = 'negative_contested', verdict = 'debated' FROM verdicts),
       m AS (SELECT src_label, src, dst, rel, bool_or(c) AS c, bool_or(d) AS d FROM marks GROUP BY ALL)
       SELECT e.rel, coalesce(m.c, false) AS contested, coalesce(m.d, false) AS debated, count(*) AS n FROM edges e LEFT JOIN m ON m.src_label = e.src_label AND m.src = e.src AND m.dst = e.dst AND m.rel = e.rel AND e.dst_label = 'Disease' GROUP BY ALL"""),
     "gap_few_recommendations": (lambda p: audit.gap_few_recommendations(p.nodes, p.edges), FEW),
     **{f"gap_{g}": (lambda p, g=g: audit.gap(p.nodes, p.edges, g), _gap_sql(g)) for g in audit.GAP_RULES},
     "gap_counts": (lambda p: audit.gap_counts(audit.all_gaps(p.nodes, p.edges)), f"SELECT gap_type, count(*) AS n FROM ({ALL_GAPS}) GROUP BY gap_type"),
-    "gap_queries": (lambda p: audit.gap_queries(audit.all_gaps(p.nodes, p.edges), p.nodes.where(F.col("name").startswith("red")).select(F.col("name").alias("entity"))), f"""SELECT gap_type, entity, priority, '"' || entity || '" AND ' || replace(gap_type, '_', ' ') AS query FROM (SELECT *, row_number() OVER (PARTITION BY gap_type ORDER BY priority, entity) AS rn FROM (SELECT gap_type, entity, CASE WHEN entity LIKE 'red%' THEN 0 ELSE 1 END AS priority FROM ({ALL_GAPS}))) WHERE rn <= 5"""),
+    "gap_queries": (
+        lambda p: audit.gap_queries(audit.all_gaps(p.nodes, p.edges), users.demand_boost(users.demand_daily(p.wishes), 200), "2022/01/01", "2023/12/31", {"nutrition": ["Nutrients", "Appetite"], "food": ["Food Chemistry"]}),
+        GAP_QUERIES,
+    ),
     "age_gender_profile": (lambda p: recommend.age_gender_profile(p.users), f"$users SELECT DISTINCT user_id, coalesce(pr.conditions, '{recommend.PROFILES['default', 'any']}') AS conditions FROM users u LEFT JOIN {PROFILES} ON pr.d = {DECADE} AND pr.g = {GENDER}"),
     "user_targets": (lambda p: recommend.user_targets(p.users), f"$users, {TARGETS} SELECT * FROM targets"),
     "recs_direct": (lambda p: recommend.recs_direct(p.edges).select("item", "rel", "target", "source_id", "strength"), f", {LAYERS} SELECT item, rel, target, source_id, strength FROM direct"),
@@ -298,14 +340,14 @@ GRAPH: dict[str, tuple[Callable[[P], DataFrame], str]] = {
     "mechanism_chains": (lambda p: recommend.mechanism_chains(p.edges), "SELECT h.mechanism, item, target_sources, rel, disease, effect_sources FROM (SELECT src AS item, dst AS mechanism, count(DISTINCT source_id) AS target_sources FROM edges WHERE rel = 'TARGETS_MECHANISM' AND src_label IN ('Food', 'Nutrient') GROUP BY ALL) h JOIN (SELECT src AS mechanism, rel, dst AS disease, count(DISTINCT source_id) AS effect_sources FROM edges WHERE src_label = 'Mechanism' AND rel IN ('CAUSES', 'INCREASES_RISK_OF') AND dst_label = 'Disease' GROUP BY ALL) l ON l.mechanism = h.mechanism"),
     "risk_cascade": (lambda p: recommend.risk_cascade(p.edges, p.users), f"$users, {TARGETS} SELECT user_id, target, disease, n, CAST(rank AS INTEGER) AS rank, CASE WHEN n >= 2 THEN 'high' ELSE 'moderate' END AS severity FROM (SELECT t.user_id, t.target, c.disease, c.n, row_number() OVER (PARTITION BY t.user_id ORDER BY c.n DESC, t.target, c.disease) AS rank FROM targets t JOIN (SELECT src, dst AS disease, count(*) AS n FROM edges WHERE src_label = 'Disease' AND dst_label = 'Disease' AND rel IN ('INCREASES_RISK_OF', 'CAUSES') GROUP BY ALL) c ON c.src = t.target) WHERE rank <= 6"),
     "risk_evidence": (lambda p: recommend.risk_evidence(p.edges), f"SELECT disease, item, rel, source_id, CAST(rank AS INTEGER) AS rank FROM (SELECT dst AS disease, src AS item, rel, source_id, row_number() OVER (PARTITION BY dst ORDER BY source_id DESC, src, rel) AS rank FROM edges WHERE dst_label = 'Disease' AND rel IN ({POS}) AND src_label IN ('Food', 'Nutrient', 'LifestyleFactor')) WHERE rank <= 8"),
-    "trust_level": (lambda p: recommend.trust_level(p.edges), "SELECT CASE WHEN evidence_strength >= 4 THEN 'wisdom' WHEN evidence_strength >= 2 THEN 'knowledge' ELSE 'information' END AS trust, count(*) AS n FROM edges GROUP BY 1"),
+    "trust_level": (lambda p: recommend.trust_levels(p.edges), f"SELECT CASE WHEN rel IN ({POS}) AND src_label IN ('Food', 'Nutrient') AND dst_label IN ('Disease', 'Symptom') THEN 'wisdom' WHEN source_type IN ('FDA', 'drug_label') THEN 'knowledge' ELSE 'information' END AS trust, count(*) AS n FROM edges GROUP BY 1"),
     "suggest_vocab": (lambda p: users.suggest_vocab(p.table("part").select(F.split("p_name", " ")[1].alias("term")), p.nodes.select(F.col("name").alias("key"), F.col("display_name").alias("canonical"))), "SELECT term, canonical, CAST(rank AS INTEGER) AS rank FROM (SELECT term, canonical, row_number() OVER (PARTITION BY term ORDER BY grade, length(canonical), canonical) AS rank FROM (SELECT t.term, n.display_name AS canonical, min(CASE WHEN n.name = t.term THEN 0 ELSE 1 END) AS grade FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 2)) AS term FROM part) t JOIN nodes n ON contains(n.name, t.term) OR contains(t.term, n.name) GROUP BY ALL)) WHERE rank <= 10"),
     "suggest_nodes": (lambda p: users.suggest_nodes(p.asked, p.shown), f"{ASKED}, {SHOWN} SELECT term, field, name, rank FROM own_nodes WHERE rank <= 10"),
     "suggest": (lambda p: users.suggest(p.asked, p.nodes.where(F.col("name").endswith("1")).select(F.col("name").alias("key"), F.col("display_name").alias("canonical")), p.shown), f"""{ASKED}, {SHOWN},
       words AS (SELECT *, row_number() OVER (PARTITION BY term, field ORDER BY length(name), name) AS rank FROM (SELECT DISTINCT t.term, t.field, n.display_name AS name FROM asked t JOIN nodes n ON contains(n.name, t.term) OR contains(t.term, n.name) WHERE n.name LIKE '%1')),
       both_kinds AS (SELECT term, field, name, min((source, rank)) AS best FROM (SELECT term, field, name, 0 AS source, rank FROM words WHERE rank <= 10 UNION ALL SELECT term, field, name, 1, rank FROM own_nodes WHERE rank <= 10) GROUP BY ALL)
       SELECT term, field, name, CAST(rank AS INTEGER) AS rank FROM (SELECT term, field, name, row_number() OVER (PARTITION BY term, field ORDER BY best, name) AS rank FROM both_kinds) WHERE rank <= 10"""),
-    "age_guidance": (lambda p: recommend.age_guidance(p.aging).withColumn("evidence", F.array_join("evidence", ",")), f"""{AGING},
+    "age_guidance": (lambda p: recommend.age_guidance(p.edges).withColumn("evidence", F.array_join("evidence", ",")), f"""{AGING},
       own AS (SELECT src AS change, coalesce(max(dst) FILTER (rel = 'OCCURS_AT'), '') AS life_stage FROM aging GROUP BY 1),
       parts AS (SELECT change, string_agg(v, '; ' ORDER BY v) AS why FROM (SELECT *, row_number() OVER (PARTITION BY change ORDER BY v) AS rn FROM (SELECT DISTINCT src AS change, CASE WHEN rel = 'MODIFIABLE_BY' THEN 'Modifiable by ' || dst ELSE context END AS v FROM aging WHERE rel <> 'OCCURS_AT')) WHERE rn <= 50 GROUP BY 1),
       seen AS (SELECT change, string_agg(v, ',' ORDER BY v) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY change ORDER BY v) AS rn FROM (SELECT DISTINCT src AS change, source_id AS v FROM aging)) WHERE rn <= 3 GROUP BY 1)
@@ -342,16 +384,16 @@ PLAIN: dict[str, tuple[Callable[[P], DataFrame], str | None]] = {
     "yield_stats": (lambda p: users.yield_stats(p.runs), "WITH l AS (SELECT l_orderkey AS k, count(*) AS returned, count(*) FILTER (l_linenumber = 1) AS fresh, count(*) FILTER (l_returnflag = 'R') AS claims FROM lineitem GROUP BY 1) SELECT o_orderpriority AS label, count(*) AS runs, CAST(sum(returned) AS BIGINT) AS returned, CAST(sum(fresh) AS BIGINT) AS fresh, CAST(sum(claims) AS BIGINT) AS claims, round(sum(claims) / sum(returned), 2) AS per_paper FROM orders JOIN l ON k = o_orderkey GROUP BY 1"),
     "low_yield_queries": (lambda p: users.low_yield_queries(p.runs), "WITH l AS (SELECT l_orderkey AS k, count(*) AS returned, count(*) FILTER (l_returnflag = 'R') AS claims FROM lineitem GROUP BY 1) SELECT o_orderpriority AS label, count(*) AS runs, CAST(sum(returned) AS BIGINT) AS returned, CAST(sum(claims) AS BIGINT) AS claims FROM orders JOIN l ON k = o_orderkey GROUP BY 1 HAVING count(*) >= 3 AND sum(claims) / sum(returned) < 0.5"),
     "query_yield": (lambda p: users.query_yield(p.table("lineitem").select(F.col("l_suppkey").alias("rank"), F.col("l_suppkey").cast("string").alias("label"), F.col("l_partkey").alias("id")).distinct()), "WITH h AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), f AS (SELECT l_partkey, min(l_suppkey) AS o FROM h GROUP BY 1) SELECT CAST(h.l_suppkey AS VARCHAR) AS label, count(*) AS returned, count(*) FILTER (f.o = h.l_suppkey) AS fresh FROM h JOIN f USING (l_partkey) GROUP BY 1"),
-    "trajectory": (lambda p: users.trajectory(p.snapshots, 20).select("user_id", "id", "step"), SNAPSHOTS + " SELECT user_id, id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS INTEGER) AS step FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) AS rn FROM snaps) WHERE rn <= 20"),
+    "trajectory": (lambda p: users.trajectory(p.snapshots, 20).select("user_id", "id", "step"), SNAPSHOTS + " SELECT user_id, id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS INTEGER) AS step FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) AS rn FROM every) WHERE rn <= 20"),
     "zone_transitions": (lambda p: users.zone_transitions(p.snapshots), SNAPSHOTS + f" SELECT user_id, id, zone FROM (SELECT *, lag(zone) OVER w AS b, lead(zone) OVER w AS a FROM (SELECT *, {ZONE} AS zone FROM snaps) WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)) WHERE b IS NULL OR b <> zone OR a IS NULL"),
     "drift": (lambda p: users.drift(p.snapshots), SNAPSHOTS + f" SELECT user_id, id, score, delta, CASE WHEN delta > 2 THEN 'improving' WHEN delta < -2 THEN 'worsening' ELSE 'steady' END AS trend, zone <> b AS zone_changed FROM (SELECT *, score - lag(score) OVER w AS delta, lag(zone) OVER w AS b FROM (SELECT *, CAST(greatest(0, least(100, round(100 - (y - 50) / 405 * 100))) AS INTEGER) AS score, {ZONE} AS zone FROM snaps) WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)) WHERE delta IS NOT NULL"),
-    "path_length": (lambda p: users.path_length(p.snapshots), SNAPSHOTS + " SELECT user_id, round(coalesce(sum(d), 0.0), 4) AS length FROM (SELECT user_id, abs(y - lag(y) OVER (PARTITION BY user_id ORDER BY ts, id)) AS d FROM snaps) GROUP BY user_id"),
+    "path_length": (lambda p: users.path_length(p.snapshots), SNAPSHOTS + " SELECT user_id, round(coalesce(sum(d), 0.0), 4) AS length FROM (SELECT user_id, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d FROM snaps WHERE x IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)) GROUP BY user_id"),
     "stats_throttle": (lambda p: users.throttle(p.table("events").select("event_type", "ts", F.col("event_id").alias("id")), "event_type"), None),
-    "age_from_text": (lambda p: p.table("conversations").select("conv_id", "turn", users.age_from_text(F.col("text")).alias("a")).select("conv_id", "turn", "a.age", "a.fuzzy"), None),
-    "gender_from_text": (lambda p: p.table("conversations").groupBy(users.gender_from_text(F.col("text")).alias("gender")).agg(F.count("*").alias("n")), None),
-    "terms_from_text": (lambda p: users.terms_from_text(p.table("documents").select(F.col("doc_id").alias("id"), "text"), p.spark.createDataFrame([("of the", "phrase", "of the"), ("that", "word", "that"), ("para", "word", "para")], "phrase string, kind string, term string")), None),
     "priority_papers": (lambda p: users.priority_papers(p.papers, [r"\bthion\b", r"\blicensed\b"]).select("pmcid"), None),
-    "map_position": (lambda p: p.users.groupBy("user_id", "age").agg(F.count("term").alias("n")).select("user_id", users.map_y(F.col("age"), F.col("n"), F.lit(0)).alias("y"), users.life_stage(F.col("age")).alias("stage")), "WITH " + fixtures.DUCK_USERS + " SELECT user_id, least(455.0, greatest(50.0, 50 + 1.7 * greatest(0, age - 20) + 65 * count(term))) AS y, CASE WHEN age < 30 THEN '20s' WHEN age < 40 THEN '30s' WHEN age < 50 THEN '40s' WHEN age < 65 THEN '50s-60s' ELSE '65+' END AS stage FROM users GROUP BY user_id, age"),
+    "map_position": (
+        lambda p: p.users.groupBy("user_id", F.expr("CASE WHEN user_id % 11 > 0 THEN age END").alias("age")).agg(F.count("term").alias("n")).select("user_id", F.round(users.map_x(F.col("age")), 6).alias("x"), users.map_y(F.col("age"), F.col("n"), F.lit(0)).alias("y"), users.life_stage(F.col("age")).alias("stage")),
+        "WITH " + fixtures.DUCK_USERS + ", placed AS (SELECT user_id, CASE WHEN user_id % 11 > 0 THEN age END AS age, count(term) AS n FROM users GROUP BY ALL) SELECT user_id, round(80 + (greatest(16, least(90, coalesce(age, 35))) - 16) / 74.0 * 760, 6) AS x, least(455.0, greatest(50.0, 50 + 1.7 * greatest(0, coalesce(age, 35) - 20) + 65 * n)) AS y, CASE WHEN age < 30 THEN '20s' WHEN age < 40 THEN '30s' WHEN age < 50 THEN '40s' WHEN age < 65 THEN '50s-60s' WHEN age >= 65 THEN '65+' END AS stage FROM placed",
+    ),
     "papers_from_pages": (lambda p: papers.from_html(p.table("pages")), None),
     "papers_backlog": (lambda p: papers.corpus_backlog(p.papers.select("pmcid"), p.raw.select(F.col("source_id").alias("pmcid"))), "SELECT (SELECT count(*) FROM documents) AS raw, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 53 <> 0) AS extracted, greatest(0, (SELECT count(*) FROM documents) - (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 53 <> 0)) AS backlog"),
     "merge_id_lists": (lambda p: papers.merge_id_lists(p.table("lineitem").select(F.col("l_suppkey").alias("rank"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("label"), F.col("l_partkey").cast("string").alias("id"))), "SELECT CAST(l_partkey AS VARCHAR) AS id, min(l_suppkey) AS first_rank, string_agg(DISTINCT 's' || CAST(l_suppkey AS VARCHAR), ',' ORDER BY 's' || CAST(l_suppkey AS VARCHAR)) AS labels FROM lineitem GROUP BY 1"),
@@ -360,20 +402,20 @@ PLAIN: dict[str, tuple[Callable[[P], DataFrame], str | None]] = {
       FROM (SELECT journal, lower(journal[1]) AS initial, (row_number() OVER (PARTITION BY lower(journal[1]) ORDER BY journal) - 1) // 3 AS batch FROM (SELECT DISTINCT trim(source) AS journal FROM documents WHERE trim(source) <> '')) GROUP BY ALL"""),
     "latest_manifest": (lambda p: planning.latest_manifest(p.manifests), "SELECT event_type AS agent, event_id AS run_id, ts, props AS payload FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC, props DESC) AS rn FROM events) WHERE rn = 1"),
     "run_history": (lambda p: planning.run_history(p.manifests).select("agent", "run_id"), "SELECT event_type AS agent, event_id AS run_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 20"),
-    "persona_code": (lambda p: risk.persona_code(p.snapshots, p.table("events").groupBy("user_id").agg(F.count_distinct("event_type").alias("n"))), f"""WITH snaps AS (SELECT user_id, least(455.0, 50 + value) AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events), two AS (SELECT user_id, max({SCORE}) FILTER (rn = 1) AS a, max({SCORE}) FILTER (rn = 2) AS b FROM snaps WHERE rn <= 2 GROUP BY 1)
+    "persona_code": (lambda p: risk.persona_code(p.snapshots, p.table("events").groupBy("user_id").agg(F.count_distinct("event_type").alias("n"))), f"""WITH snaps AS (SELECT user_id, least(455.0, 50 + 3 * value) AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_id % 29 > 0), two AS (SELECT user_id, max({SCORE}) FILTER (rn = 1) AS a, max({SCORE}) FILTER (rn = 2) AS b FROM snaps WHERE rn <= 2 GROUP BY 1)
       SELECT user_id, CASE WHEN a >= 60 THEN 'V' ELSE 'G' END || CASE WHEN n <= 1 THEN 'S' ELSE 'C' END || CASE WHEN coalesce(a - b, 0) > 2 THEN 'A' WHEN coalesce(a - b, 0) < -2 THEN 'D' ELSE 'S' END AS persona FROM two JOIN (SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY 1) USING (user_id)"""),
-    "territory": (lambda p: p.table("documents").groupBy(risk.territory(F.array("text", "source")).alias("territory")).agg(F.count("*").alias("n")), f"SELECT {REGIONS} AS territory, count(*) AS n FROM (SELECT lower(concat_ws(' ', text, source)) AS t FROM documents) GROUP BY 1"),
+    "territory": (lambda p: fixtures.intros(p.spark, p.sf_dir).groupBy(risk.territory(F.array("text")).alias("territory")).agg(F.count("*").alias("n")), f"WITH {fixtures.intros_sql()} SELECT {REGIONS} AS territory, count(*) AS n FROM (SELECT lower(text) AS t FROM intros) GROUP BY 1"),
     "extraction_prompts": (lambda p: planning.extraction_prompts(p.papers.select("pmcid", F.col("abstract").alias("text"))).select("pmcid", F.sha2(F.regexp_extract("prompt", r"(?s)\nPaper (.*)$", 1), 256).alias("body")), "SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS pmcid, sha256('PMC' || CAST(doc_id AS VARCHAR) || ':' || chr(10) || text) AS body FROM documents"),
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     run = lambda f: lambda spark, sf_dir: f(Projection(spark, sf_dir))
-    return {n: run(f) for n, (f, _) in (GRAPH | PLAIN).items()}
+    return {n: run(f) for n, (f, _) in (GRAPH | PLAIN | PEOPLE).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out, base = {n: sql for n, (_, sql) in PLAIN.items() if sql}, fixtures.base_sql()
+    out, base = {n: sql for n, (_, sql) in (PLAIN | PEOPLE).items() if sql}, fixtures.base_sql()
     for n, (_, sql) in GRAPH.items():
         out[n] = f"{base}, {fixtures.DUCK_USERS}{sql.removeprefix('$users')}" if sql.startswith("$users") else f"{base} {sql}"
     return out

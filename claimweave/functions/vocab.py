@@ -109,11 +109,14 @@ def canonical_name(c: Column, names: dict[str, str]) -> Column:
 
 
 def canonical_names(df: DataFrame, columns: list[str], vocabulary: DataFrame) -> DataFrame:
-    """canonical_name for large vocabularies: a table of (key, canonical) joined to each column; Spark picks the join."""
+    """canonical_name for vocabularies of any size: a table (key in lower case, canonical) joined to each column; Spark picks the join.
+
+    Of a key that repeats the smallest form holds.
+    """
+    v = vocabulary.groupBy(F.col("key").alias("name_key")).agg(F.min("canonical").alias("name_form"))
     for c in columns:
-        v = vocabulary.select(F.col("key").alias("__k"), F.col("canonical").alias("__v"))
         t = F.trim(F.coalesce(F.col(c), F.lit("")))
-        df = df.join(v, F.lower(t) == F.col("__k"), "left").withColumn(c, F.coalesce("__v", t)).drop("__k", "__v")
+        df = df.join(v, F.lower(t) == F.col("name_key"), "left").withColumn(c, F.coalesce("name_form", t)).drop("name_key", "name_form")
     return df
 
 

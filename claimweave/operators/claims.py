@@ -10,8 +10,13 @@ from ..functions import vocab
 CLAIM_COLUMNS = ["subject", "subject_type", "predicate", "object", "object_type", "context", "source_id", "source_type", "journal", "pub_date", "evidence_type"]
 
 
-def normalize_claims(raw: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
-    """All claim columns in the vocabulary's forms; a rejected type becomes Thing, so that validation names it."""
+def normalize_claims(raw: DataFrame, names: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """All claim columns in the vocabulary's forms; a rejected type becomes Thing, so that validation names it.
+
+    names maps lower-case names to their forms: a small dict, or a table (key, canonical) of any size.
+    """
+    if isinstance(names, DataFrame):
+        raw, names = vocab.canonical_names(raw, ["subject", "object"], names), None
     c = lambda name, default="": F.col(name) if name in raw.columns else F.lit(default)
     kind = lambda name: F.coalesce(vocab.canonical_type(c(name)), F.lit("Thing"))
     return raw.select(

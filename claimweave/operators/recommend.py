@@ -178,10 +178,19 @@ def risk_evidence(edges: DataFrame, k: int = 8) -> DataFrame:
     return e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("dst").alias("disease"), F.col("src").alias("item"), "rel", "source_id", "rank")
 
 
-def trust_level(edges: DataFrame) -> DataFrame:
-    """Edges per trust level: studies are wisdom, reviews and cohorts knowledge, the rest information."""
-    level = F.when(F.col("evidence_strength") >= 4, "wisdom").when(F.col("evidence_strength") >= 2, "knowledge").otherwise("information")
-    return edges.groupBy(level.alias("trust")).agg(F.count("*").alias("n"))
+#: Source types that are trusted beyond a single study.
+TRUSTED_SOURCES = ["FDA", "drug_label"]
+
+
+def trust_level(source_type: Column, recommended: Column) -> Column:
+    """Evidence of a recommendation is wisdom, of a label knowledge, of a single study information."""
+    return F.when(recommended, "wisdom").when(source_type.isin(TRUSTED_SOURCES), "knowledge").otherwise("information")
+
+
+def trust_levels(edges: DataFrame) -> DataFrame:
+    """Edges per trust level; those that recommendations rest on are recommended."""
+    recommended = F.col("rel").isin(POS) & F.col("src_label").isin("Food", "Nutrient") & F.col("dst_label").isin("Disease", "Symptom")
+    return edges.groupBy(trust_level(F.col("source_type"), recommended).alias("trust")).agg(F.count("*").alias("n"))
 
 
 def age_guidance(edges: DataFrame, reasons: int = 50, evidence: int = 3) -> DataFrame:

@@ -163,12 +163,3 @@ def persona_code(snapshots: DataFrame, conditions: DataFrame) -> DataFrame:
     g = s.groupBy("user_id").agg(F.max(F.when(F.col("rn") == 1, score)).alias("now"), F.max(F.when(F.col("rn") == 2, score)).alias("before")).join(conditions, "user_id", "left")
     step = F.coalesce(F.col("now") - F.col("before"), F.lit(0))
     return g.select("user_id", F.concat(F.when(F.col("now") >= 60, "V").otherwise("G"), F.when(F.coalesce("n", F.lit(0)) <= 1, "S").otherwise("C"), F.when(step > 2, "A").when(step < -2, "D").otherwise("S")).alias("persona"))
-
-
-def follow_ups(age: Column, age_fuzzy: Column, gender: Column, conditions: Column, inferred: Column) -> Column:
-    """Array of struct(field, kind, value): what to confirm or to ask after a text was read."""
-    ask = lambda f, k, v=None: F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), (F.lit(None).cast("string") if v is None else v.cast("string")).alias("value"))
-    empty = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    fixed = F.array_compact(F.array(F.when(age.isNull(), ask("age", "number")).when(age_fuzzy, ask("age", "confirm", age))))
-    rest = F.array_compact(F.array(F.when(F.size(F.concat(empty(conditions), empty(inferred))) == 0, ask("conditions", "text")), F.when(gender.isNull(), ask("gender", "select"))))
-    return F.concat(fixed, F.transform(empty(inferred), lambda c: ask("conditions", "confirm", c)), rest)

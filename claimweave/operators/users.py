@@ -1,4 +1,4 @@
-"""Users over time: position, zones, trajectories, text and completeness; logs of demand and yield."""
+"""Users over time: position, zones, trajectories and completeness; logs of demand and yield; term search."""
 
 from __future__ import annotations
 
@@ -8,75 +8,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Exact and fuzzy ways to say one's age; a fuzzy decade is moved by the number.
-AGE_PATTERNS = [
-    r"\b(?:i'?m|i am|age|turned|just turned)\s+(\d{1,3})\b", r"\b(\d{1,3})\s*(?:years?\s*old|y\.?o\.?|years? of age)\b", r"\b(\d{1,3})\s*[-–]\s*year[- ]old\b", r"(?:저는|나는)\s*(\d{1,3})\s*살",
-    r"(\d{1,3})\s*살", r"(\d{1,3})\s*세(?!\w)", r"나이\s*(\d{1,3})", r"만\s*(\d{1,3})\s*(?:세|살)?",
-]
-DECADE_PATTERNS = [
-    (r"\b(?:in my\s+)?early\s+(\d0)s\b", 2), (r"\b(?:in my\s+)?mid(?:dle)?\s*[-–]?\s*(\d0)s\b", 5), (r"\b(?:in my\s+)?late\s+(\d0)s\b", 7), (r"\bin my\s+(\d0)s\b", 4), (r"\b(\d0)(?:s|-something)\b", 5),
-    (r"\baround\s+(\d{2,3})\b", 0), (r"\babout\s+(\d{2,3})\b", 0), (r"\balmost\s+(\d{2,3})\b", -1), (r"(\d0)대\s*초반", 2), (r"(\d0)대\s*중반", 5), (r"(\d0)대\s*후반", 7), (r"(\d0)대", 4),
-]
-GENDER_WORDS = [("female", r"\b(?:female|woman|f)\b|여성|여자"), ("male", r"(?<!')\b(?:male|man|m)\b|남성|남자"), ("non-binary", r"\b(?:non-binary|nonbinary|nb)\b")]
-GENDER_PRONOUNS = [("female", r"\b(?:she|her)\b"), ("male", r"\b(?:he|him|his)\b")]
-WEIGHTS = {"age": 15, "gender": 5, "conditions": 25, "symptoms": 10, "medications": 10, "goals": 10, "lifestyle": 10, "severity": 10, "exercise": 5}
-
+from .intake import terms_from_text
 
-def age_from_text(text: Column) -> Column:
-    """struct(age, fuzzy): the first exact pattern that gives 1 to 120, else the first decade."""
-    t = F.lower(text)
-    number = lambda p: F.try_to_number(F.nullif(F.regexp_extract(t, p, 1), F.lit("")), F.lit("999")).cast("int")
-    exact = F.coalesce(*[F.when(number(p).between(1, 120), number(p)) for p in AGE_PATTERNS])
-    fuzzy = F.coalesce(*[number(p) + shift for p, shift in DECADE_PATTERNS])
-    return F.struct(F.coalesce(exact, fuzzy).alias("age"), (exact.isNull() & fuzzy.isNotNull()).alias("fuzzy"))
+#: Weights of the parts of a context.
+WEIGHTS = {"age": 15, "gender": 5, "conditions": 25, "symptoms": 10, "medications": 10, "goals": 10, "lifestyle": 10, "severity": 10, "exercise": 5}
 
 
-def gender_from_text(text: Column) -> Column:
-    out, t = None, F.lower(text)
-    for name, p in GENDER_WORDS + GENDER_PRONOUNS:
-        out = F.when(t.rlike(p), name) if out is None else out.when(t.rlike(p), name)
-    return out
+#: Fields that a context lacks are listed in this order; what an answer alone gives is not.
+LISTED = ["age", "gender", "conditions", "symptoms", "medications", "goals", "lifestyle"]
 
 
-def terms_from_text(texts: DataFrame, phrases: DataFrame, max_words: int | None = None) -> DataFrame:
-    """(id, kind, term) for each phrase (phrase, kind, term) that a text (id, text) holds as whole words.
+def completeness_score(contexts: DataFrame) -> DataFrame:
+    """user_id, score (0 to 100), missing: weights of what a context holds or has answered, and the fields it lacks.
 
-    Texts are cut into runs of one to max_words words (by default the longest phrase's) and joined to the phrases by equality, so long
-    texts cost their length and no text meets every phrase.
+    Columns that contexts have not count as empty, and so do an age of 0, empty texts and empty lists.  Way of living or location
+    stand for lifestyle.  `answered` lists fields said to be empty, and "severity:..." and "exercise", which only answers give.
     """
-    if max_words is None:
-        max_words = phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
-    w = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}'-]+"), lambda x: x != "")
-    words = texts.select("id", w.alias("w"))
-    runs = None
-    for n in range(1, max_words + 1):
-        part = words.where(F.size("w") >= n).select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("phrase"))
-        runs = part if runs is None else runs.unionByName(part)
-    return runs.join(phrases, "phrase").select("id", "kind", "term").distinct()
+    kinds = dict(contexts.dtypes)
 
+    def has(c: str) -> Column:
+        if c not in kinds:
+            return F.lit(False)
+        if kinds[c].startswith("array"):
+            return F.coalesce(F.size(c) > 0, F.lit(False))
+        return F.coalesce(F.col(c) > 0 if c == "age" else F.trim(F.col(c).cast("string")) != "", F.lit(False))
 
-def completeness_score(users: DataFrame) -> DataFrame:
-    """user_id, score: weights of the fields that are filled or answered (columns missing from users count as empty)."""
-    has = lambda c: (F.size(c) > 0) if dict(users.dtypes).get(c, "").startswith("array") else F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
-    said = lambda x: F.coalesce(F.exists("answered", lambda a: a.startswith(x)), F.lit(False)) if "answered" in users.columns else F.lit(False)
-    tests = {f: (has(f) if f in users.columns else F.lit(False)) | (said(f) if f in ("medications", "lifestyle", "severity", "exercise") else F.lit(False)) for f in WEIGHTS}
-    return users.select("user_id", F.least(F.lit(100), sum((F.when(F.coalesce(t, F.lit(False)), WEIGHTS[f]).otherwise(0) for f, t in tests.items()), F.lit(0))).alias("score"))
+    said = (lambda test: F.coalesce(F.exists("answered", test), F.lit(False))) if "answered" in kinds else (lambda test: F.lit(False))
+    answer = lambda f: said(lambda a: a == f)
+    tests = {f: has(f) for f in WEIGHTS} | {"medications": has("medications") | answer("medications"), "exercise": answer("exercise"), "severity": said(lambda a: a.startswith("severity:"))}
+    tests["lifestyle"] = has("way_of_living") | has("location") | answer("lifestyle")
+    score = sum((F.when(t, WEIGHTS[f]).otherwise(0) for f, t in tests.items()), F.lit(0))
+    return contexts.select("user_id", F.least(F.lit(100), score).alias("score"), F.array_compact(F.array(*[F.when(~tests[f], F.lit(f)) for f in LISTED])).alias("missing"))
 
 
 def life_stage(age: Column) -> Column:
     return F.when(age < 30, "20s").when(age < 40, "30s").when(age < 50, "40s").when(age < 65, "50s-60s").when(age >= 65, "65+")
 
 
+#: The age of those who give none, the map's bounds, and its zones by the first bound above y.
+UNKNOWN_AGE = 35
+ZONES = [(140, "Thriving Zone"), (300, "Navigation Zone"), (415, "Risk Territory")]
+LAST_ZONE = "Critical Zone"
+
+
+def map_x(age: Column) -> Column:
+    """Place by age, held to 16 to 90."""
+    return 80 + (F.greatest(F.lit(16), F.least(F.lit(90), F.coalesce(age, F.lit(UNKNOWN_AGE)))) - 16) / 74 * 760
+
+
 def map_y(age: Column, n_conditions: Column, n_symptoms: Column) -> Column:
-    return F.least(F.lit(455.0), F.greatest(F.lit(50.0), 50 + 1.7 * F.greatest(F.lit(0), age - 20) + 65 * n_conditions + 18 * n_symptoms))
+    held = F.coalesce(age, F.lit(UNKNOWN_AGE))
+    none = lambda n: F.coalesce(n, F.lit(0))
+    return F.least(F.lit(455.0), F.greatest(F.lit(50.0), 50 + 1.7 * F.greatest(F.lit(0), held - 20) + 65 * none(n_conditions) + 18 * none(n_symptoms)))
 
 
 def zone(y: Column) -> Column:
-    return F.when(y < 150, "longevity").when(y < 250, "steady").when(y < 350, "caution").otherwise("danger")
+    """The zone of a place, null without one."""
+    out = F.when(y.isNull(), F.lit(None))
+    for below, name in ZONES:
+        out = out.when(y < below, name)
+    return out.otherwise(LAST_ZONE)
 
 
 def health_score(y: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.round(100 - (y - 50) / 405 * 100))).cast("int")
+    """0 to 100, null without a place."""
+    return F.when(y.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), F.round(100 - (y - 50) / 405 * 100)))).cast("int")
+
+
+def _placed(snapshots: DataFrame) -> DataFrame:
+    """Snapshots with a place; a stored zone holds before the one of the place."""
+    s = snapshots.where(F.col("y").isNotNull())
+    return s.withColumn("zone", F.coalesce("zone", zone(F.col("y"))) if "zone" in s.columns else zone(F.col("y")))
 
 
 def trajectory(snapshots: DataFrame, limit: int = 50) -> DataFrame:
@@ -87,25 +89,27 @@ def trajectory(snapshots: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def drift(snapshots: DataFrame) -> DataFrame:
-    """Change of score against the snapshot before: improving, worsening or steady (within 2)."""
+    """Change of score against the snapshot before: improving, worsening or steady (within 2).  Snapshots without a place do not count."""
     w = Window.partitionBy("user_id").orderBy("ts", "id")
-    s = snapshots.withColumns({"score": health_score(F.col("y")), "zone": zone(F.col("y"))})
+    s = _placed(snapshots).withColumn("score", health_score(F.col("y")))
     s = s.withColumns({"delta": F.col("score") - F.lag("score").over(w), "from_zone": F.lag("zone").over(w)})
     trend = F.when(F.col("delta") > 2, "improving").when(F.col("delta") < -2, "worsening").otherwise("steady")
     return s.where(F.col("delta").isNotNull()).select("user_id", "id", "score", "delta", trend.alias("trend"), (F.col("zone") != F.col("from_zone")).alias("zone_changed"))
 
 
 def zone_transitions(snapshots: DataFrame) -> DataFrame:
-    """A user's first snapshot, every change of zone, and the last snapshot."""
+    """A user's first snapshot, every change of zone, and the last snapshot, of those with a place."""
     w = Window.partitionBy("user_id").orderBy("ts", "id")
-    s = snapshots.withColumn("zone", zone(F.col("y"))).withColumns({"before": F.lag("zone").over(w), "after": F.lead("zone").over(w)})
+    s = _placed(snapshots).withColumns({"before": F.lag("zone").over(w), "after": F.lead("zone").over(w)})
     return s.where(F.col("before").isNull() | (F.col("before") != F.col("zone")) | F.col("after").isNull()).select("user_id", "id", "zone")
 
 
 def path_length(snapshots: DataFrame) -> DataFrame:
+    """Length of each user's way over the map (x, y), through the snapshots that have both."""
     w = Window.partitionBy("user_id").orderBy("ts", "id")
-    s = snapshots.withColumn("d", F.abs(F.col("y") - F.lag("y").over(w)))
-    return s.groupBy("user_id").agg(F.round(F.coalesce(F.sum("d"), F.lit(0.0)), 4).alias("length"))
+    step = lambda c: F.col(c) - F.lag(c).over(w)
+    s = snapshots.where(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumns({"dx": step("x"), "dy": step("y")})
+    return s.groupBy("user_id").agg(F.round(F.coalesce(F.sum(F.hypot("dx", "dy")), F.lit(0.0)), 4).alias("length"))
 
 
 def condition_diff(snapshots: DataFrame) -> DataFrame:

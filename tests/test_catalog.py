@@ -32,8 +32,8 @@ def test_query(spark, duck, name):
     df = catalog.queries()[name](spark, DATA)
     cols = sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in cols) for r in df.collect())
+    assert got, "a query without rows compares nothing"
     if name not in catalog.oracle_sql():
-        assert got
         return
     rel = duck.sql(catalog.oracle_sql()[name])
     assert sorted(rel.columns) == cols

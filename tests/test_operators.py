@@ -42,15 +42,6 @@ def test_upsert_is_idempotent(spark):
     assert sorted(once.select("source_id", "context").collect()) == sorted(twice.select("source_id", "context").collect()) == [("1", "a"), ("2", "c"), ("3", "d")]
 
 
-def test_text(spark):
-    df = spark.createDataFrame([(1, "I'm 45 years old"), (2, "in my early 50s"), (3, "나는 33살"), (4, "nothing 400"), (5, None)], "i int, t string")
-    assert [tuple(r.a) for r in df.orderBy("i").select(users.age_from_text(F.col("t")).alias("a")).collect()] == [(45, False), (52, True), (33, False), (None, False), (None, False)]
-    assert one(spark, users.gender_from_text, "I'm a woman", "I'm fine", "he said", None) == ["female", None, "male", None]
-    phrases = spark.createDataFrame([("high blood pressure", "condition", "Hypertension")], "phrase string, kind string, term string")
-    texts = spark.createDataFrame([(1, "My High blood pressure!"), (2, "high blood"), (3, None)], "id int, text string")
-    assert users.terms_from_text(texts, phrases).collect() == [(1, "condition", "Hypertension")]
-
-
 def test_throttle_holds_no_whole_key(spark):
     """The plan gathers no array of a key's rows, and accepts what one pass in order accepts."""
     rng = random.Random(6)
@@ -124,16 +115,6 @@ def test_rules_infer_by_age_or_condition(spark):
     assert got == {(1, 1): "osteoporosis", (1, 2): "sarcopenia", (1, 3): "alzheimer's disease", (2, 1): "stroke", (3, 1): "sarcopenia", (3, 2): "alzheimer's disease"}
 
 
-def test_follow_ups_ask_what_is_open(spark):
-    from pyspark.sql import functions as F
-
-    from claimweave.operators import risk
-
-    df = spark.createDataFrame([(44, True, None, [], ["hypertension"]), (None, False, "male", None, None)], "age int, fuzzy boolean, gender string, c array<string>, i array<string>")
-    rows = [[(x.field, x.kind, x.value) for x in r[0]] for r in df.select(risk.follow_ups(*map(F.col, df.columns))).collect()]
-    assert rows == [[("age", "confirm", "44"), ("conditions", "confirm", "hypertension"), ("gender", "select", None)], [("age", "number", None), ("conditions", "text", None)]]
-
-
 def test_clusters_and_manifests(spark, tmp_path):
     from claimweave.operators import planning
 
