@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import claims, graph, users
+from ..operators import claims, graph
 from ..sources.papers import CLAIM
 
 
@@ -25,14 +21,51 @@ def validate_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQu
     return checked.writeStream.format("parquet").partitionBy("part").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
 
 
-def upsert_stream(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch becomes version n of the edge table below `table`; a batch that is run again rewrites its own version."""
+#: Buckets of an edge table; all of them together are the rows of a manifest.
+BUCKETS = 64
+
+
+def _bucket(edges: DataFrame, buckets: int) -> DataFrame:
+    return edges.withColumn("bucket", F.pmod(F.xxhash64(*graph.EDGE_KEY), F.lit(buckets)).cast("int"))
+
+
+def _versions(spark: SparkSession, table: str, before: int | None = None) -> dict[int, int]:
+    """The version of each bucket in the latest manifest, or in the latest before a batch."""
+    listed = spark.read.schema("bucket int, version long, batch long").option("recursiveFileLookup", True).parquet(f"{table}/manifest")
+    listed = listed if before is None else listed.where(F.col("batch") < before)
+    return {r["bucket"]: r["version"] for r in listed.groupBy("bucket").agg(F.max_by("version", "batch").alias("version")).collect()}  # a row a bucket
+
+
+def read_edges(spark: SparkSession, table: str, buckets: list[int] | None = None, before: int | None = None) -> DataFrame:
+    """The edges of a table that upsert_stream keeps: all of it, or some buckets, now or as before a batch."""
+    paths = [f"{table}/v={v}/bucket={b}" for b, v in sorted(_versions(spark, table, before).items()) if buckets is None or b in buckets]
+    some = spark.read.parquet(*paths) if paths else spark.read.parquet(f"{table}/empty")
+    return some
+
+
+def upsert_stream(stream: DataFrame, table: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Merge claims into a bucketed edge table, which belongs to this checkpoint.
+
+    Edges are dealt to buckets by a hash of their key.  Batch n reads and writes the buckets it touches, as v=n, and then its
+    manifest, which names the version of each touched bucket; other buckets keep their files.  A batch that is run again finds
+    the table as before it, so it changes nothing.  Files of versions that no bucket uses any more stay until they are removed.
+    """
 
     def merge(batch: DataFrame, n: int) -> None:
-        edges = graph.build_edges(claims.valid_claims(claims.validate(claims.normalize_claims(batch))))
-        if n:
-            edges = graph.upsert_edges(batch.sparkSession.read.parquet(f"{table}/v={n - 1}"), edges)
-        edges.write.mode("overwrite").parquet(f"{table}/v={n}")
+        spark = batch.sparkSession
+        edges = _bucket(graph.build_edges(claims.valid_claims(claims.validate(claims.normalize_claims(batch)))), buckets)
+        if n == 0:
+            edges.drop("bucket").limit(0).write.mode("overwrite").parquet(f"{table}/empty")
+            spark.createDataFrame([], "bucket int, version long, batch long").write.mode("overwrite").parquet(f"{table}/manifest/start")
+        edges = edges.persist()
+        touched = sorted(r["bucket"] for r in edges.select("bucket").distinct().collect())  # at most `buckets` rows
+        if touched:
+            known = read_edges(spark, table, touched, n)
+            merged = _bucket(graph.upsert_edges(known, edges.drop("bucket")), buckets)
+            merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v={n}")
+            rows = spark.createDataFrame([(b, n, n) for b in touched], "bucket int, version long, batch long")
+            rows.coalesce(1).write.mode("overwrite").parquet(f"{table}/manifest/n{n}")
+        edges.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -50,50 +83,3 @@ def visit_stream(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 def context_expiry(contexts: DataFrame, now, days: int = 30) -> DataFrame:
     """Saved contexts (ts) that are not yet out of date."""
     return contexts.where(F.col("ts") + F.expr(f"INTERVAL {days} DAYS") > F.lit(now).cast("timestamp"))
-
-
-def throttle_stream(snapshots: DataFrame, seconds: int = 300) -> DataFrame:
-    """Snapshots (key, ts, id) accepted per key: `seconds` or more after the last accepted one; those without a time all are.
-
-    The state of a key is the second last accepted.  Rows are taken as they arrive, each batch of Arrow
-    rows by time and id, so a row older than an accepted one is refused.
-    """
-
-    def accept(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        free = state.get[0] if state.exists else None
-        for f in frames:
-            f, kept = f.sort_values(["t", "id"], kind="stable", na_position="first"), []
-            for t in f["t"]:
-                ok = pd.isna(t) or free is None or t >= free
-                kept.append(ok)
-                free = int(t) + seconds if ok and not pd.isna(t) else free
-            yield f.loc[kept, ["key", "ts", "id"]]
-        if free is not None:
-            state.update((free,))
-
-    rows = snapshots.select("key", "ts", "id", F.unix_timestamp("ts").cast("double").alias("t"))
-    return rows.groupBy("key").applyInPandasWithState(accept, "key string, ts timestamp, id long", "free long", "append", GroupStateTimeout.NoTimeout)
-
-
-def trajectory_stream(snapshots: DataFrame) -> DataFrame:
-    """Snapshots (user_id, ts, id, y) with their number, score and change against the user's one before.
-
-    The state of a user is the number, score and zone of the snapshot before.  Rows are taken as they
-    arrive, each batch of Arrow rows by time and id; a user's first has no delta and is steady.
-    """
-
-    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        step, score, zone = state.get if state.exists else (0, None, None)
-        for f in frames:
-            out = []
-            for r in f.sort_values(["t", "id"], kind="stable").itertuples():
-                delta, step = None if score is None else r.score - score, step + 1
-                trend = "improving" if delta is not None and delta > 2 else "worsening" if delta is not None and delta < -2 else "steady"
-                out.append((r.user_id, r.id, step, r.score, delta, trend, zone is not None and zone != r.zone))
-                score, zone = int(r.score), r.zone
-            yield pd.DataFrame(out, columns=["user_id", "id", "step", "score", "delta", "trend", "zone_changed"]).astype({"delta": "Int32"})
-        state.update((step, score, zone))
-
-    rows = snapshots.where(F.col("y").isNotNull()).select("user_id", "id", F.unix_timestamp("ts").alias("t"), users.health_score(F.col("y")).alias("score"), users.zone(F.col("y")).alias("zone"))
-    out = "user_id long, id long, step int, score int, delta int, trend string, zone_changed boolean"
-    return rows.groupBy("user_id").applyInPandasWithState(follow, out, "step int, score int, zone string", "append", GroupStateTimeout.NoTimeout)

@@ -89,7 +89,7 @@ def test_files_and_streams(spark, tmp_path):
     jobs.validate_stream(jobs.claim_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/c1").awaitTermination()
     assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out").select("part").collect()) == ["rejected", "valid"]
     jobs.upsert_stream(jobs.claim_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/t", f"{tmp_path}/c2").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/t/v=0").count() == 1
+    assert jobs.read_edges(spark, f"{tmp_path}/t").count() == 1
 
 
 def test_responses(spark):
@@ -193,24 +193,3 @@ def streamed(spark, tmp_path, job, batches, schema):
         stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
         job(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     return spark.read.parquet(str(tmp_path / "out"))
-
-
-def test_throttle_stream_gives_the_batch_result(spark, tmp_path):
-    rng = random.Random(4)
-    rows = sorted((t, k, i) for i, (k, t) in enumerate((rng.choice("ab"), rng.randint(0, 9000)) for _ in range(120)))
-    batches = [[(k, t, i) for t, k, i in rows[at : at + 40]] for at in (0, 40, 80)]
-    job = lambda s: jobs.throttle_stream(s.select("key", F.timestamp_seconds("t").alias("ts"), "id"))
-    got = streamed(spark, tmp_path, job, batches, "key string, t long, id long")
-    want = users.throttle(spark.createDataFrame([r for b in batches for r in b], "key string, t long, id long").select("key", F.timestamp_seconds("t").alias("ts"), "id"), "key")
-    assert sorted(tuple(r) for r in got.select("key", "id").collect()) == sorted(tuple(r) for r in want.collect())
-
-
-def test_trajectory_stream_gives_the_batch_result(spark, tmp_path):
-    rng = random.Random(5)
-    batches = [[(u, 100 * b + i, 1000 * b + 10 * i + u, float(rng.randint(50, 455))) for i in range(8) for u in (1, 2)] for b in range(2)]
-    job = lambda s: jobs.trajectory_stream(s.select("user_id", F.timestamp_seconds("t").alias("ts"), "id", "y"))
-    got = streamed(spark, tmp_path, job, batches, "user_id long, t long, id long, y double")
-    want = users.drift(spark.createDataFrame([r for b in batches for r in b], "user_id long, t long, id long, y double").withColumn("ts", F.timestamp_seconds("t")))
-    cols = ["user_id", "id", "score", "delta", "trend", "zone_changed"]
-    assert sorted(tuple(r) for r in got.where("step > 1").select(cols).collect()) == sorted(tuple(r) for r in want.select(cols).collect())
-    assert [r.step for r in got.where("user_id = 1").orderBy("id").collect()] == list(range(1, 17))
