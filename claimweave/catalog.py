@@ -12,11 +12,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .catalog_care import care_queries
 from .catalog_people import PEOPLE
+from .catalog_repair import REPAIR
 from .functions import vocab
 from .operators import audit, claims, graph, planning, recommend, risk, users
 from .plans import fixtures
-from .plans.shared import written_once
+from .plans.shared import files_of, written_once
 from .sources import papers
 
 
@@ -29,8 +31,12 @@ class Projection:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def stamp(self) -> str:
+        return files_of(self.spark, self.sf_dir)
+
     def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        return written_once(self.spark, f"{name} {self.sf_dir}", build)
+        return written_once(self.spark, f"{name} {self.sf_dir}", self.stamp, build)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -60,6 +66,11 @@ class Projection:
     def edges(self) -> DataFrame:
         return self.once("edges", lambda: graph.build_edges(self.valid))
 
+    @cached_property
+    def flagged(self) -> DataFrame:
+        """Edges with the marks of contradictions."""
+        return audit.flag_contested(self.edges, audit.contradiction_verdicts(self.edges))
+
     @cached_property
     def loose_edges(self) -> DataFrame:
         """Edges of all claims, those of weak predicates too."""
@@ -94,7 +105,7 @@ class Projection:
 
     @cached_property
     def board(self) -> DataFrame:
-        return risk.risk_board(self.profiles, self.users)
+        return risk.risk_board(self.profiles, self.users, self.names)
 
     @cached_property
     def insights(self) -> DataFrame:
@@ -213,8 +224,10 @@ GAP_QUERIES = _gap_queries_sql()
 
 PROF = """prof AS (SELECT name AS disease, 'factor' AS kind, split_part(name, ' ', 1) AS factor FROM nodes WHERE label = 'Disease' UNION ALL SELECT name, 'factor', 'age ' || CAST(30 + 10 * (length(name) % 5) AS VARCHAR) || '+' FROM nodes WHERE label = 'Disease'
   UNION ALL SELECT name, 'trigger', name FROM nodes WHERE label = 'Disease' UNION ALL SELECT name, 'route', 'walking' FROM nodes WHERE label = 'Disease')"""
-MATCHES = """hits AS (SELECT DISTINCT u.user_id, p.disease, p.factor FROM (SELECT DISTINCT user_id, term, age FROM users) u JOIN prof p ON p.kind = 'factor' AND (contains(u.term, p.factor) OR (p.factor LIKE 'age %' AND u.age >= CAST(regexp_replace(p.factor, '[^0-9]', '', 'g') AS INTEGER))))"""
-BOARD = """fired AS (SELECT DISTINCT u.user_id, p.disease FROM users u JOIN prof p ON p.kind = 'trigger' AND p.factor = u.term),
+MATCHES = """formed AS (SELECT DISTINCT u.user_id, u.age, lower(coalesce(n.canonical, u.term)) AS form FROM users u LEFT JOIN names n ON n.key = lower(u.term)),
+pforms AS (SELECT p.*, lower(coalesce(n.canonical, p.factor)) AS form FROM prof p LEFT JOIN names n ON n.key = lower(p.factor)),
+hits AS (SELECT DISTINCT u.user_id, p.disease, p.factor FROM formed u JOIN pforms p ON p.kind = 'factor' AND (contains(u.form, p.factor) OR u.form = p.form OR (p.factor LIKE 'age %' AND u.age >= CAST(regexp_replace(p.factor, '[^0-9]', '', 'g') AS INTEGER))))"""
+BOARD = """fired AS (SELECT DISTINCT u.user_id, p.disease FROM formed u JOIN pforms p ON p.kind = 'trigger' AND p.form = u.form),
 board AS (SELECT user_id, disease, CASE WHEN f.user_id IS NOT NULL OR n >= 3 THEN 'high' WHEN n = 2 THEN 'medium' ELSE 'low' END AS level, coalesce(n, 0) AS present, t.total - coalesce(n, 0) AS missing
   FROM (SELECT user_id, disease, count(*) AS n FROM hits GROUP BY ALL) h FULL JOIN fired f USING (user_id, disease) JOIN (SELECT disease, count(*) AS total FROM prof WHERE kind = 'factor' GROUP BY 1) t USING (disease))"""
 
@@ -253,7 +266,6 @@ ASKED = ", asked AS (SELECT DISTINCT lower(trim(term)) AS term, field FROM (SELE
 SHOWN = f"""named AS (SELECT DISTINCT f.field, n.name, lower(CASE WHEN f.field = 'goals' THEN replace(n.name, '_', ' ') ELSE n.name END) AS key
   FROM (SELECT label, display_name AS name FROM nodes UNION ALL SELECT 'Goal', unnest([{", ".join(f"'{g}'" for g in users.GOALS)}])) n JOIN (VALUES {", ".join(f"('{f}', '{k}')" for f, k in users.FIELD_LABELS.items())}) AS f(field, label) USING (label)),
 own_nodes AS (SELECT t.term, t.field, n.name, CAST(row_number() OVER (PARTITION BY t.term, t.field ORDER BY length(n.name), n.name) AS INTEGER) AS rank FROM asked t JOIN named n ON n.field = t.field AND contains(n.key, t.term))"""
-AGING = ", aging AS (SELECT src, rel, dst, context, source_id FROM edges WHERE src_label = 'AgeRelatedChange' AND rel IN ('OCCURS_AT', 'EXPLAINS_WHY', 'MODIFIABLE_BY'))"
 LOGGED = "o_orderkey AS pos, o_orderkey AS cycle, o_custkey AS papers, CAST(length(o_orderpriority) AS BIGINT) AS nodes_delta, CAST(length(o_orderstatus) AS BIGINT) AS rels_delta, o_custkey AS total_nodes, o_orderkey AS total_rels, '1999-01-01 00:00:00' AS time"
 
 P = Projection
@@ -276,9 +288,6 @@ GRAPH: dict[str, tuple[Callable[[P], DataFrame], str]] = {
     "build_edges": (lambda p: p.edges, "SELECT * FROM edges"),
     "upsert_edges": (lambda p: graph.upsert_edges(p.edges.where(F.col("source_id") < "PMC5"), p.edges.where(F.col("source_id") >= "PMC3")).select(*graph.EDGE_KEY, "pub_date"), "SELECT src_label, src, rel, dst_label, dst, source_id, pub_date FROM edges"),
     "skipped_without_source": (lambda p: graph.skipped_without_source(p.raw), "SELECT count(*) AS skipped FROM raw WHERE trim(source_id) = ''"),
-    "duplicate_groups": (lambda p: graph.duplicate_groups(p.valid.select(F.col("subject_type").alias("label"), F.col("subject").alias("name"))).select("label", "key", "n", "canonical"), "SELECT label, key, count(*) AS n, coalesce(min(name) FILTER (name <> lower(name)), min(name)) AS canonical FROM (SELECT DISTINCT subject_type AS label, subject AS name, lower(subject) AS key FROM valid) GROUP BY label, key HAVING count(*) > 1"),
-    "resolve_entities": (lambda p: graph.resolve_entities(p.edges, p.nodes.where(F.col("name").endswith("1")).select("label", "name", F.regexp_replace("name", "1$", "2").alias("canonical"))).select(*graph.EDGE_KEY), "SELECT DISTINCT src_label, regexp_replace(src, '1$', '2') AS src, rel, dst_label, regexp_replace(dst, '1$', '2') AS dst, source_id FROM edges WHERE NOT (src_label = dst_label AND regexp_replace(src, '1$', '2') = regexp_replace(dst, '1$', '2') AND src <> dst)"),
-    "relabel_nonstandard": (lambda p: graph.relabel_nonstandard(p.raw.select(F.col("subject_type").alias("label"), F.lower(F.trim("subject")).alias("name")).distinct(), p.raw.select(F.col("subject_type").alias("label")).distinct().where("label <> 'process'").withColumn("target", vocab.canonical_type(F.col("label"))), vocab.ENTITY_TYPES), f"SELECT label, count(*) AS nodes, CASE WHEN label = 'process' THEN 'unmapped' WHEN label = 'Task' THEN 'delete' ELSE 'relabel' END AS action, CASE WHEN label NOT IN ('process', 'Task') THEN {fixtures._type_sql('label')} END AS target FROM (SELECT DISTINCT subject_type AS label, lower(trim(subject)) AS name FROM raw) WHERE label NOT IN ({TYPES}) GROUP BY label"),
     "orphan_nodes": (lambda p: graph.orphan_nodes(p.listed, p.edges).select("label", "name"), f", {LISTED} SELECT label, name FROM listed WHERE (label, name) NOT IN (SELECT (label, name) FROM {ENDS})"),
     "drop_orphans": (lambda p: graph.drop_orphans(p.listed, p.edges).select("label", "name"), f", {LISTED} SELECT label, name FROM listed WHERE (label, name) IN (SELECT (label, name) FROM {ENDS})"),
     "drop_noise_nodes": (lambda p: graph.drop_noise_nodes(p.nodes.withColumn("name", F.regexp_replace("name", "^red ", "(red) ")), p.edges)[0].select("label", "name"), "SELECT label, regexp_replace(name, '^red ', '(red) ') AS name FROM nodes WHERE name NOT LIKE 'red %' OR label NOT IN ('Disease', 'Symptom', 'Food', 'Nutrient', 'Drug', 'LifestyleFactor', 'Biomarker', 'Mechanism', 'BodySystem')"),
@@ -320,24 +329,13 @@ GRAPH: dict[str, tuple[Callable[[P], DataFrame], str]] = {
     "age_gender_profile": (lambda p: recommend.age_gender_profile(p.users), f"$users SELECT DISTINCT user_id, coalesce(pr.conditions, '{recommend.PROFILES['default', 'any']}') AS conditions FROM users u LEFT JOIN {PROFILES} ON pr.d = {DECADE} AND pr.g = {GENDER}"),
     "user_targets": (lambda p: recommend.user_targets(p.users), f"$users, {TARGETS} SELECT * FROM targets"),
     "recs_direct": (lambda p: recommend.recs_direct(p.edges).select("item", "rel", "target", "source_id", "strength"), f", {LAYERS} SELECT item, rel, target, source_id, strength FROM direct"),
-    "recs_via_nutrient": (lambda p: recommend.recs_via_nutrient(p.edges), f", {LAYERS} SELECT * FROM via_nutrient"),
+    "recs_via_nutrient": (lambda p: recommend.recs_via_nutrient(p.edges).drop("reached", "debated", "ev"), f", {LAYERS} SELECT * FROM via_nutrient"),
     "recs_via_shared_symptom": (lambda p: recommend.recs_via_shared_symptom(p.edges).select("item", "rel", "target", "source_id", "strength"), f", {LAYERS} SELECT item, rel, target, source_id, strength FROM via_symptom"),
-    "restricted_items": (lambda p: recommend.restricted_items(p.edges), f"SELECT src AS item, rel, dst AS target, source_id, evidence_strength AS strength FROM edges WHERE rel IN ({NEG}) AND src_label IN ('Food', 'Nutrient') AND dst_label IN ('Disease', 'Symptom')"),
-    "recommendations": (lambda p: recommend.recommendations(p.edges, p.users), f"""$users, {TARGETS}, {LAYERS}, layers AS (SELECT * FROM direct UNION ALL SELECT * FROM via_nutrient UNION ALL SELECT * FROM via_symptom),
-      reasons AS (SELECT target, item, {REASON} AS reason, count(DISTINCT source_id) AS n_evidence, max(strength) AS strength FROM layers GROUP BY ALL)
-      SELECT user_id, item, reason, n_evidence, strength, CAST(rank AS INTEGER) AS rank FROM (SELECT t.user_id, t.plan, r.item, r.reason, r.n_evidence, r.strength, row_number() OVER (PARTITION BY t.user_id ORDER BY r.strength DESC, r.n_evidence DESC, r.item, r.reason) AS rank FROM targets t JOIN reasons r ON r.target = t.target) WHERE rank <= CASE WHEN plan = 'free' THEN 5 ELSE 20 END"""),
-    "safest_path": (lambda p: recommend.safest_path(p.edges, p.users), f"""$users, {TARGETS}, cand AS (SELECT t.user_id, 'increase' AS step, e.src AS item, max(e.evidence_strength) AS s FROM targets t JOIN edges e ON e.dst = t.target WHERE e.rel IN ({POS}) AND e.src_label IN ('Food', 'Nutrient') AND e.dst_label IN ('Disease', 'Symptom') GROUP BY ALL
-      UNION ALL SELECT t.user_id, 'reduce', e.src, max(e.evidence_strength) FROM targets t JOIN edges e ON e.dst = t.target WHERE e.rel IN ({NEG}) AND e.src_label IN ('Food', 'Nutrient') AND e.dst_label IN ('Disease', 'Symptom') GROUP BY ALL)
-      SELECT user_id, step, string_agg(item, ', ' ORDER BY rn) AS items FROM (SELECT *, row_number() OVER (PARTITION BY user_id, step ORDER BY s DESC, item) AS rn FROM cand) WHERE rn <= 3 GROUP BY user_id, step"""),
+    "restricted_items": (lambda p: recommend.restricted_items(p.edges).drop("ev"), f"SELECT src AS item, rel, dst AS target, source_id, evidence_strength AS strength FROM edges WHERE rel IN ({NEG}) AND src_label IN ('Food', 'Nutrient') AND dst_label IN ('Disease', 'Symptom')"),
     "early_signals": (lambda p: recommend.early_signals(p.edges), "SELECT src AS symptom, dst AS disease, count(*) AS n_evidence, max(evidence_strength) AS strength FROM edges WHERE rel = 'EARLY_SIGNAL_OF' AND src_label = 'Symptom' AND dst_label = 'Disease' GROUP BY ALL"),
-    "symptom_relievers": (lambda p: recommend.symptom_items(p.edges, "ALLEVIATES"), "SELECT dst AS symptom, src AS item, count(*) AS n_evidence, max(evidence_strength) AS strength FROM edges WHERE rel = 'ALLEVIATES' AND src_label IN ('Food', 'Nutrient') AND dst_label = 'Symptom' GROUP BY ALL"),
-    "symptom_aggravators": (lambda p: recommend.symptom_items(p.edges, "AGGRAVATES"), "SELECT dst AS symptom, src AS item, count(*) AS n_evidence, max(evidence_strength) AS strength FROM edges WHERE rel = 'AGGRAVATES' AND src_label IN ('Food', 'Nutrient') AND dst_label = 'Symptom' GROUP BY ALL"),
-    "nearby_risks": (lambda p: recommend.per_user(recommend.early_signals(p.edges).select(F.col("symptom").alias("target"), "disease"), p.users, 5, "target", "disease").select("user_id", "target", "disease"), f"$users, {TARGETS} SELECT user_id, target, disease FROM (SELECT t.user_id, t.target, s.disease, row_number() OVER (PARTITION BY t.user_id ORDER BY t.target, s.disease) AS rn FROM targets t JOIN (SELECT DISTINCT src, dst AS disease FROM edges WHERE rel = 'EARLY_SIGNAL_OF' AND src_label = 'Symptom' AND dst_label = 'Disease') s ON s.src = t.target) WHERE rn <= 5"),
-    "food_chain": (lambda p: recommend.food_chain(p.edges), "SELECT food, h.nutrient, rel, target, contains_sources, effect_sources FROM (SELECT src AS food, dst AS nutrient, count(DISTINCT source_id) AS contains_sources FROM edges WHERE rel = 'CONTAINS' AND src_label = 'Food' AND dst_label = 'Nutrient' GROUP BY ALL) h JOIN (SELECT src AS nutrient, rel, dst AS target, count(DISTINCT source_id) AS effect_sources FROM edges WHERE src_label = 'Nutrient' AND dst_label IN ('Disease', 'Symptom') GROUP BY ALL) a ON a.nutrient = h.nutrient"),
     **{n: (lambda p, r=r: recommend.drug_links(p.edges, r), f"SELECT drug, item, strength, n_evidence, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY strength DESC, n_evidence DESC, item) AS rank FROM (SELECT dst AS drug, src AS item, max(evidence_strength) AS strength, count(*) AS n_evidence FROM edges WHERE rel = '{r}' AND dst_label = 'Drug' GROUP BY ALL)) WHERE rank <= 15") for n, r in (("drug_substitutes", "SUBSTITUTES_FOR"), ("drug_complements", "COMPLEMENTS_DRUG"))},
     "drug_interactions": (lambda p: recommend.drug_interactions(p.edges), "SELECT dst AS drug, coalesce(string_agg(DISTINCT CASE WHEN rel = 'CONTRAINDICATED_WITH' THEN src END, ', ' ORDER BY CASE WHEN rel = 'CONTRAINDICATED_WITH' THEN src END), '') AS avoid, coalesce(string_agg(DISTINCT CASE WHEN rel = 'COMPLEMENTS_DRUG' THEN src END, ', ' ORDER BY CASE WHEN rel = 'COMPLEMENTS_DRUG' THEN src END), '') AS complement FROM edges WHERE dst_label = 'Drug' AND src_label IN ('Food', 'Nutrient') AND rel IN ('CONTRAINDICATED_WITH', 'COMPLEMENTS_DRUG') GROUP BY dst"),
     "biomarkers": (lambda p: recommend.biomarkers(p.edges), "SELECT b.biomarker, b.disease, m.food, m.direction FROM (SELECT DISTINCT src AS biomarker, dst AS disease FROM edges WHERE rel = 'BIOMARKER_FOR' AND src_label = 'Biomarker' AND dst_label = 'Disease') b LEFT JOIN (SELECT DISTINCT dst AS biomarker, src AS food, CASE WHEN rel = 'INCREASES_BIOMARKER' THEN 'raises' ELSE 'lowers' END AS direction FROM edges WHERE rel IN ('INCREASES_BIOMARKER', 'DECREASES_BIOMARKER') AND src_label IN ('Food', 'Nutrient')) m ON m.biomarker = b.biomarker"),
-    "mechanism_chains": (lambda p: recommend.mechanism_chains(p.edges), "SELECT h.mechanism, item, target_sources, rel, disease, effect_sources FROM (SELECT src AS item, dst AS mechanism, count(DISTINCT source_id) AS target_sources FROM edges WHERE rel = 'TARGETS_MECHANISM' AND src_label IN ('Food', 'Nutrient') GROUP BY ALL) h JOIN (SELECT src AS mechanism, rel, dst AS disease, count(DISTINCT source_id) AS effect_sources FROM edges WHERE src_label = 'Mechanism' AND rel IN ('CAUSES', 'INCREASES_RISK_OF') AND dst_label = 'Disease' GROUP BY ALL) l ON l.mechanism = h.mechanism"),
     "risk_cascade": (lambda p: recommend.risk_cascade(p.edges, p.users), f"$users, {TARGETS} SELECT user_id, target, disease, n, CAST(rank AS INTEGER) AS rank, CASE WHEN n >= 2 THEN 'high' ELSE 'moderate' END AS severity FROM (SELECT t.user_id, t.target, c.disease, c.n, row_number() OVER (PARTITION BY t.user_id ORDER BY c.n DESC, t.target, c.disease) AS rank FROM targets t JOIN (SELECT src, dst AS disease, count(*) AS n FROM edges WHERE src_label = 'Disease' AND dst_label = 'Disease' AND rel IN ('INCREASES_RISK_OF', 'CAUSES') GROUP BY ALL) c ON c.src = t.target) WHERE rank <= 6"),
     "risk_evidence": (lambda p: recommend.risk_evidence(p.edges), f"SELECT disease, item, rel, source_id, CAST(rank AS INTEGER) AS rank FROM (SELECT dst AS disease, src AS item, rel, source_id, row_number() OVER (PARTITION BY dst ORDER BY source_id DESC, src, rel) AS rank FROM edges WHERE dst_label = 'Disease' AND rel IN ({POS}) AND src_label IN ('Food', 'Nutrient', 'LifestyleFactor')) WHERE rank <= 8"),
     "trust_level": (lambda p: recommend.trust_levels(p.edges), f"SELECT CASE WHEN rel IN ({POS}) AND src_label IN ('Food', 'Nutrient') AND dst_label IN ('Disease', 'Symptom') THEN 'wisdom' WHEN source_type IN ('FDA', 'drug_label') THEN 'knowledge' ELSE 'information' END AS trust, count(*) AS n FROM edges GROUP BY 1"),
@@ -347,15 +345,10 @@ GRAPH: dict[str, tuple[Callable[[P], DataFrame], str]] = {
       words AS (SELECT *, row_number() OVER (PARTITION BY term, field ORDER BY length(name), name) AS rank FROM (SELECT DISTINCT t.term, t.field, n.display_name AS name FROM asked t JOIN nodes n ON contains(n.name, t.term) OR contains(t.term, n.name) WHERE n.name LIKE '%1')),
       both_kinds AS (SELECT term, field, name, min((source, rank)) AS best FROM (SELECT term, field, name, 0 AS source, rank FROM words WHERE rank <= 10 UNION ALL SELECT term, field, name, 1, rank FROM own_nodes WHERE rank <= 10) GROUP BY ALL)
       SELECT term, field, name, CAST(rank AS INTEGER) AS rank FROM (SELECT term, field, name, row_number() OVER (PARTITION BY term, field ORDER BY best, name) AS rank FROM both_kinds) WHERE rank <= 10"""),
-    "age_guidance": (lambda p: recommend.age_guidance(p.edges).withColumn("evidence", F.array_join("evidence", ",")), f"""{AGING},
-      own AS (SELECT src AS change, coalesce(max(dst) FILTER (rel = 'OCCURS_AT'), '') AS life_stage FROM aging GROUP BY 1),
-      parts AS (SELECT change, string_agg(v, '; ' ORDER BY v) AS why FROM (SELECT *, row_number() OVER (PARTITION BY change ORDER BY v) AS rn FROM (SELECT DISTINCT src AS change, CASE WHEN rel = 'MODIFIABLE_BY' THEN 'Modifiable by ' || dst ELSE context END AS v FROM aging WHERE rel <> 'OCCURS_AT')) WHERE rn <= 50 GROUP BY 1),
-      seen AS (SELECT change, string_agg(v, ',' ORDER BY v) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY change ORDER BY v) AS rn FROM (SELECT DISTINCT src AS change, source_id AS v FROM aging)) WHERE rn <= 3 GROUP BY 1)
-      SELECT change, life_stage, coalesce(why, 'Diet and exercise matter for this change.') AS why, evidence FROM own LEFT JOIN parts USING (change) JOIN seen USING (change)"""),
     "match_entity": (lambda p: users.match_entity(p.table("part").select(F.split("p_name", " ")[0].alias("term")), p.nodes), "SELECT term, name FROM (SELECT t.term, n.name, row_number() OVER (PARTITION BY t.term ORDER BY n.name <> t.term, length(n.name), n.name) AS rn FROM (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS term FROM part) t JOIN nodes n ON contains(n.name, t.term)) WHERE rn = 1"),
     "replace_if_better": (lambda p: users.replace_if_better(p.valid.where("evidence_type = 'RCT'"), p.valid).groupBy("source_id").agg(F.count("*").alias("n")), "SELECT source_id, count(*) AS n FROM valid GROUP BY source_id"),
     "reextract_candidates": (lambda p: users.reextract_candidates(p.papers.select("pmcid"), p.valid), "SELECT d.pmcid, n, strength FROM (SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS pmcid, count(v.source_id) AS n, coalesce(avg(v.evidence_strength), 0.0) AS strength FROM documents LEFT JOIN valid v ON v.source_id = 'PMC' || CAST(doc_id AS VARCHAR) GROUP BY doc_id) d WHERE n <= 2 ORDER BY n, strength DESC, pmcid LIMIT 50"),
-    "risk_factor_match": (lambda p: risk.risk_factor_match(p.profiles, p.users), f"$users, {PROF}, {MATCHES} SELECT * FROM hits"),
+    "risk_factor_match": (lambda p: risk.risk_factor_match(p.profiles, p.users, p.names), f"$users, {PROF}, {MATCHES} SELECT * FROM hits"),
     "risk_board": (lambda p: p.board, f"$users, {PROF}, {MATCHES}, {BOARD} SELECT * FROM board"),
     "enrich_profiles": (lambda p: risk.enrich_profiles(p.profiles, p.edges), f", {PROF}, {ENRICHED}"),
     "insights": (lambda p: p.insights, f"$users, {TARGETS}, {INSIGHTS} SELECT * FROM ins"),
@@ -408,6 +401,8 @@ PLAIN: dict[str, tuple[Callable[[P], DataFrame], str | None]] = {
     "extraction_prompts": (lambda p: planning.extraction_prompts(p.papers.select("pmcid", F.col("abstract").alias("text"))).select("pmcid", F.sha2(F.regexp_extract("prompt", r"(?s)\nPaper (.*)$", 1), 256).alias("body")), "SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS pmcid, sha256('PMC' || CAST(doc_id AS VARCHAR) || ':' || chr(10) || text) AS body FROM documents"),
 }
 
+GRAPH |= care_queries(POS, NEG, TARGETS, VERDICTS, DECADE) | REPAIR
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     run = lambda f: lambda spark, sf_dir: f(Projection(spark, sf_dir))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.vocab import ENTITY_TYPES, canonical_type
+from ..plans.shared import written
+
 EDGE_KEY = ["src_label", "src", "rel", "dst_label", "dst", "source_id"]
 EDGE_PROPS = ["pub_date", "context", "journal", "evidence_type", "evidence_strength", "source_type"]
 NOISE_LABELS = ["Disease", "Symptom", "Food", "Nutrient", "Drug", "LifestyleFactor", "Biomarker", "Mechanism", "BodySystem"]
@@ -40,28 +43,104 @@ def skipped_without_source(claims: DataFrame) -> DataFrame:
     return claims.agg(F.count_if(F.trim(F.coalesce("source_id", F.lit(""))) == "").alias("skipped"))
 
 
-def duplicate_groups(spellings: DataFrame) -> DataFrame:
-    """Spellings (label, name) of one label that differ in case alone, with the one to keep."""
-    mixed = F.filter("names", lambda n: n != F.lower(n))
-    g = spellings.select("label", "name").distinct().groupBy("label", F.lower("name").alias("key")).agg(F.sort_array(F.collect_list("name")).alias("names"), F.count("*").alias("n"))
-    return g.where(F.col("n") > 1).withColumn("canonical", F.coalesce(F.array_min(mixed), F.array_min("names")))
+def duplicate_groups(spellings: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """label, key, names, n, canonical: spellings (label, name) of one label that differ in case alone, with the one to keep.
+
+    The vocabulary's form (names: key, canonical) comes first, be it a spelling or not; then the first spelling of mixed case, then
+    the first of all.
+    """
+    mixed = F.filter("names", lambda n: (n != F.lower(n)) & (n != F.upper(n)))
+    g = spellings.select("label", "name").distinct().groupBy("label", F.lower("name").alias("key")).agg(F.sort_array(F.collect_list("name")).alias("names"), F.count("*").alias("n")).where(F.col("n") > 1)
+    if names is None:
+        return g.withColumn("canonical", F.coalesce(F.array_min(mixed), F.array_min("names")))
+    forms = names.groupBy("key").agg(F.min("canonical").alias("form"))
+    return g.join(forms, F.trim(g["key"]) == forms["key"], "left").select(g["label"], g["key"], "names", "n", F.coalesce("form", F.array_min(mixed), F.array_min("names")).alias("canonical"))
+
+
+def duplicate_mapping(groups: DataFrame) -> DataFrame:
+    """label, name, canonical of every spelling that is not the one to keep."""
+    return groups.select("label", F.explode("names").alias("name"), "canonical").where(F.col("name") != F.col("canonical"))
+
+
+#: Hops of a chain of mappings that are followed: 2 to this power.
+DOUBLINGS = 20
+
+
+def closed_mapping(mapping: DataFrame) -> DataFrame:
+    """mapping(label, name, canonical) with chains followed to their end; names in a circle keep themselves.
+
+    Every round doubles the hops, so a chain of length n takes log n joins; each round is written to the shared folder.
+    """
+    own = mapping.where(F.col("name") != F.col("canonical")).groupBy("label", "name").agg(F.min("canonical").alias("canonical"))
+    for _ in range(DOUBLINGS):
+        own = written(own, "mapping")
+        onward = own.select("label", F.col("name").alias("canonical"), F.col("canonical").alias("further"))
+        if own.join(onward, ["label", "canonical"], "left_semi").isEmpty():
+            return own
+        own = own.join(onward, ["label", "canonical"], "left").select("label", "name", F.coalesce("further", "canonical").alias("canonical"))
+    return own.join(onward.select("label", "canonical"), ["label", "canonical"], "left_anti")
+
+
+def _mapped(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """edges with new_src and new_dst."""
+    for side in ("src", "dst"):
+        m = mapping.select(F.col("label").alias(f"{side}_label"), F.col("name").alias(side), F.col("canonical").alias(f"new_{side}"))
+        edges = edges.join(m, [f"{side}_label", side], "left").withColumn(f"new_{side}", F.coalesce(f"new_{side}", side))
+    return edges
+
+
+#: An edge between two spellings of one entity.
+LOOP = (lambda: (F.col("src_label") == F.col("dst_label")) & (F.col("new_src") == F.col("new_dst")) & (F.col("src") != F.col("dst")))
 
 
 def resolve_entities(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """edges rewired by mapping(label, name, canonical); loops between a name and its canonical form go, keys stay unique."""
+    """edges rewired by mapping(label, name, canonical); loops between spellings of one entity go, keys stay unique."""
+    moved = _mapped(edges, mapping).where(~LOOP())
+    return _latest(moved.withColumns({"src": F.col("new_src"), "dst": F.col("new_dst")}).drop("new_src", "new_dst"))
+
+
+def resolve_nodes(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
+    """nodes with the mapped ones merged into the node to keep, which takes that name."""
+    named = nodes.join(mapping.select("label", "name", "canonical"), ["label", "name"], "left").withColumn("name", F.coalesce("canonical", "name"))
+    return named.groupBy("label", "name").agg(F.max("display_name").alias("display_name"))
+
+
+def resolve_report(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """groups, nodes_merged, edges_moved (ends that got another node), loops_dropped: one row."""
+    of_groups = groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("nodes_merged"))
+    moved = (F.col("new_src") != F.col("src")).cast("int") + (F.col("new_dst") != F.col("dst")).cast("int")
+    of_edges = _mapped(edges, duplicate_mapping(groups)).agg(F.coalesce(F.sum(F.when(~LOOP(), moved)), F.lit(0)).alias("edges_moved"), F.count_if(LOOP()).alias("loops_dropped"))
+    return of_groups.crossJoin(of_edges)  # one row each
+
+
+def label_actions(labels: DataFrame, standard: list[str] = ENTITY_TYPES) -> DataFrame:
+    """label, action, target of every label outside the vocabulary: relabel where it is an alias, delete where its kind is rejected, else unmapped."""
+    kind = canonical_type(F.col("label"))
+    odd = labels.where(~F.col("label").isin(standard)).select("label", kind.alias("kind")).distinct()
+    known = F.col("kind").isin(standard)
+    return odd.select("label", F.when(F.col("kind").isNull(), "delete").when(known, "relabel").otherwise("unmapped").alias("action"), F.when(known, F.col("kind")).alias("target"))
+
+
+def _at_ends(edges: DataFrame, actions: DataFrame) -> DataFrame:
     for side in ("src", "dst"):
-        m = mapping.select(F.col("label").alias(f"{side}_label"), F.col("name").alias(side), F.col("canonical").alias("__c"))
-        edges = edges.join(m, [f"{side}_label", side], "left").withColumn(f"__{side}", F.coalesce("__c", side)).drop("__c")
-    loop = (F.col("src_label") == F.col("dst_label")) & (F.col("__src") == F.col("__dst")) & (F.col("src") != F.col("dst"))
-    moved = edges.where(~loop).withColumn("src", F.col("__src")).withColumn("dst", F.col("__dst")).drop("__src", "__dst")
-    return _latest(moved)
-
-
-def relabel_nonstandard(nodes: DataFrame, targets: DataFrame, standard: list[str]) -> DataFrame:
-    """Per label outside the vocabulary: its nodes and what becomes of them (targets: label, target; a null target deletes)."""
-    odd = nodes.where(~F.col("label").isin(standard)).groupBy("label").agg(F.count("*").alias("nodes"))
-    t = targets.withColumn("known", F.lit(True))
-    return odd.join(t, "label", "left").select("label", "nodes", F.when(F.col("target").isNotNull(), "relabel").when(F.col("known"), "delete").otherwise("unmapped").alias("action"), "target")
+        edges = edges.join(actions.select(F.col("label").alias(f"{side}_label"), F.col("action").alias(f"{side}_action"), F.col("target").alias(f"{side}_target")), f"{side}_label", "left")
+    return edges
+
+
+def relabel_nonstandard(nodes: DataFrame, edges: DataFrame, standard: list[str] = ENTITY_TYPES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes and edges with labels brought into the vocabulary, and a report (label, action, target, nodes, edges).
+
+    Aliases take their label, and nodes and edges that become equal are merged.  Rejected kinds go with their edges.  Labels
+    without a rule stay.  The report counts nodes and ends of edges under each label.
+    """
+    actions = label_actions(nodes.select("label").union(endpoints(edges).select("label")), standard)
+    own = nodes.join(actions, "label", "left").where(F.coalesce("action", F.lit("")) != "delete").withColumn("label", F.coalesce("target", "label"))
+    kept = own.groupBy("label", "name").agg(F.max("display_name").alias("display_name"))
+    gone = lambda side: F.coalesce(F.col(f"{side}_action"), F.lit("")) == "delete"
+    moved = _at_ends(edges, actions).where(~gone("src") & ~gone("dst")).withColumns({f"{s}_label": F.coalesce(f"{s}_target", f"{s}_label") for s in ("src", "dst")})
+    n_nodes, n_ends = nodes.groupBy("label").agg(F.count("*").alias("nodes")), endpoints(edges).groupBy("label").agg(F.count("*").alias("edges"))
+    report = actions.join(n_nodes, "label", "left").join(n_ends, "label", "left").fillna(0, ["nodes", "edges"])
+    return kept, _latest(moved.select(*EDGE_KEY, *EDGE_PROPS)), report
 
 
 def endpoints(edges: DataFrame) -> DataFrame:

@@ -56,83 +56,178 @@ def _to_targets(edges: DataFrame) -> DataFrame:
     return e.where(~F.col("contested")) if "contested" in edges.columns else e
 
 
+#: Records of evidence that a list holds.
+EVIDENCE = 5
+#: Fields of a record of evidence; a source without a type is a paper.
+EVIDENCE_FIELDS = ["source_id", "source_type", "context", "journal", "pub_date"]
+
+
+def evidence_of(edges: DataFrame) -> Column:
+    """An edge's record of evidence; fields that edges have not are empty."""
+    held = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in edges.columns else F.lit("")
+    return F.struct(*[(F.coalesce(F.nullif(held(c), F.lit("")), F.lit("PMC")) if c == "source_type" else held(c)).alias(c) for c in EVIDENCE_FIELDS])
+
+
+def top_evidence(rows: DataFrame, by: list[str], k: int = EVIDENCE, name: str = "evidence") -> DataFrame:
+    """Per key the first k distinct records (column ev) in order.  Ranks are cut on both sides of the shuffle, so no key gathers more than k."""
+    first = Window.partitionBy(*by).orderBy("ev")
+    kept = rows.select(*by, "ev").distinct().withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k)
+    return kept.groupBy(*by).agg(F.array_sort(F.collect_list("ev")).alias(name))
+
+
 def recs_direct(edges: DataFrame) -> DataFrame:
-    """item, rel, target, via, source_id, strength: one hop."""
-    return _to_targets(edges).where(F.col("rel").isin(POS)).select(F.col("src").alias("item"), "rel", F.col("dst").alias("target"), F.lit(None).cast("string").alias("via"), "source_id", F.col("evidence_strength").alias("strength"))
+    """item, rel, target, via, reached, debated, source_id, strength, ev: one hop."""
+    e = _to_targets(edges).where(F.col("rel").isin(POS))
+    debated = F.coalesce("debated", F.lit(False)) if "debated" in edges.columns else F.lit(False)
+    return e.select(F.col("src").alias("item"), "rel", F.col("dst").alias("target"), F.lit(None).cast("string").alias("via"), F.col("dst").alias("reached"), debated.alias("debated"), "source_id", F.col("evidence_strength").alias("strength"), evidence_of(edges).alias("ev"))
 
 
 def recs_via_nutrient(edges: DataFrame) -> DataFrame:
     """Two hops: a food contains a nutrient that helps.  Only distinct (food, nutrient) pairs enter the join."""
     holds = edges.where((F.col("rel") == "CONTAINS") & (F.col("src_label") == "Food") & (F.col("dst_label") == "Nutrient")).select(F.col("src").alias("item"), F.col("dst").alias("via")).distinct()
-    helps = _sourced(edges).where((F.col("src_label") == "Nutrient") & F.col("rel").isin(POS) & F.col("dst_label").isin("Disease", "Symptom")).select(F.col("src").alias("via"), "rel", F.col("dst").alias("target"), "source_id", F.col("evidence_strength").alias("strength"))
-    return holds.join(helps, "via").select("item", "rel", "target", "via", "source_id", "strength")
+    helps = _sourced(edges).where((F.col("src_label") == "Nutrient") & F.col("rel").isin(POS) & F.col("dst_label").isin("Disease", "Symptom"))
+    helps = helps.select(F.col("src").alias("via"), "rel", F.col("dst").alias("target"), "source_id", F.col("evidence_strength").alias("strength"), evidence_of(edges).alias("ev"))
+    return holds.join(helps, "via").select("item", "rel", "target", "via", F.col("target").alias("reached"), F.lit(False).alias("debated"), "source_id", "strength", "ev")
 
 
 def recs_via_shared_symptom(edges: DataFrame) -> DataFrame:
-    """Three hops: what eases a symptom that signals the target."""
-    signals = edges.where((F.col("rel") == "EARLY_SIGNAL_OF") & (F.col("src_label") == "Symptom")).select(F.col("src").alias("symptom"), F.col("dst").alias("target")).distinct()
-    eases = _sourced(edges).where(F.col("src_label").isin("Food", "Nutrient") & (F.col("dst_label") == "Symptom") & F.col("rel").isin("ALLEVIATES", "PREVENTS")).select(F.col("src").alias("item"), "rel", F.col("dst").alias("symptom"), "source_id", F.col("evidence_strength").alias("strength"))
-    return eases.join(signals, "symptom").select("item", "rel", "target", F.lit(None).cast("string").alias("via"), "source_id", "strength")
+    """Three hops: what eases a symptom (reached) that signals the target."""
+    signals = edges.where((F.col("rel") == "EARLY_SIGNAL_OF") & (F.col("src_label") == "Symptom")).select(F.col("src").alias("reached"), F.col("dst").alias("target")).distinct()
+    eases = _sourced(edges).where(F.col("src_label").isin("Food", "Nutrient") & (F.col("dst_label") == "Symptom") & F.col("rel").isin("ALLEVIATES", "PREVENTS"))
+    eases = eases.select(F.col("src").alias("item"), "rel", F.col("dst").alias("reached"), "source_id", F.col("evidence_strength").alias("strength"), evidence_of(edges).alias("ev"))
+    return eases.join(signals, "reached").select("item", "rel", "target", F.lit(None).cast("string").alias("via"), "reached", F.lit(False).alias("debated"), "source_id", "strength", "ev")
 
 
 def restricted_items(edges: DataFrame) -> DataFrame:
-    return _to_targets(edges).where(F.col("rel").isin(NEG)).select(F.col("src").alias("item"), "rel", F.col("dst").alias("target"), "source_id", F.col("evidence_strength").alias("strength"))
+    return _to_targets(edges).where(F.col("rel").isin(NEG)).select(F.col("src").alias("item"), "rel", F.col("dst").alias("target"), "source_id", F.col("evidence_strength").alias("strength"), evidence_of(edges).alias("ev"))
 
 
-def reason_text(rel: Column, target: Column, via: Column) -> Column:
+def reason_text(rel: Column, target: Column, via: Column, debated: Column | None = None) -> Column:
+    """What links an item to what it helps, said to be debated where evidence conflicts."""
     p = F.lower(F.translate(rel, "_", " "))
-    return F.when(via.isNotNull(), F.concat(F.lit("Contains "), via, F.lit(" which "), p, F.lit(" "), target)).otherwise(F.concat(F.lit("Associated with "), p, F.lit(" of "), target))
+    said = F.when(via.isNotNull(), F.concat(F.lit("Contains "), via, F.lit(" which "), p, F.lit(" "), target)).otherwise(F.concat(F.lit("Associated with "), p, F.lit(" of "), target))
+    return said if debated is None else F.concat(said, F.when(debated, " [debated — conflicting evidence exists]").otherwise(""))
+
 
+def profile_note(age: Column, gender: Column) -> Column:
+    """What a reason begins with for users whose targets come from their profile."""
+    own = F.concat_ws(" ", F.when(age.isNotNull(), decade(age)), F.nullif(F.lower(F.trim(gender)), F.lit("")))
+    return F.concat(F.lit("Recommended for your profile ("), own, F.lit(") — "))
 
-def recommendations(edges: DataFrame, users: DataFrame) -> DataFrame:
-    """user_id, item, reason, n_evidence, strength, rank: five items for free plans, else twenty.
 
-    Evidence is counted per (item, reason, target) before users meet it, so the join carries one row
-    per reason and user however much evidence there is.
+def recommendations(edges: DataFrame, users: DataFrame, evidence: int = EVIDENCE) -> DataFrame:
+    """user_id, item, reason, n_evidence, strength, evidence, rank: five items for free plans, else twenty.
+
+    Reasons are counted and ranked per target before users meet them: of a target only the first twenty can be among a user's
+    first twenty, so a user meets at most twenty rows a target, whatever the graph holds.  Evidence is listed for those alone.
+    A reason that several targets of a user give counts once, with the evidence of the target that has most.
     """
     layers = recs_direct(edges).unionByName(recs_via_nutrient(edges)).unionByName(recs_via_shared_symptom(edges))
-    reasons = layers.groupBy("target", "item", reason_text(F.col("rel"), F.col("target"), F.col("via")).alias("reason")).agg(F.count_distinct("source_id").alias("n_evidence"), F.max("strength").alias("strength"))
-    w = Window.partitionBy("user_id").orderBy(F.desc("strength"), F.desc("n_evidence"), "item", "reason")
-    ranked = user_targets(users).join(reasons, "target").withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= F.when(F.col("plan") == "free", FREE_ITEMS).otherwise(PAID_ITEMS)).select("user_id", "item", "reason", "n_evidence", "strength", "rank")
+    told = layers.select("target", "item", reason_text(F.col("rel"), F.col("reached"), F.col("via"), F.col("debated")).alias("reason"), "source_id", "strength", "ev")
+    key = ["target", "item", "reason"]
+    reasons = told.groupBy(*key).agg(F.count_distinct("source_id").alias("n_evidence"), F.max("strength").alias("strength"))
+    order = [F.desc("strength"), F.desc("n_evidence"), "item", "reason"]
+    top = reasons.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(*order))).where(F.col("rank") <= PAID_ITEMS).drop("rank")
+    top = top.join(top_evidence(told.join(top.select(*key), key, "left_semi"), key, evidence), key)
+    notes = users.where(F.col("term").isNull()).groupBy("user_id").agg(F.max(profile_note(F.col("age"), F.col("gender"))).alias("note"))
+    met = user_targets(users).join(top, "target")
+    best = met.groupBy("user_id", "plan", "item", "reason").agg(F.max(F.struct("strength", "n_evidence", F.size("evidence").alias("listed"), "evidence", "from_profile")).alias("b")).select("user_id", "plan", "item", "reason", "b.*")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
+    kept = ranked.where(F.col("rank") <= F.when(F.col("plan") == "free", FREE_ITEMS).otherwise(PAID_ITEMS)).join(notes, "user_id", "left")
+    reason = F.concat(F.when(F.col("from_profile"), F.col("note")).otherwise(""), F.col("reason"))
+    return kept.select("user_id", "item", reason.alias("reason"), "n_evidence", "strength", "evidence", "rank")
 
 
 def per_user(edges_view: DataFrame, users: DataFrame, k: int, *order: str) -> DataFrame:
-    """The first k rows of a (target, ...) view for each user that has the target."""
+    """The first k rows of a (target, ...) view for each user that has the target.
+
+    Of each target the first k rows alone can be among a user's first k, so the view is cut before users meet it.
+    """
     cols = [F.desc(c[1:]) if c[0] == "-" else F.col(c) for c in order]
-    joined = user_targets(users).join(edges_view, "target")
+    cut = edges_view.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(*cols))).where(F.col("rank") <= k).drop("rank")
+    joined = user_targets(users).join(cut, "target")
     return joined.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*cols))).where(F.col("rank") <= k).drop("plan", "from_profile")
 
 
-def safest_path(edges: DataFrame, users: DataFrame, k: int = 3) -> DataFrame:
-    """user_id, step, items: what to increase and what to reduce, joined in order."""
-    up = recs_direct(edges).groupBy("target", "item").agg(F.max("strength").alias("s"))
-    down = restricted_items(edges).groupBy("target", "item").agg(F.max("strength").alias("s"))
+#: Foods that a step of the path names, and records of evidence beside it.
+FREE_FOODS, PAID_FOODS, STEP_EVIDENCE = 3, 5, 3
+
+
+def safest_path(edges: DataFrame, users: DataFrame) -> DataFrame:
+    """user_id, step, items, evidence: what to increase and what to reduce, three items for free plans, else five, and three records.
+
+    As in recommendations, a target sends its first items alone, each with its first records.
+    """
     out = None
-    for step, view in (("increase", up), ("reduce", down)):
-        best = user_targets(users).join(view, "target").groupBy("user_id", "item").agg(F.max("s").alias("s"))
-        top = best.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("s"), "item"))).where(F.col("rn") <= k)
-        part = top.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "item"))), lambda x: x["item"]), ", ").alias("items")).select("user_id", F.lit(step).alias("step"), "items")
+    for step, view in (("increase", recs_direct(edges)), ("reduce", restricted_items(edges))):
+        key = ["target", "item"]
+        strength = view.groupBy(*key).agg(F.max("strength").alias("s"))
+        first = strength.withColumn("rn", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("s"), "item"))).where(F.col("rn") <= PAID_FOODS).drop("rn")
+        shown = first.join(top_evidence(view.join(first.select(*key), key, "left_semi"), key, STEP_EVIDENCE), key)
+        best = user_targets(users).join(shown, "target").groupBy("user_id", "plan", "item").agg(F.max("s").alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+        ranked = best.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("s"), "item"))).where(F.col("rn") <= F.when(F.col("plan") == "free", FREE_FOODS).otherwise(PAID_FOODS))
+        listed = ranked.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rn", "item", F.slice("evidence", 1, STEP_EVIDENCE).alias("evidence")))).alias("l"))
+        part = listed.select("user_id", F.lit(step).alias("step"), F.array_join(F.transform("l", lambda x: x["item"]), ", ").alias("items"), F.slice(F.flatten(F.transform("l", lambda x: x["evidence"])), 1, STEP_EVIDENCE).alias("evidence"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def early_signals(edges: DataFrame) -> DataFrame:
+    """symptom, disease, n_evidence, strength of every early signal."""
     e = edges.where((F.col("rel") == "EARLY_SIGNAL_OF") & (F.col("src_label") == "Symptom") & (F.col("dst_label") == "Disease"))
     return e.groupBy(F.col("src").alias("symptom"), F.col("dst").alias("disease")).agg(F.count("*").alias("n_evidence"), F.max("evidence_strength").alias("strength"))
 
 
-def symptom_items(edges: DataFrame, rel: str) -> DataFrame:
-    """Foods and nutrients that ease (ALLEVIATES) or worsen (AGGRAVATES) a symptom."""
-    e = edges.where((F.col("rel") == rel) & F.col("src_label").isin("Food", "Nutrient") & (F.col("dst_label") == "Symptom"))
-    return e.groupBy(F.col("dst").alias("symptom"), F.col("src").alias("item")).agg(F.count("*").alias("n_evidence"), F.max("evidence_strength").alias("strength"))
+def early_signal_guidance(edges: DataFrame, users: DataFrame, k: int = 15) -> DataFrame:
+    """user_id, symptom, disease, n_evidence, strength, rank: the first k diseases that a user's own symptoms signal, strongest first."""
+    view = early_signals(_sourced(edges)).withColumnRenamed("symptom", "target")
+    top = per_user(view, users.where(F.col("term").isNotNull()), k, "-strength", "-n_evidence", "target", "disease")
+    return top.select("user_id", F.col("target").alias("symptom"), "disease", "n_evidence", "strength", "rank")
+
+
+def nearby_risks(edges: DataFrame, users: DataFrame, nodes: DataFrame) -> DataFrame:
+    """user_id, name, kind, reason, evidence, rank: diseases that the user's symptoms signal, then the user's own conditions.
+
+    A held term that is a Symptom node is a symptom, any other a condition.  Five for free plans, else thirty.
+    """
+    held = users.where(F.col("term").isNotNull()).select("user_id", "plan", F.lower(F.trim("term")).alias("target")).where(F.col("target") != "").distinct()
+    symptoms = nodes.where(F.col("label") == "Symptom").select(F.col("name").alias("target")).distinct()
+    e = _sourced(edges).where((F.col("rel") == "EARLY_SIGNAL_OF") & (F.col("src_label") == "Symptom") & (F.col("dst_label") == "Disease"))
+    signals = top_evidence(e.select(F.col("src").alias("target"), F.col("dst").alias("name"), evidence_of(edges).alias("ev")), ["target", "name"], 1)
+    signals = signals.withColumn("rn", F.row_number().over(Window.partitionBy("target").orderBy("name"))).where(F.col("rn") <= 30).drop("rn")
+    of_symptoms = held.join(symptoms, "target", "left_semi").join(signals, "target").select("user_id", "plan", "name", F.lit("early_signal").alias("kind"), F.concat(F.lit("Early signal: "), "target").alias("reason"), "evidence")
+    none = F.filter(F.array(F.struct(*[F.lit("").alias(c) for c in EVIDENCE_FIELDS])), lambda x: F.lit(False))
+    own = held.join(symptoms, "target", "left_anti").select("user_id", "plan", F.col("target").alias("name"), F.lit("disease").alias("kind"), F.lit("Current condition").alias("reason"), none.alias("evidence"))
+    ranked = of_symptoms.unionByName(own).withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("kind"), "reason", "name")))
+    return ranked.where(F.col("rank") <= F.when(F.col("plan") == "free", 5).otherwise(30)).drop("plan")
+
+
+def symptom_items(edges: DataFrame, rel: str, evidence: int = EVIDENCE) -> DataFrame:
+    """Foods and nutrients that ease (ALLEVIATES) or worsen (AGGRAVATES) a symptom, with evidence."""
+    e = edges.where((F.col("rel") == rel) & F.col("src_label").isin("Food", "Nutrient") & (F.col("dst_label") == "Symptom")).select(F.col("dst").alias("symptom"), F.col("src").alias("item"), "evidence_strength", evidence_of(edges).alias("ev"))
+    counted = e.groupBy("symptom", "item").agg(F.count("*").alias("n_evidence"), F.max("evidence_strength").alias("strength"))
+    return counted.join(top_evidence(e, ["symptom", "item"], evidence), ["symptom", "item"])
 
 
-def food_chain(edges: DataFrame) -> DataFrame:
-    """food, nutrient, rel, target with the number of sources on either hop."""
-    holds = edges.where((F.col("rel") == "CONTAINS") & (F.col("src_label") == "Food") & (F.col("dst_label") == "Nutrient")).groupBy(F.col("src").alias("food"), F.col("dst").alias("nutrient")).agg(F.count_distinct("source_id").alias("contains_sources"))
-    acts = edges.where((F.col("src_label") == "Nutrient") & F.col("dst_label").isin("Disease", "Symptom")).groupBy(F.col("src").alias("nutrient"), "rel", F.col("dst").alias("target")).agg(F.count_distinct("source_id").alias("effect_sources"))
-    return holds.join(acts, "nutrient").select("food", "nutrient", "rel", "target", "contains_sources", "effect_sources")
+def _hop(edges: DataFrame, key: list[str], n: str, listed: str, evidence: int) -> DataFrame:
+    """Distinct sources of each key and their first records."""
+    sources = edges.groupBy(*key).agg(F.count_distinct("source_id").alias(n))
+    return sources.join(top_evidence(edges, key, evidence, listed), key)
+
+
+def food_chain(edges: DataFrame, k: int = 50, evidence: int = EVIDENCE) -> DataFrame:
+    """food, nutrient, rel, target, both hops' numbers of sources and records: the first k chains of each food by nutrient, rel and target.
+
+    Of a nutrient only its first k effects can be among a food's first k chains.
+    """
+    e = edges.withColumn("ev", evidence_of(edges))
+    holds = e.where((F.col("rel") == "CONTAINS") & (F.col("src_label") == "Food") & (F.col("dst_label") == "Nutrient")).select(F.col("src").alias("food"), F.col("dst").alias("nutrient"), "source_id", "ev")
+    acts = e.where((F.col("src_label") == "Nutrient") & F.col("dst_label").isin("Disease", "Symptom")).select(F.col("src").alias("nutrient"), "rel", F.col("dst").alias("target"), "source_id", "ev")
+    effects = _hop(acts, ["nutrient", "rel", "target"], "effect_sources", "effect_evidence", evidence)
+    effects = effects.withColumn("rn", F.row_number().over(Window.partitionBy("nutrient").orderBy("rel", "target"))).where(F.col("rn") <= k).drop("rn")
+    chains = _hop(holds, ["food", "nutrient"], "contains_sources", "contains_evidence", evidence).join(effects, "nutrient")
+    ranked = chains.withColumn("rn", F.row_number().over(Window.partitionBy("food").orderBy("nutrient", "rel", "target"))).where(F.col("rn") <= k)
+    return ranked.select("food", "nutrient", "rel", "target", "contains_sources", "effect_sources", "contains_evidence", "effect_evidence")
 
 
 def drug_links(edges: DataFrame, rel: str, k: int = 15, labels: list[str] | None = None) -> DataFrame:
@@ -157,11 +252,12 @@ def biomarkers(edges: DataFrame) -> DataFrame:
     return marks.join(moves, "biomarker", "left")
 
 
-def mechanism_chains(edges: DataFrame) -> DataFrame:
-    """item, mechanism, rel, disease with the number of sources on either hop."""
-    hits = edges.where((F.col("rel") == "TARGETS_MECHANISM") & F.col("src_label").isin("Food", "Nutrient")).groupBy(F.col("src").alias("item"), F.col("dst").alias("mechanism")).agg(F.count_distinct("source_id").alias("target_sources"))
-    leads = edges.where((F.col("src_label") == "Mechanism") & F.col("rel").isin("CAUSES", "INCREASES_RISK_OF") & (F.col("dst_label") == "Disease")).groupBy(F.col("src").alias("mechanism"), "rel", F.col("dst").alias("disease")).agg(F.count_distinct("source_id").alias("effect_sources"))
-    return hits.join(leads, "mechanism")
+def mechanism_chains(edges: DataFrame, evidence: int = EVIDENCE) -> DataFrame:
+    """item, mechanism, rel, disease with both hops' numbers of sources and records of evidence."""
+    e = _sourced(edges).withColumn("ev", evidence_of(edges))
+    hits = e.where((F.col("rel") == "TARGETS_MECHANISM") & F.col("src_label").isin("Food", "Nutrient")).select(F.col("src").alias("item"), F.col("dst").alias("mechanism"), "source_id", "ev")
+    leads = e.where((F.col("src_label") == "Mechanism") & F.col("rel").isin("CAUSES", "INCREASES_RISK_OF") & (F.col("dst_label") == "Disease")).select(F.col("src").alias("mechanism"), "rel", F.col("dst").alias("disease"), "source_id", "ev")
+    return _hop(hits, ["item", "mechanism"], "target_sources", "target_evidence", evidence).join(_hop(leads, ["mechanism", "rel", "disease"], "effect_sources", "effect_evidence", evidence), "mechanism")
 
 
 def risk_cascade(edges: DataFrame, users: DataFrame, k: int = 6) -> DataFrame:
@@ -193,22 +289,18 @@ def trust_levels(edges: DataFrame) -> DataFrame:
     return edges.groupBy(trust_level(F.col("source_type"), recommended).alias("trust")).agg(F.count("*").alias("n"))
 
 
-def age_guidance(edges: DataFrame, reasons: int = 50, evidence: int = 3) -> DataFrame:
+def age_guidance(edges: DataFrame, evidence: int = 3) -> DataFrame:
     """change, life_stage, why, evidence: what is known of each age-related change.
 
-    Of several life stages the last by name is told; the first `reasons` distinct reasons are joined in
-    order, a change without any gets a general one; evidence is the first sources in order.
+    Of several life stages the last by name is told; all distinct reasons are joined in order, a change without any gets a general
+    one; evidence is the first records in order.
     """
-    stage = (F.col("rel") == "OCCURS_AT")
+    stage = F.col("rel") == "OCCURS_AT"
     e = edges.where((F.col("src_label") == "AgeRelatedChange") & F.col("rel").isin("OCCURS_AT", "MODIFIABLE_BY", "EXPLAINS_WHY") & (F.trim("source_id") != "") & (F.trim("src") != ""))
-    e = e.select(F.trim("src").alias("change"), "rel", F.trim("dst").alias("dst"), "context", "source_id")
-    own = e.groupBy("change").agg(F.coalesce(F.max(F.when(stage, F.col("dst"))), F.lit("")).alias("life_stage"))
-
-    def first(of: DataFrame, name: str, k: int) -> DataFrame:
-        rn = F.row_number().over(Window.partitionBy("change").orderBy("v"))
-        return of.distinct().withColumn("rn", rn).where(F.col("rn") <= k).groupBy("change").agg(F.array_sort(F.collect_list("v")).alias(name))
-
-    why = F.when(F.col("rel") == "MODIFIABLE_BY", F.concat(F.lit("Modifiable by "), "dst")).otherwise(F.coalesce(F.nullif("context", F.lit("")), "dst"))
-    parts = first(e.where(~stage).select("change", why.alias("v")), "parts", reasons)
-    out = own.join(parts, "change", "left").join(first(e.select("change", F.col("source_id").alias("v")), "evidence", evidence), "change")
-    return out.select("change", "life_stage", F.coalesce(F.array_join("parts", "; "), F.lit("Diet and exercise matter for this change.")).alias("why"), "evidence")
+    e = e.select(F.trim("src").alias("change"), "rel", F.trim("dst").alias("dst"), "context", evidence_of(edges).alias("ev"))
+    why = F.when(F.col("rel") == "MODIFIABLE_BY", F.concat(F.lit("Modifiable by "), "dst")).when(~stage, F.coalesce(F.nullif("context", F.lit("")), "dst"))
+    # Distinct reasons before they are gathered: a change holds its reasons once each.
+    told = e.groupBy("change", why.alias("v"), F.when(stage, F.col("dst")).alias("stage")).agg(F.lit(1).alias("one"))
+    own = told.groupBy("change").agg(F.coalesce(F.max("stage"), F.lit("")).alias("life_stage"), F.array_sort(F.collect_set("v")).alias("parts"))
+    text = F.when(F.size("parts") > 0, F.array_join("parts", "; ")).otherwise("Diet and exercise matter for this change.")
+    return own.join(top_evidence(e, ["change"], evidence), "change").select("change", "life_stage", text.alias("why"), "evidence")

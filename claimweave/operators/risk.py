@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import vocab
 from .audit import NEG, POS
 from .recommend import per_user
-from .users import health_score
+from .users import health_score, holding
 
 OLDEST = 150
 #: Regions of the map by words of the conditions, the first that fits.
@@ -42,16 +43,22 @@ def _by_age(rules: DataFrame, users: DataFrame) -> DataFrame:
     return ages.join(users.select("user_id", "age").distinct(), "age").drop("age")
 
 
-def risk_factor_match(profiles: DataFrame, users: DataFrame) -> DataFrame:
-    """user_id, disease, factor: the factor is a part of a held term, or names an age ("age 65+") that the user has reached.
+def _formed(df: DataFrame, column: str, names: DataFrame | None) -> DataFrame:
+    """df with the column in the vocabulary's form, in lower case."""
+    return df if names is None else vocab.canonical_names(df, [column], names).withColumn(column, F.lower(column))
 
-    Parts are found once per distinct term: its tails join factors on their first three letters.
+
+def risk_factor_match(profiles: DataFrame, users: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """user_id, disease, factor: the factor is a part of a held term, its form is that term, or it names an age ("age 65+") that the user has reached.
+
+    names (key, canonical) gives the forms of held terms and factors.  Parts are found once per distinct term, by the rarest gram.
     """
     factors = profiles.where(F.col("kind") == "factor").select("disease", "factor", F.lower(F.trim("factor")).alias("key")).where(F.col("key") != "")
-    held = _held(users)
-    tails = held.select("term").where(F.col("term") != "").distinct().withColumn("at", F.explode(F.sequence(F.lit(1), F.length("term")))).select("term", F.expr("substring(term, at)").alias("tail"))
-    heads = tails.withColumn("g", F.explode(F.array_distinct(F.array(*[F.substring("tail", 1, n) for n in (1, 2, 3)]))))
-    pairs = heads.join(factors.select("key").distinct().withColumn("g", F.substring("key", 1, 3)), "g").where(F.col("tail").startswith(F.col("key"))).select("term", "key").distinct()
+    held = _formed(_held(users), "term", names).where(F.col("term") != "").distinct()
+    keys = factors.select("key").distinct()
+    pairs = holding(keys.select(F.col("key").alias("inner")), held.select(F.col("term").alias("outer"))).select(F.col("outer").alias("term"), F.col("inner").alias("key"))
+    if names is not None:
+        pairs = pairs.unionByName(_formed(keys.withColumn("term", F.col("key")), "term", names).select("term", "key")).distinct()
     by_term = held.join(pairs, "term").join(factors, "key").select("user_id", "disease", "factor")
     aged = factors.where(F.col("key").contains("age ")).withColumn("min_age", F.expr("try_cast(regexp_replace(key, '[^0-9]', '') AS INT)"))
     return by_term.unionByName(_by_age(aged, users).select("user_id", "disease", "factor")).distinct()
@@ -61,11 +68,12 @@ def risk_level(triggered: Column, n: Column) -> Column:
     return F.when(triggered | (n >= 3), "high").when(n == 2, "medium").when(n == 1, "low").otherwise("none")
 
 
-def risk_board(profiles: DataFrame, users: DataFrame) -> DataFrame:
+def risk_board(profiles: DataFrame, users: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """user_id, disease, level, present, missing: factors counted; a held trigger makes the level high."""
     total = profiles.where(F.col("kind") == "factor").groupBy("disease").agg(F.count_distinct("factor").alias("total"))
-    present = risk_factor_match(profiles, users).groupBy("user_id", "disease").agg(F.count("*").alias("present"))
-    fired = _held(users).join(profiles.where(F.col("kind") == "trigger").select("disease", F.lower(F.trim("factor")).alias("term")), "term").select("user_id", "disease", F.lit(True).alias("fired")).distinct()
+    present = risk_factor_match(profiles, users, names).groupBy("user_id", "disease").agg(F.count("*").alias("present"))
+    triggers = _formed(profiles.where(F.col("kind") == "trigger").select("disease", F.lower(F.trim("factor")).alias("term")), "term", names)
+    fired = _formed(_held(users), "term", names).join(triggers, "term").select("user_id", "disease", F.lit(True).alias("fired")).distinct()
     n = F.coalesce("present", F.lit(0))
     board = present.join(fired, ["user_id", "disease"], "full_outer").join(total, "disease", "left")
     return board.select("user_id", "disease", risk_level(F.coalesce("fired", F.lit(False)), n).alias("level"), n.cast("bigint").alias("present"), (F.coalesce("total", F.lit(0)) - n).cast("bigint").alias("missing"))

@@ -229,17 +229,37 @@ def _asked(terms: DataFrame, *more: str) -> DataFrame:
     return terms.select(F.lower(F.trim("term")).alias("term"), *more).where(F.length("term") > 0).distinct()
 
 
-def holding(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """(inner, outer) for each text of outer that contains one of inner; each frame has the one column.
+#: Letters of a gram.
+GRAM = 3
+
+
+def _grams(column: str, n: int) -> Column:
+    """The distinct n-letter grams of a text; none for a shorter one."""
+    t = F.col(column)
+    return F.when(F.length(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: t.substr(i, F.lit(n)))))
+
 
-    An outer text is cut into its tails once, and an inner text is joined to the tails that start with it
-    by its first three letters (all of a shorter one), so nothing meets everything.
+def candidates(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer) pairs that share the inner text's rarest gram, each frame with the one column, distinct.
+
+    The outer texts are an inverted index of their grams.  An inner text with a gram that no outer text has is dropped;
+    one of fewer letters than a gram is looked up as a gram of its own length, which already is the answer.
     """
-    at = outer.where(F.length("outer") > 0).distinct().select("outer", F.explode(F.sequence(F.lit(1), F.length("outer"))).alias("at"))
-    tails = at.select("outer", F.expr("substring(outer, at)").alias("tail"))
-    heads = tails.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length("tail"))), lambda n: F.col("tail").substr(F.lit(1), n))).alias("g"))
-    own = inner.where(F.length("inner") > 0).distinct().withColumn("g", F.substring("inner", 1, 3))
-    return own.join(heads, "g").where(F.col("tail").startswith(F.col("inner"))).select("inner", "outer").distinct()
+    own, texts = inner.where(F.length("inner") > 0).distinct(), outer.where(F.length("outer") > 0).distinct()
+    postings = texts.select("outer", F.explode(_grams("outer", GRAM)).alias("gram"))
+    frequent = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = own.where(F.length("inner") >= GRAM).select("inner", F.size(_grams("inner", GRAM)).alias("size"), F.explode(_grams("inner", GRAM)).alias("gram"))
+    rarest = asked.join(frequent, "gram").groupBy("inner", "size").agg(F.count("*").alias("found"), F.min(F.struct("n", "gram"))["gram"].alias("gram")).where(F.col("found") == F.col("size"))
+    found = rarest.select("inner", "gram").join(postings, "gram").select("inner", "outer")
+    for n in range(1, GRAM):
+        short = own.where(F.length("inner") == n)
+        found = found.unionByName(short.join(texts.select("outer", F.explode(_grams("outer", n)).alias("inner")), "inner").select("inner", "outer"))
+    return found
+
+
+def holding(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer) for each text of outer that contains one of inner; each frame has the one column."""
+    return candidates(inner, outer).where(F.contains("outer", "inner"))
 
 
 def _ranked(best: DataFrame, by: list[str], order: list, k: int) -> DataFrame:

@@ -7,9 +7,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: (application, name) -> folder of a table written by this process.
-_WRITTEN: dict[tuple[str, str], str] = {}
+#: (application, name, files) -> folder of a table written by this process.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -27,12 +28,25 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written_once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table build() gives, written at the first call of this application with this name and read from then on.
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written as a table in the shared folder and read back: its lineage ends there."""
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    The name must stand for the table's contents: a folder that changes during an application needs another name.
+
+def files_of(spark: SparkSession, folder: str) -> str:
+    """The names, sizes and times of the files of a folder's tables, as one digest."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder).select("path", "length", "modificationTime")
+    return str(listed.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("h"), F.count("*").alias("n")).first())
+
+
+def written_once(spark: SparkSession, name: str, stamp: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table build() gives, written at the first call of this application with this name and stamp and read from then on.
+
+    The stamp stands for what build() reads, as files_of() does for a folder: when it changes the table is built anew.
     """
-    key = (spark.sparkContext.applicationId, name)
+    key = (spark.sparkContext.applicationId, name, stamp)
     if key not in _WRITTEN:
         path = shared_dir(spark, "table")
         build().write.parquet(path)

@@ -174,7 +174,7 @@ def test_papers_in_demand(spark):
 def test_age_guidance(spark):
     row = lambda src, rel, dst, ctx, sid: ("AgeRelatedChange", src, rel, dst, ctx, sid)
     edges = [row("sarcopenia", "OCCURS_AT", "65+", "c", "s1"), row("sarcopenia", "MODIFIABLE_BY", "protein", "c", "s2"), row("sarcopenia", "EXPLAINS_WHY", "loss", "", "s3"), row("sarcopenia", "EXPLAINS_WHY", "x", None, "s4"), row("grey hair", "OCCURS_AT", "40s", "c", "s5"), row("lost", "OCCURS_AT", "40s", "c", "")]
-    got = {r.change: tuple(r) for r in recommend.age_guidance(spark.createDataFrame(edges, "src_label string, src string, rel string, dst string, context string, source_id string")).collect()}
+    got = {r.change: (*tuple(r)[:3], [e.source_id for e in r.evidence]) for r in recommend.age_guidance(spark.createDataFrame(edges, "src_label string, src string, rel string, dst string, context string, source_id string")).collect()}
     assert got == {"sarcopenia": ("sarcopenia", "65+", "Modifiable by protein; loss; x", ["s1", "s2", "s3"]), "grey hair": ("grey hair", "40s", "Diet and exercise matter for this change.", ["s5"])}
 
 
