@@ -9,9 +9,10 @@ the original vectors and kept in the query's running best k.  Stripes are merged
 result is exact: no candidate within reach is dropped.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no
-part; repeated rows of one id count once, and an id with several vectors keeps the smallest; only
-vectors of the query's length are its candidates; ties go to the smaller id; a query with fewer than
-k candidates returns them all, one without any returns no row; null ids take no part.
+part; rows that repeat an id and its vector count once; every other vector of an id is a candidate of its
+own, so that an id may be listed several times, but never for itself; a query id with several vectors
+asks with the smallest; only vectors of the query's length are its candidates; ties go to the smaller id;
+a query with fewer than k candidates returns them all, one without any returns no row; null ids take no part.
 """
 
 from __future__ import annotations
@@ -49,11 +50,11 @@ def tile(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """id, v, dim of the rows that take part, one per id."""
+    """id, v, dim of the distinct rows that take part."""
     v = F.col(vec_col).cast("array<double>")
     sound = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = table.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"))
-    return rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    return rows.distinct().withColumn("dim", F.size("v"))
 
 
 def pack(rows: DataFrame, n_blocks: int) -> DataFrame:
@@ -128,7 +129,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     n = rows.count()
     n_stripes, n_asked = max(1, min(stripes, n // (4 * block))), n // (20 * block) + 1
     base = pack(rows, n // block + 1).withColumn("kind", F.lit(1)).withColumn("stripe", F.pmod(F.xxhash64("block"), F.lit(n_stripes)))
-    queries = pack(rows.where(is_query), n_asked).withColumn("kind", F.lit(0))
+    queries = pack(rows.where(is_query).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), n_asked).withColumn("kind", F.lit(0))
     # Each query block meets each stripe once; candidate blocks are copied per query block, not per query.
     asked = queries.withColumn("q_block", F.col("block")).withColumn("stripe", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_stripes - 1).cast("bigint"))))
     offered = base.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_asked - 1).cast("bigint"))))

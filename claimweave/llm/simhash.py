@@ -385,21 +385,23 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Links need that Jaccard value, or more, of the distinct shingle_words-word shingles.
     """
     text = F.col(f"`{text_col}`")
-    key = [F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), text, F.octet_length(text)).alias("__k1"), F.hash(text, F.col(f"`{id_col}`")).alias("__k2")]
+    # Names longer than all names of docs, so that none of its columns is hidden or doubled.
+    k1, k2, nth = (f"{'_'.join(['row', *docs.columns])}_{i}" for i in range(3))
+    key = [F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), text, F.octet_length(text)).alias(k1), F.hash(text, F.col(f"`{id_col}`")).alias(k2)]
     marked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), *key)
-    prints = materialize(marked.select("doc_id", "__k1", "__k2", _text_udf(sketch, shingle_words)("text").alias("sketch")), "sketches")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__k1", "__k2")).alias("first")
+    prints = materialize(marked.select("doc_id", F.col(f"`{k1}`"), F.col(f"`{k2}`"), _text_udf(sketch, shingle_words)("text").alias("sketch")), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(f"`{k1}`").alias("k1"), F.col(f"`{k2}`").alias("k2"))).alias("first")
     distinct = materialize(prints.groupBy("sketch").agg(first).select(F.substring("sketch", 1, 16).alias("node"), "sketch", "first"), "shingle-sets")
     keys = F.array(*[F.substring("sketch", 17 + 8 * b, 8) for b in range(BANDS)])
     keyed = distinct.select("node", F.explode(keys).alias("key"))
     shared = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key"), "key").select("key", "node"), "shared-keys")
     # The window only tells repeated rows of one id and text apart; it uses the join's partitions and order.
-    same = Window.partitionBy("__k1", "__k2").orderBy("__k1")
-    needed = distinct.join(shared.select("node").distinct(), "node").select("node", "first.__k1", "first.__k2")
-    texts = marked.join(needed, ["__k1", "__k2"]).withColumn("__n", F.row_number().over(same)).where(F.col("__n") == 1)
+    same = Window.partitionBy(F.col(f"`{k1}`"), F.col(f"`{k2}`")).orderBy(F.col(f"`{k1}`"))
+    needed = distinct.join(shared.select("node").distinct(), "node").select("node", F.col("first.k1").alias(k1), F.col("first.k2").alias(k2))
+    texts = marked.join(needed, [k1, k2]).withColumn(nth, F.row_number().over(same)).where(F.col(f"`{nth}`") == 1)
     sets = materialize(texts.select("node", _text_udf(packed_set, shingle_words)("text").alias("packed")), "packed-sets")
     roots = components(similar_links(shared, sets, similarity, bucket_rows))
     rooted_sets = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stay = rooted_sets.groupBy("root").agg(F.min("first").alias("first")).select("first.__k1", "first.__k2")
-    kept = docs.select("*", *key).join(stay, ["__k1", "__k2"], "left_semi").withColumn("__n", F.row_number().over(same))
-    return kept.where(F.col("__n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = rooted_sets.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k1").alias(k1), F.col("first.k2").alias(k2))
+    kept = docs.select("*", *key).join(stay, [k1, k2], "left_semi").withColumn(nth, F.row_number().over(same))
+    return kept.where(F.col(f"`{nth}`") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

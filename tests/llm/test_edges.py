@@ -74,6 +74,28 @@ def test_nearest_of_edge_tables(spark):
     assert ann.nearest(rows.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_nearest_sees_every_vector_of_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [5.0, 0.0]), (2, [0.5, 0.0]), (20, [-1.0, 0.25]), (20, [2.0, 0.0]), (3, [0.0, 0.0])]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 5.0), (0, 2, 20, 2.0), (0, 3, 1, 1.0), (0, 4, 2, 0.5), (0, 5, 20, -1.0), (20, 1, 2, -0.5), (20, 2, 0, -1.0), (20, 3, 1, -1.0), (20, 4, 1, -5.0)]
+
+
+def test_nearest_scores_are_products_of_the_vectors(spark):
+    rng = random.Random(12)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(24)]) for i in range(300)]
+    vectors = {i: np.array(v) for i, v in rows}
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, block=32).collect()
+    assert len(got) == 15 * 20 and all(abs(r.score - float(vectors[r.query_id] @ vectors[r.vec_id])) < 1e-9 for r in got)
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 77, 1, 2), (2, "a b c d e f", 78, 1, 2), (3, "other words in this text here", 79, 1, 2), (3, "other words in this text here", 79, 1, 2), (4, None, 80, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __n int, __k1 int, row_doc_id_text___n___k1_2 int")
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.select("doc_id", "__n", "__k1", "row_doc_id_text___n___k1_2").collect()) == [(1, 77, 1, 2), (3, 79, 1, 2), (4, 80, 1, 2)]
+
+
 def test_warc_of_empty_and_clashing_tables(spark):
     pages = spark.createDataFrame([(1, "u", "h", "x"), (2, "v", "i" * 300_000, "x")], "page_id long, url string, html string, hash string")
     manifest = warc.layout(warc.leaves(warc.records(pages)))
