@@ -32,6 +32,8 @@ from .wordmemo import PieceEncoder, encode_with_spans, encode_words, piece_encod
 RUN = 3
 #: Characters of the first window on either side of a join.
 WINDOW = 96
+#: Pieces that a process keeps: its workers hold texts, ids and decoded texts beside them.
+KEEP = 300_000
 OUT = "doc_id bigint, n_tokens bigint, ids binary, decoded string"
 
 
@@ -148,11 +150,12 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
     leaf_cols = "doc_id bigint, digest string, copies bigint, at bigint, part string, ids binary, gap binary, width binary"
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = piece_encoder(shared.value)
+        enc = piece_encoder(shared.value, keep=KEEP)
         for b in batches:
             for k in range(0, b.num_rows, 2500):
                 part = b.slice(k, 2500)
                 yield _finish(enc, part.column(0).to_pylist(), encode_words(enc, part.column(1)))
+        enc.rest()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "digest", "at", "part"]
@@ -165,7 +168,7 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
                     yield pa.RecordBatch.from_arrays([pa.array([d] * len(own), pa.int64()), pa.array([digest] * len(own)), pa.array(own, pa.int64()), pa.array([text[x:y] for x, y in zip(own, ends, strict=False)])], names=names)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = piece_encoder(shared.value, spans=True)
+        enc = piece_encoder(shared.value, spans=True, keep=KEEP)
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64).to_pydict()
@@ -174,9 +177,10 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
                 part["gap"] = [_planes(np.diff(s, prepend=0)) for _, s, _ in got]
                 part["width"] = [_planes(e - s) for _, s, e in got]
                 yield pa.RecordBatch.from_pydict(part, schema=leaf_schema)
+        enc.rest()
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        enc = piece_encoder(shared.value)
+        enc = piece_encoder(shared.value, keep=KEEP)
         pdf = pdf.sort_values("at")
         text, tokens = "".join(pdf["part"]), []
         for at, ids, gap, width in zip(pdf["at"], pdf["ids"], pdf["gap"], pdf["width"], strict=True):

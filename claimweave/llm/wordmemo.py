@@ -31,14 +31,14 @@ _LOADED: dict[str, PieceEncoder] = {}
 class PieceEncoder:
     """ids (packed) of pieces that stand behind `before`, by one tokenizer; with their spans if asked for."""
 
-    def __init__(self, spec: str, before: str = "", spans: bool = False):
+    def __init__(self, spec: str, before: str = "", spans: bool = False, keep: int = KEEP_PIECES):
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
         self.before, self.spans = before, spans
-        self.keep = KEEP_PIECES // 4 if spans else KEEP_PIECES
+        self.keep = keep // 4 if spans else keep
         self.ids: dict[str, bytes | tuple[bytes, bytes]] = {}
         self.older: dict[str, bytes | tuple[bytes, bytes]] = {}
         self.names = pa.array([self.tokenizer.id_to_token(i) or "" for i in range(size)]) if self.tokenizer.decoder is None else None
@@ -89,6 +89,10 @@ class PieceEncoder:
             self.ids[pieces[k]] = got[k]
         return got
 
+    def rest(self) -> None:
+        """Between tasks only the newer half of the memo stays: the process may go on to other work."""
+        self.older = {}
+
     def decode(self, ids: list[np.ndarray]) -> pa.Array:
         """The texts of several sequences of ids, special tokens included."""
         if self.names is None:
@@ -99,11 +103,11 @@ class PieceEncoder:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), self.names.take(pa.array(flat))), " ")
 
 
-def piece_encoder(spec: str, before: str = "", spans: bool = False) -> PieceEncoder:
+def piece_encoder(spec: str, before: str = "", spans: bool = False, keep: int = KEEP_PIECES) -> PieceEncoder:
     """The process's encoder for a tokenizer given as its JSON text."""
-    key = f"{len(spec)}:{hash(spec)}:{before}:{spans}"
+    key = f"{len(spec)}:{hash(spec)}:{before}:{spans}:{keep}"
     if key not in _LOADED:
-        _LOADED[key] = PieceEncoder(spec, before, spans)
+        _LOADED[key] = PieceEncoder(spec, before, spans, keep)
     return _LOADED[key]
 
 
