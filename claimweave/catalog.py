@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog_care import care_queries
+from .catalog_papers import GRAPH_PAPERS, PAPERS
 from .catalog_people import PEOPLE
 from .catalog_repair import REPAIR
 from .functions import vocab
@@ -168,6 +169,8 @@ ENDS = "(SELECT src_label AS label, src AS name FROM edges UNION ALL SELECT dst_
 PAIRS = "(VALUES " + ", ".join(f"('{p}/{n}', '{p}', '{n}')" for p, n in audit.OPPOSING) + ") AS pairs(pair, p, n)"
 AUDIT_PAIRS = "(VALUES " + ", ".join(f"('{p}/{n}', '{p}', '{n}')" for p, n in audit.AUDIT_OPPOSING) + ") AS pairs(pair, p, n)"
 SAME_ENDS = "a.src_label = b.src_label AND a.src = b.src AND a.dst_label = b.dst_label AND a.dst = b.dst"
+#: A join by equality per pair of predicates.
+OPPOSED = " UNION ALL ".join(f"SELECT '{p}/{n}' AS pair, a.src_label, a.src, a.dst_label, a.dst, a.source_id AS pos_source, a.evidence_strength AS pos_strength, b.source_id AS neg_source, b.evidence_strength AS neg_strength FROM (SELECT * FROM edges WHERE rel = '{p}') a JOIN (SELECT * FROM edges WHERE rel = '{n}') b ON {SAME_ENDS}" for p, n in audit.OPPOSING)
 DECADE = "CASE WHEN age < 40 THEN '30s' WHEN age < 50 THEN '40s' WHEN age < 60 THEN '50s' ELSE '60s+' END"
 GENDER = "CASE WHEN lower(gender) IN ('female', 'f', 'woman') THEN 'female' WHEN lower(gender) IN ('male', 'm', 'man') THEN 'male' ELSE 'any' END"
 PROFILES = "(VALUES " + ", ".join(f"('{d}', '{g}', '{v}')" for (d, g), v in recommend.PROFILES.items()) + ") AS pr(d, g, conditions)"
@@ -311,7 +314,7 @@ GRAPH: dict[str, tuple[Callable[[P], DataFrame], str]] = {
       (SELECT count(*) FROM (SELECT 1 FROM listed GROUP BY lower(name) HAVING count(*) > 1)) AS groups, (SELECT CAST(coalesce(sum(n) - count(*), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM listed GROUP BY lower(name) HAVING count(*) > 1)) AS excess,
       (SELECT count(*) FROM listed WHERE (label, name) NOT IN (SELECT (label, name) FROM {ENDS})) AS orphans, (SELECT count(*) FROM {AUDIT_PAIRS} JOIN edges a ON a.rel = p JOIN edges b ON b.rel = n AND {SAME_ENDS}) AS contradictions FROM edges"""),
     "degree_below": (lambda p: audit.degree_below(p.nodes, p.edges, ["Food", "Nutrient", "Disease", "Symptom", "Study"], 6), f"SELECT n.label, n.name, count(e.name) AS degree FROM nodes n LEFT JOIN {ENDS} e ON e.label = n.label AND e.name = n.name WHERE n.label IN ('Food', 'Nutrient', 'Disease', 'Symptom', 'Study') GROUP BY n.label, n.name HAVING count(e.name) < 6"),
-    "opposing_pairs": (lambda p: audit.opposing_pairs(p.edges), f"SELECT pair, a.src_label, a.src, a.dst_label, a.dst, a.source_id AS pos_source, a.evidence_strength AS pos_strength, b.source_id AS neg_source, b.evidence_strength AS neg_strength FROM {PAIRS} JOIN edges a ON a.rel = p JOIN edges b ON b.rel = n AND {SAME_ENDS}"),
+    "opposing_pairs": (lambda p: audit.opposing_pairs(p.edges), OPPOSED),
     "opposing_pair_counts": (lambda p: audit.opposing_pair_counts(p.edges), f"SELECT pair, count(b.rel) AS n FROM {PAIRS} LEFT JOIN edges a ON a.rel = p LEFT JOIN edges b ON b.rel = pairs.n AND {SAME_ENDS} GROUP BY pair"),
     "audit_contradictions": (lambda p: audit.opposing_pairs(p.edges, audit.AUDIT_OPPOSING).orderBy("pair", "src", "dst", "pos_source", "neg_source").limit(50).select("pair", "src", "dst", "pos_source", "neg_source"), f"SELECT pair, a.src, a.dst, a.source_id AS pos_source, b.source_id AS neg_source FROM {AUDIT_PAIRS} JOIN edges a ON a.rel = p JOIN edges b ON b.rel = n AND {SAME_ENDS} ORDER BY pair, a.src, a.dst, pos_source, neg_source LIMIT 50"),
     "contradiction_verdicts": (lambda p: audit.contradiction_verdicts(p.edges), f", {VERDICTS} SELECT * FROM verdicts"),
@@ -381,13 +384,10 @@ PLAIN: dict[str, tuple[Callable[[P], DataFrame], str | None]] = {
     "zone_transitions": (lambda p: users.zone_transitions(p.snapshots), SNAPSHOTS + f" SELECT user_id, id, zone FROM (SELECT *, lag(zone) OVER w AS b, lead(zone) OVER w AS a FROM (SELECT *, {ZONE} AS zone FROM snaps) WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)) WHERE b IS NULL OR b <> zone OR a IS NULL"),
     "drift": (lambda p: users.drift(p.snapshots), SNAPSHOTS + f" SELECT user_id, id, score, delta, CASE WHEN delta > 2 THEN 'improving' WHEN delta < -2 THEN 'worsening' ELSE 'steady' END AS trend, zone <> b AS zone_changed FROM (SELECT *, score - lag(score) OVER w AS delta, lag(zone) OVER w AS b FROM (SELECT *, CAST(greatest(0, least(100, round(100 - (y - 50) / 405 * 100))) AS INTEGER) AS score, {ZONE} AS zone FROM snaps) WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)) WHERE delta IS NOT NULL"),
     "path_length": (lambda p: users.path_length(p.snapshots), SNAPSHOTS + " SELECT user_id, round(coalesce(sum(d), 0.0), 4) AS length FROM (SELECT user_id, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d FROM snaps WHERE x IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)) GROUP BY user_id"),
-    "stats_throttle": (lambda p: users.throttle(p.table("events").select("event_type", "ts", F.col("event_id").alias("id")), "event_type"), None),
-    "priority_papers": (lambda p: users.priority_papers(p.papers, [r"\bthion\b", r"\blicensed\b"]).select("pmcid"), None),
     "map_position": (
         lambda p: p.users.groupBy("user_id", F.expr("CASE WHEN user_id % 11 > 0 THEN age END").alias("age")).agg(F.count("term").alias("n")).select("user_id", F.round(users.map_x(F.col("age")), 6).alias("x"), users.map_y(F.col("age"), F.col("n"), F.lit(0)).alias("y"), users.life_stage(F.col("age")).alias("stage")),
         "WITH " + fixtures.DUCK_USERS + ", placed AS (SELECT user_id, CASE WHEN user_id % 11 > 0 THEN age END AS age, count(term) AS n FROM users GROUP BY ALL) SELECT user_id, round(80 + (greatest(16, least(90, coalesce(age, 35))) - 16) / 74.0 * 760, 6) AS x, least(455.0, greatest(50.0, 50 + 1.7 * greatest(0, coalesce(age, 35) - 20) + 65 * n)) AS y, CASE WHEN age < 30 THEN '20s' WHEN age < 40 THEN '30s' WHEN age < 50 THEN '40s' WHEN age < 65 THEN '50s-60s' WHEN age >= 65 THEN '65+' END AS stage FROM placed",
     ),
-    "papers_from_pages": (lambda p: papers.from_html(p.table("pages")), None),
     "papers_backlog": (lambda p: papers.corpus_backlog(p.papers.select("pmcid"), p.raw.select(F.col("source_id").alias("pmcid"))), "SELECT (SELECT count(*) FROM documents) AS raw, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 53 <> 0) AS extracted, greatest(0, (SELECT count(*) FROM documents) - (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 53 <> 0)) AS backlog"),
     "merge_id_lists": (lambda p: papers.merge_id_lists(p.table("lineitem").select(F.col("l_suppkey").alias("rank"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("label"), F.col("l_partkey").cast("string").alias("id"))), "SELECT CAST(l_partkey AS VARCHAR) AS id, min(l_suppkey) AS first_rank, string_agg(DISTINCT 's' || CAST(l_suppkey AS VARCHAR), ',' ORDER BY 's' || CAST(l_suppkey AS VARCHAR)) AS labels FROM lineitem GROUP BY 1"),
     "new_ids_only": (lambda p: papers.new_ids_only(p.table("lineitem").select(F.col("l_partkey").cast("string").alias("id"), F.col("l_linenumber").alias("phase")), p.table("part").where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("id"))), "SELECT CAST(l_partkey AS VARCHAR) AS id, min(l_linenumber) AS phase FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0) GROUP BY 1"),
@@ -406,11 +406,11 @@ GRAPH |= care_queries(POS, NEG, TARGETS, VERDICTS, DECADE) | REPAIR
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     run = lambda f: lambda spark, sf_dir: f(Projection(spark, sf_dir))
-    return {n: run(f) for n, (f, _) in (GRAPH | PLAIN | PEOPLE).items()}
+    return {n: run(f) for n, (f, _) in (GRAPH | GRAPH_PAPERS | PLAIN | PEOPLE | PAPERS).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out, base = {n: sql for n, (_, sql) in (PLAIN | PEOPLE).items() if sql}, fixtures.base_sql()
-    for n, (_, sql) in GRAPH.items():
+    out, base = {n: sql for n, (_, sql) in (PLAIN | PEOPLE | PAPERS).items() if sql}, fixtures.base_sql()
+    for n, (_, sql) in (GRAPH | GRAPH_PAPERS).items():
         out[n] = f"{base}, {fixtures.DUCK_USERS}{sql.removeprefix('$users')}" if sql.startswith("$users") else f"{base} {sql}"
     return out

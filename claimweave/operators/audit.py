@@ -43,6 +43,16 @@ def unique_sources(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count_distinct(vocab.squeeze(F.col("source_id"))).alias("sources"))
 
 
+def source_sketches(edges: DataFrame, by: str = "pub_date", lg_k: int = 14) -> DataFrame:
+    """day, sketch: a mergeable sketch of the distinct sources of each value of a column, so that a later audit reads sketches alone."""
+    return edges.where(vocab.squeeze(F.col("source_id")).isNotNull()).groupBy(F.col(by).alias("day")).agg(F.hll_sketch_agg(vocab.squeeze(F.col("source_id")), lg_k).alias("sketch"))
+
+
+def unique_sources_approx(sketches: DataFrame) -> DataFrame:
+    """sources, estimated from sketches of any parts; its standard error is about 0.8 % at lg_k 14."""
+    return sketches.agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).alias("sources"))
+
+
 def nonstandard_labels(nodes: DataFrame, standard: list[str] = vocab.ENTITY_TYPES) -> DataFrame:
     return nodes.where(~F.col("label").isin(standard)).groupBy("label").agg(F.count("*").alias("n"))
 

@@ -105,6 +105,24 @@ def claim_check(claims: DataFrame) -> DataFrame:
     return claims.agg(F.count("*").alias("total"), F.count(s).alias("with_source"), (F.count("*") - F.count(s)).alias("without_source"))
 
 
+def claims_without_source(claims: DataFrame) -> DataFrame:
+    """The offenders of claim_check: subject, predicate, object of every claim without a source."""
+    return claims.where(vocab.squeeze(F.col("source_id")).isNull()).select("subject", "predicate", "object")
+
+
+def normalization_fixes(raw: DataFrame) -> DataFrame:
+    """claims, fixed (types and predicates that normalisation changes), changed_claims: one row."""
+    new = {"subject_type": F.coalesce(vocab.canonical_type(F.col("subject_type")), F.lit("Thing")), "object_type": F.coalesce(vocab.canonical_type(F.col("object_type")), F.lit("Thing")), "predicate": vocab.canonical_predicate(F.col("predicate"))}
+    moved = sum((~F.coalesce(F.col(c), F.lit("")).eqNullSafe(n)).cast("int") for c, n in new.items())
+    return raw.select(moved.alias("n")).agg(F.count("*").alias("claims"), F.coalesce(F.sum("n"), F.lit(0)).alias("fixed"), F.count_if(F.col("n") > 0).alias("changed_claims"))
+
+
+def types_outside(raw: DataFrame, top: int = 20) -> DataFrame:
+    """kind, n: types that are outside the vocabulary after normalisation too, most frequent first."""
+    kinds = raw.select(F.explode(F.array("subject_type", "object_type")).alias("old")).select(F.coalesce(vocab.canonical_type(F.col("old")), F.lit("Thing")).alias("kind"))
+    return kinds.where(~F.col("kind").isin(vocab.ENTITY_TYPES)).groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").limit(top)
+
+
 def normalization_changes(raw: DataFrame, top: int = 20) -> DataFrame:
     """How often which type text became which type (largest first)."""
     old = raw.select(F.explode(F.array("subject_type", "object_type")).alias("old"))
