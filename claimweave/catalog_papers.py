@@ -162,7 +162,7 @@ _KIND = fixtures._type_sql
 _NEW = lambda c: f"coalesce({_KIND(c)}, 'Thing')"
 _MOVED = f"CAST(coalesce(subject_type, '') <> {_NEW('subject_type')} AS INTEGER) + CAST(coalesce(object_type, '') <> {_NEW('object_type')} AS INTEGER) + CAST(coalesce(predicate, '') <> {fixtures._predicate_sql('predicate')} AS INTEGER)"
 GRAPH_PAPERS: dict[str, tuple[Callable, str]] = {
-    "claims_without_source": (lambda p: claims.claims_without_source(p.raw), "SELECT subject, predicate, object FROM raw WHERE trim(source_id) = ''"),
+    "claims_without_source": (lambda p: claims.claims_without_source(p.normalized).groupBy("subject", "predicate", "object").agg(F.count("*").alias("n")), "SELECT subject, predicate, object, count(*) AS n FROM claims WHERE reject_rule = 'missing source_id' GROUP BY ALL"),
     "normalization_fixes": (lambda p: claims.normalization_fixes(p.raw), f"SELECT count(*) AS claims, CAST(sum(n) AS BIGINT) AS fixed, count(*) FILTER (n > 0) AS changed_claims FROM (SELECT {_MOVED} AS n FROM raw)"),
     "types_outside": (lambda p: claims.types_outside(p.raw), f"SELECT kind, count(*) AS n FROM (SELECT {_NEW('subject_type')} AS kind FROM raw UNION ALL SELECT {_NEW('object_type')} FROM raw) WHERE kind NOT IN {fixtures._in(vocab.ENTITY_TYPES)} GROUP BY 1 ORDER BY n DESC, kind LIMIT 20"),
     "alias_target_check": (_aliases, ALIASES),

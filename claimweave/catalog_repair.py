@@ -60,7 +60,7 @@ AT_ENDS = "FROM own_edges LEFT JOIN actions a ON a.label = src_label LEFT JOIN a
 REPAIR: dict[str, tuple[Callable, str]] = {
     "duplicate_groups": (lambda p: _groups(p).select("label", "key", "n", "canonical"), f", {SPELT} SELECT label, key, n, canonical FROM dupes"),
     "resolve_entities": (lambda p: graph.resolve_entities(_spelt(p)[1], graph.duplicate_mapping(_groups(p))).select(*graph.EDGE_KEY), f", {SPELT} SELECT DISTINCT src_label, new_src AS src, rel, dst_label, new_dst AS dst, source_id FROM mapped WHERE NOT {IS_LOOP}"),
-    "resolve_nodes": (lambda p: graph.resolve_nodes(_spelt(p)[0], graph.duplicate_mapping(_groups(p))).select("label", "name"), f", {SPELT} SELECT DISTINCT s.label, coalesce(m.canonical, s.name) AS name FROM spelt s LEFT JOIN mapping m ON m.label = s.label AND m.name = s.name"),
+    "resolve_nodes": (lambda p: graph.resolve_nodes(_spelt(p)[0], graph.duplicate_mapping(_groups(p))).select("label", "name"), f", {SPELT} SELECT DISTINCT s.label, CASE WHEN d.key IS NULL THEN s.name ELSE d.canonical END AS name FROM spelt s LEFT JOIN dupes d ON d.label = s.label AND d.key = lower(s.name)"),
     "resolve_report": (
         lambda p: graph.resolve_report(_spelt(p)[1], _groups(p)),
         f", {SPELT} SELECT (SELECT count(*) FROM dupes) AS groups, (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM dupes) AS nodes_merged, CAST(coalesce(sum(CAST(new_src <> src AS INTEGER) + CAST(new_dst <> dst AS INTEGER)) FILTER (NOT {IS_LOOP}), 0) AS BIGINT) AS edges_moved, count(*) FILTER ({IS_LOOP}) AS loops_dropped FROM mapped",

@@ -156,17 +156,19 @@ FREE_FOODS, PAID_FOODS, STEP_EVIDENCE = 3, 5, 3
 def safest_path(edges: DataFrame, users: DataFrame) -> DataFrame:
     """user_id, step, items, evidence: what to increase and what to reduce, three items for free plans, else five, and three records.
 
-    As in recommendations, a target sends its first items alone, each with its first records.
+    As in recommendations, a target sends its first items alone; records are looked up for the items that stay.
     """
-    out = None
+    out, targets = None, user_targets(users)
     for step, view in (("increase", recs_direct(edges)), ("reduce", restricted_items(edges))):
         key = ["target", "item"]
         strength = view.groupBy(*key).agg(F.max("strength").alias("s"))
         first = strength.withColumn("rn", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("s"), "item"))).where(F.col("rn") <= PAID_FOODS).drop("rn")
-        shown = first.join(top_evidence(view.join(first.select(*key), key, "left_semi"), key, STEP_EVIDENCE), key)
-        best = user_targets(users).join(shown, "target").groupBy("user_id", "plan", "item").agg(F.max("s").alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+        best = targets.join(first, "target").groupBy("user_id", "plan", "item").agg(F.max("s").alias("s"))
         ranked = best.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("s"), "item"))).where(F.col("rn") <= F.when(F.col("plan") == "free", FREE_FOODS).otherwise(PAID_FOODS))
-        listed = ranked.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rn", "item", F.slice("evidence", 1, STEP_EVIDENCE).alias("evidence")))).alias("l"))
+        # An item's records come from all of the user's targets, those too for which it is not among the first.
+        records = top_evidence(view.join(ranked.select("item").distinct(), "item", "left_semi"), key, STEP_EVIDENCE)
+        shown = ranked.select("user_id", "item", "rn").join(targets.select("user_id", "target"), "user_id").join(records, key).groupBy("user_id", "rn", "item").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+        listed = shown.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rn", "item", F.slice("evidence", 1, STEP_EVIDENCE).alias("evidence")))).alias("l"))
         part = listed.select("user_id", F.lit(step).alias("step"), F.array_join(F.transform("l", lambda x: x["item"]), ", ").alias("items"), F.slice(F.flatten(F.transform("l", lambda x: x["evidence"])), 1, STEP_EVIDENCE).alias("evidence"))
         out = part if out is None else out.unionByName(part)
     return out
