@@ -34,7 +34,7 @@ def plain(docs):
 
 
 def test_piecewise_encoding_is_exact():
-    a, b = PieceEncoder(bpe.load_spec(BYTES), " "), PieceEncoder(bpe.load_spec(WORDS))
+    a, b = PieceEncoder(bpe.load_spec(BYTES)), PieceEncoder(bpe.load_spec(WORDS))
     many = texts(1500, 60)
     assert encode_spaced(a, many, "<|endoftext|>") == [a.whole(t) for t in many]
     assert encode_words(b, many) == [b.whole(t) for t in many]
