@@ -300,10 +300,11 @@ def test_lm_sums_to_one():
 
 def test_sequence():
     rng = np.random.default_rng(4)
-    for n, top in ((0, 1), (1, 5), (200, 300), (500, 10**9), (3000, 4000), (2000, 10**6)):
+    for n, top in ((0, 1), (1, 5), (200, 300), (500, 10**9), (3000, 4000), (2000, 10**6), (100, 2**49), (200_000, 10**7)):
         v = np.unique(rng.integers(0, top, n))
         s = ngram_lm.Sequence.of(v)
         assert (s.get(np.arange(len(v))) == v).all()
+        assert s.low.nbytes + s.unary.nbytes <= len(v) * (s.low_bits + 3) / 8 + 32  # low bits take their own width, no more
         if len(v):
             assert (s.find(v, np.zeros(len(v), dtype=int), np.full(len(v), len(v))) == np.arange(len(v))).all()
             assert (s.find(np.setdiff1d(np.arange(min(top, 400)), v), np.zeros(1, dtype=int), np.full(1, len(v))) == -1).all()
