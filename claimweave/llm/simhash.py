@@ -10,13 +10,16 @@ numpy and keeps only links that connect something new, never all pairs.
 Only distinct fingerprints are compared, so equal texts cost one row.  Components are found by
 minimum labels with pointer jumping; what travels is one row per fingerprint.
 
-``one_of_each`` is the stage on five-word shingles and a similarity of 0.8 or more.  Each set of distinct
-shingles gets ``BANDS`` keys of ``BAND_ROWS`` minimum hashes each.  A pair of Jaccard value J shares a key
+``one_of_each`` is the stage that keeps one text of each group.  Texts whose fingerprints link as above
+are near copies, and so are texts whose five-word shingles have a similarity of 0.8 or more, which cut or
+appended texts reach with more differing bits.  For these each set of distinct shingles gets ``BANDS``
+keys of ``BAND_ROWS`` minimum hashes each.  A pair of Jaccard value J shares a key
 but for (1 - J ** BAND_ROWS) ** BANDS of all pairs, whatever the edit: 2.2e-4 at 0.8, less above.
 Pairs that share a key are verified by the exact Jaccard value of their shingle sets (64-bit hashes),
 computed again from the texts.  First neighbours in a bucket's order meet, so that groups of copies
-become one component with as many pairs as members; only buckets that still hold several components
-are then compared whole, in numpy and in place, a large one chunk against chunk.
+become one component with as many pairs as members; only buckets that still hold several components,
+by these links and those of the fingerprints, are then compared whole, in numpy and in place, a large
+one chunk against chunk.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; texts
 with fewer words than a shingle are one shingle; repeated rows each give a row; component_id is the
@@ -48,6 +51,8 @@ _FACTORS = _RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64) | np.ui
 _SHIFTS = _RNG.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64)
 #: Pairs that agree in fewer minimum hashes are not compared exactly; at 0.8 that befalls less than one in 1e6.
 LEAST_AGREED = BANDS * BAND_ROWS // 2
+#: Nodes that a task joins at once.
+FOREST_NODES = 200_000
 #: With wide fingerprints, buckets are dealt again by finer blocks up to this level.
 LEVELS = 2
 
@@ -241,6 +246,33 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components, at most one per node and task: chains of neighbouring nodes become short."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        def grown() -> pa.RecordBatch:
+            pairs = [(x, r) for x in list(parent) if (r := top(x)) != x]
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = top(a), top(b)
+                parent[max(a, b)] = min(a, b)
+            if len(parent) > FOREST_NODES:
+                yield grown()
+        yield grown()
+
+    return edges.select("a", "b").repartitionByRange("a", "b").mapInArrow(join, "a binary, b binary")
+
+
 def rooted(distinct: DataFrame, d: int, bucket_rows: int, wide_d: int | None = None) -> DataFrame:
     """distinct (one row per node) with root, the smallest node of its component."""
     node = F.col("fp") if wide_d is None else F.concat("wide", F.unhex(F.lpad(F.hex("fp"), 16, "0")))
@@ -328,7 +360,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked_buckets(similarity: float):
-    """Links between the components of a bucket, from (key, cell, node, root, packed) rows sorted by key and cell."""
+    """Links between the roots of a bucket's components, from (key, cell, node, root, packed) rows sorted by key and cell."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -358,38 +390,54 @@ def _linked_buckets(similarity: float):
                     found.append((i, i + lag))
                     label[label == label[i + lag]] = label[i]
                     left -= 1
-        return pa.RecordBatch.from_arrays([pa.array([rows[f[i]][0] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([rows[f[i]][1] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
     return of
 
 
-def similar_links(keyed: DataFrame, sets: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
-    """Links (a, b) that connect all nodes of that similarity which share a key, from (key, node) and (node, packed) rows."""
+def print_links(prints: DataFrame, d: int, bucket_rows: int) -> DataFrame:
+    """Links (a, b) that connect the nodes of fingerprints within d bits, from distinct (fp, node) rows."""
+    first = materialize(prints.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    same = prints.join(first, "fp").where(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    found = materialize(links(first.select("fp"), d, bucket_rows), "print-links")
+    named = found.join(first.select(F.col("fp").alias("a"), F.col("first").alias("na")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("nb")), "b")
+    return same.unionByName(named.select(F.col("na").alias("a"), F.col("nb").alias("b")))
+
+
+def similar_roots(keyed: DataFrame, sets: DataFrame, known: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
+    """(node, root) of nodes that known links (a, b) connect, or that similarity, from (key, node) rows of shared keys and (node, packed) rows."""
     ordered = keyed.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
     pairs = ordered.mapInArrow(_neighbours, "a binary, b binary").distinct()
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a").join(sets.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
-    near = materialize(both.where(_similar_udf(similarity)("pa", "pb")).select("a", "b"), "near-pairs")
-    placed = materialize(keyed.join(components(near), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    near = both.where(_similar_udf(similarity)("pa", "pb")).select("a", "b")
+    roots = components(materialize(forest(near.unionByName(known)), "near-pairs"))
+    placed = materialize(keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
     several = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where(F.col("least") != F.col("most"))
     # Of a component in a bucket every member counts: any of them may be the one that is similar to another's.
     full = placed.join(several.select("key", F.ceil(F.col("n") / bucket_rows).alias("n_chunks")), "key")
     full = full.withColumn("chunk", F.pmod(F.xxhash64("node"), "n_chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_chunks") - 1)))
     cells = full.select("key", (F.least("chunk", "other") * F.col("n_chunks") + F.greatest("chunk", "other")).alias("cell"), "node", "root")
     rows = cells.join(sets, "node").select("key", "cell", "node", "root", "packed").repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
-    return near.unionByName(rows.mapInArrow(_linked_buckets(similarity), "a binary, b binary"))
+    # Links of the rest are between roots, and so are their components.
+    more = components(materialize(forest(rows.mapInArrow(_linked_buckets(similarity), "a binary, b binary")), "root-links"))
+    alone = more.join(roots.select("node"), "node", "left_anti")
+    joined = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return joined.unionByName(alone)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, bucket_rows: int = 4096) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, bucket_rows: int = 4096, print_words: int = 3, d: int = 3) -> DataFrame:
     """docs with one row of each component: the smallest id (nulls last), of its rows the one with the smallest hashes.
 
-    Links need that Jaccard value, or more, of the distinct shingle_words-word shingles.
+    Links need fingerprints of print_words-word shingles within d bits, or that Jaccard value, or more, of the
+    distinct shingle_words-word shingles.
     """
     text = F.col(f"`{text_col}`")
     # Names longer than all names of docs, so that none of its columns is hidden or doubled.
     k1, k2, nth = (f"{'_'.join(['row', *docs.columns])}_{i}" for i in range(3))
     key = [F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), text, F.octet_length(text)).alias(k1), F.hash(text, F.col(f"`{id_col}`")).alias(k2)]
     marked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), *key)
-    prints = materialize(marked.select("doc_id", F.col(f"`{k1}`"), F.col(f"`{k2}`"), _text_udf(sketch, shingle_words)("text").alias("sketch")), "sketches")
+    prints = materialize(marked.select("doc_id", F.col(f"`{k1}`"), F.col(f"`{k2}`"), _text_udf(sketch, shingle_words)("text").alias("sketch"), _print_udf(print_words)("text").alias("fp")), "sketches")
+    known = print_links(prints.select("fp", F.substring("sketch", 1, 16).alias("node")).distinct(), d, bucket_rows)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(f"`{k1}`").alias("k1"), F.col(f"`{k2}`").alias("k2"))).alias("first")
     distinct = materialize(prints.groupBy("sketch").agg(first).select(F.substring("sketch", 1, 16).alias("node"), "sketch", "first"), "shingle-sets")
     keys = F.array(*[F.substring("sketch", 17 + 8 * b, 8) for b in range(BANDS)])
@@ -400,7 +448,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     needed = distinct.join(shared.select("node").distinct(), "node").select("node", F.col("first.k1").alias(k1), F.col("first.k2").alias(k2))
     texts = marked.join(needed, [k1, k2]).withColumn(nth, F.row_number().over(same)).where(F.col(f"`{nth}`") == 1)
     sets = materialize(texts.select("node", _text_udf(packed_set, shingle_words)("text").alias("packed")), "packed-sets")
-    roots = components(similar_links(shared, sets, similarity, bucket_rows))
+    roots = similar_roots(shared, sets, known, similarity, bucket_rows)
     rooted_sets = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = rooted_sets.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k1").alias(k1), F.col("first.k2").alias(k2))
     kept = docs.select("*", *key).join(stay, [k1, k2], "left_semi").withColumn(nth, F.row_number().over(same))

@@ -21,7 +21,8 @@ from claimweave.llm.common import id_bucket, materialize, read_table
 #: A text whose trigrams belong to its best language to a smaller share is in none of the languages.
 LEAST_LANGUAGE = 0.25
 LEAST_QUALITY = 0.5
-#: Near copies: this similarity of their five-word shingles or more.
+#: Near copies: fingerprints of three-word shingles that link at so many differing bits, or this similarity of their five-word shingles or more.
+PRINT_WORDS, PRINT_BITS = 3, 3
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 
 
@@ -46,7 +47,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
-    return simhash.one_of_each(docs, shingle_words=NEAR_WORDS, similarity=NEAR_SIMILARITY)
+    return simhash.one_of_each(docs, shingle_words=NEAR_WORDS, similarity=NEAR_SIMILARITY, print_words=PRINT_WORDS, d=PRINT_BITS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
