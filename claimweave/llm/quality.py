@@ -81,7 +81,7 @@ class Machine:
     def _row(self, hashed: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         z = np.clip((stats - self.mean) / self.std, -4, 4) / 2
         x = np.concatenate([np.full(len(hashed), 1 / np.sqrt(max(1, len(hashed)))), z])
-        return np.concatenate([hashed, DIM + np.arange(len(STATS))]), x.astype(np.float32)
+        return np.concatenate([hashed, DIM + np.arange(len(STATS), dtype=hashed.dtype)]), x.astype(np.float32)
 
     def score(self, hashed: np.ndarray, stats: np.ndarray) -> float:
         if self.constant is not None:
@@ -136,15 +136,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     meta = F.col(meta_col).cast("double") if meta_col and meta_col in docs.columns else F.lit(None).cast("double")
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"), meta.alias("__meta")).join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
 
-    @F.pandas_udf("hashed array<bigint>, stats array<double>")
+    @F.pandas_udf("hashed binary, stats binary")
     def extract(texts: pd.Series, metas: pd.Series) -> pd.DataFrame:
         got = [features(t, m) for t, m in zip(texts, metas, strict=True)]
-        return pd.DataFrame({"hashed": [g[0] for g in got], "stats": [g[1] for g in got]})
+        return pd.DataFrame({"hashed": [g[0].astype("<i4").tobytes() for g in got], "stats": [g[1].astype("<f8").tobytes() for g in got]})
 
     # An id that repeats in docs gives one row, so the bound holds.
     unique = rows.groupBy("__id", "__label").agg(F.min(F.struct("__text", "__meta")).alias("r"))
     got = unique.select("__id", "__label", extract("r.__text", "r.__meta").alias("f")).select("__id", "__label", "f.*").toPandas().sort_values("__id")
-    rows = [(np.asarray(h, dtype=np.int64), np.asarray(s)) for h, s in zip(got["hashed"], got["stats"], strict=True)]
+    # As bytes: the driver would hold an object for every number of a list.
+    rows = [(np.frombuffer(h, "<i4"), np.frombuffer(s, "<f8")) for h, s in zip(got["hashed"], got["stats"], strict=True)]
     return Machine().fit(rows, got["__label"].to_numpy(dtype=np.float64))
 
 

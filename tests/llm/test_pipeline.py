@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from claimweave.llm import simhash
+from claimweave.llm import quality, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, verdict string"
 
@@ -77,3 +78,16 @@ def test_forest_keeps_components(spark, monkeypatch):
         cut = simhash.forest(spark.createDataFrame(edges, "a binary, b binary"))
         got = {(bytes(r.node), bytes(r.root)) for r in simhash.components(cut).collect()}
         assert got == {(name(i), name(i // 100 * 100)) for i in range(400)} | {(name(900), name(0))}
+
+
+def test_sample_crosses_to_the_driver_as_bytes(spark, monkeypatch):
+    """The machine is the one that the features themselves give, and the driver holds no number as an object."""
+    held, fit = [], quality.Machine.fit
+    monkeypatch.setattr(quality.Machine, "fit", lambda self, rows, *a: held.extend(rows) or fit(self, rows, *a))
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(30)), 60) for i in range(90)]
+    marks = {i: int(rng.random() < 0.5) for i, _, _ in rows}
+    got = quality.train(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), spark.createDataFrame(list(marks.items()), "doc_id long, quality int"))
+    assert len(held) == 90 and all(type(part.base) is bytes for row in held for part in row) and held[0][0].itemsize == 4
+    want = quality.Machine().fit([quality.features(t, n) for _, t, n in rows], np.array([marks[i] for i, _, _ in rows], dtype=float))
+    assert (got.w == want.w).all() and (got.v == want.v).all() and got.bias == want.bias
