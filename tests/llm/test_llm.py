@@ -351,3 +351,15 @@ def test_warc(spark, tmp_path):
 
 def test_digests():
     assert hashlib.sha256(np.array([], "<u4").tobytes()).hexdigest().startswith("e3b0c442")
+
+
+def test_dense_contexts_number_the_contexts_in_order():
+    words = ngram_lm.Vocabulary([b"a", b"b", b"c"], [3 * ngram_lm.PART_TOKENS, 2 * ngram_lm.PART_TOKENS, 5], 10, 7, 4)
+    v, u = np.repeat(np.arange(6), 50), np.tile(np.arange(50), 6) % 6
+    names, at = np.unique(words.contexts(v, u), return_inverse=True)
+    dense, same = np.unique(words.dense(v, u), return_inverse=True)
+    assert (at == same).all() and len(names) == len(dense) and 0 <= dense[0] and dense[-1] < words.classes.sum()
+    values = np.sort(np.random.default_rng(2).integers(0, 1 << 22, 5000))
+    sequence = ngram_lm.Sequence.of(values)
+    assert (sequence.get(np.arange(5000)) == values).all()
+    assert (values[sequence.find(values, np.zeros(5000, dtype=np.int64), np.full(5000, 5000))] == values).all()
