@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .wordmemo import PieceEncoder, encode_with_spans, encode_words, piece_encoder
 
 #: Tokens that must agree on either side of a join.
@@ -155,7 +156,9 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
             for k in range(0, b.num_rows, 2500):
                 part = b.slice(k, 2500)
                 yield _finish(enc, part.column(0).to_pylist(), encode_words(enc, part.column(1)))
+        b = part = None
         enc.rest()
+        give_back()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "digest", "at", "part"]
@@ -177,7 +180,9 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
                 part["gap"] = [_planes(np.diff(s, prepend=0)) for _, s, _ in got]
                 part["width"] = [_planes(e - s) for _, s, e in got]
                 yield pa.RecordBatch.from_pydict(part, schema=leaf_schema)
+        b = part = got = None
         enc.rest()
+        give_back()
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         enc = piece_encoder(shared.value, keep=KEEP)

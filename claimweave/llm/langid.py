@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_clashes
+from .common import drop_clashes, give_back
 
 BLANK = 32
 HASHES = 3
@@ -123,6 +123,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_f
             grams, n = settle(lang)
             for k in range(0, len(grams), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams[k : k + 50_000])), pa.array(grams[k : k + 50_000]), pa.array(n[k : k + 50_000])], names=["lang", "gram", "n"])
+        held.clear()
+        give_back()
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = rows.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -141,8 +143,8 @@ def decide(docs: DataFrame, filters: Filters, text_col: str = "text") -> Column:
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        for t in texts:
-            yield pd.DataFrame([model.decide(x) for x in t], columns=["lang_pred", "score"])
+        yield from (pd.DataFrame([model.decide(x) for x in t], columns=["lang_pred", "score"]) for t in texts)
+        give_back()
 
     return of(F.col(f"`{text_col}`"))
 

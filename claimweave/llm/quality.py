@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_clashes
+from .common import drop_clashes, give_back
 
 DIM = 1 << 18
 RANK = 8
@@ -138,8 +138,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     @F.pandas_udf("hashed binary, stats binary")
     def extract(texts: pd.Series, metas: pd.Series) -> pd.DataFrame:
-        got = [features(t, m) for t, m in zip(texts, metas, strict=True)]
-        return pd.DataFrame({"hashed": [g[0].astype("<i4").tobytes() for g in got], "stats": [g[1].astype("<f8").tobytes() for g in got]})
+        got = [(h.astype("<i4").tobytes(), s.astype("<f8").tobytes()) for h, s in map(features, texts, metas)]
+        give_back()
+        return pd.DataFrame(got, columns=["hashed", "stats"])
 
     # An id that repeats in docs gives one row, so the bound holds.
     unique = rows.groupBy("__id", "__label").agg(F.min(F.struct("__text", "__meta")).alias("r"))
@@ -156,8 +157,8 @@ def scorer(docs: DataFrame, machine: Machine, text_col: str = "text", meta_col:
     @F.pandas_udf("double")
     def of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = shared.value
-        for texts, metas in parts:
-            yield pd.Series([model.score(*features(t, m)) for t, m in zip(texts, metas, strict=True)], dtype=float)
+        yield from (pd.Series([model.score(*features(t, m)) for t, m in zip(texts, metas, strict=True)], dtype=float) for texts, metas in parts)
+        give_back()
 
     meta = F.col(f"`{meta_col}`").cast("double") if meta_col and meta_col in docs.columns else F.lit(None).cast("double")
     return of(F.col(f"`{text_col}`"), meta)
