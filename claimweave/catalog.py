@@ -356,7 +356,7 @@ GRAPH: dict[str, tuple[Callable[[P], DataFrame], str]] = {
     "enrich_profiles": (lambda p: risk.enrich_profiles(p.profiles, p.edges), f", {PROF}, {ENRICHED}"),
     "insights": (lambda p: p.insights, f"$users, {TARGETS}, {INSIGHTS} SELECT * FROM ins"),
     "inferred_conditions": (lambda p: risk.inferred_conditions(p.insights, p.users, risk.likely_rules(p.spark)), f"$users, {TARGETS}, {INSIGHTS}, {INFERRED} SELECT * FROM inferred"),
-    "open_checks": (lambda p: risk.open_checks(p.board, p.checks, p.users.select("user_id", F.col("term").alias("check_id"))), f"""$users, {PROF}, {MATCHES}, {BOARD}, checks AS (SELECT DISTINCT dst AS disease, src AS check_id, length(src) AS pos FROM edges WHERE rel = 'EARLY_SIGNAL_OF' AND src_label = 'Symptom' AND dst_label = 'Disease'),
+    "open_checks": (lambda p: risk.open_checks_of(p.profiles, p.users, p.checks, p.names), f"""$users, {PROF}, {MATCHES}, {BOARD}, checks AS (SELECT DISTINCT dst AS disease, src AS check_id, length(src) AS pos FROM edges WHERE rel = 'EARLY_SIGNAL_OF' AND src_label = 'Symptom' AND dst_label = 'Disease'),
       open AS (SELECT b.user_id, disease, level, check_id, pos FROM board b JOIN checks USING (disease) WHERE level IN ('high', 'medium') AND NOT EXISTS (SELECT 1 FROM users u WHERE u.user_id = b.user_id AND u.term = check_id)),
       firsts AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY level <> 'high', disease) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, disease ORDER BY pos, check_id) AS rn FROM open) WHERE rn = 1)
       SELECT user_id, disease, check_id, (SELECT count(*) FROM open o WHERE o.user_id = f.user_id) AS remaining, CAST(rank AS INTEGER) AS rank FROM firsts f WHERE rank <= 2"""),

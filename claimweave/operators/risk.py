@@ -130,13 +130,39 @@ def inferred_conditions(found: DataFrame, users: DataFrame, rules: DataFrame, k:
 def open_checks(board: DataFrame, checks: DataFrame, answered: DataFrame, k: int = 2) -> DataFrame:
     """user_id, disease, check_id, remaining: the first unanswered check (disease, pos, check_id) of k diseases at high or medium risk.
 
-    remaining counts all of a user's unanswered checks.
+    remaining counts all of a user's unanswered checks.  Checks are numbered and counted per disease, and users meet the numbers of
+    those alone that they answered: what is open is the rest, and the first open one the first number that is missing.
     """
-    left = board.where(F.col("level").isin("high", "medium")).join(checks, "disease").join(answered, ["user_id", "check_id"], "left_anti")
-    remaining = left.groupBy("user_id").agg(F.count("*").alias("remaining"))
-    first = left.groupBy("user_id", "disease", "level").agg(F.min(F.struct("pos", "check_id"))["check_id"].alias("check_id"))
-    w = Window.partitionBy("user_id").orderBy(F.when(F.col("level") == "high", 0).otherwise(1), "disease")
-    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).join(remaining, "user_id").select("user_id", "disease", "check_id", "remaining", "rank")
+    at_risk = board.where(F.col("level").isin("high", "medium")).select("user_id", "disease", "level")
+    numbered = checks.select("disease", "check_id", F.row_number().over(Window.partitionBy("disease").orderBy("pos", "check_id")).alias("number"))
+    total = checks.groupBy("disease").agg(F.count("*").alias("total"))
+    done = at_risk.select("user_id", "disease").distinct().join(answered.select("user_id", "check_id").distinct(), "user_id").join(numbered, ["disease", "check_id"])
+    done = done.groupBy("user_id", "disease").agg(F.array_sort(F.collect_list("number")).alias("done"))
+    left = at_risk.join(total, "disease").join(done, ["user_id", "disease"], "left").withColumn("done", F.coalesce("done", F.array().cast("array<int>")))
+    left = left.withColumn("open", F.col("total") - F.size("done")).where(F.col("open") > 0)
+    # Numbers are distinct and sorted, so those that stand at their own place are the ones before the first gap.
+    first = left.withColumn("number", F.size(F.filter("done", lambda x, i: x == i + 1)) + 1)
+    own = Window.partitionBy("user_id")
+    w = own.orderBy(F.when(F.col("level") == "high", 0).otherwise(1), "disease")
+    ranked = first.select("user_id", "disease", "number", F.sum("open").over(own).alias("remaining"), F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+    return ranked.join(numbered, ["disease", "number"]).select("user_id", "disease", "check_id", "remaining", "rank")
+
+
+def alike(users: DataFrame) -> DataFrame:
+    """user_id, like: the smallest user_id of those with the same ages and terms."""
+    own = users.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_set(F.struct("age", "term")))).alias("context"))
+    return own.join(own.groupBy("context").agg(F.min("user_id").alias("like")), "context").select("user_id", "like")
+
+
+def open_checks_of(profiles: DataFrame, users: DataFrame, checks: DataFrame, names: DataFrame | None = None, k: int = 2) -> DataFrame:
+    """open_checks on the risk board of users, who have answered the checks that are terms of theirs.
+
+    Users of the same ages and terms have the same board, so it is made for one of them.
+    """
+    like = alike(users)
+    some = users.join(like.where(F.col("user_id") == F.col("like")), "user_id", "left_semi")
+    found = open_checks(risk_board(profiles, some, names), checks, some.select("user_id", F.col("term").alias("check_id")), k)
+    return like.join(found.withColumnRenamed("user_id", "like"), "like").select("user_id", "disease", "check_id", "remaining", "rank")
 
 
 def next_questions(users: DataFrame, inferred: DataFrame, answered: DataFrame, k: int = 3) -> DataFrame:

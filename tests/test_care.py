@@ -160,3 +160,48 @@ def test_names_as_a_table(spark):
     assert got == [(1, "Vitamin D", "Y"), (2, "", "z")]
     keys = [r[0] for r in df.orderBy("name_key").select(vocab.merge_key(F.col("subject"), {"vitamin d3": "Vitamin D"})).collect()]
     assert keys == ["vitamin d", ""]
+
+
+def most_rows(df):
+    """The most rows that a node of the plan gave when df was collected, and the rows."""
+    rows, found = df.collect(), [0]
+
+    def walk(node):
+        kind, metric = node.getClass().getSimpleName(), node.metrics().get("numOutputRows")
+        if metric.isDefined():
+            found.append(metric.get().value())
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        children = node.children()
+        for x in [*inner, *(children.apply(i) for i in range(children.size()))]:
+            walk(x)
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return max(found), rows
+
+
+def test_open_checks_meet_no_list_of_checks(spark):
+    """As by hand, and no step makes a row for each check of a user's diseases."""
+    rng = random.Random(5)
+    board = [(u, f"d{d}", rng.choice(["high", "medium", "low"])) for u in range(60) for d in rng.sample(range(6), 4)]
+    checks = [(f"d{d}", rng.randint(0, 9), f"c{c}") for d in range(5) for c in rng.sample(range(200), 150)] + [("d5", 1, "x"), ("d5", 0, "y")]
+    answered = [(u, rng.choice([c for _, _, c in sorted(checks)[:8]] + ["x", "y", "none"])) for u in range(60) for _ in range(4)] + [(u, c) for u in range(9) for c in "xy"]
+    frames = [spark.createDataFrame(r, s) for r, s in ((board, "user_id long, disease string, level string"), (checks, "disease string, pos int, check_id string"), (answered, "user_id long, check_id string"))]
+    most, rows = most_rows(risk.open_checks(*frames))
+    want = set()
+    for u in range(60):
+        left = {(v != "high", d): sorted((p, c) for e, p, c in checks if e == d and (u, c) not in answered) for w, d, v in board if w == u and v != "low"}
+        left = {x: y for x, y in left.items() if y}
+        want |= {(u, x[1], left[x][0][1], sum(map(len, left.values())), i + 1) for i, x in enumerate(sorted(left)[:2])}
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    assert most <= len(checks) + len(answered)
+
+
+def test_open_checks_work_out_equal_users_once(spark):
+    profiles = spark.createDataFrame([(f"d{i}", k, f) for i in range(20) for k, f in (("factor", "age 30+"), ("factor", "red"), ("trigger", f"d{i}"))], "disease string, kind string, factor string")
+    checks = spark.createDataFrame([(f"d{i}", j, f"c{j}") for i in range(20) for j in range(3)], "disease string, pos int, check_id string")
+    people = users_of(spark, *[(u, 40, "", "free", t) for u in range(200) for t in ("red hair", "c0")], (200, 20, "", "free", "red hair"), (201, None, "", "free", None), (202, 20, "", "free", "d3"))
+    most, rows = most_rows(risk.open_checks_of(profiles, people, checks))
+    got = {(r.user_id, r["rank"]): (r.disease, r.check_id, r.remaining) for r in rows}
+    assert got == {(u, i): (d, "c1", 40) for u in range(200) for i, d in ((1, "d0"), (2, "d1"))} | {(202, 1): ("d3", "c0", 3)} and len(rows) == len(got)
+    board, _ = most_rows(risk.risk_board(profiles, people))
+    assert most < 3000 < 8000 <= board  # 2,420: the age factors over the ages they cover
