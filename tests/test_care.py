@@ -205,3 +205,35 @@ def test_open_checks_work_out_equal_users_once(spark):
     assert got == {(u, i): (d, "c1", 40) for u in range(200) for i, d in ((1, "d0"), (2, "d1"))} | {(202, 1): ("d3", "c0", 3)} and len(rows) == len(got)
     board, _ = most_rows(risk.risk_board(profiles, people))
     assert most < 3000 < 8000 <= board  # 2,420: the age factors over the ages they cover
+
+
+def test_recommendations_count_facts_before_they_meet(spark):
+    """Foods, nutrients, signals and reasons that two hops share: as over all rows, without a row for each food and edge."""
+    rng = random.Random(3)
+    mark = " [debated — conflicting evidence exists]"
+    edge = lambda a, s, rel, b, d: (a, s, rel, b, d, str(rng.randint(0, 40)), rng.randint(1, 3))
+    foods, nutrients, symptoms, diseases = ([f"{k}{i}" for i in range(n)] for k, n in (("food", 40), ("n", 3), ("s", 4), ("d", 3)))
+    rows = [edge("Food", f, "CONTAINS", "Nutrient", n) for f in foods for n in nutrients]
+    rows += [edge("Nutrient", rng.choice(nutrients), rng.choice(["TREATS", "PREVENTS"]), "Disease", rng.choice(diseases)) for _ in range(150)]
+    rows += [edge("Food", rng.choice(foods), rng.choice(["ALLEVIATES", "PREVENTS"]), "Symptom", rng.choice([*symptoms, "d0" + mark])) for _ in range(400)]
+    rows += [edge("Food", rng.choice(foods), rng.choice(["TREATS", "PREVENTS"]), "Disease", rng.choice([*diseases, "s0"])) for _ in range(60)]
+    rows += [edge("Symptom", s, "EARLY_SIGNAL_OF", "Disease", d) for s, d in (("s0", "s0"), ("s0", "d0"), ("s1", "d0"), ("s1", "d1"), ("s2", "s1"), ("s3", "d2"), ("d0" + mark, "d0"))]
+    flagged = edges_of(spark, *dict.fromkeys(rows)).withColumns({"contested": F.col("source_id") == "7", "debated": (F.col("dst") == "d0") & (F.col("rel") == "PREVENTS")})
+    people = users_of(spark, *[(i, 40, "", "paid", t) for i, t in enumerate([*symptoms, *diseases])], (9, 40, "", "paid", "d0"), (9, 40, "", "paid", "s0"), (10, 40, "", "free", "s0"))
+    most, found = most_rows(recommend.recommendations(flagged, people))
+    all_ = recommend.recs_direct(flagged).unionByName(recommend.recs_via_nutrient(flagged)).unionByName(recommend.recs_via_shared_symptom(flagged))
+    told = all_.select("target", "item", recommend.reason_text(F.col("rel"), F.col("reached"), F.col("via"), F.col("debated")).alias("reason"), "source_id", "strength", "ev").collect()
+    groups, want = {}, {}
+    for r in told:
+        groups.setdefault((r.target, r.item, r.reason), []).append(r)
+    for u, plan, terms in [(i, "paid", [t]) for i, t in enumerate([*symptoms, *diseases])] + [(9, "paid", ["d0", "s0"]), (10, "free", ["s0"])]:
+        best = {}
+        for (t, item, reason), of in groups.items():
+            if t in terms:
+                evs = sorted({tuple(r.ev) for r in of})[:5]
+                best[item, reason] = max(best.get((item, reason), (0,)), (max(r.strength for r in of), len({r.source_id for r in of}), len(evs), evs))
+        ranked = sorted(best, key=lambda x: (-best[x][0], -best[x][1], *x))[: 5 if plan == "free" else 20]
+        want |= {(u, i + 1): (*k, best[k][1], best[k][0], best[k][3]) for i, k in enumerate(ranked)}
+    assert {(r.user_id, r["rank"]): (r.item, r.reason, r.n_evidence, r.strength, [tuple(x) for x in r.evidence]) for r in found} == want
+    assert {r.reason for r in found} & {f"Associated with prevents of d0{mark}", "Associated with prevents of s0"}  # of both hops
+    assert most < 1500 < len(told)
