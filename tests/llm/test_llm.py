@@ -276,6 +276,49 @@ def test_lm(spark, monkeypatch, size, part):
     assert ngram_lm.score_all(df.limit(0), "learn").count() == 0
 
 
+def test_lm_counts_ngrams_of_all_words(spark):
+    """More words of one count than the vocabulary takes: their pairs and triples count all the same."""
+    text = " ".join(f"w{i}" for i in range(140_000))
+    df = spark.createDataFrame([(1, text, True), (2, "w5 w6 w7 w8", False), (3, "w8 w5 w7 w6", False)], "doc_id long, text string, learn boolean")
+    got = {r.doc_id: r for r in ngram_lm.score_all(df, "learn").collect()}
+    assert got[2].score > got[3].score + 5 and got[1].n_tokens == got[1].n_known == 140_001 and np.isclose(got[2].base_score, got[3].base_score)
+
+
+@pytest.mark.parametrize(("top", "bucket"), [(4, 2), (0, 100), (100, 100)])
+def test_lm_numbers_rarer_words(spark, monkeypatch, top, bucket):
+    """Whatever is broadcast, as by dictionaries of counts; unseen words, copies, null ids."""
+    monkeypatch.setattr(ngram_lm, "VOCABULARY", top)
+    monkeypatch.setattr(ngram_lm, "BUCKET_WORDS", bucket)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("aaaabbbccdefghijklmnop") for _ in range(rng.randint(0, 12)))) for i in range(90)] + [(None, "new a b words a"), (91, "new b"), (91, "new b"), (92, None), (93, "new new")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("learn", F.col("doc_id") % 3 != 0).repartition(3)
+    words = lambda t: (t or "").split()
+    texts = [t for i, t in rows if i is not None and i % 3]
+    counts, n_docs = Counter(w for t in texts for w in words(t)), len(texts)
+    grade = {w: int(np.floor(np.log2(n) * 8)) for w, n in counts.items()}
+    common = {w for w in counts if sum(g >= grade[w] for g in grade.values()) <= top}
+    rare, kinds, total = sum(n for w, n in counts.items() if w not in common), len(counts) - len(common), sum(counts.values()) + n_docs
+    of_class = lambda n: (n - 0.75 if n else 0.75 * (kinds + 1) / max(1, kinds)) / (rare + 0.75)
+    one = lambda w: n_docs / (total + 1) if w == 1 else counts[w] / (total + 1) if w in common else (rare + 1) / (total + 1) * of_class(counts[w])
+    grams = lambda t: (lambda s: [(1 if k == 1 else s[k - 2], s[k - 1], s[k]) for k in range(1, len(s))])([0, *words(t), 1])
+    c2, c3 = Counter((v, w) for t in texts for _, v, w in grams(t)), Counter(((u, v), w) for t in texts for u, v, w in grams(t))
+
+    def under(table):
+        sums, of = Counter(), Counter()
+        for (c, _), n in table.items():
+            sums[c] += n
+            of[c] += 1
+        return lambda c, w, low: low if not sums[c] else (max(0, table[c, w] - 0.75) + 0.75 * of[c] * low) / sums[c]
+
+    second, third = under(c2), under(c3)
+    by_hand = lambda t: sum(np.log10(third((u, v), w, second(v, w, one(w)))) for u, v, w in grams(t))
+    base = lambda t: sum(np.log10((n + 1) / (total + len(counts) + 2)) for n in (n_docs, *(counts[w] for w in words(t))))
+    want = sorted((i is None, i or 0, len(words(t)) + 1, 1 + sum(w in counts for w in words(t)), base(t), by_hand(t)) for i, t in rows)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score) for r in ngram_lm.score_all(df, "learn").collect())
+    for a, b in zip(want, got, strict=True):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-6 and abs(a[5] - b[5]) < 2e-3 * max(10, -a[5])
+
+
 def test_lm_without_training_text(spark):
     df = spark.createDataFrame([(1, "a b", False), (2, None, None)], "doc_id long, text string, learn boolean")
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in ngram_lm.score_all(df, "learn").collect()) == [(1, 3, 0, 0), (2, 1, 0, 0)]
